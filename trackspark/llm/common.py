@@ -7,12 +7,14 @@ take part (operators that pass columns through use ``_op_`` names inside).
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,3 +133,28 @@ def as_bytes(value) -> np.ndarray:
     elif not isinstance(value, (bytes, memoryview)):
         value = value.as_buffer()
     return np.frombuffer(value, np.uint8) if value is not None and len(value) else np.zeros(0, np.uint8)
+
+
+# --- models on the executors ----------------------------------------------------------------------
+
+_LOADED: dict[str, object] = {}
+
+
+class Shipped:
+    """A picklable object broadcast once and unpickled once in each Python worker."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.key = uuid.uuid4().hex
+        self.data = spark.sparkContext.broadcast(pickle.dumps(value))
+
+    def get(self):
+        if self.key not in _LOADED:
+            _LOADED.clear()  # one model at a time
+            _LOADED[self.key] = pickle.loads(self.data.value)
+        return _LOADED[self.key]
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with more fields."""
+    fields = list(df.schema.fields)
+    return T.StructType(fields + T.StructType.fromDDL(ddl).fields)

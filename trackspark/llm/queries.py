@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from trackspark.registry import Registry
 
-from . import common, mixing, sharding
+from . import common, decontamination, language, mixing, sharding
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("op3_language")
+def op3(spark, sf_dir):
+    return language.report(common.table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op4_decontaminate", decontamination.sql())
+def op4(spark, sf_dir):
+    return decontamination.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 @REGISTRY.add("op5_mix_sources", mixing.sql())
 def op5(spark, sf_dir):
     return mixing.mix(common.table(spark, sf_dir, "documents"))
