@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, language, mixing, sharding
+from . import common, decontamination, html, language, media, mixing, sharding, toxicity
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("op2_toxicity")
+def op2(spark, sf_dir):
+    return toxicity.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 @REGISTRY.add("op3_language")
 def op3(spark, sf_dir):
     return language.report(common.table(spark, sf_dir, "documents"))
@@ -27,3 +32,13 @@ def op5(spark, sf_dir):
 @REGISTRY.add("op7_shard", sharding.sql())
 def op7(spark, sf_dir):
     return sharding.shard(common.table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op8_html")
+def op8(spark, sf_dir):
+    return html.report(common.table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add("op9_media")
+def op9(spark, sf_dir):
+    return media.report(common.table(spark, sf_dir, "documents"))
