@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, html, language, media, mixing, sharding, toxicity
+from . import common, decontamination, html, language, media, mixing, ngramjoin, sharding, toxicity
 
 REGISTRY = Registry()
 
@@ -42,3 +42,8 @@ def op8(spark, sf_dir):
 @REGISTRY.add("op9_media")
 def op9(spark, sf_dir):
     return media.report(common.table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op10_ngram_jaccard_join", ngramjoin.SQL)
+def op10(spark, sf_dir):
+    return ngramjoin.join(common.table(spark, sf_dir, "documents"))
