@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, html, language, media, mixing, ngramjoin, sharding, toxicity
+from . import common, decontamination, html, language, lm, media, mixing, ngramjoin, sharding, toxicity
 
 REGISTRY = Registry()
 
@@ -29,6 +29,11 @@ def op5(spark, sf_dir):
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.add("op6_language_model")
+def op6(spark, sf_dir):
+    return lm.report(common.table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op7_shard", sharding.sql())
 def op7(spark, sf_dir):
     return sharding.shard(common.table(spark, sf_dir, "documents"))
