@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, html, language, lm, media, mixing, ngramjoin, sharding, toxicity
+from . import common, decontamination, html, language, lm, media, mixing, ngramjoin, sharding, suffix, toxicity
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    return suffix.report(common.table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op2_toxicity")
 def op2(spark, sf_dir):
     return toxicity.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
