@@ -133,8 +133,7 @@ def repeats(data: np.ndarray, base: np.ndarray, size: np.ndarray, zero: np.ndarr
                 kept = np.flatnonzero(stays)
                 if len(kept):
                     # the prefix shared across the gone ones is the least of theirs
-                    common_prefix = np.minimum.reduceat(common_prefix, np.concatenate([[0], kept[:-1] + 1]))
-                    common_prefix[0] = 0
+                    common_prefix = np.minimum.reduceat(common_prefix[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
                 order, common_prefix = order[kept], common_prefix[: len(kept)]
         upto = n_entered
         while upto < len(enter) and right[enter[upto]] == column:
