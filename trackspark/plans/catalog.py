@@ -1,5 +1,10 @@
 """Every registered query of the track operators."""
 
-from trackspark.registry import Registry
+from importlib import import_module
 
-REGISTRY = Registry()
+from .base import REGISTRY
+
+for _name in ("geometry", "filters", "tracks", "tags", "samples", "datasets", "predictions", "evaluation", "pixels", "tables", "streams", "models"):
+    import_module(f"{__package__}.{_name}")
+
+__all__ = ["REGISTRY"]
