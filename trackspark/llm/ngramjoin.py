@@ -11,16 +11,18 @@ document's prefix is taken so long that a partner must share a signature of it:
   minus its groups come to ``m + 1``.  The number of groups follows from the band of set sizes (powers
   of two); documents near the top of a band are indexed in the next one, too.
 
-Which tokens are frequent (in about one document of ``1 / FREQUENT`` or more) steers cost, never
-results.  They are found by counts within chunks of all documents, summed; their number is bounded by
-the mean set size over FREQUENT, whatever the corpus, and checked before it is broadcast.
+Which tokens are frequent (in about ``FREQUENT`` documents or more) steers cost, never results.  They
+are found by counts within chunks of all documents, summed; at most ``MAX_FREQUENT`` of them, the most
+frequent, are broadcast (8 bytes each), the others count as rare.
 
 Documents with equal sets form one class and go on as one row.  Signatures with up to ``SMALL`` classes
-give their pairs of fitting sizes; those with more give each class and a hub of like size, and, after
-components are known, pairs of classes that are not connected yet.  Candidates pass a bound from
-counts of tokens in 64 cells, then are verified by intersecting their sets.  Links become components
-by alternating large and small stars.  All of it runs as joins and aggregates on shared storage; nothing
-that grows with the corpus comes to the driver.
+give their pairs of fitting sizes, which pass a bound from counts of tokens in 64 cells and are then
+verified by intersecting their sets.  Longer lists come from large groups of near copies: classes that
+share one are put into one cluster, clusters are cut into blocks of about ``BLOCK`` classes, and each pair
+of blocks counts all its intersections at once, as a product of 0/1 matrices, of which only
+the links that connect its classes leave the task.  Links become components by alternating large and small
+stars.  All of it runs as joins and aggregates on shared storage; nothing that grows with the corpus
+comes to the driver.
 
 Verification intersects the low 32 bits of 64-bit hashes: a link is never lost, and one that misses
 the threshold by a single shingle could be taken with a chance of about n * n / 2**32.
@@ -37,6 +39,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +49,16 @@ from . import common
 WORDS = 3
 #: The similarity at least, in hundredths.
 PERCENT = 90
-FREQUENT = 1 / 500
-#: Tokens of a chunk within which document frequencies are counted.
+FREQUENT = 100
+#: Tokens of a chunk within which document frequencies are counted, and the least count that is summed.
 CHUNK = 4_000_000
+LEAST = 3
 MAX_FREQUENT = 2_000_000
 SMALL = 64
 CELLS = 64
+BLOCK = 1500
+#: Columns of a 0/1 matrix at a time.
+COLUMNS = 4096
 
 
 def token_set(text, words: int = WORDS) -> np.ndarray:
@@ -104,13 +111,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return np.concatenate(out)
 
 
-def _frequencies(words: int, share: float):
+def _frequencies(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def summed() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= max(3, share * len(held))
+            often = n >= LEAST
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
         size = 0
@@ -127,14 +134,14 @@ def _frequencies(words: int, share: float):
     return run
 
 
-def frequent_tokens(docs: DataFrame, words: int, share: float) -> np.ndarray:
-    """Sorted hashes of the tokens that are in about ``share`` of the documents or more."""
-    total = docs.count()
-    counted = docs.select("text").mapInArrow(_frequencies(words, share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = common.materialise(counted.where(F.col("n") >= max(3.0, share * total / 2)).select("token"), "frequent-tokens")
+def frequent_tokens(docs: DataFrame, words: int, frequent: int) -> np.ndarray:
+    """Sorted hashes of the tokens that are in about ``frequent`` documents or more."""
+    counted = docs.select("text").mapInArrow(_frequencies(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # half, as counts below LEAST within a chunk are not summed
+    often = common.materialise(counted.where(F.col("n") >= max(LEAST, frequent // 2)), "frequent-tokens")
     if often.count() > MAX_FREQUENT:
-        return np.zeros(0, np.uint64)  # all count as rare: slower, same result
-    return np.sort(often.toArrow().column("token").to_numpy().view(np.uint64))
+        often = often.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
+    return np.sort(often.select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
 def _described(shipped: common.Shipped, words: int, percent: int):
@@ -208,18 +215,68 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(F.col("x") != F.col("y")).distinct()
 
 
-def verify(pairs: DataFrame, classes: DataFrame, sets, percent: int) -> DataFrame:
-    """The pairs (x, y) that are links.  classes: cls, rep, n, cells; ``sets(reps)``: cls, tokens of the stated classes."""
-    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}"))
-    close = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "cx", "cy").mapInArrow(_bounded(percent), "x binary, y binary")
-    close = common.materialise(close, "jaccard-close")
-    used = close.select(F.col("x").alias("cls")).union(close.select(F.col("y").alias("cls"))).distinct()
-    known = sets(used.join(classes.select("cls", "rep", "n"), "cls"))
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose cell counts allow the similarity.  classes: cls, n, cells."""
+    side = lambda k: classes.select(F.col("cls").alias(k), F.col("cells").alias(f"c{k}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "cx", "cy").mapInArrow(_bounded(percent), "x binary, y binary")
+
+
+def verified_pairs(close: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links.  known: cls, n, tokens."""
     left = known.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     right = known.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    rows = close.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty")
-    links = common.materialise(rows.mapInArrow(_verified(percent), "x binary, y binary"), "jaccard-links")
-    return links
+    return close.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_verified(percent), "x binary, y binary")
+
+
+def _block_links(percent: int):
+    """Links that connect what is connected in a pair of blocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(t, "<u4") for t in rows["tokens"]]
+        n = rows["n"].to_numpy(np.int64)
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        keep = count[column] > 1  # the others are in no intersection
+        row, column = row[keep], (np.cumsum(count > 1) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        width = int((count > 1).sum())
+        for first in range(0, width, COLUMNS):
+            s, e = np.searchsorted(column, [first, first + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
+            part[row[s:e], column[s:e] - first] = 1
+            both += part @ part.T
+        both = both + np.minimum.outer(n - size, n - size)  # hashes that fell together in both
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, True)
+        label = np.arange(len(sets))
+        while True:  # every class takes the least label that it is linked to
+            least = np.where(linked, label[None, :], len(sets)).min(1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        names = rows["cls"].to_numpy()
+        tied = np.flatnonzero(label != np.arange(len(sets)))
+        return pd.DataFrame({"x": names[tied], "y": names[label[tied]]})
+
+    return run
+
+
+def cluster_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links within the clusters of classes that share long lists.  large: key, cls; known: cls, n, tokens."""
+    hubs = large.groupBy("key").agg(F.min("cls").alias("y"))
+    ties = large.join(hubs, "key").select(F.col("cls").alias("x"), "y").where(F.col("x") != F.col("y")).distinct()
+    placed = common.materialise(components(ties), "jaccard-clusters")
+    blocks = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    members = placed.join(blocks, "comp").withColumn("own", own)
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("cls", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = spread.join(known, "cls").select("comp", "i", "j", "cls", "n", "tokens")
+    return rows.groupBy("comp", "i", "j").applyInPandas(_block_links(percent), "x binary, y binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,11 +300,11 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, share: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, cls, n of every document; cls, comp of every class that has links)."""
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    shipped = common.Shipped(spark, frequent_tokens(source, words, share))
+    shipped = common.Shipped(spark, frequent_tokens(source, words, frequent))
     schema = common.extended(source.select("doc_id"), "cls binary, n long, cells binary, keys array<long>")
     rows = common.materialise(source.mapInArrow(_described(shipped, words, percent), schema), "jaccard-rows")
     full = rows.where(F.col("cls").isNotNull())
@@ -261,36 +318,19 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         F.col("p.cls").alias("x"),
         F.explode(F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(F.col("p.n"), q["n"], percent))["cls"]).alias("y"),
     )
-    # larger lists: to a hub among those of like size
-    large = shared.where(F.col("m") > SMALL).withColumn("stratum", F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)))
-    hubs = large.groupBy("key", "stratum").agg(F.min("cls").alias("hub"))
-    starred = large.join(hubs, ["key", "stratum"]).select(F.col("cls").alias("x"), F.col("hub").alias("y"))
-    pairs = common.materialise(_ordered(some.union(starred)), "jaccard-pairs")
-
-    def sets(used: DataFrame) -> DataFrame:
-        """Token sets of one document of each class."""
-        every = source.mapInArrow(_sets(words), common.extended(source.select("doc_id"), "cls binary, tokens binary"))
-        found = every.join(used.withColumnRenamed("cls", "_op_cls"), (F.col("cls") == F.col("_op_cls")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        return common.materialise(found.groupBy("cls", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
-
-    links = verify(pairs, classes, sets, percent)
-    joined = common.materialise(components(links), "jaccard-components")
-    # classes of a large list that are still apart are compared, all of them
-    placed = large.select("key", "cls", "n", "stratum").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    open_rows = common.materialise(placed.join(apart, "key"), "jaccard-open")
-    if open_rows.limit(1).count() == 0:
-        return rows.select("doc_id", "cls", "n"), joined
-    # partners of fitting size are in the same stratum of sizes or the next
-    near = open_rows.withColumn("stratum", F.explode(F.array("stratum", F.col("stratum") + 1)))
-    a = open_rows.select("key", "stratum", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("px"))
-    b = near.select("key", "stratum", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("py"))
-    cross = a.join(b, ["key", "stratum"]).where((F.col("px") != F.col("py")) & (F.col("ny") <= F.col("nx")) & _fits(F.col("ny"), F.col("nx"), percent))
-    rest = _ordered(cross.select("x", "y")).join(pairs, ["x", "y"], "left_anti")
-    more = verify(common.materialise(rest, "jaccard-rest"), classes, sets, percent)
-    if more.limit(1).count() == 0:
-        return rows.select("doc_id", "cls", "n"), joined
-    return rows.select("doc_id", "cls", "n"), common.materialise(components(links.union(more)), "jaccard-components")
+    close = common.materialise(close_pairs(_ordered(some), classes, percent), "jaccard-close")
+    large = shared.where(F.col("m") > SMALL).select("key", "cls")
+
+    # token sets, of one document of each class that is in a pair or a long list
+    used = close.select(F.col("x").alias("_op_cls")).union(close.select(F.col("y").alias("_op_cls"))).union(large.select(F.col("cls").alias("_op_cls"))).distinct()
+    reps = used.join(classes.select(F.col("cls").alias("_op_cls"), "rep", "n"), "_op_cls")
+    every = source.mapInArrow(_sets(words), common.extended(source.select("doc_id"), "cls binary, tokens binary"))
+    found = every.join(reps, (F.col("cls") == F.col("_op_cls")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    known = common.materialise(found.groupBy("cls", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+
+    links = verified_pairs(close, known, percent).union(cluster_links(large, known, percent))
+    links = common.materialise(links.distinct(), "jaccard-links")
+    return rows.select("doc_id", "cls", "n"), common.materialise(components(links), "jaccard-components")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
