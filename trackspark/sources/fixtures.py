@@ -74,4 +74,7 @@ def _ordered(names: tuple[str, ...]) -> list[str]:
 def with_views(body: str, *names: str) -> str:
     """SQL of the other engine: ``body`` after the definitions of the views that it reads."""
     parts = [f"{n} as ({(VIEWS[n][2] or VIEWS[n][1]).format(**{x: x for x in VIEWS[n][0]})})" for n in _ordered(names)]
-    return "with recursive " + ",\n".join(parts) + ("\n" if body.lstrip().lower().startswith("select") else ",\n") + body
+    plain = body.lstrip().lower().startswith("select")
+    if plain and not parts:
+        return body
+    return "with recursive " + ",\n".join(parts) + ("\n" if plain else ",\n" if parts else "") + body
