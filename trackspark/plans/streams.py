@@ -1 +1,130 @@
-"""Queries."""
+"""t01-t18 batch twins, j08, j10 greedy, j16, p02, w09 greedy: sequential steps and stream windows.
+
+The streaming forms are in ``trackspark.streaming``; tests hold both against each other."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from trackspark.operators import pixels as px
+from trackspark.operators import tracker
+from trackspark.streaming import cameras
+
+from .base import query, r6
+from .evaluation import j10
+from .samples import usable, w09
+
+CAM = "(partition by camera order by ts, event_id"
+ORDER = Window.partitionBy("camera").orderBy("ts", "event_id")
+
+
+def numbered(v):
+    """Regions as untracked detections."""
+    return v.select("clip_id", "frame_number", F.col("track_id").alias("region_id"), "x", "y", "width", "height").where("frame_number < 40")
+
+
+@query("j08_greedy_assignment", "v_regions")
+def j08(v):
+    return tracker.assign(numbered(v))
+
+
+@query("t08_online_tracker", "v_regions")
+def t08(v):
+    steps = tracker.assign(numbered(v))
+    return steps.groupBy("clip_id", "online_track").agg(F.min("frame_number").alias("first"), F.max("frame_number").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+@query("j10_greedy_match", "v_expected", "v_tracks")
+def j10_greedy(e, t):
+    return tracker.match_expected(j10(e, t).join(e.select("expected_id", "start_s"), "expected_id"))
+
+
+@query("j16_box_merge", "v_regions")
+def j16(v):
+    return tracker.merge_components(v, 10.0)
+
+
+@query("p02_masked_segments", "v_regions")
+def p02(v):
+    return tracker.masked_segments(usable(v), 10, 2)
+
+
+@query("w09_top_mass_segments", "v_regions")
+def w09_greedy(v):
+    return tracker.heaviest_windows(w09(v), 10)
+
+
+@query("t01_ring_buffer", "v_stream", sql=f"select event_id, lag(event_id, 9) over {CAM}) as oldest, first_value(event_id) over (partition by camera, epoch order by ts, event_id rows between 9 preceding and current row) as oldest_since_ffc from (select *, sum(case when ffc then 1 else 0 end) over {CAM} rows between unbounded preceding and current row) as epoch from v_stream)")
+def t01(s):
+    epochs = s.withColumn("epoch", F.sum(F.col("ffc").cast("long")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.first("event_id").over(Window.partitionBy("camera", "epoch").orderBy("ts", "event_id").rowsBetween(-9, 0))
+    return epochs.select("event_id", F.lag("event_id", 9).over(ORDER).alias("oldest"), since.alias("oldest_since_ffc"))
+
+
+@query("t02_motion_detector", "v_stream", sql=f"""m as (select *, avg(changed) over {CAM} rows between 10 preceding and 1 preceding) as mean, row_number() over {CAM}) as n from v_stream),
+h as (select *, coalesce(changed>mean+5, false) and not ffc and n>20 as hit from m), i as (select *, sum(case when hit then 0 else 1 end) over {CAM} rows between unbounded preceding and current row) as island from h)
+select event_id, sum(case when hit then 1 else 0 end) over (partition by camera, island order by ts, event_id rows between unbounded preceding and current row)>=2 as detected from i""")
+def t02(s):
+    m = s.withColumn("mean", F.avg("changed").over(ORDER.rowsBetween(-10, -1))).withColumn("n", F.row_number().over(ORDER))
+    hit = F.coalesce(F.col("changed") > F.col("mean") + 5, F.lit(False)) & (F.col("n") > 20)
+    return px.trigger_runs(m, hit, F.col("ffc"), "camera", "ts", "event_id").select("event_id", (F.col("run") >= 2).alias("detected"))
+
+
+GAPS = f"""g as (select *, case when date_diff('millisecond', lag(ts) over {CAM}), ts)<600000 then 0 else 1 end as fresh from v_stream where motion), s as (select *, sum(fresh) over {CAM} rows between unbounded preceding and current row) as session from g),
+ses as (select camera, session, min(ts) as first, max(ts) as last, count(*) as frames from s group by 1,2)
+"""
+
+
+@query("t04_recording_sessions", "v_stream", sql=GAPS + "select camera, first, last, frames from ses")
+def t04(s):
+    return cameras.gap_sessions(s.where("motion"), 600)
+
+
+@query("t05_pre_roll", "v_stream", sql=GAPS + "select ses.camera, first, count(v.event_id) as preview from ses left join v_stream v on v.camera=ses.camera and v.ts>=first-interval 300 second and v.ts<first group by 1,2")
+def t05(s):
+    sessions = cameras.gap_sessions(s.where("motion"), 600).select("camera", "first")
+    # frames and sessions meet in five-minute bins; a session looks into its own bin and the one before
+    bins = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 300)
+    wanted = sessions.withColumn("bin", F.explode(F.array(bins("first") - 1, bins("first"))))
+    frames = s.select("camera", "ts", "event_id", bins("ts").alias("bin"))
+    near = (frames["ts"] >= F.col("first") - F.expr("interval 300 seconds")) & (frames["ts"] < F.col("first"))
+    return wanted.join(frames, (wanted["camera"] == frames["camera"]) & (wanted["bin"] == frames["bin"]) & near, "left").groupBy(wanted["camera"], "first").agg(F.count("event_id").alias("preview"))
+
+
+@query("t06_throttle", "v_stream")
+def t06(s):
+    return tracker.per_camera(s, "throttle")
+
+
+@query("t07_window_gate", "v_stream", sql="select event_id from v_stream where hour(ts)>=18 or hour(ts)<7")
+def t07(s):
+    return s.where((F.hour("ts") >= 18) | (F.hour("ts") < 7)).select("event_id")
+
+
+@query("t12_ir_hysteresis", "v_stream")
+def t12(s):
+    return tracker.per_camera(s, "ir")
+
+
+@query("t13_simple_hysteresis", "v_stream")
+def t13(s):
+    return tracker.per_camera(s, "simple")
+
+
+@query("t14_fixed_segments", "v_stream", sql="select camera, time_bucket(interval 1 hour, ts) as start, count(*) as frames from v_stream group by 1,2")
+def t14(s):
+    return s.groupBy("camera", F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query("t15_rolling_time", "v_stream", sql=f"select event_id, round(avg(changed) over {CAM} rows between 26 preceding and current row), 6) as mean from v_stream")
+def t15(s):
+    return s.select("event_id", r6(F.avg("changed").over(ORDER.rowsBetween(-26, 0))).alias("mean"))
+
+
+@query("t17_discard_short", "v_stream", sql=GAPS + "select camera, first from ses where frames>3")
+def t17(s):
+    return cameras.gap_sessions(s.where("motion"), 600).where("frames > 3").select("camera", "first")
+
+
+@query("t18_skipped_frames", "v_stream", sql=f"select event_id, n from (select *, row_number() over {CAM}) as n from v_stream) where changed>0")
+def t18(s):
+    return s.withColumn("n", F.row_number().over(ORDER).cast("long")).where("changed > 0").select("event_id", "n")
