@@ -182,7 +182,7 @@ def runs(strings: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(s)) - 1
+    last = np.append(first[1:], len(s))[: len(first)] - 1
     return s[first], p[first], p[last]
 
 
