@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIXEL = Window.partitionBy("clip_id", "y", "x").orderBy("frame_number")
-FRAME = Window.partitionBy("clip_id", "frame_number")
+
+def pixel() -> Window:
+    return Window.partitionBy("clip_id", "y", "x").orderBy("frame_number")
+
+
+def frame() -> Window:
+    return Window.partitionBy("clip_id", "frame_number")
 
 
 def frame_statistics(pixels: DataFrame) -> DataFrame:
@@ -18,13 +23,13 @@ def frame_statistics(pixels: DataFrame) -> DataFrame:
 
 
 def running_mean(pixels: DataFrame, n: int = 45) -> DataFrame:
-    return pixels.withColumn("mean", F.avg("v").over(PIXEL.rowsBetween(-(n - 1), 0)))
+    return pixels.withColumn("mean", F.avg("v").over(pixel().rowsBetween(-(n - 1), 0)))
 
 
 def change_counts(pixels: DataFrame, gap: int, low: float, delta: float, warmer_only: bool = True) -> DataFrame:
     """clip_id, frame_number, changed: pixels that differ by over ``delta`` from ``gap`` frames ago, both clipped at ``low``."""
     v = F.greatest(F.col("v"), F.lit(low))
-    diff = v - F.lag(v, gap).over(PIXEL)
+    diff = v - F.lag(v, gap).over(pixel())
     hit = diff > delta if warmer_only else F.abs(diff) > delta
     return pixels.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("long")).groupBy("clip_id", "frame_number").agg(F.sum("_hit").alias("changed"))
 
@@ -36,8 +41,9 @@ def trigger_runs(frames: DataFrame, hit: Column, reset: Column, by: str, *order:
     return counted.withColumn("run", F.sum("_hit").over(Window.partitionBy(by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_hit", "_island")
 
 
-def normalised(v: Column, new_max: float = 1.0, by: Window = FRAME) -> Column:
+def normalised(v: Column, new_max: float = 1.0, by: Window | None = None) -> Column:
     """Scaled to 0..new_max within a frame; flat frames become zeros, or v over the maximum."""
+    by = by or frame()
     low, high = F.min(v).over(by), F.max(v).over(by)
     return F.when(high == low, F.when(high == 0, 0.0).otherwise(v / high)).otherwise((v - low) / (high - low) * new_max)
 
@@ -72,7 +78,7 @@ def masked_mean_background(pixels: DataFrame, threshold: float = 50.0) -> DataFr
 
 def moments(pixels: DataFrame) -> DataFrame:
     """Per frame: weighted centre, half axes and angle of the value distribution (values above the frame's minimum)."""
-    w = F.col("v") - F.min("v").over(FRAME)
+    w = F.col("v") - F.min("v").over(frame())
     m = pixels.withColumn("w", w).groupBy("clip_id", "frame_number").agg(
         F.sum("w").alias("s"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"),
         F.sum(F.col("w") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"),

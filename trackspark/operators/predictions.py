@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("track_id")
+
+def by_track() -> Window:
+    return Window.partitionBy("track_id")
 
 
 def track_scores(predictions: DataFrame, smooth: bool = True) -> DataFrame:
@@ -24,12 +26,12 @@ def running_scores(predictions: DataFrame, smooth: bool = True) -> DataFrame:
 
 
 def normalised(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("score", F.col("score") / F.sum("score").over(TRACK))
+    return scores.withColumn("score", F.col("score") / F.sum("score").over(by_track()))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Adds place: 1 for the best label of a track; the first index wins a tie."""
-    return scores.withColumn("place", F.row_number().over(TRACK.orderBy(F.desc(F.round("score", 9)), "idx")))
+    return scores.withColumn("place", F.row_number().over(by_track().orderBy(F.desc(F.round("score", 9)), "idx")))
 
 
 def best(scores: DataFrame, n: int = 3) -> DataFrame:
@@ -43,7 +45,7 @@ def best(scores: DataFrame, n: int = 3) -> DataFrame:
 def capped(scores: DataFrame, few: DataFrame, most: float = 0.5) -> DataFrame:
     """Scale the scores of the tracks in ``few`` (track_id) so that they sum to ``most`` at most."""
     marked = scores.join(few.select("track_id").distinct().withColumn("_few", F.lit(True)), "track_id", "left")
-    total = F.sum("score").over(TRACK)
+    total = F.sum("score").over(by_track())
     scale = F.when(F.col("_few") & (total > most), most / total).otherwise(1.0)
     return marked.withColumn("score", F.col("score") * scale).drop("_few")
 

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import geometry as g
 
-ORDERED = Window.partitionBy("track_id").orderBy("frame_number")
-SO_FAR = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("track_id")
+
+def ordered() -> Window:
+    return Window.partitionBy("track_id").orderBy("frame_number")
+
+
+def so_far() -> Window:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_track() -> Window:
+    return Window.partitionBy("track_id")
 
 
 def mid(prefix: str = "") -> tuple[Column, Column]:
@@ -23,7 +31,7 @@ def mid(prefix: str = "") -> tuple[Column, Column]:
 def with_velocity(regions: DataFrame) -> DataFrame:
     """Adds vx, vy: the middle minus the one before, 0 for the first region."""
     mx, my = mid()
-    return regions.withColumn("vx", F.coalesce(mx - F.lag(mx).over(ORDERED), F.lit(0.0))).withColumn("vy", F.coalesce(my - F.lag(my).over(ORDERED), F.lit(0.0)))
+    return regions.withColumn("vx", F.coalesce(mx - F.lag(mx).over(ordered()), F.lit(0.0))).withColumn("vy", F.coalesce(my - F.lag(my).over(ordered()), F.lit(0.0)))
 
 
 def with_border(regions: DataFrame, bounds: g.Box, edge: int = 0) -> DataFrame:
@@ -32,26 +40,26 @@ def with_border(regions: DataFrame, bounds: g.Box, edge: int = 0) -> DataFrame:
 
 def recent_means(regions: DataFrame, last: int = 5) -> DataFrame:
     """Adds average_area and average_mass of the last ``last`` non-blank regions so far (0 without any)."""
-    seen = regions.withColumn("_rank", F.sum(F.when(~F.col("blank"), 1).otherwise(0)).over(SO_FAR))
+    seen = regions.withColumn("_rank", F.sum(F.when(~F.col("blank"), 1).otherwise(0)).over(so_far()))
     window = Window.partitionBy("track_id", "_solid").orderBy("frame_number").rowsBetween(-(last - 1), 0)
     means = seen.withColumn("_solid", ~F.col("blank")).select(
         "*", *[F.when(F.col("_solid"), F.avg(c).over(window)).alias(n) for n, c in (("_area", g.box().area), ("_mass", F.col("mass")))]
     )
     return means.select(
         *regions.columns,
-        *[F.coalesce(F.last(c, ignorenulls=True).over(SO_FAR), F.lit(0.0)).alias(n) for n, c in (("average_area", "_area"), ("average_mass", "_mass"))],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(so_far()), F.lit(0.0)).alias(n) for n, c in (("average_area", "_area"), ("average_mass", "_mass"))],
     )
 
 
 def with_visibility(regions: DataFrame, max_blanks: int = 18) -> DataFrame:
     """Adds since_seen, blanks, clear_run and tracking (whether the track is still alive)."""
     blank = F.col("blank")
-    n = F.row_number().over(ORDERED)
-    last_seen = F.last(F.when(~blank, n), ignorenulls=True).over(SO_FAR)
+    n = F.row_number().over(ordered())
+    last_seen = F.last(F.when(~blank, n), ignorenulls=True).over(so_far())
     out = regions.withColumn("_n", n).withColumn("since_seen", F.col("_n") - F.coalesce(last_seen, F.lit(0)))
-    out = out.withColumn("blanks", F.sum(blank.cast("long")).over(SO_FAR))
+    out = out.withColumn("blanks", F.sum(blank.cast("long")).over(so_far()))
     # a run of clear frames begins after a blank; blanks keep the run of the last clear frame
-    starts = F.sum((~blank & F.coalesce(F.lag("blank").over(ORDERED), F.lit(False))).cast("long")).over(SO_FAR)
+    starts = F.sum((~blank & F.coalesce(F.lag("blank").over(ordered()), F.lit(False))).cast("long")).over(so_far())
     out = out.withColumn("_run", starts)
     out = out.withColumn("clear_run", F.sum((~blank).cast("long")).over(Window.partitionBy("track_id", "_run").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)))
     alive = F.col("since_seen") < F.least(2 * (F.col("_n") - F.col("since_seen")), F.lit(max_blanks))
@@ -61,7 +69,7 @@ def with_visibility(regions: DataFrame, max_blanks: int = 18) -> DataFrame:
 def smooth(regions: DataFrame, bounds: g.Box) -> DataFrame:
     """Replaces each box by the mean size of it and its neighbours around its middle, cropped."""
     mx, my = mid()
-    mean = lambda c: (F.coalesce(F.lag(c).over(ORDERED), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(ORDERED), F.col(c))) / 3
+    mean = lambda c: (F.coalesce(F.lag(c).over(ordered()), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(ordered()), F.col(c))) / 3
     sized = regions.withColumn("_w", mean("width")).withColumn("_h", mean("height"))
     raw = g.Box((mx - F.col("_w") / 2).cast("long"), (my - F.col("_h") / 2).cast("long"), F.col("_w").cast("long"), F.col("_h").cast("long"))
     cut = g.crop(raw, bounds)
@@ -70,15 +78,15 @@ def smooth(regions: DataFrame, bounds: g.Box) -> DataFrame:
 
 def trim(regions: DataFrame, share: float = 0.005, least: float = 2) -> DataFrame:
     """Drops regions of low mass at both ends of a track."""
-    limit = F.greatest(F.lit(float(least)), F.percentile("mass", F.lit(0.5)).over(WHOLE) * share)
+    limit = F.greatest(F.lit(float(least)), F.percentile("mass", F.lit(0.5)).over(by_track()) * share)
     heavy = regions.withColumn("_f", F.when(F.col("mass") > limit, F.col("frame_number")))
-    inside = F.col("frame_number").between(F.min("_f").over(WHOLE), F.max("_f").over(WHOLE))
+    inside = F.col("frame_number").between(F.min("_f").over(by_track()), F.max("_f").over(by_track()))
     return heavy.withColumn("_in", inside).where("_in").drop("_f", "_in")
 
 
 def fill_gaps(regions: DataFrame) -> DataFrame:
     """Adds blank regions with the last box for frame numbers that a track skips."""
-    nxt = F.lead("frame_number").over(ORDERED)
+    nxt = F.lead("frame_number").over(ordered())
     known = regions.withColumn("_next", F.coalesce(nxt - 1, F.col("frame_number")))
     spread = known.withColumn("_f", F.explode(F.sequence(F.col("frame_number"), F.col("_next"))))
     new = F.col("_f") != F.col("frame_number")
@@ -92,8 +100,8 @@ def movement_statistics(regions: DataFrame, bounds: g.Box, edge: int = 0) -> Dat
     """One row per track: movement, offset, velocity, variance, jitter, blanks, mass statistics and score."""
     rows = with_border(with_velocity(regions), bounds, edge)
     mx, my = mid()
-    prev = {c: F.lag(c).over(ORDERED) for c in ("x", "y", "width", "height", "blank", "along_border")}
-    rows = rows.select("*", F.row_number().over(ORDERED).alias("_n"), *[c.alias("p" + n) for n, c in prev.items()], F.first(mx).over(SO_FAR).alias("_fx"), F.first(my).over(SO_FAR).alias("_fy"))
+    prev = {c: F.lag(c).over(ordered()) for c in ("x", "y", "width", "height", "blank", "along_border")}
+    rows = rows.select("*", F.row_number().over(ordered()).alias("_n"), *[c.alias("p" + n) for n, c in prev.items()], F.first(mx).over(so_far()).alias("_fx"), F.first(my).over(so_far()).alias("_fy"))
     later, solid = F.col("_n") > 1, ~F.col("blank")
     moving = later & solid & ~F.col("pblank") & (g.moved(g.box(), g.box("p")) | F.col("along_border"))
     offset = (mx - F.col("_fx")) ** 2 + (my - F.col("_fy")) ** 2
@@ -140,12 +148,12 @@ def match_gates(regions: DataFrame, base_velocity: float = 2, multiplier: float
     """Adds max_distance, max_mass_change and max_size_change: how far the next region may differ.
 
     Regions carry vx, vy, average_mass, along_border; no motion is predicted here."""
-    n = F.row_number().over(ORDERED)
+    n = F.row_number().over(ordered())
     vx = F.when(n == 1, F.lit(float(base_velocity))).otherwise(F.col("vx")) * multiplier
     vy = F.when(n == 1, F.lit(float(base_velocity))).otherwise(F.col("vy")) * multiplier
     speed = F.abs("vx") + F.abs("vy")
     mass = F.when(n > restrict_after * fps, F.greatest(F.lit(float(min_mass_change)), F.col("average_mass") * (mass_percent + F.when(speed > 5, 0.1).otherwise(0.0))))
-    nxt = F.lead("along_border").over(ORDERED)
+    nxt = F.lead("along_border").over(ordered())
     edge = F.col("along_border") | nxt
     size = F.when(edge, F.lit(2.0) * F.when(speed > 10, 3).otherwise(1)).otherwise(F.when(n < 5, 2.0).otherwise(1.5) * F.when(speed > 10, 2).otherwise(1))
     return regions.select("*", (base_distance + vx * vx + vy * vy).alias("max_distance"), mass.alias("max_mass_change"), size.alias("max_size_change"))

@@ -8,17 +8,27 @@ from trackspark.functions import geometry as g
 from .base import query, r6
 
 KEY = ("clip_id", "track_id", "frame_number")
-SCREEN = g.fixed(0, 0, 160, 120)
-INNER = g.fixed(1, 1, 158, 118)
-TRACK = Window.partitionBy("track_id").orderBy("frame_number")
 LEFT_LINE, RIGHT_LINE = g.Line(1.3, 20.0), g.Line(-1.1, 200.0)
 
+
+def screen() -> g.Box:
+    return g.fixed(0, 0, 160, 120)
+
+
+def inner() -> g.Box:
+    return g.fixed(1, 1, 158, 118)
+
+
+def track() -> Window:
+    return Window.partitionBy("track_id").orderBy("frame_number")
+
+
 LAG = """l as (select *, lag(x) over w as px, lag(y) over w as py, lag(width) over w as pw, lag(height) over w as ph from v_regions window w as (partition by track_id order by frame_number))
 """
 
 
 def before() -> g.Box:
-    return g.Box(*(F.lag(c).over(TRACK) for c in ("x", "y", "width", "height")))
+    return g.Box(*(F.lag(c).over(track()) for c in ("x", "y", "width", "height")))
 
 
 def lagged(df):
@@ -59,14 +69,14 @@ def g04(v):
 
 @query("g05_enlarge", "v_regions", sql="e as (select clip_id, track_id, frame_number, x-4 as x, y-4 as y, width+8 as width, height+8 as height from v_regions)\n" + CROP.format(x0=0, y0=0, x1=160, y1=120, src="e"))
 def g05(v):
-    return keyed(v, *g.columns(g.enlarge(g.box(), 4, SCREEN)))
+    return keyed(v, *g.columns(g.enlarge(g.box(), 4, screen())))
 
 
 @query("g06_enlarge_even", "v_regions", sql="""e as (select clip_id, track_id, frame_number, x-12 as x, y-9 as y, width+24 as width, height+18 as height from v_regions),
 s as (select *, greatest(least(greatest(-x,0),160), least(greatest(x+width-160,0),160)) as sx, greatest(least(greatest(-y,0),120), least(greatest(y+height-120,0),120)) as sy from e)
 select clip_id, track_id, frame_number, x+sx as x, y+sy as y, width-2*sx as width, height-2*sy as height from s""")
 def g06(v):
-    return keyed(v, *g.columns(g.enlarge_even(g.box(), 12, 9, SCREEN)))
+    return keyed(v, *g.columns(g.enlarge_even(g.box(), 12, 9, screen())))
 
 
 @query("g07_enlarge_for_rotation", "v_regions", sql="""m as (select *, 13/least(32e0/width, 32e0/height) as more, abs(width-height) as d from v_regions),
@@ -75,7 +85,7 @@ f as (select clip_id, track_id, frame_number, x-dx as x, y-dy as y, width+2*dx a
 s as (select *, greatest(least(greatest(-x,0),160), least(greatest(x+width-160,0),160)) as sx, greatest(least(greatest(-y,0),120), least(greatest(y+height-120,0),120)) as sy from f)
 select clip_id, track_id, frame_number, x+sx as x, y+sy as y, width-2*sx as width, height-2*sy as height from s""")
 def g07(v):
-    return keyed(v, *g.columns(g.enlarge_for_rotation(g.box(), SCREEN)))
+    return keyed(v, *g.columns(g.enlarge_for_rotation(g.box(), screen())))
 
 
 @query("g08_contains", "v_clips", sql="select clip_id, (lng>=113.0 and lng<=154.0 and lat<=-10.0 and lat>=-44.0) as inside from v_clips")
@@ -97,7 +107,7 @@ def g10(v):
 
 @query("g11_along_border", "v_regions", sql="select clip_id, track_id, frame_number, x<=2 or y<=2 or x+width>=157 or y+height>=117 as along_border from v_regions")
 def g11(v):
-    return keyed(v, g.along_border(g.box(), INNER, 1).alias("along_border"))
+    return keyed(v, g.along_border(g.box(), inner(), 1).alias("along_border"))
 
 
 @query("g12_corner_distances", "v_regions", sql=LAG + """select clip_id, track_id, frame_number, (x-px)*(x-px)+(y-py)*(y-py) as top_left,
@@ -115,7 +125,7 @@ def g13(v):
 @query("g14_edge_flags", "v_regions", sql="select clip_id, track_id, frame_number, y=1 or y+height=119 as on_height_edge, x=1 or x+width=159 as on_width_edge from v_regions")
 def g14(v):
     b = g.box()
-    return keyed(v, ((b.y == INNER.y) | (b.bottom == INNER.bottom)).alias("on_height_edge"), ((b.x == INNER.x) | (b.right == INNER.right)).alias("on_width_edge"))
+    return keyed(v, ((b.y == inner().y) | (b.bottom == inner().bottom)).alias("on_height_edge"), ((b.x == inner().x) | (b.right == inner().right)).alias("on_width_edge"))
 
 
 @query("g15_frame_crop", "v_regions", sql="""s as (select *, greatest(width,height) as d from v_regions)

@@ -44,14 +44,14 @@ def w12(s):
 @query("w13_delta_variance", P, sql=f"""n as (select *, (v-min(v) over (partition by clip_id, frame_number))/(max(v) over (partition by clip_id, frame_number)-min(v) over (partition by clip_id, frame_number)) as nv from v_pixels),
 d as (select clip_id, frame_number, y, x, abs(nv-lag(nv) over {PIX.format('')}) as d from n) select clip_id, frame_number, round(var_pop(d), 6) as variance from d where d is not null and x between 2 and 5 and y between 1 and 6 group by 1,2""")
 def w13(v):
-    d = v.withColumn("nv", px.normalised(F.col("v"))).withColumn("d", F.abs(F.col("nv") - F.lag("nv").over(px.PIXEL)))
+    d = v.withColumn("nv", px.normalised(F.col("v"))).withColumn("d", F.abs(F.col("nv") - F.lag("nv").over(px.pixel())))
     inside = d.where("d is not null and x between 2 and 5 and y between 1 and 6")
     return inside.groupBy("clip_id", "frame_number").agg(r6(F.var_pop("d")).alias("variance"))
 
 
 @query("w14_minimum_background", P, sql=f"select clip_id, frame_number, y, x, round(min(v) over {PIX.format(' rows between unbounded preceding and current row')}, 6) as background from v_pixels")
 def w14(v):
-    return v.select("clip_id", "frame_number", "y", "x", r6(F.min("v").over(px.PIXEL.rowsBetween(Window.unboundedPreceding, 0))).alias("background"))
+    return v.select("clip_id", "frame_number", "y", "x", r6(F.min("v").over(px.pixel().rowsBetween(Window.unboundedPreceding, 0))).alias("background"))
 
 
 @query("w15_weighted_background", P, sql="""g as (select clip_id, y, x, list(v order by frame_number) as f from v_pixels group by 1,2,3),
@@ -87,7 +87,7 @@ select clip_id, frame_number, y, x, round(greatest(0, d-avg(d) over (partition b
 def x11(v):
     bg = v.groupBy("clip_id", "y", "x").agg(F.min("v").alias("bg"))
     d = v.join(bg, ["clip_id", "y", "x"]).withColumn("d", F.col("v") - F.col("bg"))
-    return d.select("clip_id", "frame_number", "y", "x", r6(F.greatest(F.lit(0.0), F.col("d") - F.avg("d").over(px.FRAME))).alias("v"))
+    return d.select("clip_id", "frame_number", "y", "x", r6(F.greatest(F.lit(0.0), F.col("d") - F.avg("d").over(px.frame()))).alias("v"))
 
 
 @query("x12_crop_pixels", P, sql="select clip_id, frame_number, y-1 as y, x-2 as x, round(v, 6) as v from v_pixels where x>=2 and x<6 and y>=1 and y<7")
@@ -112,7 +112,7 @@ select c.clip_id, frame_number, y, x, round((c-lo)/(hi-lo), 6) as v from c join
 def m08(v):
     s = px.frame_statistics(v).select("clip_id", "frame_number", "median")
     d = v.where("x between 1 and 6 and y between 1 and 6").join(s, ["clip_id", "frame_number"]).withColumn("d", F.col("v") - F.col("median"))
-    warm = F.percentile("d", F.lit(0.5)).over(px.FRAME) > 0
+    warm = F.percentile("d", F.lit(0.5)).over(px.frame()) > 0
     c = d.withColumn("c", F.when(warm, F.greatest(F.col("d"), F.lit(0.0))).otherwise(F.col("d")))
     limits = c.groupBy("clip_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     return c.join(limits, "clip_id").select("clip_id", "frame_number", "y", "x", r6((F.col("c") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))

@@ -117,9 +117,9 @@ def k06(v):
     f = F.col("frame_number")
     border = (F.col("x") <= 1) | (F.col("y") <= 1) | (F.col("y") + F.col("height") >= 119) | (F.col("x") + F.col("width") >= 159)
     s = v.where("not blank and mass > 0").select("track_id", "frame_number", "mass", (1 + (f * 7) % 30).alias("contours"), ((f * 13) % 40 - 5).alias("diff"), ((f % 5) / 2.0).alias("off"), border.alias("border"))
-    share = lambda c: F.col(c) / F.max(c).over(p.TRACK)
-    score = share("mass") * 40 + share("contours") * 50 + F.when(F.max("diff").over(p.TRACK) == 0, 0.0).otherwise(share("diff") * 40) - 2 * F.col("off") - F.when(F.col("border"), 1000).otherwise(0)
-    rank = F.row_number().over(p.TRACK.orderBy(F.desc("score"), "frame_number"))
+    share = lambda c: F.col(c) / F.max(c).over(p.by_track())
+    score = share("mass") * 40 + share("contours") * 50 + F.when(F.max("diff").over(p.by_track()) == 0, 0.0).otherwise(share("diff") * 40) - 2 * F.col("off") - F.when(F.col("border"), 1000).otherwise(0)
+    rank = F.row_number().over(p.by_track().orderBy(F.desc("score"), "frame_number"))
     return s.withColumn("score", r6(score)).withColumn("r", rank).where("r = 1").select("track_id", "frame_number", "score")
 
 
@@ -128,7 +128,7 @@ def k08(v):
     f, mass = F.col("frame_number"), F.col("mass")
     score = F.when(f % 3 == 0, 0).otherwise(1000) + F.when(mass > 80, mass).otherwise(1 + (f * 7) % 30)
     s = v.where("not blank").withColumn("score", score)
-    return s.withColumn("r", F.row_number().over(p.TRACK.orderBy(F.desc("score"), "frame_number"))).where("r = 1").select("track_id", "frame_number", "score")
+    return s.withColumn("r", F.row_number().over(p.by_track().orderBy(F.desc("score"), "frame_number"))).where("r = 1").select("track_id", "frame_number", "score")
 
 
 CANDIDATES = SMOOTH + """, c as (select b.track_id, track_id%5 as camera, label_1, score_1/(select sum(score) from t where t.track_id=b.track_id) as conf, (select score from t where t.track_id=b.track_id and idx=3)/(select sum(score) from t where t.track_id=b.track_id) as fp,

@@ -14,7 +14,11 @@ from .evaluation import j10
 from .samples import usable, w09
 
 CAM = "(partition by camera order by ts, event_id"
-ORDER = Window.partitionBy("camera").orderBy("ts", "event_id")
+
+
+def order() -> Window:
+    return Window.partitionBy("camera").orderBy("ts", "event_id")
+
 
 
 def numbered(v):
@@ -55,16 +59,16 @@ def w09_greedy(v):
 
 @query("t01_ring_buffer", "v_stream", sql=f"select event_id, lag(event_id, 9) over {CAM}) as oldest, first_value(event_id) over (partition by camera, epoch order by ts, event_id rows between 9 preceding and current row) as oldest_since_ffc from (select *, sum(case when ffc then 1 else 0 end) over {CAM} rows between unbounded preceding and current row) as epoch from v_stream)")
 def t01(s):
-    epochs = s.withColumn("epoch", F.sum(F.col("ffc").cast("long")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    epochs = s.withColumn("epoch", F.sum(F.col("ffc").cast("long")).over(order().rowsBetween(Window.unboundedPreceding, 0)))
     since = F.first("event_id").over(Window.partitionBy("camera", "epoch").orderBy("ts", "event_id").rowsBetween(-9, 0))
-    return epochs.select("event_id", F.lag("event_id", 9).over(ORDER).alias("oldest"), since.alias("oldest_since_ffc"))
+    return epochs.select("event_id", F.lag("event_id", 9).over(order()).alias("oldest"), since.alias("oldest_since_ffc"))
 
 
 @query("t02_motion_detector", "v_stream", sql=f"""m as (select *, avg(changed) over {CAM} rows between 10 preceding and 1 preceding) as mean, row_number() over {CAM}) as n from v_stream),
 h as (select *, coalesce(changed>mean+5, false) and not ffc and n>20 as hit from m), i as (select *, sum(case when hit then 0 else 1 end) over {CAM} rows between unbounded preceding and current row) as island from h)
 select event_id, sum(case when hit then 1 else 0 end) over (partition by camera, island order by ts, event_id rows between unbounded preceding and current row)>=2 as detected from i""")
 def t02(s):
-    m = s.withColumn("mean", F.avg("changed").over(ORDER.rowsBetween(-10, -1))).withColumn("n", F.row_number().over(ORDER))
+    m = s.withColumn("mean", F.avg("changed").over(order().rowsBetween(-10, -1))).withColumn("n", F.row_number().over(order()))
     hit = F.coalesce(F.col("changed") > F.col("mean") + 5, F.lit(False)) & (F.col("n") > 20)
     return px.trigger_runs(m, hit, F.col("ffc"), "camera", "ts", "event_id").select("event_id", (F.col("run") >= 2).alias("detected"))
 
@@ -117,7 +121,7 @@ def t14(s):
 
 @query("t15_rolling_time", "v_stream", sql=f"select event_id, round(avg(changed) over {CAM} rows between 26 preceding and current row), 6) as mean from v_stream")
 def t15(s):
-    return s.select("event_id", r6(F.avg("changed").over(ORDER.rowsBetween(-26, 0))).alias("mean"))
+    return s.select("event_id", r6(F.avg("changed").over(order().rowsBetween(-26, 0))).alias("mean"))
 
 
 @query("t17_discard_short", "v_stream", sql=GAPS + "select camera, first from ses where frames>3")
@@ -127,4 +131,4 @@ def t17(s):
 
 @query("t18_skipped_frames", "v_stream", sql=f"select event_id, n from (select *, row_number() over {CAM}) as n from v_stream) where changed>0")
 def t18(s):
-    return s.withColumn("n", F.row_number().over(ORDER).cast("long")).where("changed > 0").select("event_id", "n")
+    return s.withColumn("n", F.row_number().over(order()).cast("long")).where("changed > 0").select("event_id", "n")

@@ -7,7 +7,7 @@ from trackspark.functions import geometry as g
 from trackspark.operators import tracks as t
 
 from .base import query, r6
-from .geometry import INNER, KEY, SCREEN, keyed, zone_entry
+from .geometry import KEY, inner, keyed, screen, zone_entry
 
 W = "window w as (partition by track_id order by frame_number)"
 MOVES = f"""m as (select *, x+width/2e0 as mx, y+height/2e0 as my, x<=1 or y<=1 or x+width>=158 or y+height>=118 as border from v_regions),
@@ -65,7 +65,7 @@ def w04(v):
 b as (select clip_id, track_id, frame_number, cast(trunc(x+width/2e0-mw/2) as bigint) as x, cast(trunc(y+height/2e0-mh/2) as bigint) as y, cast(trunc(mw) as bigint) as width, cast(trunc(mh) as bigint) as height from a)
 select clip_id, track_id, frame_number, l as x, u as y, r-l as width, d-u as height from (select *, least(160, greatest(x, 0)) as l, least(120, greatest(y, 0)) as u, greatest(0, least(x+width,160)) as r, greatest(0, least(y+height,120)) as d from b)""")
 def w05(v):
-    return keyed(t.smooth(v, SCREEN), "x", "y", "width", "height")
+    return keyed(t.smooth(v, screen()), "x", "y", "width", "height")
 
 
 @query("w06_trim", "v_regions", sql="""m as (select track_id, greatest(2, quantile_cont(mass, 5e-1)*5e-3) as lim from v_regions group by track_id),
@@ -88,8 +88,8 @@ b as (select *, inz and coalesce(lag(inz) over (partition by track_id order by f
 select clip_id, track_id, frame_number, bool_or(both_in) over (partition by track_id order by frame_number rows between unbounded preceding and current row) as latched from b""")
 def w17(v):
     inside = F.col("x").between(20, 120) & F.col("y").between(15, 90)
-    both = v.withColumn("_both", inside & F.coalesce(F.lag(inside).over(t.ORDERED), F.lit(False)))
-    return keyed(both.withColumn("latched", F.max("_both").over(t.SO_FAR)), "latched")
+    both = v.withColumn("_both", inside & F.coalesce(F.lag(inside).over(t.ordered()), F.lit(False)))
+    return keyed(both.withColumn("latched", F.max("_both").over(t.so_far())), "latched")
 
 
 @query("w19_match_gates", "v_regions", sql=MEANS.rstrip() + ",\n" + MOVES_LAG.replace("from v_regions", "from mn").rstrip() + """,
@@ -98,7 +98,7 @@ select clip_id, track_id, frame_number, round(450+power(2*case when n=1 then 2e0
  round(case when n>13.5 then greatest(20e0, average_mass*(55e-2+case when sp>5 then 1e-1 else 0 end)) end, 6) as max_mass_change,
  case when border or nb then 2e0*case when sp>10 then 3 else 1 end else case when n<5 then 2e0 else 15e-1 end*case when sp>10 then 2 else 1 end end as max_size_change from e""")
 def w19(v):
-    rows = t.match_gates(t.with_border(t.with_velocity(t.recent_means(v)), INNER))
+    rows = t.match_gates(t.with_border(t.with_velocity(t.recent_means(v)), inner()))
     return keyed(rows, r6("max_distance").alias("max_distance"), r6("max_mass_change").alias("max_mass_change"), "max_size_change")
 
 
@@ -116,7 +116,7 @@ def _stat(name: str, *cols: str, rounded: tuple[str, ...] = ()):
 
     @query(name, "v_regions", sql=text)
     def stat(v):
-        return t.movement_statistics(v, INNER).select("clip_id", "track_id", *[F.col(c).cast("long").alias(c) for c in cols], *[r6(c).alias(c) for c in rounded])
+        return t.movement_statistics(v, inner()).select("clip_id", "track_id", *[F.col(c).cast("long").alias(c) for c in cols], *[r6(c).alias(c) for c in rounded])
 
 
 _stat("a02_movement", "frames_moved", rounded=("movement",))
@@ -134,7 +134,7 @@ REASON = """case when frames<55 then 'too short' when max_offset<60 or frames_mo
 
 @query("f08_track_quality_filter", "v_regions", sql=MOVES + f"select clip_id, track_id, frames, frames_moved, region_jitter, blank_percent, round(score, 6) as score, {REASON} as reason from stats")
 def f08(v):
-    stats = t.movement_statistics(v, INNER)
+    stats = t.movement_statistics(v, inner())
     return stats.select("clip_id", "track_id", "frames", F.col("frames_moved").cast("long").alias("frames_moved"), "region_jitter", "blank_percent", r6("score").alias("score"), t.quality_reason(F.col("frames"), **LIMITS).alias("reason"))
 
 
@@ -142,13 +142,13 @@ def f08(v):
 def f09(v):
     c = F.col
     reason = F.when(c("frames") < 55, "too short").when((c("max_offset") < 60) | (c("frames_moved") < 20), "didn't move")
-    return t.movement_statistics(v, INNER).select("clip_id", "track_id", reason.alias("reason"))
+    return t.movement_statistics(v, inner()).select("clip_id", "track_id", reason.alias("reason"))
 
 
 @query("k03_best_tracks", "v_regions", sql=MOVES + "select clip_id, track_id, rank from (select clip_id, track_id, row_number() over (partition by clip_id order by round(score, 6) desc, track_id) as rank from stats) where rank<=2")
 def k03(v):
     rank = F.row_number().over(Window.partitionBy("clip_id").orderBy(r6("score").desc(), "track_id")).cast("long")
-    return t.movement_statistics(v, INNER).select("clip_id", "track_id", rank.alias("rank")).where("rank <= 2")
+    return t.movement_statistics(v, inner()).select("clip_id", "track_id", rank.alias("rank")).where("rank <= 2")
 
 
 @query("a10_movement_data", "v_regions", sql=MOVES_LAG + "select clip_id, track_id, frame_number, x as l, y as t, x+width as r, y+height as b, mass, vx, vy, round(vx/sqrt(cast(width*height as double)), 6) as ax, round(vy/sqrt(cast(width*height as double)), 6) as ay from l")
@@ -161,7 +161,7 @@ def a10(v):
 @query("f04_usable_frames", "v_regions", sql="""h as (select *, sum(mass) over (partition by track_id)=0 as none from v_regions)
 select clip_id, track_id, frame_number from h where (none or mass>0) and not ffc and not blank and width>0 and height>0 and (none or mass>=20)""")
 def f04(v):
-    none = F.sum("mass").over(t.WHOLE) == 0
+    none = F.sum("mass").over(t.by_track()) == 0
     usable = v.withColumn("_none", none).where((F.col("_none") | (F.col("mass") > 0)) & ~F.col("ffc") & ~F.col("blank") & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("_none") | (F.col("mass") >= 20)))
     return keyed(usable)
 
