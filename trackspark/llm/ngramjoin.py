@@ -54,7 +54,7 @@ FREQUENT = 100
 CHUNK = 4_000_000
 LEAST = 3
 MAX_FREQUENT = 2_000_000
-SMALL = 64
+SMALL = 128
 CELLS = 64
 BLOCK = 1500
 #: Columns of a 0/1 matrix at a time.
@@ -266,13 +266,19 @@ def _block_links(percent: int):
 
 
 def cluster_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links within the clusters of classes that share long lists.  large: key, cls; known: cls, n, tokens."""
-    hubs = large.groupBy("key").agg(F.min("cls").alias("y"))
-    ties = large.join(hubs, "key").select(F.col("cls").alias("x"), "y").where(F.col("x") != F.col("y")).distinct()
-    placed = common.materialise(components(ties), "jaccard-clusters")
-    blocks = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Links within the clusters of classes that share long lists.  large: key, cls, n; known: cls, n, tokens.
+
+    Sizes are cut into strata so that partners are in the same one or the next: each class joins the
+    clusters of its stratum and of the one below."""
+    stratum = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
+    placed = large.select("key", "cls", F.explode(F.array(stratum, stratum - 1)).alias("g"))
+    placed = placed.select("key", "g", "cls", F.concat("cls", F.encode(F.format_string("%08d", F.col("g")), "utf-8")).alias("node"))
+    hubs = placed.groupBy("key", "g").agg(F.min("node").alias("y"))
+    ties = placed.join(hubs, ["key", "g"]).select(F.col("node").alias("x"), "y").where(F.col("x") != F.col("y")).distinct()
+    found = common.materialise(components(ties), "jaccard-clusters")
+    blocks = found.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    members = placed.join(blocks, "comp").withColumn("own", own)
+    members = found.select("comp", F.substring("cls", 1, 16).alias("cls")).join(blocks, "comp").withColumn("own", own)
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cls", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = spread.join(known, "cls").select("comp", "i", "j", "cls", "n", "tokens")
@@ -319,7 +325,7 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         F.explode(F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(F.col("p.n"), q["n"], percent))["cls"]).alias("y"),
     )
     close = common.materialise(close_pairs(_ordered(some), classes, percent), "jaccard-close")
-    large = shared.where(F.col("m") > SMALL).select("key", "cls")
+    large = shared.where(F.col("m") > SMALL).select("key", "cls", "n")
 
     # token sets, of one document of each class that is in a pair or a long list
     used = close.select(F.col("x").alias("_op_cls")).union(close.select(F.col("y").alias("_op_cls"))).union(large.select(F.col("cls").alias("_op_cls"))).distinct()
