@@ -1 +1,120 @@
-"""Queries."""
+"""m01-m07, p11, t03, t09-t11, t16: models, and what streams hand to them."""
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from trackspark.operators import models as m
+from trackspark.operators import pixels as px
+from trackspark.operators import predictions as p
+from trackspark.operators import samples as s
+from trackspark.operators import tracker
+
+from .base import query, r6
+from .samples import filled, usable
+from .streams import numbered, order
+
+
+def vectors(e):
+    return e.select("vec_id", (F.col("vec_id") % 50).alias("track_id"), "label", "embedding")
+
+
+@query("m01_scorer", "embeddings")
+def m01(e):
+    return m.scored(vectors(e), m.fit_centroids(vectors(e).where("vec_id % 4 <> 0")), ["vec_id"])
+
+
+@query("m02_samples_for_scoring", "v_regions", sql="""u as (select track_id, frame_number from v_regions where not blank and not ffc and mass>0), l as (select * from (select *, row_number() over (partition by track_id order by frame_number desc) as back from u) where back<=30),
+r as (select *, row_number() over (partition by track_id order by md5(concat_ws('|','m02',track_id,frame_number)), track_id, frame_number) as rn from l) select track_id, frame_number from r where rn<=8""")
+def m02(v):
+    last = usable(v).withColumn("back", F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("frame_number")))).where("back <= 30")
+    return s.ranked(last, ["track_id"], "m02", "track_id", "frame_number").where("rn <= 8").select("track_id", "frame_number")
+
+
+def track_labels(e):
+    """Tracks scored end to end: score each sample, then combine by mass."""
+    model = m.fit_centroids(vectors(e).where("vec_id % 4 <> 0"))
+    long = m.scored(vectors(e), model, ["vec_id", "track_id"]).select("vec_id", "track_id", (1 + F.col("vec_id") % 97).alias("mass"), F.posexplode("scores").alias("idx", "score"))
+    return p.best(p.track_scores(long))
+
+
+@query("m03_score_tracks", "embeddings")
+def m03(e):
+    return track_labels(e).select("track_id", "label_1", r6("score_1").alias("score"))
+
+
+@query("m04_bulk_scoring", "embeddings")
+def m04(e):
+    model = m.fit_centroids(vectors(e))
+    out = m.scored(vectors(e), model, ["vec_id", "label"])
+    best = F.array_position("scores", F.array_max("scores")) - 1
+    return out.withColumn("pred", best).groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def features(e):
+    return e.select("vec_id", "label", F.slice("embedding", 1, 16).alias("features"))
+
+
+@query("m05_forest_scores", "embeddings")
+def m05(e):
+    return m.forest_scores(m.forest(features(e).where("vec_id % 4 <> 0")), features(e), "vec_id")
+
+
+@query("m06_forest_training", "embeddings")
+def m06(e):
+    model = m.forest(features(e))
+    return m.forest_scores(model, features(e), "vec_id", "label").groupBy("label").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+
+
+@query("m07_parameter_search", "embeddings")
+def m07(e):
+    return m.grid_search(features(e), [5, 10], [3, 5])
+
+
+@query("p11_full_split", "v_samples")
+def p11(v):
+    after = v.agg((F.max("rec_time") - F.expr("interval 60 days")).alias("after"))
+    dated = v.crossJoin(F.broadcast(after)).withColumn("pulled", (F.col("rec_time") > F.col("after")) | (F.col("clip_id") % 50 == 7))
+    bins = filled(v).select("bin_id", "split")
+    placed = dated.join(F.broadcast(bins), F.col("bin_id") == F.col("station_id"), "left")
+    return placed.select("sample_id", F.when(F.col("pulled"), "test").otherwise(F.coalesce("split", F.lit("train"))).alias("split"))
+
+
+@query("t03_camera_background", "v_pixels")
+def t03(v):
+    return px.weighted_background(v, 5.0).groupBy("clip_id").agg(r6(F.avg("background")).alias("background"), F.count(F.lit(1)).alias("pixels"))
+
+
+@query("t09_motion_prediction", "v_regions")
+def t09(v):
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame_number")
+        motion, out = None, []
+        for f, x, y in rows[["frame_number", "cx", "cy"]].itertuples(index=False):
+            motion = motion or tracker.Motion(x, y)
+            motion.correct(x, y)
+            out.append((int(rows["track_id"].iloc[0]), int(f), *motion.predict()))
+        return pd.DataFrame(out, columns=["track_id", "frame_number", "px", "py"])
+
+    mid = v.where("not blank").select("track_id", "frame_number", (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))
+    return mid.groupBy("track_id").applyInPandas(one, "track_id long, frame_number long, px double, py double")
+
+
+@query("t10_classification_cadence", "v_stream", sql="n as (select camera, event_id, row_number() over (partition by camera order by ts, event_id) as n from v_stream) select event_id, case when n%25=0 then 'full' when n%10=0 then 'cheap' end as model from n where n%25=0 or n%10=0")
+def t10(st):
+    n = st.withColumn("n", F.row_number().over(order()))
+    return n.where("n % 25 = 0 or n % 10 = 0").select("event_id", F.when(F.col("n") % 25 == 0, "full").otherwise("cheap").alias("model"))
+
+
+@query("t11_track_events", "v_regions")
+def t11(v):
+    steps = tracker.assign(numbered(v))
+    w = Window.partitionBy("clip_id", "online_track")
+    first, last = F.min("frame_number").over(w), F.max("frame_number").over(w)
+    kind = F.when(F.col("frame_number") == first, "start").when(F.col("frame_number") == last, "end").otherwise("ongoing")
+    return steps.select("clip_id", "online_track", "frame_number", kind.alias("event"))
+
+
+@query("t16_reprocessed_tracks", "embeddings")
+def t16(e):
+    return track_labels(e).select("track_id", F.col("label_1").alias("label"), F.lit(True).alias("final"))

@@ -1 +1,108 @@
-"""Queries."""
+"""s01-s04, s09, s16-s18, s22-s25, x16, x18: files and tables around recordings."""
+
+from pyspark.sql import functions as F
+
+from trackspark.functions import geometry as g
+from trackspark.operators import predictions as p
+from trackspark.sources import documents as d
+
+from .base import query, r6
+from .samples import split
+
+
+def sidecars(v):
+    """A JSON text per clip as recorders write it; the spelling of keys differs by clip."""
+    old, track = F.col("clip_id") % 2 == 0, ("clip_id", "track_id")
+    pos = F.struct("x", "y", "width", "height", "mass", F.when(old, F.col("frame_number")).alias("frame_number"), F.when(~old, F.col("frame_number")).alias("frameNumber"), "blank")
+    tracks = v.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("frame_number", pos.alias("p")))).alias("ps"))
+    one = tracks.select("clip_id", F.struct(F.col("track_id").alias("id"), F.transform("ps", lambda x: x["p"]).alias("positions")).alias("t"))
+    clips = one.groupBy("clip_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    return clips.select(F.to_json(F.struct(F.col("clip_id").alias("id"), (F.col("clip_id") % 10).alias("stationId"), F.when(old, F.col("ts")).alias("Tracks"), F.when(~old, F.col("ts")).alias("tracks"))).alias("value"))
+
+
+@query("s01_read_sidecars", "v_regions", sql="select clip_id, clip_id%10 as station_id, track_id, frame_number, x, y, width, height, mass, blank from v_regions")
+def s01(v):
+    return d.parse_sidecars(sidecars(v)).drop("i")
+
+
+@query("s02_decode_positions", "v_regions", sql="w as (select * from v_regions where frame_number<40) select track_id, frame_number+case when track_id%2=0 then 2 else 0 end as frame_number, x, y, width, height from w")
+def s02(v):
+    known = F.when(F.col("track_id") % 2 == 1, F.col("frame_number"))
+    b = g.box()
+    wire = v.where("frame_number < 40").groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_number", F.array(b.x, b.y, b.right, b.bottom, known).alias("p")))), lambda s: s["p"]).alias("positions"))
+    return d.decoded_positions(wire.withColumn("start_s", F.lit(0.25)))
+
+
+@query("s03_label_taxonomy", "v_tags", sql="select distinct what as label, path from v_tags")
+def s03(t):
+    pairs = t.select("what", "path").distinct().agg(F.map_from_entries(F.collect_list(F.struct("what", "path"))).alias("m"))  # one entry per label
+    return d.parse_taxonomy(pairs.select(F.to_json("m").alias("value")))
+
+
+@query("s04_clip_id_lists", "v_clips", sql="select distinct clip_id from v_clips where clip_id%3=0")
+def s04(c):
+    lines = c.where("clip_id % 3 = 0").groupBy("station_id").agg(F.concat(F.array_join(F.collect_list("clip_id").cast("array<string>"), ", "), F.lit(",, oops")).alias("value"))
+    return d.parse_id_lists(lines)
+
+
+@query("s09_training_shards", "v_samples", sql="s as (select sample_id, case when sample_id%20<16 then 'train' when sample_id%20<19 then 'validation' else 'test' end as split, cast(('0x'||substr(md5(source_file),1,8)) as bigint)%8 as shard from v_samples) select split, cast(shard as integer) as shard, count(*) as n from s group by 1,2")
+def s09(v):
+    return split(v).groupBy("split", d.shard_of(F.col("source_file"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s16_bulk_ingest", "v_tracks", sql="select clip_id, track_id, greatest(0, start_frame-case when track_id%2=0 then 1 else 0 end) as start_frame, least(60, end_frame) as end_frame from v_tracks where clip_id not in (select clip_id from v_tracks where clip_id%5=2) and num_regions>0")
+def s16(v):
+    loaded = v.where("clip_id % 5 = 2").select("clip_id").distinct()
+    shift = F.when(F.col("track_id") % 2 == 0, 1).otherwise(0)
+    return v.where("num_regions > 0").join(loaded, "clip_id", "left_anti").select("clip_id", "track_id", F.greatest(F.lit(0), F.col("start_frame") - shift).alias("start_frame"), F.least(F.lit(60), F.col("end_frame")).alias("end_frame"))
+
+
+@query("s17_compact_frames", "v_regions", sql="select distinct clip_id, frame_number from v_regions")
+def s17(v):
+    return v.dropDuplicates(["clip_id", "frame_number"]).select("clip_id", "frame_number")
+
+
+@query("s18_result_documents", "v_predictions", "v_tracks")
+def s18(v, tracks):
+    best = p.best(p.track_scores(v)).select("track_id", F.col("label_1").alias("label"), r6("score_1").alias("confidence"))
+    return d.result_documents(tracks, best)
+
+
+@query("s22_finished_recordings", "v_clips", sql="select 'r'||clip_id as stem from v_clips where clip_id%4<>1 or clip_id%9=0")
+def s22(c):
+    stem = F.concat(F.lit("r"), "clip_id")
+    media = c.where("clip_id % 4 <> 1").select(stem.alias("stem"))
+    complete = c.where("clip_id % 9 = 0").select(stem.alias("stem"))
+    return media.join(c.select(stem.alias("stem")), "stem").union(complete).distinct()
+
+
+@query("s23_track_label_export", "v_tags", "v_tracks")
+def s23(t, v):
+    label = t.groupBy("track_id").agg(F.min("what").alias("label"))
+    return v.join(label, "track_id").select("label", F.to_json(F.struct("clip_id", "track_id", "start_frame", "end_frame", "label")).alias("value"))
+
+
+@query("s24_read_manifest", "v_samples", sql="select label, count(*) as n from v_samples where label<>'5-LOW' group by label")
+def s24(v):
+    counts = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    text = counts.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.array(F.lit("5-LOW")).alias("excluded"))).alias("value"))
+    m = text.select(F.from_json("value", "struct<counts:map<string,long>,excluded:array<string>>").alias("m"))
+    return m.select(F.col("m.excluded").alias("x"), F.explode("m.counts").alias("label", "n")).where(~F.array_contains("x", F.col("label"))).select("label", "n")
+
+
+@query("s25_read_shards", "v_samples", sql="m(label, idx) as (values ('1-URGENT',0),('2-HIGH',0),('3-MEDIUM',1)) select sample_id, idx, mass from v_samples join m using (label) where mass>=10")
+def s25(v):
+    m = v.sparkSession.createDataFrame([("1-URGENT", 0), ("2-HIGH", 0), ("3-MEDIUM", 1)], "label string, idx int")
+    return v.where("mass >= 10").join(F.broadcast(m), "label").select("sample_id", "idx", "mass")
+
+
+@query("x16_content_key", "embeddings")
+def x16(e):
+    return e.select("vec_id", F.sha2(F.to_json("embedding"), 256).alias("key"))
+
+
+@query("x18_json_values", "v_regions")
+def x18(v):
+    return v.select("track_id", "frame_number", F.to_json(F.struct("x", "y", "width", "height", "mass", "blank", F.round("pixel_variance", 2).alias("pixel_variance"))).alias("json"))
+
+
