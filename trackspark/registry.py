@@ -6,7 +6,12 @@ the same Parquet tables in another engine and must give the same rows.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +35,32 @@ class Registry:
             return f
 
         return wrap
+
+
+ROOT = Path(__file__).resolve().parent.parent
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, unless they find it by themselves."""
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if ROOT in known or Path.cwd() == ROOT or app in _SHIPPED:
+        return
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "trackspark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((ROOT / "trackspark").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
+def shipping(f: Query) -> Query:
+    """The query, after the package is sent."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
