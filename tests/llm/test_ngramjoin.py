@@ -66,9 +66,9 @@ def test_frequent_tokens_take_pairs(docs, monkeypatch):
 
 
 def test_five_words_at_eighty_percent_keeps_one(docs):
-    rows = [(3, near(1, 0)), (5, near(2, 1)), (9, " ".join(WORDS[100:])), (11, None)]
+    rows = [(3, near(1, 0)), (5, near(2, 1)), (9, " ".join(WORDS[100:])), (11, None), (3, near(1, 0)), (None, "x y z"), (None, "x y z")]
     kept = j.keep_one(docs(*rows), 5, 80)
-    assert rows_of(kept, "doc_id") == [(11,), (3,), (9,)] and set(kept.columns) == set(docs().columns)
+    assert rows_of(kept, "doc_id") == [(11,), (3,), (9,), (None,), (None,)] and set(kept.columns) == set(docs().columns)
 
 
 @settings(max_examples=200, deadline=None)

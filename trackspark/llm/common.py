@@ -21,14 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder on the storage that all executors share (``spark.checkpoint.dir``).
 
     Only where that setting is unset, as in tests, a local temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _LOCAL[0]
     return f"{base}/trackspark/{what}-{uuid.uuid4().hex}"
 
 
@@ -39,14 +43,6 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialised DataFrame that is no longer needed."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -350,12 +350,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One document of each component, that of the smallest id, with all columns of ``docs``; rows that
-    repeat this id stay one row; documents without words or id all stay."""
-    found = join(docs, words, percent)
+    """One document of each component, that of the smallest id, with all columns of ``docs``.
+
+    Rows that repeat an id and a text stay once; documents without words or id all stay."""
+    found = common.materialise(join(docs, words, percent), "jaccard-found")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_op_gone")).distinct()
     columns = docs.columns
     left = docs.join(gone, docs["doc_id"] == F.col("_op_gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        same = Window.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).orderBy("doc_id")
+        left = left.withColumn("_op_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(same))).where("_op_n = 1")
     return left.select(*[F.col(f"`{c}`") for c in columns])
 
 
