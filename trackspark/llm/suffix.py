@@ -300,7 +300,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
     cut = source.mapInArrow(_cut(length), common.extended(source.select("doc_id"), ROWS))
-    buckets = max(1, min(MAX_BUCKETS, source.rdd.getNumPartitions()))
+    # fewer buckets than shuffle partitions would make Spark shuffle the texts after all
+    buckets = max(1, min(MAX_BUCKETS, max(source.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     name = f"suffix_{uuid.uuid4().hex}"
     # every task writes one value of ``task``, so one file; the joins below find it where it is
     cut.write.bucketBy(buckets, "task").option("compression", "zstd").saveAsTable(name)
