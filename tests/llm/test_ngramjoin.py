@@ -89,11 +89,11 @@ def test_similar_sets_share_a_signature(size, seed, share, percent):
 
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (3, 4), (9, 8)], [(i, i + 1) for i in range(30)], [(5, i) for i in range(20) if i != 5]])
 def test_components(spark, edges):
-    links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "x binary, y binary")
+    links = spark.createDataFrame(edges, "x long, y long")
     at = {}
     for a, b in edges:
         at.setdefault(a, a), at.setdefault(b, b)
     for _ in at:
         for a, b in edges:
             at[a] = at[b] = min(at[a], at[b])
-    assert {r[0][0]: r[1][0] for r in j.components(links).collect()} == at
+    assert {r[0]: r[1] for r in j.components(links).collect()} == at

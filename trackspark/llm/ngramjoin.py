@@ -18,7 +18,7 @@ frequent, are broadcast (8 bytes each), the others count as rare.
 Documents with equal sets form one class and go on as one row.  Signatures with up to ``SMALL`` classes
 give their pairs of fitting sizes, which pass a bound from counts of tokens in 64 cells and are then
 verified by intersecting their sets.  Longer lists come from large groups of near copies: classes that
-share one are put into one cluster, clusters are cut into blocks of about ``BLOCK`` classes, and each pair
+share one are put into one cluster, clusters are cut into blocks of about ``BLOCK`` classes or ``BLOCK_TOKENS`` tokens, and each pair
 of blocks counts all its intersections at once, as a product of 0/1 matrices, of which only
 the links that connect its classes leave the task.  Links become components by alternating large and small
 stars.  All of it runs as joins and aggregates on shared storage; nothing that grows with the corpus
@@ -56,9 +56,13 @@ LEAST = 3
 MAX_FREQUENT = 2_000_000
 SMALL = 128
 CELLS = 64
-BLOCK = 1500
+BLOCK = 1000
+#: Tokens of a block, about.
+BLOCK_TOKENS = 1_000_000
 #: Columns of a 0/1 matrix at a time.
 COLUMNS = 4096
+#: Room for more strata than there are sizes.
+STRATA_BITS = 9
 
 
 def token_set(text, words: int = WORDS) -> np.ndarray:
@@ -211,21 +215,21 @@ def _fits(small: F.Column, large: F.Column, percent: int) -> F.Column:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs, each with its smaller class first."""
+    """Distinct pairs of class numbers, each with its smaller one first."""
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(F.col("x") != F.col("y")).distinct()
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose cell counts allow the similarity.  classes: cls, n, cells."""
-    side = lambda k: classes.select(F.col("cls").alias(k), F.col("cells").alias(f"c{k}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "cx", "cy").mapInArrow(_bounded(percent), "x binary, y binary")
+    """The pairs (x, y) whose cell counts allow the similarity.  classes: id, cells."""
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("cells").alias(f"c{k}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "cx", "cy").mapInArrow(_bounded(percent), "x long, y long")
 
 
 def verified_pairs(close: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links.  known: cls, n, tokens."""
-    left = known.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    right = known.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    return close.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_verified(percent), "x binary, y binary")
+    """The pairs that are links.  known: id, n, tokens."""
+    left = known.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+    right = known.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+    return close.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_verified(percent), "x long, y long")
 
 
 def _block_links(percent: int):
@@ -248,41 +252,48 @@ def _block_links(percent: int):
             part = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
             part[row[s:e], column[s:e] - first] = 1
             both += part @ part.T
-        both = both + np.minimum.outer(n - size, n - size)  # hashes that fell together in both
-        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        lost = n - size  # hashes that fell together, perhaps in both
+        linked = np.empty(both.shape, bool)
+        strips = [slice(i, i + 256) for i in range(0, len(n), 256)]
+        for i in strips:
+            inner = both[i].astype(np.int64) + (np.minimum(lost[i, None], lost[None, :]) if lost.any() else 0)
+            linked[i] = 100 * inner >= percent * (n[i, None] + n[None, :] - inner)
         np.fill_diagonal(linked, True)
-        label = np.arange(len(sets))
+        del both
+        label = np.arange(len(n), dtype=np.int32)
         while True:  # every class takes the least label that it is linked to
-            least = np.where(linked, label[None, :], len(sets)).min(1)
+            least = np.concatenate([np.where(linked[i], label[None, :], np.int32(len(n))).min(1) for i in strips])
             least = least[least]
             if (least == label).all():
                 break
             label = least
-        names = rows["cls"].to_numpy()
-        tied = np.flatnonzero(label != np.arange(len(sets)))
+        names = rows["id"].to_numpy()
+        tied = np.flatnonzero(label != np.arange(len(n)))
         return pd.DataFrame({"x": names[tied], "y": names[label[tied]]})
 
     return run
 
 
 def cluster_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links within the clusters of classes that share long lists.  large: key, cls, n; known: cls, n, tokens.
+    """Links within the clusters of classes that share long lists.  large: key, id, n; known: id, n, tokens.
 
     Sizes are cut into strata so that partners are in the same one or the next: each class joins the
     clusters of its stratum and of the one below."""
     stratum = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
-    placed = large.select("key", "cls", F.explode(F.array(stratum, stratum - 1)).alias("g"))
-    placed = placed.select("key", "g", "cls", F.concat("cls", F.encode(F.format_string("%08d", F.col("g")), "utf-8")).alias("node"))
+    placed = large.select("key", F.explode(F.array(stratum, stratum - 1)).alias("g"), "id", "n")
+    # a class in a stratum is one node
+    placed = placed.select("key", "g", "n", (F.shiftleft("id", STRATA_BITS) + F.pmod("g", F.lit(1 << STRATA_BITS))).alias("node"))
     hubs = placed.groupBy("key", "g").agg(F.min("node").alias("y"))
     ties = placed.join(hubs, ["key", "g"]).select(F.col("node").alias("x"), "y").where(F.col("x") != F.col("y")).distinct()
-    found = common.materialise(components(ties), "jaccard-clusters")
-    blocks = found.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    members = found.select("comp", F.substring("cls", 1, 16).alias("cls")).join(blocks, "comp").withColumn("own", own)
+    found = components(ties).withColumn("id", F.shiftright("cls", STRATA_BITS)).join(known.select("id", "n"), "id")
+    found = common.materialise(found, "jaccard-clusters")
+    blocks = found.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = found.select("comp", "id").join(blocks, "comp").withColumn("own", own)
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cls", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = spread.join(known, "cls").select("comp", "i", "j", "cls", "n", "tokens")
-    return rows.groupBy("comp", "i", "j").applyInPandas(_block_links(percent), "x binary, y binary")
+    spread = spread.select("id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = spread.join(known, "id").select("comp", "i", "j", "id", "n", "tokens")
+    return rows.groupBy("comp", "i", "j").applyInPandas(_block_links(percent), "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,38 +325,42 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     schema = common.extended(source.select("doc_id"), "cls binary, n long, cells binary, keys array<long>")
     rows = common.materialise(source.mapInArrow(_described(shipped, words, percent), schema), "jaccard-rows")
     full = rows.where(F.col("cls").isNotNull())
-    classes = common.materialise(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-classes")
+    # one row per class, numbered once it is written: numbers are shorter than hashes in what follows
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("keys").alias("keys"))
+    classes = common.materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    index = full.select("cls", "n", F.explode("keys").alias("key")).distinct()
+    index = classes.select("id", "n", F.explode("keys").alias("key"))
     sized = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     shared = common.materialise(index.join(sized, "key"), "jaccard-index")
-    lists = shared.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "cls"))).alias("of"))
+    lists = shared.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("of"))
     some = lists.select(F.col("of"), F.posexplode("of").alias("i", "p")).select(
-        F.col("p.cls").alias("x"),
-        F.explode(F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(F.col("p.n"), q["n"], percent))["cls"]).alias("y"),
+        F.col("p.id").alias("x"),
+        F.explode(F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(F.col("p.n"), q["n"], percent))["id"]).alias("y"),
     )
     close = common.materialise(close_pairs(_ordered(some), classes, percent), "jaccard-close")
-    large = shared.where(F.col("m") > SMALL).select("key", "cls", "n")
+    large = shared.where(F.col("m") > SMALL).select("key", "id", "n")
 
     # token sets, of one document of each class that is in a pair or a long list
-    used = close.select(F.col("x").alias("_op_cls")).union(close.select(F.col("y").alias("_op_cls"))).union(large.select(F.col("cls").alias("_op_cls"))).distinct()
-    reps = used.join(classes.select(F.col("cls").alias("_op_cls"), "rep", "n"), "_op_cls")
+    used = close.select(F.col("x").alias("id")).union(close.select(F.col("y").alias("id"))).union(large.select("id")).distinct()
+    reps = used.join(classes.select("id", F.col("cls").alias("_op_cls"), "rep", "n"), "id")
     every = source.mapInArrow(_sets(words), common.extended(source.select("doc_id"), "cls binary, tokens binary"))
     found = every.join(reps, (F.col("cls") == F.col("_op_cls")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    known = common.materialise(found.groupBy("cls", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+    known = common.materialise(found.groupBy("id", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
 
     links = verified_pairs(close, known, percent).union(cluster_links(large, known, percent))
     links = common.materialise(links.distinct(), "jaccard-links")
-    return rows.select("doc_id", "cls", "n"), common.materialise(components(links), "jaccard-components")
+    tied = components(links).withColumnRenamed("cls", "id").join(classes.select("id", "cls"), "id")
+    return rows.select("doc_id", "cls", "n"), common.materialise(tied.select("cls", "comp"), "jaccard-components")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included."""
     rows, joined = classes_and_links(docs, words, percent)
     least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
-    placed = least.join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ids = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = common.materialise(placed.join(ids, "comp").select("cls", "component_id"), "jaccard-ids")
+    placed = least.join(joined, "cls", "left")
+    ids = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_class = placed.join(ids, "comp", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    by_class = common.materialise(by_class, "jaccard-ids")
     return rows.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
