@@ -1,8 +1,8 @@
 """Operator 6: language-model scoring with a hierarchical Pitman-Yor model.
 
-Contexts are the classes of the word before: each of the most frequent words is a class of its own, the
-others are classed by how they end.  Every class has a restaurant, and all share the parent
-restaurant of single words, which falls back to a uniform base over the known words and one unknown.
+Every word that comes before another is a context with a restaurant of its own, and so is the beginning of a
+text.  All share the parent restaurant of single words, which falls back to a uniform base over the known
+words and one unknown.
 Customers are tokens; who sits at which table is sampled by Gibbs: in each sweep every (context, word)
 seats its customers anew by the Chinese restaurant process, given the tables of all others, and the
 parent's customers are the tables of its children.  Predictive probabilities are averaged over the
@@ -10,35 +10,39 @@ samples after burn-in; a text's score is the sum of their log10, and gives its p
 
 How it runs.  Texts are read once into batches: the distinct (word, context) pairs of a batch with
 counts, and each document as numbers of pairs.  Pairs are dealt to parts by the word's hash, so a word
-with all its contexts is in one part and only totals per context (``CONTEXTS`` + ``ENDINGS`` numbers)
-pass through the driver in each sweep.  A sweep repeats the earlier ones from their totals with the same
-random numbers, so nothing is kept between jobs but those totals, and lost tasks give the same
-again.  Parts answer each batch with the probabilities of its pairs.  Counts cover all training texts;
-the number of parts follows the volume, so that each stays of bounded size.  A frequent word is one row
-per batch and part, however often it comes.
+with all its contexts is in one part; the pairs of the most frequent words, which have the most contexts, are
+dealt one by one, and what such a word has in all parts is summed (a bounded number of words).  In each
+sweep a part sends the tables of each of its contexts to the bucket of the context, where they are summed over
+the parts and sent back: nothing but a few totals passes through the driver.  Which contexts a part has, and
+their customers, is sent once; a bucket keeps for each part which of its numbers are meant.  The seating of a
+part is written after each sweep.  Parts answer each batch with the probabilities of its pairs.  Counts
+cover all training texts; the number of parts and buckets follows the volume, so that each stays of bounded
+size.  A frequent word is one row per batch and part, however often it comes.
 
 Cases: null text is empty: one end token; a text is lower-cased in A-Z only; words that training lacks
-score as the unknown word; without training texts all words are unknown; equal texts score alike
-(sampling depends on words alone); other columns are not read.
+score as the unknown word, and contexts that it lacks leave the choice to the parent; without training texts
+all words are unknown; equal texts score alike (sampling depends on words alone); other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-CONTEXTS = 255
-ENDINGS = 256
-#: Where a text begins, and the end token's word.
-START = CONTEXTS + ENDINGS
-N_CONTEXTS = START + 1
+#: Words whose pairs are dealt one by one.
+HOT_WORDS = 255
+#: The context where a text begins, and the end token's word.
+START = np.uint64(0x57A457A457A457A3)
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SWEEPS = 4
 BURN_IN = 2
@@ -62,6 +66,7 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # hashed text by text would be slow for short ones; spans never cross the space between texts
     hashes = common.span_hash(common.prefix_hash(low), start, end)
     hashes[hashes == END] = END + np.uint64(2)
+    hashes[hashes == START] = START + np.uint64(2)
     last = low[end - 1] if len(end) else np.zeros(0, np.uint8)
     bounds = np.cumsum(np.asarray(ends, np.int64) + 1)
     n_words = np.diff(np.searchsorted(start, bounds), prepend=0)
@@ -69,22 +74,18 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(hashes, where, END), n_words + 1, np.insert(last, where, 0)
 
 
-def contexts_of(words: np.ndarray, last: np.ndarray, n_tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The context class of each token: that of the word before it, or START."""
-    own = CONTEXTS + last.astype(np.int64)
-    if len(frequent):
-        at = np.searchsorted(frequent, words).clip(0, len(frequent) - 1)
-        own = np.where(frequent[at] == words, at, own)
-    out = np.concatenate([[START], own[:-1]])
+def contexts_of(words: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+    """The context of each token: the word before it, or START."""
+    out = np.concatenate([[START], words[:-1]]).astype(np.uint64)
     out[np.concatenate([[0], np.cumsum(n_tokens)[:-1]])] = START
-    return out.astype(np.uint16)
+    return out
 
 
 def _blob(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
-# --- frequent words: the contexts of their own ------------------------------------------------------
+# --- frequent words: their pairs are dealt singly ------------------------------------------------------
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[tuple[list[bytes], list[int], pa.RecordBatch]]:
@@ -111,10 +112,12 @@ def _common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def frequent_words(training: DataFrame) -> np.ndarray:
-    """Sorted hashes of the CONTEXTS most frequent words of all training texts."""
+    """Sorted hashes of the HOT_WORDS most frequent words of all training texts, and END.
+
+    They decide how pairs are dealt, not what the model is; so words rare in a chunk need not be counted."""
     counted = training.select("text").mapInArrow(_common_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "word").limit(CONTEXTS).toArrow()  # a bounded number
-    return np.sort(best.column("word").to_numpy().view(np.uint64))
+    best = counted.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()  # a bounded number
+    return np.sort(np.append(best.column("word").to_numpy().view(np.uint64), END))
 
 
 # --- batches ------------------------------------------------------------------------------------------
@@ -122,6 +125,14 @@ def frequent_words(training: DataFrame) -> np.ndarray:
 BATCH = "kind int, batch string, part int, word binary, context binary, n binary"
 
 
+def place(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where each word stands in a sorted list; -1: nowhere."""
+    if not len(sorted_words):
+        return np.full(len(words), -1)
+    at = np.searchsorted(sorted_words, words).clip(0, len(sorted_words) - 1)
+    return np.where(sorted_words[at] == words, at, -1)
+
+
 def _batches(shipped: common.Shipped, parts: int):
     """Rows of kind 1: a batch's distinct pairs in a part, with training counts; of kind 0: its documents,
     as (ids, held out, tokens, pair numbers) in the columns batch, word, context, n."""
@@ -129,42 +140,44 @@ def _batches(shipped: common.Shipped, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        frequent = shipped.get()
+        hot = shipped.get()
         task = TaskContext.get().partitionId()
         held: list[tuple] = []
         serial = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal serial
-            ids, out, tokens, words, contexts = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (common.mix64(words) % np.uint64(parts)).astype(np.int64)
+            ids, out, tokens, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            contexts = contexts_of(words, tokens)
+            key, first, number = np.unique(common.mix64(common.mix64(words) * np.uint64(31) + contexts), return_index=True, return_inverse=True)
+            w, c = words[first], contexts[first]
+            del words, contexts, first
+            p = (np.where(place(hot, w) >= 0, key, common.mix64(w)) % np.uint64(parts)).astype(np.int64)
             # pairs in order of part, word, context
-            key = common.mix64(words * np.uint64(31) + contexts)
-            _, first, number = np.unique(key, return_index=True, return_counts=False, return_inverse=True)
-            order = np.lexsort((contexts[first], words[first], part[first]))
+            order = np.lexsort((c, w, p))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             number = rank[number]
             learnt = np.repeat(~out, tokens)
             n = np.bincount(number[learnt], minlength=len(order))
-            w, c, p = words[first][order], contexts[first][order], part[first][order]
+            w, c, p = w[order], c[order], p[order]
             name = f"{task}-{serial}"
             serial += 1
             rows = [(0, name, -1, _blob(np.stack([ids, out.astype(np.int64), tokens]), "<i8"), _blob(number, "<u4"), b"")]
             bounds = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-            rows += [(1, name, int(p[s]), _blob(w[s:e], "<u8"), _blob(c[s:e], "<u2"), _blob(n[s:e], "<u4")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            held.clear()
+            rows += [(1, name, int(p[s]), _blob(w[s:e], "<u8"), _blob(c[s:e], "<u8"), _blob(n[s:e], "<u4")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             columns = list(zip(*rows, strict=True))
             types = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "batch", "part", "word", "context", "n"])
 
         size = 0
         for texts, rows, batch in _chunks(batches, 2):
-            words, tokens, last = words_of(texts)
+            words, tokens, _ = words_of(texts)
             take = pa.array(rows)
             ids = batch.column(0).take(take).to_numpy(zero_copy_only=False).astype(np.int64)
             out = batch.column(1).take(take).to_numpy(zero_copy_only=False).astype(bool)
-            held.append((ids, out, tokens, words, contexts_of(words, last, tokens, frequent)))
+            held.append((ids, out, tokens, words))
             size += len(words)
             if size >= BATCH_TOKENS:
                 yield flush()
@@ -180,7 +193,7 @@ PART = "part int, word binary, context binary, n binary, asked binary, asks arra
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     """One row per part: its distinct pairs with summed counts, and which of them each batch asks for."""
-    words, contexts, n = (np.concatenate([np.frombuffer(b, t) for b in rows[c]]) for c, t in (("word", "<u8"), ("context", "<u2"), ("n", "<u4")))
+    words, contexts, n = (np.concatenate([np.frombuffer(b, t) for b in rows[c]]) for c, t in (("word", "<u8"), ("context", "<u8"), ("n", "<u4")))
     order = np.lexsort((contexts, words))
     w, c = words[order], contexts[order]
     new = np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
@@ -188,58 +201,89 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     number[order] = np.cumsum(new) - 1
     total = np.bincount(number, weights=n)
     asks = [{"batch": b, "size": len(x) // 8} for b, x in zip(rows["batch"], rows["word"], strict=True)]
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "word": [_blob(w[new], "<u8")], "context": [_blob(c[new], "<u2")], "n": [_blob(total, "<i8")], "asked": [_blob(number, "<u4")], "asks": [asks]})
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "word": [_blob(w[new], "<u8")], "context": [_blob(c[new], "<u8")], "n": [_blob(total, "<i8")], "asked": [_blob(number, "<u4")], "asks": [asks]})
 
 
 # --- the model ----------------------------------------------------------------------------------------
 
 
 class Part:
-    """The restaurants' customers for the words of one part, and their seating."""
+    """The restaurants' customers for the words of one part, and their seating.
+
+    Words in ``hot`` have customers in other parts too: their share of the parent is in ``Totals``."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, n: np.ndarray, part: int) -> None:
-        self.context, self.n, self.part = context.astype(np.int64), n.astype(np.int64), part
+    def __init__(self, word: np.ndarray, context: np.ndarray, n: np.ndarray, part: int, hot: np.ndarray | None = None) -> None:
+        self.contexts, self.context = np.unique(context, return_inverse=True)
+        self.n, self.part = n.astype(np.int64), part
         new = np.concatenate([[True], word[1:] != word[:-1]]) if len(word) else np.zeros(0, bool)
         self.of = np.cumsum(new) - 1  # the word's number
         self.n_words = int(new.sum())
+        self.n_hot = 0 if hot is None else len(hot)
+        at = place(np.zeros(0, np.uint64) if hot is None else hot, word[new])
+        self.shared, self.hot = np.flatnonzero(at >= 0), at[at >= 0]
+        self.own = at < 0
         self.count = np.bincount(self.of, weights=self.n, minlength=self.n_words).astype(np.int64)
         self.tables = (self.n > 0).astype(np.int64)
-        self.root_tables = (self.count > 0).astype(np.int64)
+        self.root_tables = ((self.count > 0) & self.own).astype(np.int64)
+
+    def sat(self) -> np.ndarray:
+        """Customers that each word has in the parent, of those in this part."""
+        return np.bincount(self.of, weights=self.tables, minlength=self.n_words).astype(np.int64)
+
+    def per_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each of ``contexts`` in this part."""
+        count = lambda x: np.bincount(self.context, weights=x, minlength=len(self.contexts))
+        return count(self.n), count(self.tables)
+
+    def overall(self) -> np.ndarray:
+        """Customers and tables of the parent, known words, and how many pairs and words have one and two
+        customers (for the discounts)."""
+        sat, own = self.sat(), self.own
+        return np.array([sat.sum(), self.root_tables.sum(), (self.count[own] > 0).sum(), (self.n == 1).sum(), (self.n == 2).sum(), (sat[own] == 1).sum(), (sat[own] == 2).sum()], float)
+
+    def of_hot(self) -> np.ndarray:
+        """Customers in the parent, and tokens, of each hot word in this part."""
+        out = np.zeros(2 * self.n_hot)
+        out[self.hot], out[self.n_hot + self.hot] = self.sat()[self.shared], self.count[self.shared]
+        return out
 
     def totals(self) -> np.ndarray:
-        """Per context: customers, tables; then, at the end, customers and tables of the parent, known words,
-        and how many pairs and words have one and two customers (for the discounts)."""
-        size = N_CONTEXTS
-        out = np.zeros(2 * size + 7)
-        out[:size] = np.bincount(self.context, weights=self.n, minlength=size)
-        out[size : 2 * size] = np.bincount(self.context, weights=self.tables, minlength=size)
-        sat = np.bincount(self.of, weights=self.tables, minlength=self.n_words)
-        out[2 * size :] = sat.sum(), self.root_tables.sum(), (self.count > 0).sum(), (self.n == 1).sum(), (self.n == 2).sum(), (sat == 1).sum(), (sat == 2).sum()
-        return out
+        """What ``Totals`` takes when this is the only part."""
+        return np.concatenate([*self.per_context(), self.overall()])
+
+    def root(self, model: "Totals") -> np.ndarray:
+        """The parent's probability of each word."""
+        sat, tables = self.sat(), self.root_tables.copy()
+        sat[self.shared], tables[self.shared] = model.hot_sat[self.hot], model.hot_tables[self.hot]
+        return model.root(sat, tables)
+
+    def counts(self, model: "Totals") -> np.ndarray:
+        """Tokens of each pair's word in all parts."""
+        count = self.count.copy()
+        count[self.shared] = model.hot_count[self.hot]
+        return count[self.of]
 
     def sweep(self, model: "Totals", seed: int) -> None:
         """Seat the customers of every pair anew, then those of the parent."""
         rng = np.random.default_rng([seed, self.part])
-        root = model.root(np.bincount(self.of, weights=self.tables, minlength=self.n_words), self.root_tables)
-        fresh = (STRENGTH + model.discount * model.tables[self.context]) * root[self.of]
+        fresh = (STRENGTH + model.discount * model.tables[self.context]) * self.root(model)[self.of]
         self.tables = seat(self.n, fresh, model.discount, rng)
-        sat = np.bincount(self.of, weights=self.tables, minlength=self.n_words).astype(np.int64)
-        base = (ROOT_STRENGTH + model.root_discount * model.root_tables) / (model.known + 1)
-        self.root_tables = seat(sat, np.full(self.n_words, base), model.root_discount, rng)
+        self.root_tables = np.where(self.own, model.seat_root(self.sat(), rng), 0)
 
     def predictive(self, model: "Totals") -> np.ndarray:
         """The probability of each pair's word in its context."""
-        root = model.root(np.bincount(self.of, weights=self.tables, minlength=self.n_words), self.root_tables)[self.of]
         rest = STRENGTH + model.discount * model.tables[self.context]
-        return (np.maximum(0, self.n - model.discount * self.tables) + rest * root) / (STRENGTH + model.customers[self.context])
+        return (np.maximum(0, self.n - model.discount * self.tables) + rest * self.root(model)[self.of]) / (STRENGTH + model.customers[self.context])
 
 
 class Totals:
-    """What all parts together have."""
+    """What all parts together have: per context of one part, of the hot words, and overall."""
 
-    def __init__(self, v: np.ndarray) -> None:
-        self.customers, self.tables = v[:N_CONTEXTS], v[N_CONTEXTS : 2 * N_CONTEXTS]
-        self.root_customers, self.root_tables, self.known, n1, n2, r1, r2 = v[2 * N_CONTEXTS :]
+    def __init__(self, v: np.ndarray, hot: np.ndarray | None = None) -> None:
+        size = (len(v) - 7) // 2
+        self.customers, self.tables = v[:size], v[size : 2 * size]
+        self.root_customers, self.root_tables, self.known, n1, n2, r1, r2 = v[2 * size :]
+        self.hot_sat, self.hot_count, self.hot_tables = np.zeros((3, 0), np.int64) if hot is None else hot.reshape(3, -1).astype(np.int64)
         self.discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
         self.root_discount = min(0.95, max(0.05, r1 / (r1 + 2 * r2))) if r1 + r2 else 0.5
 
@@ -247,6 +291,10 @@ class Totals:
         base = 1 / (self.known + 1)
         return (np.maximum(0, sat - self.root_discount * tables) + (ROOT_STRENGTH + self.root_discount * self.root_tables) * base) / (ROOT_STRENGTH + self.root_customers)
 
+    def seat_root(self, sat: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        base = (ROOT_STRENGTH + self.root_discount * self.root_tables) / (self.known + 1)
+        return seat(sat, np.full(len(sat), base), self.root_discount, rng)
+
 
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that customers of the same dish take, coming one after another: a new one with weight
@@ -265,49 +313,119 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
     return tables
 
 
-def _load(batch: pa.RecordBatch, i: int) -> Part:
-    get = lambda c, t: np.frombuffer(batch.column(batch.schema.get_field_index(c))[i].as_buffer(), t)
-    return Part(get("word", "<u8"), get("context", "<u2"), get("n", "<i8"), batch.column(0)[i].as_py())
+#: What parts send.  bucket >= 0: of the contexts of a bucket, in order; SEATING: tables of the words (in
+#: customers) and of the pairs; OVERALL: numbers to be summed.  Contexts and customers are sent once.
+SENT = "part int, bucket int, context binary, customers binary, tables binary, v array<double>"
+SEATING, OVERALL = -1, -2
+#: The sweep of what parts get back; CUSTOMERS: of the contexts, alike after each sweep.
+CUSTOMERS = -1
+BACK = "part int, bucket int, sweep int, words binary, x binary"
+#: Of a bucket: its parts in order with the number of contexts each, and which numbers they have.
+SHAPE = "bucket int, parts array<int>, sizes array<int>, at binary, customers binary"
+
+
+def _load(table: pa.Table | pa.RecordBatch, i: int, hot: np.ndarray) -> Part:
+    get = lambda c, t: np.frombuffer(table.column(c)[i].as_buffer(), t)
+    return Part(get("word", "<u8"), get("context", "<u8"), get("n", "<i8"), table.column("part")[i].as_py(), hot)
+
+
+def _by_bucket(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in order of their bucket, and how many each bucket has."""
+    bucket = (common.mix64(contexts) % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+
+
+def _send(part: Part, buckets: int, once: bool = False) -> pa.RecordBatch:
+    order, size = _by_bucket(part.contexts, buckets)
+    customers, tables = (x[order] for x in part.per_context())
+    contexts, end = part.contexts[order], np.cumsum(size)
+    rows = [(part.part, b, _blob(contexts[e - k : e], "<u8") if once else None, _blob(customers[e - k : e], "<u4") if once else None, _blob(tables[e - k : e], "<u4"), None) for b, (e, k) in enumerate(zip(end, size, strict=True)) if k]
+    rows.append((part.part, SEATING, None, _blob(part.root_tables, "<u4"), _blob(part.tables, "<u4"), None))
+    rows.append((part.part, OVERALL, None, None, None, np.concatenate([part.overall(), part.of_hot(), [part.n.sum()]]).tolist()))
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "bucket", "context", "customers", "tables", "v"])
+
+
+def _shape(rows: pd.DataFrame) -> pd.DataFrame:
+    """Number the contexts of a bucket."""
+    rows = rows.sort_values("part")
+    contexts = np.concatenate([np.frombuffer(b, "<u8") for b in rows["context"]])
+    known, at = np.unique(contexts, return_inverse=True)
+    customers = np.bincount(at, weights=np.concatenate([np.frombuffer(b, "<u4") for b in rows["customers"]]), minlength=len(known))
+    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "parts": [rows["part"].tolist()], "sizes": [[len(b) // 8 for b in rows["context"]]], "at": [_blob(at, "<u4")], "customers": [_blob(customers, "<i8")]})
+
+
+def _dealt(shape: pd.Series, totals: np.ndarray, sweep: int) -> pd.DataFrame:
+    """For each part of a bucket the totals of the contexts that it has."""
+    x = totals[np.frombuffer(shape["at"], "<u4")]
+    blobs = [_blob(y, "<i8") for y in np.split(x, np.cumsum(shape["sizes"])[:-1])]
+    return pd.DataFrame({"part": shape["parts"], "bucket": shape["bucket"], "sweep": sweep, "words": None, "x": blobs})
 
 
-def _totals(history: common.Shipped):
+def _customers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for shapes in batches:
+        for _, shape in shapes.iterrows():
+            yield _dealt(shape, np.frombuffer(shape["customers"], "<i8"), CUSTOMERS)
+
+
+def _summed(sweep: int):
+    def run(shapes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        shape = shapes.iloc[0]
+        tables = np.concatenate([np.frombuffer(b, "<u4") for b in rows.sort_values("part")["tables"]])
+        return _dealt(shape, np.bincount(np.frombuffer(shape["at"], "<u4"), weights=tables), sweep)
+
+    return run
+
+
+def _restored(part: Part, back: pa.Table, sweep: int, buckets: int, overall: tuple[np.ndarray, np.ndarray]) -> Totals:
+    """Seat the part as after a sweep; gives the totals of that seating."""
+    order, _ = _by_bucket(part.contexts, buckets)
+    v = np.zeros((2, len(order)))
+    for k, kind in enumerate((CUSTOMERS, sweep)):
+        rows = back.filter(pc.equal(back.column("sweep"), kind)).sort_by("bucket")
+        get = lambda c, i, t, rows=rows: np.frombuffer(rows.column(c)[i].as_buffer(), t)
+        first = int(kind != CUSTOMERS)  # SEATING comes first
+        v[k, order] = np.concatenate([get("x", i, "<i8") for i in range(first, rows.num_rows)])
+    part.root_tables, part.tables = get("words", 0, "<u4").astype(np.int64), get("x", 0, "<u4").astype(np.int64)
+    return Totals(np.concatenate([*v, overall[0]]), overall[1])
+
+
+def _first(hot: common.Shipped, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part = _load(batch, i)
-                for s, v in enumerate(history.get()):
-                    part.sweep(Totals(v), s)
-                yield pa.RecordBatch.from_arrays([pa.array([part.totals().tolist()], pa.list_(pa.float64()))], ["v"])
+                yield _send(_load(batch, i, hot.get()), buckets, True)
 
     return run
 
 
-def _answers(history: common.Shipped):
+def _swept(shipped: common.Shipped, buckets: int):
+    def run(rows: pa.Table, back: pa.Table) -> pa.Table:
+        hot, history = shipped.get()
+        part, s = _load(rows, 0, hot), len(history) - 1
+        part.sweep(_restored(part, back, s, buckets, history[s]), s)
+        return pa.Table.from_batches([_send(part, buckets)])
+
+    return run
+
+
+def _answers(shipped: common.Shipped, buckets: int):
     """batch, part, probability of each pair asked for, its training count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = _load(batch, i)
-                mean, samples = np.zeros(len(part.n)), 0
-                every = history.get()
-                for s, v in enumerate(every[:-1]):
-                    part.sweep(Totals(v), s)
-                    if s >= BURN_IN:
-                        mean += part.predictive(Totals(every[s + 1]))
-                        samples += 1
-                if not samples:
-                    mean, samples = part.predictive(Totals(every[-1])), 1
-                p, n = mean / samples, part.count[part.of]
-                asked = np.frombuffer(batch.column(4)[i].as_buffer(), "<u4")
-                at = 0
-                for ask in batch.column(5)[i].as_py():
-                    some = asked[at : at + ask["size"]]
-                    at += ask["size"]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ask["batch"]]), pa.array([part.part], pa.int32()), pa.array([_blob(np.log10(p[some]), "<f4")], pa.binary()), pa.array([_blob(n[some], "<u4")], pa.binary())],
-                        ["batch", "part", "score", "n"],
-                    )
+    def run(rows: pa.Table, back: pa.Table) -> pa.Table:
+        hot, history = shipped.get()
+        part, mean = _load(rows, 0, hot), 0
+        samples = range(min(BURN_IN, SWEEPS - 1) + 1, SWEEPS + 1)
+        for s in samples:
+            model = _restored(part, back, s, buckets, history[s])
+            mean = mean + part.predictive(model) / len(samples)
+        n = part.counts(model)
+        asked = np.frombuffer(rows.column("asked")[0].as_buffer(), "<u4")
+        asks = rows.column("asks")[0].as_py()
+        parts = np.split(asked, np.cumsum([a["size"] for a in asks])[:-1])
+        columns = [a["batch"] for a in asks], [part.part] * len(asks), [_blob(np.log10(mean[x]), "<f4") for x in parts], [_blob(n[x], "<u4") for x in parts]
+        types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["batch", "part", "score", "n"])
 
     return run
 
@@ -329,6 +447,36 @@ def _scored(total: float, known: float):
     return run
 
 
+def _bucketed(df: DataFrame, n: int, key: str, what: str) -> DataFrame:
+    """Like common.materialise, kept by a key, so that no grouping by it moves the rows again."""
+    path = common.scratch(df.sparkSession, what)
+    name = f"lm_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _overall(sent: DataFrame, hot: np.ndarray, before: tuple | None, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The overall numbers of a seating, (customers in the parent, tokens, parent's tables) of the hot words, and the tokens."""
+    rows = sent.where(F.col("bucket") == OVERALL).select(F.posexplode("v").alias("i", "x"))
+    got = rows.groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # a bounded number
+    v = np.zeros(8 + 2 * len(hot))
+    v[got.column("i").to_numpy()] = got.column("x").to_numpy()
+    overall, (sat, count) = v[:7], v[7:-1].reshape(2, -1).astype(np.int64)
+    if before is None:
+        tables = (count > 0).astype(np.int64)
+    else:
+        tables = Totals(before[0]).seat_root(sat, np.random.default_rng([seed, 1 << 31]))
+    overall += 0, tables.sum(), (count > 0).sum(), 0, 0, (sat == 1).sum(), (sat == 2).sum()
+    return overall, np.concatenate([sat, count, tables]), v[-1]
+
+
+def _back(sent: DataFrame, shapes: DataFrame, sweep: int) -> DataFrame:
+    tables = sent.where(F.col("bucket") >= 0).select("part", "bucket", "tables")
+    totals = shapes.select("bucket", "parts", "sizes", "at").groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(_summed(sweep), BACK)
+    seating = sent.where(F.col("bucket") == SEATING).select("part", "bucket", F.lit(sweep).alias("sweep"), F.col("customers").alias("words"), F.col("tables").alias("x"))
+    return totals.union(seating)
+
+
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of the model, per token).
 
@@ -337,22 +485,26 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     volume = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     parts = max(8, int(volume / 6 / 3 / PART_PAIRS * 4) + 1)
-    frequent = common.Shipped(spark, frequent_words(source.where(~F.col("held_out"))))
+    buckets = max(8, parts // 4)
+    hot = frequent_words(source.where(~F.col("held_out")))
     missing_id = F.lit(-(1 << 62))  # a null id comes back as null
-    packed = source.withColumn("doc_id", F.coalesce("doc_id", missing_id)).mapInArrow(_batches(frequent, parts), BATCH)
-    packed = common.materialise(packed, "lm-batches")
-    merged = packed.where(F.col("kind") == 1).drop("kind").groupBy("part").applyInPandas(_merge, PART)
-    merged = common.materialise(merged, "lm-parts")
-    history: list[np.ndarray] = []
-    for _ in range(SWEEPS + 1):
-        # a few numbers per context and part, summed in Spark
-        rows = merged.mapInArrow(_totals(common.Shipped(spark, list(history))), "v array<double>").select(F.posexplode("v").alias("i", "x"))
-        got = rows.groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        v = np.zeros(2 * N_CONTEXTS + 7)
-        v[got.column("i").to_numpy()] = got.column("x").to_numpy()
-        history.append(v)
-    total, known = history[0][:N_CONTEXTS].sum(), history[0][2 * N_CONTEXTS + 2]
-    answers = merged.mapInArrow(_answers(common.Shipped(spark, history)), "batch string, part int, score binary, n binary")
+    packed = source.withColumn("doc_id", F.coalesce("doc_id", missing_id)).mapInArrow(_batches(common.Shipped(spark, hot), parts), BATCH)
+    packed = _bucketed(packed, parts, "batch", "lm-batches")
+    merged = packed.where(F.col("kind") == 1).drop("kind").repartition(parts, "part").groupBy("part").applyInPandas(_merge, PART)
+    merged = _bucketed(merged, parts, "part", "lm-parts")
+    sent = common.materialise(merged.mapInArrow(_first(common.Shipped(spark, hot), buckets), SENT), "lm-sent")
+    shapes = sent.where(F.col("bucket") >= 0).select("part", "bucket", "context", "customers").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shape, SHAPE)
+    shapes = _bucketed(shapes, buckets, "bucket", "lm-contexts")
+    customers = common.materialise(shapes.mapInPandas(_customers, BACK), "lm-customers")
+    history, back = [_overall(sent, hot, None, 0)], [_back(sent, shapes, 0)]
+    for s in range(SWEEPS):
+        swept = merged.groupBy("part").cogroup(customers.union(back[s]).groupBy("part")).applyInArrow(_swept(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), SENT)
+        sent = common.materialise(swept, "lm-sent")
+        history.append(_overall(sent, hot, history[-1], s))
+        back.append(_back(sent, shapes, s + 1))
+    total, known = history[0][2], history[0][0][2]
+    late = functools.reduce(DataFrame.union, back[min(BURN_IN, SWEEPS - 1) + 1 :], customers)
+    answers = merged.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(_answers(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), "batch string, part int, score binary, n binary")
     found = packed.where(F.col("kind") == 0).select("batch", "word", "context").groupBy("batch").cogroup(answers.groupBy("batch"))
     scored = found.applyInPandas(_scored(total, known), "row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     doc_id = F.when(F.col("row") != missing_id, F.col("row"))
