@@ -1,6 +1,7 @@
 """Steps that depend on their own past, as small pure functions used by grouped maps and by streams.
 
-A group is one clip (or one camera's recording): at most a few thousand rows, whatever the table's size.
+A group is one clip.  A camera's history has no bound: it is folded in order of time, batch by batch, and only
+the small state of the step is kept.
 """
 
 from __future__ import annotations
@@ -211,26 +212,45 @@ class Bucket:
         return True
 
 
-def hysteresis(hits: Iterator[bool], high: int = 30, on: int = 2) -> Iterator[bool]:
+class Hysteresis:
     """A counter up to ``high``: on from ``on`` upwards, off when it is back at 0."""
-    n, moving = 0, False
+
+    def __init__(self, high: int = 30, on: int = 2) -> None:
+        self.high, self.on, self.n, self.moving = high, on, 0, False
+
+    def step(self, hit: bool) -> bool:
+        self.n = min(self.high, self.n + 1) if hit else max(0, self.n - 1)
+        self.moving = self.n >= self.on or (self.moving and self.n > 0)
+        return self.moving
+
+
+def hysteresis(hits: Iterator[bool], high: int = 30, on: int = 2) -> Iterator[bool]:
+    counter = Hysteresis(high, on)
     for hit in hits:
-        n = min(high, n + 1) if hit else max(0, n - 1)
-        moving = n >= on or (moving and n > 0)
-        yield moving
+        yield counter.step(hit)
 
 
 def per_camera(frames: DataFrame, kind: str) -> DataFrame:
     """Batch twin of the stream steps: event_id and the step's result, camera by camera in order of time."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        t = rows["ts"].astype("int64").to_numpy() / 1e9 if rows["ts"].dtype.str.endswith("[ns]") else rows["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+    def fresh():
         if kind == "throttle":
-            bucket = Bucket()
-            flags = [bucket.step(s, bool(m)) for s, m in zip(t, rows["motion"], strict=True)]
-        else:
-            flags = list(hysteresis(iter(rows["motion"].tolist()), *((30, 2) if kind == "ir" else (2, 1))))
-        return pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "flag": flags})
-
-    return frames.select("camera", F.col("ts").cast("timestamp").alias("ts"), "event_id", "motion").groupBy("camera").applyInPandas(one, "event_id long, flag boolean")
+            return Bucket().step
+        counter = Hysteresis(*((30, 2) if kind == "ir" else (2, 1)))
+        return lambda _, hit: counter.step(hit)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        camera, step = object(), None
+        for rows in batches:
+            t = rows["ts"].astype("int64").to_numpy() / 1e9 if rows["ts"].dtype.str.endswith("[ns]") else rows["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            flags = []
+            for c, s, m in zip(rows["camera"], t, rows["motion"], strict=True):
+                c = None if pd.isna(c) else c
+                if c != camera:
+                    camera, step = c, fresh()
+                flags.append(step(s, bool(m)))
+            yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "flag": flags})
+
+    rows = frames.select("camera", F.col("ts").cast("timestamp").alias("ts"), "event_id", "motion")
+    ordered = rows.repartition("camera").sortWithinPartitions("camera", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    return ordered.mapInPandas(fold, "event_id long, flag boolean")
