@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from trackspark.llm import common
 from trackspark.llm import ngramjoin as j
 
 from .conftest import rows_of
@@ -60,15 +61,18 @@ def test_frequent_tokens_take_pairs(docs, monkeypatch):
     monkeypatch.setattr(j, "LEAST", 2)
     monkeypatch.setattr(j, "SMALL", 4)
     rows = [(i, near(i, 1 + i % 4)) for i in range(24)]
-    found, comps = j.classes_and_links(docs(*rows), frequent=6)
-    assert found.count() == 24 and comps.count() > 0
+    with common.Workspace(docs().sparkSession, "test") as work:
+        found, comps = j.classes_and_links(docs(*rows), work, frequent=6)
+        assert found.count() == 24 and comps.count() > 0
     check(docs, rows)
 
 
 def test_five_words_at_eighty_percent_keeps_one(docs):
-    rows = [(3, near(1, 0)), (5, near(2, 1)), (9, " ".join(WORDS[100:])), (11, None), (3, near(1, 0)), (None, "x y z"), (None, "x y z")]
+    rows = [(3, near(1, 0)), (5, near(2, 1)), (9, " ".join(WORDS[100:])), (11, None), (3, near(1, 0)), (None, "x y z"), (None, "x y z"), (11, ""), (11, "")]
+    rows += [(20, near(1, 0) + " and more"), (20, " ".join(WORDS[200:])), (None, near(3, 1))]  # an id twice: a copy and a text of its own
     kept = j.keep_one(docs(*rows), 5, 80)
-    assert rows_of(kept, "doc_id") == [(11,), (3,), (9,), (None,), (None,)] and set(kept.columns) == set(docs().columns)
+    want = [(11, 0)] * 3 + [(20, len(rows[10][1])), (3, len(rows[0][1])), (9, len(rows[2][1])), (None, 5)]
+    assert rows_of(kept, "doc_id", "n_chars") == sorted(want, key=repr) and set(kept.columns) == set(docs().columns)
 
 
 @settings(max_examples=200, deadline=None)
@@ -96,4 +100,5 @@ def test_components(spark, edges):
     for _ in at:
         for a, b in edges:
             at[a] = at[b] = min(at[a], at[b])
-    assert {r[0]: r[1] for r in j.components(links).collect()} == at
+    with common.Workspace(spark, "test") as work:
+        assert {r[0]: r[1] for r in j.components(links, work).collect()} == at

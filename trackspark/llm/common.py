@@ -43,6 +43,28 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Written tables that only the steps of one call need: ``with Workspace(spark, "x") as work``.
+
+    They lie in one folder on shared storage, which goes when the block ends.  What a call returns must not
+    read them any more: it is written by ``materialise``."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path = spark, scratch(spark, what)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.path}/{what}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -15,17 +15,20 @@ Which tokens are frequent (in about ``FREQUENT`` documents or more) steers cost,
 are found by counts within chunks of all documents, summed; at most ``MAX_FREQUENT`` of them, the most
 frequent, are broadcast (8 bytes each), the others count as rare.
 
-Documents with equal sets form one class and go on as one row.  Signatures with up to ``SMALL`` classes
-give their pairs of fitting sizes, which pass a bound from counts of tokens in 64 cells and are then
-verified by intersecting their sets.  Longer lists come from large groups of near copies: classes that
-share one are put into one cluster, clusters are cut into blocks of about ``BLOCK`` classes or ``BLOCK_TOKENS`` tokens, and each pair
-of blocks counts all its intersections at once, as a product of 0/1 matrices, of which only
-the links that connect its classes leave the task.  Links become components by alternating large and small
-stars.  All of it runs as joins and aggregates on shared storage; nothing that grows with the corpus
-comes to the driver.
-
-Verification intersects the low 32 bits of 64-bit hashes: a link is never lost, and one that misses
-the threshold by a single shingle could be taken with a chance of about n * n / 2**32.
+Documents with equal sets form one class and go on as one row.  Two classes in a list of up to ``SMALL`` are a
+pair when the number of lists they share allows the similarity: of the two prefixes one ends first, and
+what it holds up to there is either shared and counted or missing in the partner.  Pairs are verified by intersecting their
+sets: first one pair for each class, then the pairs that these links leave in different components.
+
+Longer lists come from large groups of near copies: classes that share one are put into one cluster, cut
+into blocks of about ``BLOCK`` classes or ``BLOCK_TOKENS`` tokens.  Every class is first compared with a few hubs of
+its cluster.  What hangs together then need not be compared any more: only classes outside the largest component
+of their cluster go on, in blocks, against all blocks; each pair of blocks counts all its intersections at once,
+as a product of 0/1 matrices, of which only the links that connect its classes leave the task.  Links become components
+by alternating large and small stars.  All of it runs as joins and aggregates on shared storage; nothing
+that grows with the corpus comes to the driver, and the tables in between go when the components are known.
+
+Verification intersects the 64-bit hashes of all shingles.
 
 Cases: null, empty or wordless texts have an empty set, are linked with nothing and are their own
 component; fewer words than a shingle are one shingle; equal sets are linked; a null doc_id has no
@@ -55,14 +58,16 @@ CHUNK = 4_000_000
 LEAST = 3
 MAX_FREQUENT = 2_000_000
 SMALL = 128
-CELLS = 64
 BLOCK = 1000
 #: Tokens of a block, about.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+HUBS = 3
 #: Columns of a 0/1 matrix at a time.
 COLUMNS = 4096
 #: Room for more strata than there are sizes.
 STRATA_BITS = 9
+#: Rows of an id or two up to which a side is broadcast; beyond, the texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def token_set(text, words: int = WORDS) -> np.ndarray:
@@ -82,13 +87,15 @@ def missing(n: int, percent: int) -> int:
     return n * (100 - percent) // 100
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """64-bit signatures of a set: single rare tokens, combined pairs of frequent ones."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """64-bit signatures of a set: single rare tokens, combined pairs of frequent ones; how many are single; and
+    the last single one, in an order that is that of long (the greatest if the prefix goes on after the rare tokens)."""
     n = len(tokens)
     need = missing(n, percent) + 1
+    last = (1 << 63) - 1
     # a partner that lacks something must have a union of n + 1 at least
     if n * 100 < percent * (n + 1):
-        return tokens[:0]
+        return tokens[:0], 0, last
     if len(frequent):
         at = np.searchsorted(frequent, tokens).clip(0, len(frequent) - 1)
         known = frequent[at] == tokens
@@ -96,7 +103,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     else:
         rare, often = tokens, tokens[:0]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], need, int(rare[need - 1]) - (1 << 63)
     out = [rare]
     band = n.bit_length() - 1
     for b in (band, band + 1) if n * 100 // percent >= 1 << (band + 1) else (band,):
@@ -112,7 +119,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
             part = often[:end][order[s:e]]
             i, j = np.triu_indices(len(part), 1)
             out.append(common.mix64(common.mix64(part[i] + np.uint64(b)) * np.uint64(3) + part[j]))
-    return np.concatenate(out)
+    return np.concatenate(out), len(rare), last
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return prefix(tokens, frequent, percent)[0]
 
 
 def _frequencies(words: int):
@@ -138,73 +149,68 @@ def _frequencies(words: int):
     return run
 
 
-def frequent_tokens(docs: DataFrame, words: int, frequent: int) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, words: int, frequent: int, work: common.Workspace) -> np.ndarray:
     """Sorted hashes of the tokens that are in about ``frequent`` documents or more."""
     counted = docs.select("text").mapInArrow(_frequencies(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     # half, as counts below LEAST within a chunk are not summed
-    often = common.materialise(counted.where(F.col("n") >= max(LEAST, frequent // 2)), "frequent-tokens")
+    often = work.write(counted.where(F.col("n") >= max(LEAST, frequent // 2)), "frequent-tokens")
     if often.count() > MAX_FREQUENT:
         often = often.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
     return np.sort(often.select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
+def _class_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+DESCRIBED = "cls binary, n long, single long, last long, keys array<long>"
+
+
 def _described(shipped: common.Shipped, words: int, percent: int):
+    """(doc_id, copy, text) to doc_id, copy and DESCRIBED."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shipped.get()
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 tokens = token_set(text, words)
                 if not len(tokens):
-                    rows.append((None, 0, None, []))
+                    rows.append((None, 0, 0, 0, []))
                     continue
-                cells = np.bincount((tokens % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<u4")
-                rows.append((hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), cells.tobytes(), signatures(tokens, frequent, percent).view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "cls", "n", "cells", "keys"])
+                keys, single, last = prefix(tokens, frequent, percent)
+                rows.append((_class_of(tokens), len(tokens), single, last, keys.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "copy", "cls", "n", "single", "last", "keys"])
 
     return run
 
 
 def _sets(words: int):
+    """(id, cls, n, text) to id, n, tokens where the text has the class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, blobs = [], []
-            for text in batch.column(1):
+            blobs = []
+            for cls, text in zip(batch.column(1), batch.column(3), strict=True):
                 tokens = token_set(text, words)
-                names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                blobs.append(np.unique(tokens.astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "cls", "tokens"])
+                blobs.append(tokens.tobytes() if _class_of(tokens) == cls.as_py() else None)
+            tokens = pa.array(blobs, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), tokens], ["id", "n", "tokens"]).filter(tokens.is_valid())
 
     return run
 
 
-def _bounded(percent: int):
-    """Keeps the pairs whose cell counts allow the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CELLS) for i in (2, 3))
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            union = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - most
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(100 * most >= percent * union))
-
-    return run
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for nx, ny, a, b in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                nx, ny = nx.as_py(), ny.as_py()
-                both += min(nx - len(x), ny - len(y))  # hashes that fell together in both
-                good.append(100 * both >= percent * (nx + ny - both))
+            good = [_linked(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -214,33 +220,76 @@ def _fits(small: F.Column, large: F.Column, percent: int) -> F.Column:
     return small * 100 >= large * percent
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of class numbers, each with its smaller one first."""
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(F.col("x") != F.col("y")).distinct()
+def counted_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of classes in lists of up to SMALL, where the lists they share allow the similarity.
 
+    shared: key, m (classes in the list), id, n, single, last."""
+    # tokens that two classes share in long lists are not counted here
+    long = shared.where(F.col("m") > SMALL).groupBy("id").agg(F.count(F.lit(1)).alias("long"))
+    short = shared.where(F.col("m") <= SMALL).join(long, "id", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    lists = short.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "id", "single", "last", "long"))).alias("of"))
+    p = F.col("p")
 
-def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose cell counts allow the similarity.  classes: id, cells."""
-    side = lambda k: classes.select(F.col("id").alias(k), F.col("cells").alias(f"c{k}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "cx", "cy").mapInArrow(_bounded(percent), "x long, y long")
+    def pair(q: F.Column) -> F.Column:
+        needed = F.ceil(percent * (p["n"] + q["n"]) / (100 + percent))
+        beyond = lambda c: c["n"] - c["single"]
+        most = F.when(p["last"] < q["last"], beyond(p)).when(p["last"] > q["last"], beyond(q)).otherwise(F.least(beyond(p), beyond(q)))
+        return F.struct(F.least(p["id"], q["id"]).alias("x"), F.greatest(p["id"], q["id"]).alias("y"), (needed - F.least(p["long"], q["long"]) - most).cast("int").alias("least"))
 
+    after = F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(p["n"], q["n"], percent) & (p["id"] != q["id"]))
+    some = lists.select("of", F.posexplode("of").alias("i", "p")).select(F.explode(F.transform(after, pair)).alias("q")).select("q.*")
+    return some.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least")).where(F.col("c") >= F.col("least")).select("x", "y")
 
-def verified_pairs(close: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+
+def token_sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, n, tokens of the wanted classes.  wanted: id, cls, n, rep (doc_id and copy of one of its documents)."""
+    wanted = wanted.select("id", "cls", "n", F.col("rep.doc_id").alias("_op_doc"), F.col("rep.copy").alias("_op_copy"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    met = source.join(wanted, source["doc_id"].eqNullSafe(F.col("_op_doc")) & (source["copy"] == F.col("_op_copy")))
+    found = met.select("id", "cls", "n", "text").mapInArrow(_sets(words), "id long, n long, tokens binary")
+    return found.groupBy("id", "n").agg(F.first("tokens").alias("tokens"))  # of repeated rows, one
+
+
+def verified_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links.  known: id, n, tokens."""
-    left = known.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    right = known.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    return close.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_verified(percent), "x long, y long")
+    side = lambda k: known.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "tx", "ty").mapInArrow(_verified(percent), "x long, y long")
+
+
+def pair_links(pairs: DataFrame, known: DataFrame, percent: int, work: common.Workspace) -> DataFrame:
+    """Links with the components of all pairs that are similar: one pair of each class first, then what is apart."""
+    one = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    links = work.write(verified_pairs(one, known, percent), "jaccard-first")
+    at = components(links, work)
+    left = lambda k: at.select(F.col("cls").alias(k), F.col("comp").alias(f"c{k}"))
+    apart = pairs.join(left("x"), "x", "left").join(left("y"), "y", "left").where(~F.coalesce("cx", "x").eqNullSafe(F.coalesce("cy", "y")))
+    apart = apart.select("x", "y").join(one, ["x", "y"], "left_anti")
+    return links.union(work.write(verified_pairs(apart, known, percent), "jaccard-second"))
+
+
+# --- clusters of long lists ----------------------------------------------------------------------------
+
+
+def _hub_links(percent: int):
+    """Links of the classes of a block to the hubs of its cluster."""
+
+    def run(rows: pd.DataFrame, hubs: pd.DataFrame) -> pd.DataFrame:
+        sets = [(i, np.frombuffer(t, "<u8")) for i, t in zip(hubs["hub"], hubs["hub_tokens"], strict=True)]
+        found = [(hub, i) for i, t in zip(rows["id"], rows["tokens"], strict=True) for hub, h in sets if hub != i and _linked(np.frombuffer(t, "<u8"), h, percent)]
+        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+
+    return run
 
 
 def _block_links(percent: int):
     """Links that connect what is connected in a pair of blocks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(t, "<u4") for t in rows["tokens"]]
-        n = rows["n"].to_numpy(np.int64)
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        sets = [np.frombuffer(t, "<u8") for t in rows["tokens"]]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
         token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
+        row = np.repeat(np.arange(len(sets)), n)
         keep = count[column] > 1  # the others are in no intersection
         row, column = row[keep], (np.cumsum(count > 1) - 1)[column[keep]]
         order = np.argsort(column, kind="stable")
@@ -252,11 +301,10 @@ def _block_links(percent: int):
             part = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
             part[row[s:e], column[s:e] - first] = 1
             both += part @ part.T
-        lost = n - size  # hashes that fell together, perhaps in both
         linked = np.empty(both.shape, bool)
         strips = [slice(i, i + 256) for i in range(0, len(n), 256)]
         for i in strips:
-            inner = both[i].astype(np.int64) + (np.minimum(lost[i, None], lost[None, :]) if lost.any() else 0)
+            inner = both[i].astype(np.int64)
             linked[i] = 100 * inner >= percent * (n[i, None] + n[None, :] - inner)
         np.fill_diagonal(linked, True)
         del both
@@ -274,7 +322,13 @@ def _block_links(percent: int):
     return run
 
 
-def cluster_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _blocked(members: DataFrame, name: str) -> DataFrame:
+    """members (comp, id, n) with their block, and the number of blocks of the cluster as ``name``."""
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    return members.join(members.groupBy("comp").agg(size.alias(name)), "comp").withColumn("own", F.pmod(F.xxhash64("id"), F.col(name)).cast("int"))
+
+
+def cluster_links(large: DataFrame, known: DataFrame, percent: int, work: common.Workspace) -> DataFrame:
     """Links within the clusters of classes that share long lists.  large: key, id, n; known: id, n, tokens.
 
     Sizes are cut into strata so that partners are in the same one or the next: each class joins the
@@ -285,18 +339,40 @@ def cluster_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame
     placed = placed.select("key", "g", "n", (F.shiftleft("id", STRATA_BITS) + F.pmod("g", F.lit(1 << STRATA_BITS))).alias("node"))
     hubs = placed.groupBy("key", "g").agg(F.min("node").alias("y"))
     ties = placed.join(hubs, ["key", "g"]).select(F.col("node").alias("x"), "y").where(F.col("x") != F.col("y")).distinct()
-    found = components(ties).withColumn("id", F.shiftright("cls", STRATA_BITS)).join(known.select("id", "n"), "id")
-    found = common.materialise(found, "jaccard-clusters")
-    blocks = found.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = found.select("comp", "id").join(blocks, "comp").withColumn("own", own)
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = spread.join(known, "id").select("comp", "i", "j", "id", "n", "tokens")
-    return rows.groupBy("comp", "i", "j").applyInPandas(_block_links(percent), "x long, y long")
-
-
-def components(links: DataFrame) -> DataFrame:
+    found = components(ties, work).withColumn("id", F.shiftright("cls", STRATA_BITS)).join(known.select("id", "n"), "id").select("comp", "id", "n")
+    found = work.write(_blocked(found, "blocks"), "jaccard-clusters")
+
+    # a few hubs of each cluster, those of least hash, meet every block
+    least = found.groupBy("comp").agg(F.max("blocks").alias("blocks"))
+    order = F.struct(F.xxhash64("id", "comp").alias("h"), "id")
+    chosen = found.groupBy("comp", "own").agg(F.min(order).alias("o")).groupBy("comp").agg(F.slice(F.array_sort(F.collect_list("o")), 1, HUBS).alias("o"))
+    hub = chosen.select("comp", F.explode("o").alias("o")).select("comp", F.col("o.id").alias("id")).join(known.select("id", "tokens"), "id").withColumnRenamed("id", "hub")
+    hub = work.write(hub, "jaccard-hub-sets")
+    meets = hub.join(least, "comp").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "own", "hub", F.col("tokens").alias("hub_tokens"))
+    members = found.select("comp", "own", "id").join(known.select("id", "tokens"), "id")
+    first = members.groupBy("comp", "own").cogroup(meets.groupBy("comp", "own")).applyInPandas(_hub_links(percent), "x long, y long")
+    first = work.write(first, "jaccard-hubs")
+
+    # outside the largest component of a cluster, classes go against all blocks
+    at = components(first, work).select(F.col("cls").alias("id"), F.col("comp").alias("part"))
+    split = found.join(at, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = split.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("comp").agg(F.max(F.struct("c", "part")).alias("top")).select("comp", F.col("top.part").alias("top"))
+    apart = _blocked(split.join(largest, "comp").where(F.col("part") != F.col("top")).select("comp", "id", "n"), "rest")
+    apart = work.write(apart, "jaccard-apart")
+    rest = apart.groupBy("comp").agg(F.max("rest").alias("rest"))
+    others = found.join(apart.select("comp", "id"), ["comp", "id"], "left_anti").join(rest, "comp")
+    # kind 0: a block of the rest with a block of the others; kind 1: two blocks of the rest
+    spread = apart.join(found.groupBy("comp").agg(F.max("blocks").alias("blocks")), "comp")
+    rows = others.select("id", "comp", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), F.col("own").alias("j"))
+    rows = rows.union(spread.select("id", "comp", F.lit(0), F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    within = apart.select("id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("other"))
+    rows = rows.union(within.select("id", "comp", F.lit(1), F.least("own", "other"), F.greatest("own", "other")))
+    blocks = rows.join(known.select("id", "tokens"), "id")
+    return first.union(blocks.groupBy("comp", "kind", "i", "j").applyInPandas(_block_links(percent), "x long, y long"))
+
+
+def components(links: DataFrame, work: common.Workspace) -> DataFrame:
     """cls, comp (the smallest class of the component) for every class with a link, by alternating stars."""
     edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
     before = None
@@ -309,7 +385,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest neighbour
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        edges = common.materialise(small.where(F.col("a") != F.col("b")).distinct(), "stars")
+        edges = work.write(small.where(F.col("a") != F.col("b")).distinct(), "stars")
         # done when all hangs on roots that hang on nothing, and nothing changes any more
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
@@ -317,64 +393,73 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def classes_and_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, cls, n of every document; cls, comp of every class that has links)."""
+def classes_and_links(docs: DataFrame, work: common.Workspace, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, copy, cls, n of every document; cls, comp of every class that has links), in ``work``."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    shipped = common.Shipped(spark, frequent_tokens(source, words, frequent))
-    schema = common.extended(source.select("doc_id"), "cls binary, n long, cells binary, keys array<long>")
-    rows = common.materialise(source.mapInArrow(_described(shipped, words, percent), schema), "jaccard-rows")
+    source = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    shipped = common.Shipped(spark, frequent_tokens(source, words, frequent, work))
+    rows = work.write(source.mapInArrow(_described(shipped, words, percent), common.extended(source.select("doc_id", "copy"), DESCRIBED)), "jaccard-rows")
     full = rows.where(F.col("cls").isNotNull())
     # one row per class, numbered once it is written: numbers are shorter than hashes in what follows
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("keys").alias("keys"))
-    classes = common.materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
+    first = [F.first(c).alias(c) for c in ("n", "single", "last", "keys")]
+    classes = full.groupBy("cls").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), *first)
+    classes = work.write(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    index = classes.select("id", "n", F.explode("keys").alias("key"))
+    index = classes.select("id", F.explode("keys").alias("key"))
     sized = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    shared = common.materialise(index.join(sized, "key"), "jaccard-index")
-    lists = shared.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("of"))
-    some = lists.select(F.col("of"), F.posexplode("of").alias("i", "p")).select(
-        F.col("p.id").alias("x"),
-        F.explode(F.filter(F.slice("of", F.col("i") + 2, F.lit(SMALL)), lambda q: _fits(F.col("p.n"), q["n"], percent))["id"]).alias("y"),
-    )
-    close = common.materialise(close_pairs(_ordered(some), classes, percent), "jaccard-close")
+    shared = work.write(index.join(sized, "key").join(classes.select("id", "n", "single", "last"), "id"), "jaccard-index")
+    pairs = work.write(counted_pairs(shared, percent), "jaccard-pairs")
     large = shared.where(F.col("m") > SMALL).select("key", "id", "n")
 
     # token sets, of one document of each class that is in a pair or a long list
-    used = close.select(F.col("x").alias("id")).union(close.select(F.col("y").alias("id"))).union(large.select("id")).distinct()
-    reps = used.join(classes.select("id", F.col("cls").alias("_op_cls"), "rep", "n"), "id")
-    every = source.mapInArrow(_sets(words), common.extended(source.select("doc_id"), "cls binary, tokens binary"))
-    found = every.join(reps, (F.col("cls") == F.col("_op_cls")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    known = common.materialise(found.groupBy("id", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
-
-    links = verified_pairs(close, known, percent).union(cluster_links(large, known, percent))
-    links = common.materialise(links.distinct(), "jaccard-links")
-    tied = components(links).withColumnRenamed("cls", "id").join(classes.select("id", "cls"), "id")
-    return rows.select("doc_id", "cls", "n"), common.materialise(tied.select("cls", "comp"), "jaccard-components")
+    used = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).union(large.select("id")).distinct()
+    known = work.write(token_sets(source, used.join(classes.select("id", "cls", "n", "rep"), "id"), words), "jaccard-sets")
+    links = pair_links(pairs, known, percent, work)
+    if not large.isEmpty():
+        links = links.union(cluster_links(large, known, percent, work))
+    links = work.write(links.distinct(), "jaccard-links")
+    tied = components(links, work).withColumnRenamed("cls", "id").join(classes.select("id", "cls"), "id")
+    return rows.select("doc_id", "copy", "cls", "n"), work.write(tied.select("cls", "comp"), "jaccard-components")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included."""
-    rows, joined = classes_and_links(docs, words, percent)
-    least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
-    placed = least.join(joined, "cls", "left")
-    ids = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = placed.join(ids, "comp", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    by_class = common.materialise(by_class, "jaccard-ids")
-    return rows.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with common.Workspace(docs.sparkSession, "jaccard") as work:
+        rows, joined = classes_and_links(docs, work, words, percent)
+        least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
+        placed = least.join(joined, "cls", "left")
+        ids = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("component_id"))
+        by_class = work.write(placed.join(ids, "comp", "left").select("cls", F.coalesce("component_id", "least").alias("component_id")), "ids")
+        found = rows.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return common.materialise(found, "jaccard-found")
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One document of each component, that of the smallest id, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: that of the smallest id (null: the last), then of the smallest
+    hash of its text.
 
-    Rows that repeat an id and a text stay once; documents without words or id all stay."""
-    found = common.materialise(join(docs, words, percent), "jaccard-found")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_op_gone")).distinct()
+    A row is known by its id and text, so rows that share an id may stay beside each other; rows that repeat
+    both stay once; rows without words all stay."""
+    spark = docs.sparkSession
+    with common.Workspace(spark, "jaccard") as work:
+        rows, joined = classes_and_links(docs, work, words, percent)
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+        least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(order).alias("least"))
+        placed = least.join(joined, "cls", "left").withColumn("group", F.coalesce(F.col("comp").cast("string"), F.hex("cls")))
+        best = placed.groupBy("group").agg(F.min("least").alias("best"))
+        by_class = work.write(placed.join(best, "group").select("cls", "best"), "best")
+        gone = rows.join(by_class, "cls").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("copy") == F.col("best.copy"))))
+        gone = common.materialise(gone.select(F.col("doc_id").alias("_op_doc"), F.col("copy").alias("_op_copy")).distinct(), "jaccard-gone")
+        twice = rows.where(F.col("cls").isNotNull()).groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     columns = docs.columns
-    left = docs.join(gone, docs["doc_id"] == F.col("_op_gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        same = Window.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).orderBy("doc_id")
-        left = left.withColumn("_op_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(same))).where("_op_n = 1")
+    copy = F.xxhash64(docs["text"])
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_op_doc")) & (copy == F.col("_op_copy")), "left_anti")
+    if twice:
+        wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+        left = left.withColumn("_op_n", F.when(wordless, 1).otherwise(F.row_number().over(same))).where("_op_n = 1")
     return left.select(*[F.col(f"`{c}`") for c in columns])
 
 
