@@ -56,7 +56,11 @@ class Workspace:
         return self
 
     def __exit__(self, *_: object) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.remove("")
+
+    def remove(self, what: str) -> None:
+        """Delete a folder of this one, or all of it."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}".rstrip("/"))
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def write(self, df: DataFrame, what: str) -> DataFrame:

@@ -15,13 +15,22 @@ as a collection is of bounded size.  A suffix repeats when the common prefix wit
 Collections.  Equal strings must meet, so texts are cut by content: each window of LENGTH bytes has an
 anchor, the ``ANCHOR``-byte string in it with the least hash.  Windows next to each other with the same
 anchor form a segment.  Equal windows have equal anchors in the same place, so all segments of one
-anchor are aligned at it, and the rounds go over those columns.  Only the anchors that occur twice or more, with
-different segments, make collections; segments that are equal as a whole are counted before anything is
-moved, so thousands of copies are one row.  Groups of over ``HOT`` different segments are split by the
-bytes that all windows of one half of the columns must share, without losing an equal pair.
+anchor are aligned at it, and the rounds go over those columns.  Only the anchors that occur twice or more
+make collections.  Of segments that are equal as a whole two take part, however many there are; what is found for
+them holds for the others.
+
+Hot anchors, of over ``HOT`` different segments, are cut into bands of columns, each keyed by the bytes that all
+its windows share, without losing an equal pair: into two bands first, and those that are still hot into
+narrower ones, down to one column, where the key is the string itself and is only counted.  Pieces of a
+band that are equal as a whole need not go deeper.
+
+Passages.  The report also counts passages: runs of over ``PASSAGE_WORDS`` words in strings of ``PASSAGE``
+bytes that start again elsewhere.  They are found first, in all texts.  A string of LENGTH bytes that repeats lies in such
+a run, so the strings of LENGTH are then found in the runs alone.
 
 Everything runs as joins and aggregates over hashes; the texts are written once to a table bucketed by
-the task that wrote them, so that fetching segments and removing bytes needs no shuffle of texts.
+the task that wrote them, so that fetching segments and removing bytes needs no shuffle of texts.  Tables in
+between go when the result is written.
 
 Cases: null text is empty; documents shorter than LENGTH keep everything; equal documents of LENGTH or
 more lose everything; a string that overlaps itself counts as repeated; repeated rows are documents of
@@ -33,23 +42,28 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH = 400
-ANCHOR = 64
+PASSAGE = 256
+PASSAGE_WORDS = 50
+ANCHOR = 32
 #: Window starts handled at once; positions must fit the low bits of a key.
 PIECE = 900_000
 LOW = 20
-HOT = 20_000
+HOT = 2_000
 #: Bytes of segments in one collection, about.
 COLLECTION = 12 << 20
 MAX_BUCKETS = 4096
+#: A band is cut into so many narrower ones.
+FINER = 8
 
 
 # --- cutting texts into segments ------------------------------------------------------------------
@@ -83,34 +97,44 @@ def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ROWS = "task int, row long, text binary, anchor array<long>, segment array<long>, start array<int>, windows array<int>, inside array<int>"
+ROWS = "task int, row long, text binary, anchor array<long>, segment array<long>, windows array<int>, inside array<int>"
 
 
 def _cut(length: int):
+    """The columns before ``text``, and ROWS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         serial = 0
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for value in batch.column(1):
+            columns: list[list] = [[] for _ in range(5)]
+            for value in batch.column(batch.num_columns - 1):
                 data = common.as_bytes(value if value.is_valid else None)
                 columns[0].append(data.tobytes())
-                for c, x in zip(columns[1:], segments(data, length), strict=True):
-                    c.append(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32))
+                anchor, segment, _, windows, inside = segments(data, length)
+                for c, x in zip(columns[1:], (anchor.view(np.int64), segment.view(np.int64), windows.astype(np.int32), inside.astype(np.int32)), strict=True):
+                    c.append(x)
             n = batch.num_rows
             rows = np.arange(serial, serial + n) + (task << 33)
             serial += n
-            types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3)
+            types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2)
+            names = [f.name for f in batch.schema][:-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(n, task, np.int32)), pa.array(rows), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                ["doc_id", "task", "row", "text", "anchor", "segment", "start", "windows", "inside"],
+                [*batch.columns[:-1], pa.array(np.full(n, task, np.int32)), pa.array(rows), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                [*names, "task", "row", "text", "anchor", "segment", "windows", "inside"],
             )
 
     return run
 
 
+def _started(batch: pa.RecordBatch, i: int, first: int) -> list[list[int]]:
+    """anchor, segment, start, windows, inside of a text's segments; ``first``: the column of anchors."""
+    anchor, segment, windows, inside = (np.asarray(batch.column(first + k)[i].values) for k in range(4))
+    return [x.tolist() for x in (anchor, segment, np.cumsum(windows) - windows, windows, inside)]
+
+
 # --- column-wise construction -------------------------------------------------------------------------
 
 
@@ -211,34 +235,28 @@ def _construct(length: int):
     return run
 
 
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
 def _fetch(length: int):
-    """The wanted segments of each text; halves of them, with a key of what must be shared, for hot anchors."""
+    """The wanted pieces of each text, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):
-                text, anchor, segment, start, windows, inside, want, hot = (batch.column(j)[i] for j in range(8))
-                data = text.as_buffer().to_pybytes()
-                arrays = [np.asarray(x.values) for x in (anchor, segment, start, windows, inside)]
-                wanted = dict(zip(np.asarray(want.values).tolist(), hot.values.to_pylist(), strict=True))
-                for h, s, at, n, place in zip(*(x.tolist() for x in arrays), strict=True):
-                    is_hot = wanted.pop(s, None)
-                    if is_hot is None:
-                        continue
-                    pieces = [(0, n, 0)]
-                    if is_hot:
-                        # windows that begin at most ``half`` before the anchor share what follows it, the others what precedes it
-                        half = (length - ANCHOR) // 2
-                        cut = min(n, max(0, place - half))
-                        key = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
-                        pieces = []
-                        if cut > 0:
-                            pieces.append((0, cut, key(b"l" + data[at + place - half : at + place + ANCHOR])))
-                        if cut < n:
-                            pieces.append((cut, n, key(b"r" + data[at + place : at + place + length - half])))
-                    for a, b, part in pieces:
-                        for c, x in zip(out, (h, s, part, a, place - a, data[at + a : at + b + length - 1]), strict=True):
+                data = batch.column(0)[i].as_buffer().to_pybytes()
+                wanted: dict[int, list] = {}
+                for w in batch.column(5)[i].as_py():
+                    wanted.setdefault(w["segment"], []).append(w)
+                for h, s, at, n, place in zip(*_started(batch, i, 1), strict=True):
+                    for w in wanted.get(s, ()):
+                        if w["copies"] < 1:
+                            continue
+                        w["copies"] -= 1
+                        a, b = w["from"], min(n, w["to"])
+                        for c, x in zip(out, (h, s, w["part"], a, place - a, data[at + a : at + b + length - 1]), strict=True):
                             c.append(x)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["anchor", "segment", "part", "shift", "inside", "bytes"])
@@ -246,6 +264,38 @@ def _fetch(length: int):
     return run
 
 
+def _bands(length: int, width: int):
+    """The wanted pieces cut into bands of ``width`` columns: key of what the windows of a band share, hash of the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for i in range(batch.num_rows):
+                data, row = batch.column(0)[i].as_buffer().to_pybytes(), batch.column(6)[i].as_py()
+                wanted: dict[int, list] = {}
+                for w in batch.column(5)[i].as_py():
+                    wanted.setdefault(w["segment"], []).append(w)
+                for h, s, at, n, place in zip(*_started(batch, i, 1), strict=True):
+                    for w in wanted.pop(s, ()):
+                        a, stop = w["from"], min(n, w["to"])
+                        while a < stop:
+                            band = (a - place) // width
+                            b = min(stop, place + (band + 1) * width)
+                            low = at + place + band * width  # where the band's first window begins
+                            part = _key(band.to_bytes(8, "little", signed=True), data[low + width - 1 : low + length])
+                            piece = _key((a - place).to_bytes(8, "little", signed=True), data[at + a : at + b + length - 1])
+                            for c, x in zip(out, (h, s, row, a, b, part, piece, w["n"]), strict=True):
+                                c.append(x)
+                            a = b
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["anchor", "segment", "row", "from", "to", "part", "piece", "n"])
+
+    return run
+
+
+BANDS = "anchor long, segment long, row long, from int, to int, part long, piece long, n long"
+
+
 # --- the operator -----------------------------------------------------------------------------------
 
 
@@ -260,84 +310,193 @@ def covered(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+SPANS = "array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _spans(length: int):
-    """doc_id, n_bytes, spans, kept of each text, from the ranges of repeated windows in its segments."""
+    """task, row, spans: the bytes covered by the ranges of repeated windows in a text's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, spans, kept = [], [], []
+            spans = []
             for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_buffer().to_pybytes()
-                found: list[tuple[int, int]] = []
-                if batch.column(5)[i].is_valid:
-                    ranges: dict[int, list[tuple[int, int]]] = {}
-                    for x in batch.column(5)[i].as_py():
-                        ranges.setdefault(x["segment"], []).append((x["from"], x["to"]))
-                    a, b = [], []
-                    for s, at, n in zip(*(np.asarray(batch.column(j)[i].values).tolist() for j in (2, 3, 4)), strict=True):
-                        for f, t in ranges.get(s, ()):
-                            a.append(at + f)
-                            b.append(at + min(t, n - 1) + length)
-                    found = covered(np.asarray(a, np.int64), np.asarray(b, np.int64))
-                at, rest = 0, []
-                for a, b in found:
-                    rest.append(data[at:a])
-                    at = b
-                rest.append(data[at:])
-                sizes.append(len(data))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                kept.append(b"".join(rest))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"],
-            )
+                ranges: dict[int, list[tuple[int, int]]] = {}
+                for x in batch.column(6)[i].as_py():
+                    ranges.setdefault(x["segment"], []).append((x["from"], x["to"]))
+                a, b = [], []
+                for _, s, at, n, _ in zip(*_started(batch, i, 2), strict=True):
+                    for f, t in ranges.get(s, ()):
+                        a.append(at + f)
+                        b.append(at + min(t, n - 1) + length)
+                spans.append([{"start": x, "end": y} for x, y in covered(np.asarray(a, np.int64), np.asarray(b, np.int64))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS)], ["task", "row", "spans"])
 
     return run
 
 
+def _runs(length: int):
+    """(task, row, text, spans) to the runs of ``length`` bytes or more: outer_task, outer_row, at, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for task, row, text, spans in zip(*batch.columns, strict=True):
+                data = text.as_buffer().to_pybytes()
+                for x in spans.as_py():
+                    if x["end"] - x["start"] >= length:
+                        for c, v in zip(out, (task.as_py(), row.as_py(), x["start"], data[x["start"] : x["end"]]), strict=True):
+                            c.append(v)
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["outer_task", "outer_row", "at", "text"])
+
+    return run
+
+
+def without(data: bytes, spans: list[dict]) -> bytes:
+    rest, at = [], 0
+    for x in spans:
+        rest.append(data[at : x["start"]])
+        at = x["end"]
+    return b"".join([*rest, data[at:]])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans) to doc_id, n_bytes, spans, kept."""
+    for batch in batches:
+        spans = [x.as_py() or [] for x in batch.column(2)]
+        data = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+        kept = [without(d, x) for d, x in zip(data, spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
+DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long"
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans, passages) to doc_id and DIGEST."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for text, spans, runs_ in zip(*batch.columns[1:], strict=True):
+            data, gone = text.as_buffer().to_pybytes(), spans.as_py() or []
+            kept = without(data, gone)
+            words = [len(data[x["start"] : x["end"]].split()) for x in runs_.as_py() or []]
+            words = [w for w in words if w > PASSAGE_WORDS]
+            for c, v in zip(out, (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(words), sum(words)), strict=True):
+                c.append(v)
+        types = (*[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", *(f.split()[0] for f in DIGEST.split(", "))])
+
+
+@contextmanager
+def _met_by_task(spark: SparkSession):
+    """Joins on task and row take the buckets by task as they are; the setting goes back afterwards."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Texts:
+    """A table of texts cut into segments of windows of ``length``, bucketed by task, and what repeats in it."""
+
+    def __init__(self, source: DataFrame, length: int, work: common.Workspace, buckets: int = 0) -> None:
+        """source: any columns, then ``text``."""
+        self.spark, self.length, self.work = source.sparkSession, length, work
+        self.name = f"suffix_{uuid.uuid4().hex}"
+        cut = source.mapInArrow(_cut(length), common.extended(source.drop("text"), ROWS))
+        # fewer buckets than shuffle partitions would make Spark shuffle the texts after all
+        self.buckets = buckets or max(1, min(MAX_BUCKETS, max(source.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+        # every task writes one value of ``task``, so one file; the joins below find it where it is
+        cut.write.bucketBy(self.buckets, "task").option("compression", "zstd").option("path", f"{work.path}/{self.name}").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table {self.name}")
+
+    def _with(self, wants: DataFrame, *columns: str) -> DataFrame:
+        """Texts with the list of what is wanted of each.  wants: row, and columns."""
+        listed = wants.groupBy(F.shiftright("row", 33).cast("int").alias("task"), "row").agg(F.collect_list(F.struct(*columns)).alias("want"))
+        return self.table.join(listed, ["task", "row"]).select("text", "anchor", "segment", "windows", "inside", "want", "row")
+
+    def spans(self) -> DataFrame:
+        """task, row, spans of the texts that hold strings of ``length`` bytes which start elsewhere, too."""
+        work, span = self.work, self.length - min(ANCHOR, self.length) + 1
+        every = self.table.select("row", F.explode(F.arrays_zip("anchor", "segment")).alias("x")).select("row", "x.anchor", "x.segment")
+        groups = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1)
+        members = work.write(every.join(groups.select("anchor"), "anchor"), "suffix-members")
+        distinct = members.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.max("row").alias("last"))
+        kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+        known = work.write(distinct.join(kinds, "anchor"), "suffix-known")
+
+        # of every segment one text, of those that repeat two (or one text that has it twice)
+        piece = lambda row, copies: (row, "anchor", "segment", F.lit(0).alias("part"), F.lit(0).alias("from"), F.lit(PIECE).alias("to"), copies.alias("copies"))
+        cold = known.where(F.col("kinds") <= HOT)
+        wants = cold.select(*piece(F.col("row"), F.when((F.col("n") > 1) & (F.col("row") == F.col("last")), 2).otherwise(1)))
+        wants = wants.union(cold.where(F.col("last") != F.col("row")).select(*piece(F.col("last").alias("row"), F.lit(1))))
+        hot = known.where(F.col("kinds") > HOT).select("row", "segment", "n", F.lit(0).alias("from"), F.lit(PIECE).alias("to"))
+        ranges, width = [], (span + 1) // 2
+        while not hot.isEmpty():
+            banded = work.write(self._with(hot, "segment", "from", "to", "n").mapInArrow(_bands(self.length, width), BANDS), "suffix-bands")
+            pieces = banded.groupBy("anchor", "part", "piece").agg(F.sum("n").alias("c"), F.min(F.struct("row", "segment", "from", "to")).alias("rep"))
+            parts = pieces.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("kinds"))
+            pieces = work.write(pieces.join(parts, ["anchor", "part"]), "suffix-pieces")
+            equal = banded.join(pieces.where("c > 1").select("anchor", "part", "piece"), ["anchor", "part", "piece"])
+            ranges.append(work.write(equal.select("anchor", "segment", "from", (F.col("to") - 1).alias("to")), "suffix-equal"))
+            others = pieces.where("kinds > 1").select("rep.row", "anchor", "rep.segment", "part", "rep.from", "rep.to", "c", "kinds")
+            wants = wants.union(others.where(F.col("kinds") <= HOT).select("row", "anchor", "segment", "part", "from", "to", F.lit(1)))
+            # one column: all pieces of a part are one string, so nothing is left
+            hot = others.where(F.col("kinds") > HOT).select("row", "segment", F.col("c").alias("n"), "from", "to")
+            width = max(1, -(-width // FINER))
+
+        wants = work.write(wants, "suffix-wants")
+        volume = wants.count() * (self.length + 150)
+        tasks = max(self.spark.sparkContext.defaultParallelism, volume // COLLECTION + 1)
+        fetched = self._with(wants, "segment", "part", "from", "to", "copies").mapInArrow(_fetch(self.length), "anchor long, segment long, part long, shift int, inside int, bytes binary")
+        found = fetched.repartition(tasks, "anchor", "part").mapInArrow(_construct(self.length), "anchor long, segment long, from int, to int")
+        ranges = [work.write(found.distinct(), "suffix-ranges"), *ranges]
+        for more in ranges[1:]:
+            ranges[0] = ranges[0].union(more)
+        packed = ranges[0].groupBy("anchor", "segment").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+        hits = members.join(packed, ["anchor", "segment"]).select("row", "segment", F.explode("ranges").alias("r"))
+        texts = self._with(hits.select("row", "segment", "r.from", "r.to").distinct(), "segment", "from", "to")
+        texts = texts.select(F.shiftright("row", 33).cast("int").alias("task"), "row", "anchor", "segment", "windows", "inside", "want")
+        return work.write(texts.mapInArrow(_spans(self.length), f"task int, row long, spans {SPANS}"), "suffix-spans")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, array of start and end), kept (the bytes that stay)."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    cut = source.mapInArrow(_cut(length), common.extended(source.select("doc_id"), ROWS))
-    # fewer buckets than shuffle partitions would make Spark shuffle the texts after all
-    buckets = max(1, min(MAX_BUCKETS, max(source.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    name = f"suffix_{uuid.uuid4().hex}"
-    # every task writes one value of ``task``, so one file; the joins below find it where it is
-    cut.write.bucketBy(buckets, "task").option("compression", "zstd").saveAsTable(name)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    texts = spark.table(name)
-
-    every = texts.select("task", "row", F.explode(F.arrays_zip("anchor", "segment")).alias("x")).select("task", "row", "x.anchor", "x.segment")
-    distinct = every.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
-    groups = distinct.groupBy("anchor").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("kinds")).where(F.col("of") > 1)
-    known = common.materialise(distinct.join(groups, "anchor"), "suffix-known")
-
-    # one text of each segment that has others of its anchor beside it
-    task = F.shiftright("row", 33).cast("int")
-    wanted = known.where(F.col("kinds") > 1).groupBy(task.alias("task"), "row").agg(F.collect_list(F.struct("segment", (F.col("kinds") > HOT).alias("hot"))).alias("want"))
-    fetched = texts.join(wanted, ["task", "row"]).select("text", "anchor", "segment", "start", "windows", "inside", F.col("want.segment").alias("want"), F.col("want.hot").alias("hot"))
-    pieces = fetched.mapInArrow(_fetch(length), "anchor long, segment long, part long, shift int, inside int, bytes binary")
-    volume = known.where(F.col("kinds") > 1).count() * (length + 150)
-    parts = max(spark.sparkContext.defaultParallelism, volume // COLLECTION + 1)
-    found = pieces.repartition(parts, "anchor", "part").mapInArrow(_construct(length), "anchor long, segment long, from int, to int")
-    # windows of segments that are there twice as a whole are all repeated
-    whole = known.where(F.col("n") > 1).select("anchor", "segment", F.lit(0).alias("from"), F.lit(PIECE).alias("to"))
-    ranges = common.materialise(found.join(whole.select("segment"), "segment", "left_anti").select("anchor", "segment", "from", "to").union(whole), "suffix-ranges")
-
-    packed = ranges.groupBy("anchor", "segment").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    hits = every.distinct().join(packed, ["anchor", "segment"])
-    by_text = hits.select("task", "row", "segment", F.explode("ranges").alias("r")).groupBy("task", "row").agg(F.collect_list(F.struct("segment", "r.from", "r.to")).alias("ranges"))
-    joined = texts.join(by_text, ["task", "row"], "left").select("doc_id", "text", "segment", "start", "windows", "ranges")
-    return joined.mapInArrow(_spans(length), common.extended(source.select("doc_id"), "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"))
-
-
-def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = dedup(docs, length)
-    return found.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-    )
+    with common.Workspace(spark, "suffix") as work, _met_by_task(spark):
+        texts = Texts(docs.select("doc_id", "text"), length, work)
+        joined = texts.table.join(texts.spans(), ["task", "row"], "left").select("doc_id", "text", "spans")
+        found = joined.mapInArrow(_kept, common.extended(joined.select("doc_id"), f"n_bytes long, spans {SPANS}, kept binary"))
+        found = common.materialise(found, "suffix-kept")
+        texts.drop()
+    return found
+
+
+def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; and of the passages that repeat, n_passages and passage_words."""
+    spark = docs.sparkSession
+    passage = min(passage, length)
+    with common.Workspace(spark, "suffix") as work, _met_by_task(spark):
+        texts = Texts(docs.select("doc_id", "text"), passage, work)
+        passages = texts.spans()
+        runs_ = texts.table.select("task", "row", "text").join(passages, ["task", "row"]).mapInArrow(_runs(length), "outer_task int, outer_row long, at long, text binary")
+        inner = Texts(runs_, length, work, texts.buckets)
+        within = inner.table.select("task", "row", "outer_row", "at").join(inner.spans(), ["task", "row"]).select("outer_row", "at", F.explode("spans").alias("x"))
+        span = F.struct((F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
+        removed = within.groupBy(F.shiftright("outer_row", 33).cast("int").alias("task"), F.col("outer_row").alias("row")).agg(F.array_sort(F.collect_list(span)).alias("removed"))
+        removed = work.write(removed, "suffix-removed")
+        joined = texts.table.join(removed, ["task", "row"], "left").join(passages, ["task", "row"], "left").select("doc_id", "text", "removed", "spans")
+        found = common.materialise(joined.mapInArrow(_digest, common.extended(joined.select("doc_id"), DIGEST)), "suffix-report")
+        inner.drop()
+        texts.drop()
+    return found
 
 
 def brute(texts: list[bytes], length: int = LENGTH) -> list[dict[str, object]]:
