@@ -18,12 +18,12 @@ frequent, are broadcast (8 bytes each), the others count as rare.
 Documents with equal sets form one class and go on as one row.  Two classes in a list of up to ``SMALL`` are a
 pair when the number of lists they share allows the similarity: of the two prefixes one ends first, and
 what it holds up to there is either shared and counted or missing in the partner.  Pairs are verified by intersecting their
-sets: first one pair for each class, then the pairs that these links leave in different components.
+sets: first one pair for each class, then the pairs that do not hang together by these links.
 
 Longer lists come from large groups of near copies: classes that share one are put into one cluster, cut
 into blocks of about ``BLOCK`` classes or ``BLOCK_TOKENS`` tokens.  Every class is first compared with a few hubs of
-its cluster.  What hangs together then need not be compared any more: only classes outside the largest component
-of their cluster go on, in blocks, against all blocks; each pair of blocks counts all its intersections at once,
+its cluster.  Those linked to the same hub need not be compared with each other: only classes apart from the most
+linked hub of their cluster go on, in blocks, against all blocks; each pair of blocks counts all its intersections at once,
 as a product of 0/1 matrices, of which only the links that connect its classes leave the task.  Links become components
 by alternating large and small stars.  All of it runs as joins and aggregates on shared storage; nothing
 that grows with the corpus comes to the driver, and the tables in between go when the components are known.
@@ -261,9 +261,11 @@ def pair_links(pairs: DataFrame, known: DataFrame, percent: int, work: common.Wo
     """Links with the components of all pairs that are similar: one pair of each class first, then what is apart."""
     one = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     links = work.write(verified_pairs(one, known, percent), "jaccard-first")
-    at = components(links, work)
-    left = lambda k: at.select(F.col("cls").alias(k), F.col("comp").alias(f"c{k}"))
-    apart = pairs.join(left("x"), "x", "left").join(left("y"), "y", "left").where(~F.coalesce("cx", "x").eqNullSafe(F.coalesce("cy", "y")))
+    # two steps up along these links; pairs that meet there hang together already
+    up = links.select(F.col("y").alias("id"), F.col("x").alias("up"))
+    tops = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("top"))
+    side = lambda k: tops.select(F.col("id").alias(k), F.col("top").alias(f"t{k}"))
+    apart = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("tx", "x") != F.coalesce("ty", "y"))
     apart = apart.select("x", "y").join(one, ["x", "y"], "left_anti")
     return links.union(work.write(verified_pairs(apart, known, percent), "jaccard-second"))
 
@@ -353,12 +355,11 @@ def cluster_links(large: DataFrame, known: DataFrame, percent: int, work: common
     first = members.groupBy("comp", "own").cogroup(meets.groupBy("comp", "own")).applyInPandas(_hub_links(percent), "x long, y long")
     first = work.write(first, "jaccard-hubs")
 
-    # outside the largest component of a cluster, classes go against all blocks
-    at = components(first, work).select(F.col("cls").alias("id"), F.col("comp").alias("part"))
-    split = found.join(at, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    sizes = split.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("comp").agg(F.max(F.struct("c", "part")).alias("top")).select("comp", F.col("top.part").alias("top"))
-    apart = _blocked(split.join(largest, "comp").where(F.col("part") != F.col("top")).select("comp", "id", "n"), "rest")
+    # what is not linked to the cluster's most linked hub goes against all blocks
+    to = found.select("comp", "id").join(first.select(F.col("x").alias("hub"), F.col("y").alias("id")), "id").join(hub.select("comp", "hub"), ["comp", "hub"])
+    top = to.groupBy("comp", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("comp").agg(F.max(F.struct("c", "hub")).alias("top")).select("comp", F.col("top.hub").alias("hub"))
+    near = to.join(top, ["comp", "hub"]).select("comp", "id").union(top.select("comp", F.col("hub").alias("id")))
+    apart = _blocked(found.select("comp", "id", "n").join(near, ["comp", "id"], "left_anti"), "rest")
     apart = work.write(apart, "jaccard-apart")
     rest = apart.groupBy("comp").agg(F.max("rest").alias("rest"))
     others = found.join(apart.select("comp", "id"), ["comp", "id"], "left_anti").join(rest, "comp")
