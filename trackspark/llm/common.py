@@ -7,6 +7,7 @@ take part (operators that pass columns through use ``_op_`` names inside).
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
@@ -63,6 +64,11 @@ class Workspace:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}".rstrip("/"))
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def release(self) -> None:
+        """Let the shuffle files of finished jobs go: Spark drops them once the driver's JVM has collected their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def write(self, df: DataFrame, what: str) -> DataFrame:
         path = f"{self.path}/{what}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)

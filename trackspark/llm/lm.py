@@ -15,8 +15,9 @@ dealt one by one, and what such a word has in all parts is summed (a bounded num
 sweep a part sends the tables of each of its contexts to the bucket of the context, where they are summed over
 the parts and sent back: nothing but a few totals passes through the driver.  Which contexts a part has, and
 their customers, is sent once; a bucket keeps for each part which of its numbers are meant.  The seating of a
-part is written after each sweep.  Parts answer each batch with the probabilities of its pairs.  Counts
-cover all training texts; the number of parts and buckets follows the volume, so that each stays of bounded
+part is written after each sweep.  Parts answer each batch with the probabilities of its pairs.  What is
+written goes as soon as nothing reads it any more.  Counts
+cover all training texts; a word is known by 64 bits of hash, as a context by 48 of them; the number of parts and buckets follows the volume, so that each stays of bounded
 size.  A frequent word is one row per batch and part, however often it comes.
 
 Cases: null text is empty: one end token; a text is lower-cased in A-Z only; words that training lacks
@@ -44,12 +45,15 @@ HOT_WORDS = 255
 #: The context where a text begins, and the end token's word.
 START = np.uint64(0x57A457A457A457A3)
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
+CONTEXT_BITS = np.uint64((1 << 48) - 1)
 SWEEPS = 4
 BURN_IN = 2
 STRENGTH = 10.0
 ROOT_STRENGTH = 50.0
+#: Customers of a dish that are seated one by one.
+SINGLY = 32
 #: Tokens of a batch, and pairs of a part (about).
-BATCH_TOKENS = 5_000_000
+BATCH_TOKENS = 2_000_000
 PART_PAIRS = 1_500_000
 FREQUENT_SHARE = 1 / 5000
 
@@ -78,13 +82,39 @@ def contexts_of(words: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
     """The context of each token: the word before it, or START."""
     out = np.concatenate([[START], words[:-1]]).astype(np.uint64)
     out[np.concatenate([[0], np.cumsum(n_tokens)[:-1]])] = START
-    return out
+    return out & CONTEXT_BITS
 
 
 def _blob(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
+def _pack(*blobs: bytes) -> bytes:
+    """Blobs with their lengths, compressed: shuffles compress little."""
+    data = np.array([len(blobs), *map(len, blobs)], "<u8").tobytes() + b"".join(blobs)
+    return np.uint64(len(data)).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data) -> list[memoryview]:
+    data = memoryview(data)
+    data = memoryview(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"))
+    n = int.from_bytes(data[:8], "little")
+    ends = np.cumsum(np.frombuffer(data[8 : 8 + 8 * n], "<u8").astype(np.int64)) + 8 * (n + 1)
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def _pack_pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray, kind: str) -> bytes:
+    """Pairs in order of word: words with the lengths of their runs, contexts in two planes, counts."""
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    run = np.diff(np.append(first, len(word)))
+    return _pack(_blob(word[first], "<u8"), _blob(run, "<u4"), _blob(context >> np.uint64(32), "<u2"), _blob(context & np.uint64(0xFFFFFFFF), "<u4"), _blob(n, kind))
+
+
+def _unpack_pairs(data, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word, run, high, low, n = (np.frombuffer(b, k) for b, k in zip(_unpack(data), ("<u8", "<u4", "<u2", "<u4", kind), strict=True))
+    return np.repeat(word, run), (high.astype(np.uint64) << np.uint64(32)) | low, n
+
+
 # --- frequent words: their pairs are dealt singly ------------------------------------------------------
 
 
@@ -122,7 +152,7 @@ def frequent_words(training: DataFrame) -> np.ndarray:
 
 # --- batches ------------------------------------------------------------------------------------------
 
-BATCH = "kind int, batch string, part int, word binary, context binary, n binary"
+BATCH = "kind int, batch string, part int, size int, pairs binary, ids binary"
 
 
 def place(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -134,8 +164,8 @@ def place(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _batches(shipped: common.Shipped, parts: int):
-    """Rows of kind 1: a batch's distinct pairs in a part, with training counts; of kind 0: its documents,
-    as (ids, held out, tokens, pair numbers) in the columns batch, word, context, n."""
+    """Rows of kind 1: a batch's distinct pairs in a part, with training counts; of kind 0: its documents, as
+    (ids, held out, tokens) in the column ids and the pair of every token in the column pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,12 +194,12 @@ def _batches(shipped: common.Shipped, parts: int):
             w, c, p = w[order], c[order], p[order]
             name = f"{task}-{serial}"
             serial += 1
-            rows = [(0, name, -1, _blob(np.stack([ids, out.astype(np.int64), tokens]), "<i8"), _blob(number, "<u4"), b"")]
+            rows = [(0, name, -1, 0, _blob(number, "<u4"), _blob(np.stack([ids, out.astype(np.int64), tokens]), "<i8"))]
             bounds = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-            rows += [(1, name, int(p[s]), _blob(w[s:e], "<u8"), _blob(c[s:e], "<u8"), _blob(n[s:e], "<u4")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows += [(1, name, int(p[s]), int(e - s), _pack_pairs(w[s:e], c[s:e], n[s:e], "<u4"), None) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             columns = list(zip(*rows, strict=True))
-            types = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "batch", "part", "word", "context", "n"])
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "batch", "part", "size", "pairs", "ids"])
 
         size = 0
         for texts, rows, batch in _chunks(batches, 2):
@@ -188,20 +218,24 @@ def _batches(shipped: common.Shipped, parts: int):
     return run
 
 
-PART = "part int, word binary, context binary, n binary, asked binary, asks array<struct<batch:string,size:int>>"
+PART = "part int, pairs binary, asked binary, asks array<struct<batch:string,size:int>>"
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     """One row per part: its distinct pairs with summed counts, and which of them each batch asks for."""
-    words, contexts, n = (np.concatenate([np.frombuffer(b, t) for b in rows[c]]) for c, t in (("word", "<u8"), ("context", "<u8"), ("n", "<u4")))
+    words, contexts, n = (np.concatenate(x) for x in zip(*(_unpack_pairs(b, "<u4") for b in rows["pairs"]), strict=True))
     order = np.lexsort((contexts, words))
     w, c = words[order], contexts[order]
     new = np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     total = np.bincount(number, weights=n)
-    asks = [{"batch": b, "size": len(x) // 8} for b, x in zip(rows["batch"], rows["word"], strict=True)]
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "word": [_blob(w[new], "<u8")], "context": [_blob(c[new], "<u8")], "n": [_blob(total, "<i8")], "asked": [_blob(number, "<u4")], "asks": [asks]})
+    asks = [{"batch": b, "size": n} for b, n in zip(rows["batch"], rows["size"], strict=True)]
+    # pairs of a batch are in this order, too, so their numbers grow, by little
+    step = np.diff(number, prepend=0)
+    first = np.cumsum(rows["size"].to_numpy()) - rows["size"].to_numpy()
+    step[first] = number[first]
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "pairs": [_pack_pairs(w[new], c[new], total, "<i8")], "asked": [_pack(_blob(step, "<u4"))], "asks": [asks]})
 
 
 # --- the model ----------------------------------------------------------------------------------------
@@ -299,12 +333,12 @@ class Totals:
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that customers of the same dish take, coming one after another: a new one with weight
     ``fresh`` + discount per table of the dish held by the base, an old one with customers minus discount per
-    table.  The first eight come singly, later ones in groups of an eighth of those seated."""
+    table.  The first ``SINGLY`` come singly, later ones in groups of that part of those seated."""
     tables = (customers > 0).astype(np.int64)
     active = np.flatnonzero(customers > 1)
     seated = 1
     while len(active):
-        step = max(1, seated // 8)
+        step = max(1, seated // SINGLY)
         t, f = tables[active], fresh[active]
         come = np.minimum(step, customers[active] - seated)
         tables[active] = t + rng.binomial(come, f / (f + np.maximum(1e-9, seated - discount * t)))
@@ -325,8 +359,7 @@ SHAPE = "bucket int, parts array<int>, sizes array<int>, at binary, customers bi
 
 
 def _load(table: pa.Table | pa.RecordBatch, i: int, hot: np.ndarray) -> Part:
-    get = lambda c, t: np.frombuffer(table.column(c)[i].as_buffer(), t)
-    return Part(get("word", "<u8"), get("context", "<u8"), get("n", "<i8"), table.column("part")[i].as_py(), hot)
+    return Part(*_unpack_pairs(table.column("pairs")[i].as_buffer(), "<i8"), table.column("part")[i].as_py(), hot)
 
 
 def _by_bucket(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -420,10 +453,10 @@ def _answers(shipped: common.Shipped, buckets: int):
             model = _restored(part, back, s, buckets, history[s])
             mean = mean + part.predictive(model) / len(samples)
         n = part.counts(model)
-        asked = np.frombuffer(rows.column("asked")[0].as_buffer(), "<u4")
+        step = np.frombuffer(_unpack(rows.column("asked")[0].as_buffer())[0], "<u4")
         asks = rows.column("asks")[0].as_py()
-        parts = np.split(asked, np.cumsum([a["size"] for a in asks])[:-1])
-        columns = [a["batch"] for a in asks], [part.part] * len(asks), [_blob(np.log10(mean[x]), "<f4") for x in parts], [_blob(n[x], "<u4") for x in parts]
+        parts = [np.cumsum(x.astype(np.int64)) for x in np.split(step, np.cumsum([a["size"] for a in asks])[:-1])]
+        columns = [a["batch"] for a in asks], [part.part] * len(asks), [_blob(np.log10(mean[x]), "<f4") for x in parts], [_pack(_blob(n[x], "<u8")) for x in parts]
         types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["batch", "part", "score", "n"])
 
@@ -436,10 +469,10 @@ def _scored(total: float, known: float):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("part")
         score = np.concatenate([np.frombuffer(b, "<f4") for b in answers["score"]]).astype(float)
-        n = np.concatenate([np.frombuffer(b, "<u4") for b in answers["n"]]).astype(float)
+        n = np.concatenate([np.frombuffer(_unpack(b)[0], "<u8") for b in answers["n"]]).astype(float)
         base = np.log10((n + 1) / (total + known + 1))
-        ids, out, tokens = np.frombuffer(docs["word"].iloc[0], "<i8").reshape(3, -1)
-        number = np.frombuffer(docs["context"].iloc[0], "<u4")
+        ids, out, tokens = np.frombuffer(docs["ids"].iloc[0], "<i8").reshape(3, -1)
+        number = np.frombuffer(docs["pairs"].iloc[0], "<u4")
         first = np.concatenate([[0], np.cumsum(tokens)[:-1]])
         add = lambda x: np.add.reduceat(x[number], first)
         return pd.DataFrame({"row": ids, "held_out": out.astype(bool), "n_tokens": tokens, "n_known": add((n > 0).astype(np.int64)), "train_tokens": int(total), "base_score": add(base), "score": add(score)})
@@ -447,12 +480,22 @@ def _scored(total: float, known: float):
     return run
 
 
-def _bucketed(df: DataFrame, n: int, key: str, what: str) -> DataFrame:
-    """Like common.materialise, kept by a key, so that no grouping by it moves the rows again."""
-    path = common.scratch(df.sparkSession, what)
-    name = f"lm_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    return df.sparkSession.table(name)
+class _Tables:
+    """Bucketed tables inside a workspace: kept by a key, so that no grouping by it moves the rows again."""
+
+    def __init__(self, work: common.Workspace) -> None:
+        self.work, self.names = work, []
+
+    def write(self, df: DataFrame, n: int, key: str, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+        name = f"lm_{uuid.uuid4().hex}"
+        writer = df.write.option("compression", "zstd").option("path", f"{self.work.path}/{what}").bucketBy(n, key)
+        (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+        self.names.append(name)
+        return df.sparkSession.table(name)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.work.spark.sql(f"drop table {name}")
 
 
 def _overall(sent: DataFrame, hot: np.ndarray, before: tuple | None, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -488,25 +531,33 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     buckets = max(8, parts // 4)
     hot = frequent_words(source.where(~F.col("held_out")))
     missing_id = F.lit(-(1 << 62))  # a null id comes back as null
-    packed = source.withColumn("doc_id", F.coalesce("doc_id", missing_id)).mapInArrow(_batches(common.Shipped(spark, hot), parts), BATCH)
-    packed = _bucketed(packed, parts, "batch", "lm-batches")
-    merged = packed.where(F.col("kind") == 1).drop("kind").repartition(parts, "part").groupBy("part").applyInPandas(_merge, PART)
-    merged = _bucketed(merged, parts, "part", "lm-parts")
-    sent = common.materialise(merged.mapInArrow(_first(common.Shipped(spark, hot), buckets), SENT), "lm-sent")
-    shapes = sent.where(F.col("bucket") >= 0).select("part", "bucket", "context", "customers").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shape, SHAPE)
-    shapes = _bucketed(shapes, buckets, "bucket", "lm-contexts")
-    customers = common.materialise(shapes.mapInPandas(_customers, BACK), "lm-customers")
-    history, back = [_overall(sent, hot, None, 0)], [_back(sent, shapes, 0)]
-    for s in range(SWEEPS):
-        swept = merged.groupBy("part").cogroup(customers.union(back[s]).groupBy("part")).applyInArrow(_swept(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), SENT)
-        sent = common.materialise(swept, "lm-sent")
-        history.append(_overall(sent, hot, history[-1], s))
-        back.append(_back(sent, shapes, s + 1))
-    total, known = history[0][2], history[0][0][2]
-    late = functools.reduce(DataFrame.union, back[min(BURN_IN, SWEEPS - 1) + 1 :], customers)
-    answers = merged.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(_answers(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), "batch string, part int, score binary, n binary")
-    found = packed.where(F.col("kind") == 0).select("batch", "word", "context").groupBy("batch").cogroup(answers.groupBy("batch"))
-    scored = found.applyInPandas(_scored(total, known), "row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with common.Workspace(spark, "lm") as work:
+        tables = _Tables(work)
+        packed = source.withColumn("doc_id", F.coalesce("doc_id", missing_id)).mapInArrow(_batches(common.Shipped(spark, hot), parts), BATCH)
+        packed = tables.write(packed, parts, "batch", "batches", ("kind",))
+        merged = packed.where(F.col("kind") == 1).select("batch", "part", "size", "pairs").repartition(parts, "part").groupBy("part").applyInPandas(_merge, PART)
+        merged = tables.write(merged, parts, "part", "parts")
+        work.remove("batches/kind=1")
+        work.release()
+        with common.Workspace(spark, "lm-first") as own:
+            sent = own.write(merged.mapInArrow(_first(common.Shipped(spark, hot), buckets), SENT), "sent")
+            shapes = sent.where(F.col("bucket") >= 0).select("part", "bucket", "context", "customers").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shape, SHAPE)
+            shapes = tables.write(shapes, buckets, "bucket", "contexts")
+            customers = work.write(shapes.mapInPandas(_customers, BACK), "customers")
+            history, back = [_overall(sent, hot, None, 0)], [work.write(_back(sent, shapes, 0), "back")]
+        for s in range(SWEEPS):
+            with common.Workspace(spark, "lm-sweep") as own:
+                swept = merged.groupBy("part").cogroup(customers.union(back[s]).groupBy("part")).applyInArrow(_swept(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), SENT)
+                sent = own.write(swept, "sent")
+                history.append(_overall(sent, hot, history[-1], s))
+                back.append(work.write(_back(sent, shapes, s + 1), "back"))
+        total, known = history[0][2], history[0][0][2]
+        late = functools.reduce(DataFrame.union, back[min(BURN_IN, SWEEPS - 1) + 1 :], customers)
+        answers = merged.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(_answers(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), "batch string, part int, score binary, n binary")
+        found = packed.where(F.col("kind") == 0).select("batch", "pairs", "ids").groupBy("batch").cogroup(answers.groupBy("batch"))
+        scored = found.applyInPandas(_scored(total, known), "row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        scored = common.materialise(scored, "lm-scores")
+        tables.drop()
     doc_id = F.when(F.col("row") != missing_id, F.col("row"))
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.select(doc_id.alias("doc_id"), *scored.columns[1:], perplexity.alias("perplexity"))
