@@ -3,21 +3,21 @@
 Pages of one host are merged into a style tree: a node per path of (tag, class) from the body down.
 A node's presentation importance is the entropy of the child sequences it shows on the host's pages,
 its content importance falls with the share of pages that repeat its texts; the importance of a branch
-mixes those of all nodes below it, nearer ones counting more.  From each page the branches of low
-importance are removed.
+mixes those of all nodes below it, nearer ones counting more.  How far it moves from one half, either way, grows
+with the number of pages that show the node.  From each page the branches of low importance are removed.
 
-Entropy alone cannot tell an article from a menu that differs on every page, or a copied article from a
-template, so importance is mixed with what the markup itself says: tags and class words of menus,
-headers, footers, adverts, forms and the like have a prior of 0, articles one of 1, anything else
-lies between and is decided by the tree.  Inside a page that marks an article, unmarked blocks
-beside it have a low prior.
+Entropy alone cannot tell an article from a menu that differs on every page, so importance is mixed with a prior
+of the style itself, with which every branch is decided by one sum: 0 for tags and whole class names of menus, headers,
+footers, adverts, forms and the like, 1 for articles, ``INSIDE`` for what lies in them, ``BESIDE`` for unmarked
+blocks on pages that have an article, ``NEUTRAL`` for anything else.  So an unmarked block beside an article
+stays if its texts differ from page to page, and one inside an article goes if they are the same on many pages.
+A page whose article would lose all its text keeps the article.
 
 Trees are sums over (host, path, feature) rows, added up within tasks first, so that a host with a third
-of all pages is spread like others.  Only the list of removed branches that the tree itself decides goes
-back to the pages: broadcast while it has at most ``BROADCAST_PATHS`` rows, joined on the host beyond.
+of all pages is spread like others.  Only the list of removed branches goes back to the pages: broadcast while it
+has at most ``BROADCAST_PATHS`` rows, joined on the host beyond.
 
-Cases: null html gives an empty text; text outside any article block is kept only if its branch is
-important; a null or odd url counts as host ''; repeated pages count as pages of their own; broken
+Cases: null html gives an empty text; a host with one page is decided by the priors; a null or odd url counts as host ''; repeated pages count as pages of their own; broken
 nesting is closed where a block tag demands it; other columns are not read.
 """
 
@@ -34,14 +34,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Weight of the markup's own word against the style tree's, and the least importance that is kept.
+#: Weight of the prior against the style tree's importance, and the least sum that is kept.
 PRIOR_WEIGHT = 0.6
-LEAST = 0.55
-BOILER, BESIDE, NEUTRAL, MAIN = 0.0, 0.2, 0.5, 1.0
+LEAST = 0.49
+BOILER, BESIDE, NEUTRAL, INSIDE, MAIN = 0.0, 0.25, 0.5, 0.7, 1.0
 #: What a node one level further down counts against one above.
 DECAY = 0.9
-#: Pages of a host from which its tree is heeded.
-MIN_PAGES = 4
 BROADCAST_PATHS = 50_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,25 +52,42 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BOILER_TAGS = frozenset("nav footer aside form menu head script style noscript template iframe select button textarea dialog svg object label input title".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies reply rss search share sharing sidebar signup social sponsor sponsored subscribe tagcloud toolbar widget widgets".split())
+#: Words that may stand beside those above in the name of a class or id.
+FILLER_WORDS = frozenset("area bar block bottom box button container content form inner item items left link links list main outer right row section top wrap wrapper".split())
 MAIN_WORDS = frozenset("article articlebody entry post story".split())
+MAIN_FILLER = frozenset("body container content inner main text wrap wrapper".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+CONTAINERS = frozenset("article div main section td".split())
+#: Elements that class names say nothing about.
+WHOLE = frozenset("html body main article".split())
+
+
+def _named(name: str, words: frozenset[str], filler: frozenset[str]) -> bool:
+    """Whether a whole class name or id consists of such words: ``post-body``, but not ``no-ad``."""
+    parts = {x for x in _WORDS.findall(name) if not x.isdigit()}
+    return not parts.isdisjoint(words) and parts <= words | filler
 
 
 def _prior(tag: str, attrs: str, outer: float) -> tuple[str, float]:
     """Style label of an element, and the prior of its branch inside one of prior ``outer``."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
-    names = _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-    label = tag + ("." + ".".join(sorted(found["class"].lower().split())) if found.get("class") else "")
-    role = found.get("role", "").lower()
-    if outer == BOILER or tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in attrs.lower().split() or not BOILER_WORDS.isdisjoint(names):
+    classes, own_id, role = sorted(found.get("class", "").lower().split()), found.get("id", "").lower().strip(), found.get("role", "").lower()
+    names = [*classes, own_id] if own_id else classes
+    boiler = tag not in WHOLE and any(_named(x, BOILER_WORDS, FILLER_WORDS) for x in names)
+    hidden = "hidden" in attrs.lower().split()
+    header = tag == "header" or "header" in names
+    main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+    main = main or tag in CONTAINERS and any(_named(x, MAIN_WORDS, MAIN_FILLER) for x in names)
+    # what speaks for or against a branch is a part of its style
+    marks = [x for x, is_so in ((f"#{own_id}", boiler or main or header), (f"@{role}", role), ("?hidden", hidden)) if is_so and len(x) > 1]
+    label = ".".join([tag, *classes]) + "".join(marks)
+    if outer == BOILER or tag in BOILER_TAGS or role in BOILER_ROLES or hidden or boiler:
         return label, BOILER
-    if outer == MAIN:
-        return label, MAIN
-    if tag == "header" or "header" in names:
+    if outer in (MAIN, INSIDE):
+        return label, INSIDE
+    if header:
         return label, BOILER
-    if tag in ("article", "main") or role in ("main", "article") or not MAIN_WORDS.isdisjoint(names) or found.get("itemprop", "").lower() == "articlebody":
-        return label, MAIN
-    return label, outer
+    return label, MAIN if main else outer
 
 
 class Page:
@@ -143,7 +158,7 @@ class Page:
         if at < len(source):
             self._say(entities.unescape(source[at:]))
         self._flush()
-        if any(p == MAIN for _, p, _ in self.blocks):
+        if any(p >= INSIDE for _, p, _ in self.blocks):
             self.blocks = [(path, BESIDE if p == NEUTRAL else p, text) for path, p, text in self.blocks]
 
 
@@ -152,16 +167,23 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def text_of(page: Page, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks that stay, joined; ``removed``: paths of branches that the host's tree removes."""
-    out = []
-    for path, prior, text in page.blocks:
-        if prior == BOILER or prior == BESIDE:
-            continue  # of low importance whatever the tree says
-        if prior == NEUTRAL and removed and any(path[:i] in removed for i, c in enumerate(path + "/") if c == "/"):
-            continue
-        out.append(text)
-    return "\n".join(out)
+def text_of(page: Page, removed: frozenset[str] | set[str] | None = None) -> str:
+    """The blocks that stay, joined.
+
+    ``removed``: paths of branches that the host's tree removes; None: no tree, so only the priors speak."""
+    if removed is None:
+        gone = [mixed(prior, 0.5) < LEAST for _, prior, _ in page.blocks]
+    else:
+        gone = [any(path[:i] in removed for i, c in enumerate(path + "/") if c == "/") for path, _, _ in page.blocks]
+    main = [prior >= INSIDE for _, prior, _ in page.blocks]
+    if any(main) and all(g for g, m in zip(gone, main, strict=True) if m):
+        gone = [g and not m for g, m in zip(gone, main, strict=True)]
+    return "\n".join(text for (_, _, text), g in zip(page.blocks, gone, strict=True) if not g)
+
+
+def mixed(prior, importance):
+    """The sum that decides: of numbers or of columns."""
+    return PRIOR_WEIGHT * prior + (1 - PRIOR_WEIGHT) * importance
 
 
 STATS = "host string, path string, kind string, feature long, n long, prior double"
@@ -193,7 +215,7 @@ def _number(text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance, prior: one row per node of each host's style tree."""
+    """host, path, pages, importance, prior (the greatest in the branch): one row per node of each host's style tree."""
     rows = pages.select("url", "html").mapInArrow(_statistics, STATS)
     merged = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.max("prior").alias("prior"))
     # pages of the host that have the node stand on its own row; the rest is summed beside it
@@ -207,28 +229,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.max("prior").alias("prior"),
     )
     m = F.log(F.col("pages"))
-    # entropy of the child sequences, in units of the most that so many pages can show
-    shown = F.when((F.col("pages") > 1) & (F.col("c_n") > 0), (F.log("c_n") - F.col("c_x") / F.col("c_n")) / m)
+    # entropy of the child sequences, in units of the most that so many pages can show; one shape for all says nothing
+    shown = F.when((F.col("pages") > 1) & (F.col("c_n") > 0), 0.5 + 0.5 * (F.log("c_n") - F.col("c_x") / F.col("c_n")) / m)
     # one minus the mean entropy of the texts over the pages that show them: log f / log m
     told = F.when((F.col("pages") > 1) & (F.col("t_n") > 0), 1 - F.col("t_x") / F.col("t_n") / m)
-    own = nodes.select(
-        "host", "path", "pages", "prior",
-        F.when(F.col("pages") <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(told, shown, F.lit(1.0))))).alias("own"),
-    )
+    # a few pages prove little: the value moves from one half by the square of 1 - 1 / pages
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(told, shown, F.lit(0.5))))
+    own = nodes.select("host", "path", "pages", "prior", (0.5 + (value - 0.5) * F.pow(1 - 1 / F.col("pages"), 2)).alias("own"))
     # every node counts for each branch that it lies in
     depth = F.size(F.split("path", "/"))
     above = own.withColumn("up", F.explode(F.sequence(F.lit(1), depth))).select(
         "host", F.array_join(F.slice(F.split("path", "/"), 1, F.col("up")), "/").alias("path"),
-        (F.col("pages") * F.pow(F.lit(DECAY), depth - F.col("up"))).alias("w"), "own",
-        F.when(F.col("up") == depth, F.col("pages")).alias("pages"), F.when(F.col("up") == depth, F.col("prior")).alias("prior"),
+        (F.col("pages") * F.pow(F.lit(DECAY), depth - F.col("up"))).alias("w"), "own", "prior",
+        F.when(F.col("up") == depth, F.col("pages")).alias("pages"),
     )
     return above.groupBy("host", "path").agg(F.max("pages").alias("pages"), (F.sum(F.col("w") * F.col("own")) / F.sum("w")).alias("importance"), F.max("prior").alias("prior"))
 
 
 def removed_branches(tree: DataFrame) -> DataFrame:
-    """host, path of the branches of low importance, where the markup leaves the tree to decide."""
-    mixed = PRIOR_WEIGHT * F.col("prior") + (1 - PRIOR_WEIGHT) * F.col("importance")
-    return tree.where((F.col("pages") >= MIN_PAGES) & (F.col("prior") == NEUTRAL) & (mixed < LEAST)).select("host", "path")
+    """host, path of the branches that are, like everything below them, of low importance."""
+    depth = F.size(F.split("path", "/"))
+    branch = F.array_join(F.slice(F.split("path", "/"), 1, F.col("up")), "/").alias("path")
+    above = tree.withColumn("up", F.explode(F.sequence(F.lit(1), depth))).select("host", branch, mixed(F.col("prior"), F.col("importance")).alias("sum"))
+    return above.groupBy("host", "path").agg(F.max("sum").alias("most")).where(F.col("most") < LEAST).select("host", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:
