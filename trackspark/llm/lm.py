@@ -16,7 +16,8 @@ sweep a part sends the tables of each of its contexts to the bucket of the conte
 the parts and sent back: nothing but a few totals passes through the driver.  Which contexts a part has, and
 their customers, is sent once; a bucket keeps for each part which of its numbers are meant.  The seating of a
 part is written after each sweep.  Parts answer each batch with the probabilities of its pairs.  What is
-written goes as soon as nothing reads it any more.  Counts
+written goes as soon as nothing reads it any more; parts are made of the batches in ``GROUPS`` goes, each of which frees
+what it has read.  Counts
 cover all training texts; a word is known by 64 bits of hash, as a context by 48 of them; the number of parts and buckets follows the volume, so that each stays of bounded
 size.  A frequent word is one row per batch and part, however often it comes.
 
@@ -55,6 +56,8 @@ SINGLY = 32
 #: Tokens of a batch, and pairs of a part (about).
 BATCH_TOKENS = 2_000_000
 PART_PAIRS = 1_500_000
+#: Goes in which parts are made.
+GROUPS = 4
 FREQUENT_SHARE = 1 / 5000
 
 
@@ -164,7 +167,7 @@ def place(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _batches(shipped: common.Shipped, parts: int):
-    """Rows of kind 1: a batch's distinct pairs in a part, with training counts; of kind 0: its documents, as
+    """Rows of kind 1 to GROUPS: a batch's distinct pairs in a part, with training counts; of kind 0: its documents, as
     (ids, held out, tokens) in the column ids and the pair of every token in the column pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,7 @@ def _batches(shipped: common.Shipped, parts: int):
             serial += 1
             rows = [(0, name, -1, 0, _blob(number, "<u4"), _blob(np.stack([ids, out.astype(np.int64), tokens]), "<i8"))]
             bounds = np.flatnonzero(np.diff(p, prepend=-1, append=-1))
-            rows += [(1, name, int(p[s]), int(e - s), _pack_pairs(w[s:e], c[s:e], n[s:e], "<u4"), None) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows += [(1 + int(p[s]) % GROUPS, name, int(p[s]), int(e - s), _pack_pairs(w[s:e], c[s:e], n[s:e], "<u4"), None) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             columns = list(zip(*rows, strict=True))
             types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "batch", "part", "size", "pairs", "ids"])
@@ -493,6 +496,14 @@ class _Tables:
         self.names.append(name)
         return df.sparkSession.table(name)
 
+    def write_all(self, parts: Iterator[DataFrame], n: int, key: str, what: str) -> DataFrame:
+        """One table of several frames, each of which is written before the next is asked for."""
+        name = f"lm_{uuid.uuid4().hex}"
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").option("path", f"{self.work.path}/{what}").bucketBy(n, key).saveAsTable(name)
+        self.names.append(name)
+        return self.work.spark.table(name)
+
     def drop(self) -> None:
         for name in self.names:
             self.work.spark.sql(f"drop table {name}")
@@ -535,10 +546,15 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         tables = _Tables(work)
         packed = source.withColumn("doc_id", F.coalesce("doc_id", missing_id)).mapInArrow(_batches(common.Shipped(spark, hot), parts), BATCH)
         packed = tables.write(packed, parts, "batch", "batches", ("kind",))
-        merged = packed.where(F.col("kind") == 1).select("batch", "part", "size", "pairs").repartition(parts, "part").groupBy("part").applyInPandas(_merge, PART)
-        merged = tables.write(merged, parts, "part", "parts")
-        work.remove("batches/kind=1")
-        work.release()
+
+        def goes() -> Iterator[DataFrame]:
+            for g in range(1, GROUPS + 1):
+                rows = packed.where(F.col("kind") == g).select("batch", "part", "size", "pairs")
+                yield rows.repartition(-(-parts // GROUPS), "part").groupBy("part").applyInPandas(_merge, PART)
+                work.remove(f"batches/kind={g}")
+                work.release()
+
+        merged = tables.write_all(goes(), parts, "part", "parts")
         with common.Workspace(spark, "lm-first") as own:
             sent = own.write(merged.mapInArrow(_first(common.Shipped(spark, hot), buckets), SENT), "sent")
             shapes = sent.where(F.col("bucket") >= 0).select("part", "bucket", "context", "customers").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shape, SHAPE)
@@ -551,6 +567,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
                 sent = own.write(swept, "sent")
                 history.append(_overall(sent, hot, history[-1], s))
                 back.append(work.write(_back(sent, shapes, s + 1), "back"))
+            work.release()
         total, known = history[0][2], history[0][0][2]
         late = functools.reduce(DataFrame.union, back[min(BURN_IN, SWEEPS - 1) + 1 :], customers)
         answers = merged.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(_answers(common.Shipped(spark, (hot, [h[:2] for h in history])), buckets), "batch string, part int, score binary, n binary")
