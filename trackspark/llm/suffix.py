@@ -427,7 +427,8 @@ class Texts:
         work, span = self.work, self.length - min(ANCHOR, self.length) + 1
         every = self.table.select("row", F.explode(F.arrays_zip("anchor", "segment")).alias("x")).select("row", "x.anchor", "x.segment")
         groups = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1)
-        members = work.write(every.join(groups.select("anchor"), "anchor"), "suffix-members")
+        groups = work.write(groups.select("anchor"), "suffix-anchors")  # so that both sides of the join are plain shuffles, which Spark splits where skewed
+        members = work.write(every.join(groups, "anchor"), "suffix-members")
         distinct = members.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.max("row").alias("last"))
         kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
         known = work.write(distinct.join(kinds, "anchor"), "suffix-known")
