@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import geometry as g
 from trackspark.operators import tags, tracker, tracks
+from trackspark.plans import models, streams
+from trackspark.plans.streams import detections
 from trackspark.sources.fixtures import read
 from trackspark.streaming import cameras
 
@@ -42,14 +44,41 @@ def test_track_windows_by_hand(short_track):
     assert rows_of(trimmed, "frame_number")[-1] == (5,) and rows_of(tracks.trim(trimmed), "frame_number") == rows_of(trimmed, "frame_number")
 
 
+def region(i, x, y, w=8, h=8, mass=50, variance=9.0, border=False):
+    return (i, x, y, w, h, mass, variance, border)
+
+
+def test_gates_noise_blanks_and_prediction():
+    state = tracker.fresh_state()
+    step = lambda *rs: [r[:4] for r in tracker.track_step(state, list(rs))]
+    assert step(region(1, 10, 10)) == [(1, 1, True, False)]
+    assert step(region(2, 10, 10, 40, 40)) == [(None, 1, False, True), (2, 2, True, False)]  # 25 times the area: another one
+    assert step(region(3, 10, 10, mass=2), region(4, 11, 10, 40, 40)) == [(4, 2, False, False), (None, 1, False, True)]  # noise blanks track 1, which has been unseen too long
+    assert set(state["active"]) == {2}
+    assert step(region(5, 90, 90, 40, 40)) == [(None, 2, False, True), (5, 3, True, False)]  # further than any reach
+    state = tracker.fresh_state()
+    for f in range(25):
+        step(region(f, 5 + 4 * f, 50, mass=60))
+    assert step(region(99, 105, 50, mass=200)) == [(None, 1, False, True)]  # the mass is watched after a second and a half; lies over the track
+    boxes = [tracker.track_step(state, [])[0][4:8] for _ in range(2)]
+    assert boxes[1][0] - boxes[0][0] == pytest.approx(4, abs=1) and boxes[0][0] > 105  # blanks go on as predicted
+    assert step(region(100, 118, 50, mass=60)) == [(100, 1, False, False)]
+
+
+def test_calibration_ends_tracks(spark):
+    rows = [(1, f, 7, 20, 20, 8, 8, 50, 9.0, False, f == 5) for f in range(10)]
+    v = spark.createDataFrame(rows, "clip_id long, frame_number long, region_id long, x long, y long, width long, height long, mass long, pixel_variance double, along_border boolean, calibrating boolean")
+    assert rows_of(tracker.assign(v), "frame_number", "online_track") == [(f, 1) for f in range(5)] + [(f, 2) for f in range(6, 10)]
+
+
 def test_crossing_boxes_are_matched_one_to_one():
-    state = {"next": 1, "active": {}}
-    seen = [tracker.track_step(state, f, [(10 + f, 10 + 5 * f, 10, 8, 8), (20 + f, 60 - 5 * f, 12, 8, 8)]) for f in range(4)]
-    assert [{(r // 10, t) for r, t, _ in s} for s in seen] == [{(1, 1), (2, 2)}] * 4 and all(c for _, _, c in seen[0])
-    over = tracker.track_step(state, 4, [(14, 30, 10, 8, 8), (99, 31, 10, 8, 8), (24, 40, 12, 8, 8)])
-    assert 99 not in {r for r, _, c in over if c}
-    for f in range(5, 60):
-        tracker.track_step(state, f, [])
+    state = tracker.fresh_state()
+    seen = [tracker.track_step(state, [region(10 + f, 10 + 5 * f, 10), region(20 + f, 60 - 5 * f, 12)]) for f in range(4)]
+    assert [{(r[0] // 10, r[1]) for r in s} for s in seen] == [{(1, 1), (2, 2)}] * 4 and all(r[2] for r in seen[0])
+    over = tracker.track_step(state, [region(14, 30, 10), region(99, 31, 10), region(24, 40, 12)])
+    assert 99 not in {r[0] for r in over if r[2]}
+    for _ in range(60):
+        tracker.track_step(state, [])
     assert not state["active"]
     pairs = [(1.0, 0, "a", "x"), (1.0, 0, "b", "x"), (2.0, 0, "b", "y"), (0.5, 1, "c", "y")]
     assert tracker.greedy(pairs) == [("c", "y"), ("a", "x")]
@@ -78,12 +107,18 @@ def test_best_tag(spark):
 
 
 def stream_of(spark, df, parts, *order):
-    """A file stream of a table in several files, in order."""
+    """A file stream of a table in several files, in order; rows with equal keys stay together."""
     folder = tempfile.mkdtemp(prefix="spark-")
-    n = df.count()
     rows = df.orderBy(*order).collect()
-    for i in range(parts):
-        spark.createDataFrame(rows[i * n // parts : (i + 1) * n // parts], df.schema).coalesce(1).write.mode("append").parquet(folder)
+    key = lambda i: [rows[i][c] for c in order] if i else None
+    cuts = [0]
+    for i in range(1, parts):
+        at = i * len(rows) // parts
+        while at < len(rows) and key(at) == key(at - 1):
+            at += 1
+        cuts.append(at)
+    for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+        spark.createDataFrame(rows[a:b], df.schema).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -104,7 +139,32 @@ def test_stream_throttle_and_tracker_equal_batch(spark):
     frames = read(spark, DATA, "v_stream")
     got = rows_of(run(spark, cameras.throttled(stream_of(spark, frames, 3, "ts")), "throttled", "append"), "event_id", "flag")
     assert got == rows_of(tracker.per_camera(frames, "throttle"), "event_id", "flag")
-    regions = read(spark, DATA, "v_regions").where("clip_id < 3 and frame_number < 12").select("clip_id", "frame_number", F.col("track_id").alias("region_id"), "x", "y", "width", "height")
-    columns = ("clip_id", "frame_number", "region_id", "online_track", "created")
+    regions = detections(read(spark, DATA, "v_regions").where("clip_id < 3"))
+    columns = ("clip_id", "frame_number", "online_track", "created", "blank", "x", "y", "mass")
     got = rows_of(run(spark, cameras.online_tracks(stream_of(spark, regions, 2, "frame_number")), "tracked", "append"), *columns)
     assert got == rows_of(tracker.assign(regions), *columns)
+
+
+@pytest.mark.parametrize("kind", ["ring", "detector", "cadence", "ir", "simple"])
+def test_stream_steps_equal_batch(spark, kind):
+    """Steps over a stream in parts, over the whole table, and as window queries where there are some."""
+    frames = read(spark, DATA, "v_stream")
+    columns = tuple(c.split()[0] for c in tracker.gives(kind).split(", "))
+    order = lambda rows: sorted(rows, key=repr)
+    whole = order(tuple(r[c] for c in columns) for r in tracker.per_camera(frames, kind).collect())
+    got = order(tuple(r[c] for c in columns) for r in run(spark, cameras.stepped(stream_of(spark, frames, 3, "ts"), kind), f"step_{kind}").collect())
+    assert got == whole and whole
+    twin = {"ring": streams.t01, "detector": streams.t02, "cadence": models.t10}.get(kind)
+    if twin:
+        assert order(tuple(r[c] for c in columns) for r in twin(frames).collect()) == whole
+
+
+def test_stream_segments_and_recordings_equal_batch(spark):
+    frames = read(spark, DATA, "v_stream")
+    got = rows_of(run(spark, cameras.segments(stream_of(spark, frames, 3, "ts"), "1 hour", "1 hour"), "segments"), "camera", "start", "frames")
+    batch = rows_of(streams.t14(frames), "camera", "start", "frames")
+    assert got and set(got) <= set(batch) and len(got) >= len(batch) - 40  # those still open at the end are not given
+    at = lambda rows: spark.createDataFrame(rows, "stem string, t int").select("stem", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"))
+    media, sides = at([("a", 0), ("b", 60), ("c", 120)]), at([("b", 90), ("a", 300), ("d", 400), ("c", 9000)])
+    found = run(spark, cameras.recordings(stream_of(spark, media, 2, "ts"), stream_of(spark, sides, 2, "ts")), "recordings")
+    assert sorted(r.stem for r in found.collect()) == ["a", "b"]  # the sidecar of c comes hours later

@@ -19,7 +19,7 @@ def confusion(results: DataFrame, labels: list, true: str = "truth", pred: str =
     names = spark.createDataFrame([(x,) for x in labels], "v string").select(F.col("v").cast(kind).alias("v"))
     grid = names.select(F.col("v").alias(true)).crossJoin(names.select(F.col("v").alias(pred)))
     for b in by:
-        grid = grid.crossJoin(F.broadcast(results.select(b).distinct()))
+        grid = results.select(b).distinct().crossJoin(F.broadcast(grid))  # the grid is bounded by the labels
     n = results.groupBy(*by, true, pred).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(n, [*by, true, pred], "left").fillna(0, ["n"])
 

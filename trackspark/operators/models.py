@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Numbers of a model that may be fetched and sent to the workers.
+MOST_CELLS = 10_000_000
+
+
 class Scorer(Protocol):
     """What a model must offer: its labels, the length of an input, and scores for a batch of inputs."""
 
@@ -37,9 +41,13 @@ class CentroidScorer:
 
 
 def fit_centroids(vectors: DataFrame) -> CentroidScorer:
-    """One mean per label, counted in Spark; labels and dimensions are few."""
+    """One mean per label, counted in Spark; labels and dimensions are few, which is checked before they are fetched."""
     mean = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    mean = mean.persist()
+    if (cells := mean.count()) > MOST_CELLS:
+        raise ValueError(f"{cells} means of labels and dimensions; at most {MOST_CELLS} go to the driver")
     rows = mean.orderBy("label", "i").toPandas()
+    mean.unpersist()
     labels = sorted(rows["label"].unique())
     return CentroidScorer(list(map(str, labels)), np.stack([rows[rows["label"] == x]["m"].to_numpy() for x in labels]))
 

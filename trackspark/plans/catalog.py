@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import REGISTRY
 
-for _name in ("geometry", "filters", "tracks", "tags", "samples", "datasets", "predictions", "evaluation", "pixels", "tables", "streams", "models"):
+for _name in ("geometry", "tracks", "tags", "samples", "predictions", "evaluation", "pixels", "tables", "streams", "models"):
     import_module(f"{__package__}.{_name}")
 
 __all__ = ["REGISTRY"]

@@ -59,17 +59,14 @@ def a38(v):
     return swept.groupBy("threshold", "truth", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a39_label_thresholds", "v_predictions", sql=BEST + ", t as (select i as pred, round(least(9e-1, greatest(15e-2, 5e-2+i*3e-2)), 3) as th from range(10) r(i)) select truth, case when conf<th then -1 else res.pred end as pred, count(*) as n from res join t on t.pred=res.pred group by 1,2")
-def a39(v):
-    th = v.sparkSession.range(10).select(F.col("id").alias("pred"), F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.15), 0.05 + F.col("id") * 0.03)), 3).alias("th"))
-    rows = results(v).join(F.broadcast(th), "pred")
-    return rows.groupBy("truth", F.when(F.col("conf") < F.col("th"), F.lit(-1).cast("long")).otherwise(F.col("pred")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("a40_best_threshold", "v_predictions", sql="""s as (select idx as label, round(score, 3) as score, sum(case when true_idx=idx then 1 else 0 end) as h, count(*) as n from v_predictions group by 1,2),
+CURVE = """s as (select idx as label, round(score, 3) as score, sum(case when true_idx=idx then 1 else 0 end) as h, count(*) as n from v_predictions group by 1,2),
 c as (select label, score, sum(h) over w as tp, sum(n) over w as k, sum(h) over (partition by label) as a from s window w as (partition by label order by score desc rows between unbounded preceding and current row)),
 f as (select label, score, case when a=0 or tp=0 then 0e0 else 2*(tp/cast(k as double))*(tp/cast(a as double))/((tp/cast(k as double))+(tp/cast(a as double))) end as f1 from c)
-select label, score as threshold, round(f1, 6) as f1 from (select *, row_number() over (partition by label order by round(f1, 9) desc, score) as r from f) where r=1""")
+"""
+BEST_THRESHOLD = "select label, score as threshold, round(f1, 6) as f1 from (select *, row_number() over (partition by label order by round(f1, 9) desc, score) as r from f) where r=1"
+
+
+@query("a40_best_threshold", "v_predictions", sql=CURVE + BEST_THRESHOLD)
 def a40(v):
     scored = v.select(F.col("idx").alias("label"), F.round("score", 3).alias("score"), (F.col("true_idx") == F.col("idx")).cast("int").alias("hit"))
     c = ev.curve(scored)
@@ -77,6 +74,14 @@ def a40(v):
     return c.withColumn("r", r).where("r = 1").select("label", "threshold", r6("f1").alias("f1"))
 
 
+@query("a39_label_thresholds", "v_predictions", sql=BEST + "," + CURVE.rstrip() + ",\nt as (" + BEST_THRESHOLD + "), c9 as (select label as pred, round(least(9e-1, greatest(5e-1, threshold)), 3) as th from t) select truth, case when conf<th then -1 else res.pred end as pred, count(*) as n from res join c9 on c9.pred=res.pred group by 1,2")
+def a39(v):
+    """Predictions under the best threshold of their label, kept within 0.5 and 0.9, are none."""
+    th = a40(v).select(F.col("label").alias("pred"), F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.5), F.col("threshold"))), 3).alias("th"))
+    rows = results(v).join(F.broadcast(th), "pred")  # one row per label
+    return rows.groupBy("truth", F.when(F.col("conf") < F.col("th"), F.lit(-1).cast("long")).otherwise(F.col("pred")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a41_accuracy_by_size", "v_predictions", "v_regions", sql=BEST + """, ar as (select track_id, quantile_cont(width*height, 5e-1) as a from v_regions group by track_id),
 b as (select res.*, least(40, greatest(4, cast(ceil(sqrt(a)) as bigint))) as bucket from res join ar on ar.track_id=res.track_id)
 select bucket, truth, count(*) filter (where conf>=15e-2 and pred=truth) as correct, count(*) filter (where conf>=15e-2 and pred<>truth) as incorrect, count(*) filter (where conf<15e-2) as unidentified, count(*) as n from b group by grouping sets ((bucket), (bucket, truth))""")

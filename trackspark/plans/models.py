@@ -11,8 +11,9 @@ from trackspark.operators import samples as s
 from trackspark.operators import tracker
 
 from .base import query, r6
-from .samples import filled, usable
-from .streams import numbered, order
+from .pixels import WEIGHTED
+from .samples import usable
+from .streams import detections, order
 
 
 def vectors(e):
@@ -52,7 +53,7 @@ def m04(e):
 
 
 def features(e):
-    return e.select("vec_id", "label", F.slice("embedding", 1, 16).alias("features"))
+    return e.select("vec_id", "label", F.col("embedding").alias("features"))
 
 
 @query("m05_forest_scores", "embeddings")
@@ -71,16 +72,7 @@ def m07(e):
     return m.grid_search(features(e), [5, 10], [3, 5])
 
 
-@query("p11_full_split", "v_samples")
-def p11(v):
-    after = v.agg((F.max("rec_time") - F.expr("interval 60 days")).alias("after"))
-    dated = v.crossJoin(F.broadcast(after)).withColumn("pulled", (F.col("rec_time") > F.col("after")) | (F.col("clip_id") % 50 == 7))
-    bins = filled(v).select("bin_id", "split")
-    placed = dated.join(F.broadcast(bins), F.col("bin_id") == F.col("station_id"), "left")
-    return placed.select("sample_id", F.when(F.col("pulled"), "test").otherwise(F.coalesce("split", F.lit("train"))).alias("split"))
-
-
-@query("t03_camera_background", "v_pixels")
+@query("t03_camera_background", "v_pixels", sql=WEIGHTED.format(step="5e0") + " select clip_id, round(avg(bg), 6) as background, count(*) as pixels from r where i=len(f) group by clip_id")
 def t03(v):
     return px.weighted_background(v, 5.0).groupBy("clip_id").agg(r6(F.avg("background")).alias("background"), F.count(F.lit(1)).alias("pixels"))
 
@@ -108,11 +100,12 @@ def t10(st):
 
 @query("t11_track_events", "v_regions")
 def t11(v):
-    steps = tracker.assign(numbered(v))
+    """What subscribers hear of each online track, frame by frame; tracks seen in under three frames end as filtered."""
+    steps = tracker.assign(detections(v))
     w = Window.partitionBy("clip_id", "online_track")
-    first, last = F.min("frame_number").over(w), F.max("frame_number").over(w)
-    kind = F.when(F.col("frame_number") == first, "start").when(F.col("frame_number") == last, "end").otherwise("ongoing")
-    return steps.select("clip_id", "online_track", "frame_number", kind.alias("event"))
+    first, last, seen = F.min("frame_number").over(w), F.max("frame_number").over(w), F.count("region_id").over(w)
+    kind = F.when((F.col("frame_number") == last) & (seen < 3), "filtered").when(F.col("frame_number") == first, "start").when(F.col("frame_number") == last, "end").otherwise("ongoing")
+    return steps.select("clip_id", "online_track", "frame_number", kind.alias("event"), "blank", "x", "y", "width", "height", "mass")
 
 
 @query("t16_reprocessed_tracks", "embeddings")

@@ -18,11 +18,11 @@ def a09(v):
     return s.groupBy("clip_id").agg(r6(F.min("low")).alias("low"), r6(F.max("high")).alias("high"), r6(F.avg(F.col("mean").cast("long").cast("double"))).alias("mean"), r6(F.avg("median")).alias("median"), F.count(F.lit(1)).alias("frames"))
 
 
-@query("a11_value_limits", P, sql=STATS + "select p.clip_id, round(min(v-median), 6) as low, round(max(v-median), 6) as high from v_pixels p join fs on p.clip_id=fs.clip_id and p.frame_number=fs.frame_number where p.frame_number%2=0 group by 1")
+@query("a11_value_limits", P, sql=STATS + "select p.clip_id, round(min(v-median), 6) as low, round(max(v-median), 6) as high from v_pixels p join fs on p.clip_id=fs.clip_id and p.frame_number=fs.frame_number group by 1")
 def a11(v):
     s = px.frame_statistics(v).select("clip_id", "frame_number", "median")
     d = F.col("v") - F.col("median")
-    return v.where("frame_number % 2 = 0").join(s, ["clip_id", "frame_number"]).groupBy("clip_id").agg(r6(F.min(d)).alias("low"), r6(F.max(d)).alias("high"))
+    return v.join(s, ["clip_id", "frame_number"]).groupBy("clip_id").agg(r6(F.min(d)).alias("low"), r6(F.max(d)).alias("high"))
 
 
 @query("w10_running_mean", P, sql=f"select clip_id, frame_number, y, x, round(avg(v) over {PIX.format(' rows between 44 preceding and current row')}, 6) as mean from v_pixels")
@@ -54,9 +54,12 @@ def w14(v):
     return v.select("clip_id", "frame_number", "y", "x", r6(F.min("v").over(px.pixel().rowsBetween(Window.unboundedPreceding, 0))).alias("background"))
 
 
-@query("w15_weighted_background", P, sql="""g as (select clip_id, y, x, list(v order by frame_number) as f from v_pixels group by 1,2,3),
-r(clip_id, y, x, f, i, bg, w) as (select clip_id, y, x, f, 0::bigint, f[1], 0e0 from g union all select clip_id, y, x, f, i+1, case when bg>=f[i+1]-w then f[i+1] else bg end, case when bg>=f[i+1]-w then 0e0 else w+1e1 end from r where i<len(f))
-select clip_id, y, x, round(bg, 6) as background from r where i=len(f)""")
+WEIGHTED = """g as (select clip_id, y, x, list(v order by frame_number) as f from v_pixels group by 1,2,3),
+r(clip_id, y, x, f, i, bg, w) as (select clip_id, y, x, f, 0::bigint, f[1], 0e0 from g union all select clip_id, y, x, f, i+1, case when bg>=f[i+1]-w then f[i+1] else bg end, case when bg>=f[i+1]-w then 0e0 else w+{step} end from r where i<len(f))
+"""
+
+
+@query("w15_weighted_background", P, sql=WEIGHTED.format(step="1e1") + "select clip_id, y, x, round(bg, 6) as background from r where i=len(f)")
 def w15(v):
     return px.weighted_background(v, 10.0).select("clip_id", "y", "x", r6("background").alias("background"))
 
@@ -101,9 +104,9 @@ def x14(v):
     return v.select("clip_id", F.floor(F.col("frame_number") / 9).alias("tile"), (F.floor(i / 3) * 8 + F.col("y")).alias("y"), ((i % 3) * 8 + F.col("x")).alias("x"), r6("v").alias("v"))
 
 
-@query("x15_augment", P, sql="select clip_id, frame_number, y, 7-x as x, round((v+1e1-3e3)*12e-1+3e3, 6) as v from v_pixels where frame_number%5=0")
+@query("x15_augment", P, sql="select clip_id, frame_number, y, 7-x as x, round((v+1e1-3e3)*12e-1+3e3, 6) as v from v_pixels")
 def x15(v):
-    return v.where("frame_number % 5 = 0").select("clip_id", "frame_number", "y", (7 - F.col("x")).alias("x"), r6((F.col("v") + 10.0 - 3000.0) * 1.2 + 3000.0).alias("v"))
+    return v.select("clip_id", "frame_number", "y", (7 - F.col("x")).alias("x"), r6((F.col("v") + 10.0 - 3000.0) * 1.2 + 3000.0).alias("v"))
 
 
 @query("m08_preprocess", P, sql=STATS + """, d as (select p.clip_id, p.frame_number, y, x, v-median as d from v_pixels p join fs on p.clip_id=fs.clip_id and p.frame_number=fs.frame_number where x between 1 and 6 and y between 1 and 6),
@@ -209,11 +212,10 @@ def a52(v):
     return s.crossJoin(F.broadcast(norms)).select("clip_id", "frame_number", z("mean"), z("std"))  # one row of norms
 
 
-@query("a53_histogram_correlation", P, sql="""n as (select clip_id, frame_number, x<4 as half, least(59, cast(floor(6e1*(v-min(v) over w)/(max(v) over w-min(v) over w)) as bigint)) as bin from v_pixels where frame_number<10 window w as (partition by clip_id, frame_number)),
+@query("a53_histogram_correlation", P, sql="""n as (select clip_id, frame_number, x<4 as half, least(59, cast(floor(6e1*(v-min(v) over w)/(max(v) over w-min(v) over w)) as bigint)) as bin from v_pixels window w as (partition by clip_id, frame_number)),
 g as (select f.clip_id, f.frame_number, b.i as bin from (select distinct clip_id, frame_number from n) f, range(60) b(i)), h as (select g.clip_id, g.frame_number, g.bin, count(*) filter (where half) as a, count(*) filter (where not half) as b from g left join n on g.clip_id=n.clip_id and g.frame_number=n.frame_number and g.bin=n.bin group by 1,2,3)
 select clip_id, frame_number, round(corr(a, b), 6) as correlation from h group by 1,2""")
 def a53(v):
-    v = v.where("frame_number < 10")
     bins = v.select("clip_id", "frame_number", (F.col("x") < 4).alias("half"), F.least(F.lit(59), F.floor(px.normalised(F.col("v"), 60.0))).cast("long").alias("bin"))
     grid = bins.select("clip_id", "frame_number").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))))
     n = bins.groupBy("clip_id", "frame_number", "bin").agg(F.count(F.when(F.col("half"), 1)).alias("a"), F.count(F.when(~F.col("half"), 1)).alias("b"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import samples as s
+from trackspark.sources.documents import shared_folder
 
 from .base import query, r6
 
@@ -208,36 +209,90 @@ def p08(v):
     return s.ranked(v, ["label"], "p08", "sample_id").join(F.broadcast(caps), "label").where("rn <= cap").select("sample_id")
 
 
-BINS = "b as (select station_id as bin_id, count(*) as samples, count(distinct track_id) as tracks, 'x' as label from v_samples where label='3-MEDIUM' group by 1)"
-FILL = BINS + """, o as (select *, md5(concat_ws('|','w18',bin_id)) as k from b), v as (select *, coalesce(sum(samples) over w, 0) as s, coalesce(sum(tracks) over w, 0) as t from o window w as (order by k, bin_id rows between unbounded preceding and 1 preceding)),
-lim as (select greatest(sum(samples)*15e-2, 100) as vs, greatest(sum(tracks)*15e-2, 50) as vt, greatest(sum(samples)*5e-2, 40) as ts, greatest(sum(tracks)*5e-2, 20) as tt from b),
-x as (select v.*, (s<vs or t<vt) as val from v, lim), y as (select *, coalesce(sum(samples) over w, 0) as s2, coalesce(sum(tracks) over w, 0) as t2 from x where not val window w as (order by k, bin_id rows between unbounded preceding and 1 preceding))
+LIMITS = (("validation", 0.15, 100, 50), ("test", 0.05, 40, 20))
+FILL = """b as (select label, station_id as bin_id, count(*) as samples, count(distinct track_id) as tracks from v_samples group by 1, 2), o as (select *, md5(concat_ws('|','w18',bin_id)) as k from b), v as (select *, coalesce(sum(samples) over w, 0) as s, coalesce(sum(tracks) over w, 0) as t from o window w as (partition by label order by k, bin_id rows between unbounded preceding and 1 preceding)),
+lim as (select label, greatest(sum(samples)*15e-2, 100) as vs, greatest(sum(tracks)*15e-2, 50) as vt, greatest(sum(samples)*5e-2, 40) as ts, greatest(sum(tracks)*5e-2, 20) as tt from b group by label),
+x as (select v.*, vs, vt, ts, tt, (s<vs or t<vt) as val from v join lim using (label)), y as (select *, coalesce(sum(samples) over w, 0) as s2, coalesce(sum(tracks) over w, 0) as t2 from x where not val window w as (partition by label order by k, bin_id rows between unbounded preceding and 1 preceding))
 """
 
 
-def filled(v):
-    bins = v.where("label = '3-MEDIUM'").groupBy(F.col("station_id").alias("bin_id")).agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("track_id").alias("tracks")).withColumn("label", F.lit("x"))
+@query("w18_cumulative_fill", "v_samples", sql=FILL + "select label, bin_id, 'validation' as split from x where val union all select label, bin_id, case when s2<ts or t2<tt then 'test' else 'train' end from y")
+def w18(v):
+    bins = v.groupBy("label", F.col("station_id").alias("bin_id")).agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("track_id").alias("tracks"))
     total = Window.partitionBy("label")
-    lim = lambda c, p, least: F.greatest(F.sum(c).over(total) * p, F.lit(float(least)))
-    wide = bins.select("*", lim("samples", 0.15, 100).alias("vs"), lim("tracks", 0.15, 50).alias("vt"), lim("samples", 0.05, 40).alias("ts"), lim("tracks", 0.05, 20).alias("tt"))
-    return s.fill_splits(wide, [("validation", F.col("vs"), F.col("vt")), ("test", F.col("ts"), F.col("tt"))], "w18")
+    lim = lambda c, share, least: F.greatest(F.sum(c).over(total) * share, F.lit(float(least)))
+    wide = bins.select("*", *[lim(c, share, least).alias(f"{split}_{c}") for split, share, *both in LIMITS for c, least in zip(("samples", "tracks"), both, strict=True)])
+    return s.fill_splits(wide, [(split, F.col(f"{split}_samples"), F.col(f"{split}_tracks")) for split, *_ in LIMITS], "w18").select("label", "bin_id", "split")
+
+
+def binned(v):
+    """Samples with the bin that is never divided: the station, or the clip for labels with few bins or tracks."""
+    g = v.groupBy("label").agg(F.countDistinct("station_id").alias("_bins"), F.countDistinct("track_id").alias("_tracks"))
+    by_clip = (F.col("label") == "5-LOW") | (F.col("_bins") < 4) | (F.col("_tracks") < 2970)
+    bin_id = F.when(by_clip, F.concat(F.lit("c"), "clip_id")).otherwise(F.concat(F.lit("s"), "station_id"))
+    return v.join(F.broadcast(g), "label").withColumn("bin_id", bin_id).drop("_bins", "_tracks")  # one row per label
+
+
+def group_split(v):
+    """sample_id, split: label by label in their order, bins fill validation, then test, then train.
+
+    A bin that an earlier label has placed stays there, and its samples count towards the limits."""
+    rows = binned(v)
+    labels = [r["label"] for r in k12(v).orderBy("place").collect()]  # as many rows as labels
+    placed = v.sparkSession.createDataFrame([], "bin_id string, split string")
+    folder, done = shared_folder(v.sparkSession, "bins"), []
+    for label in labels:
+        own = rows.where(F.col("label") == label)
+        before = own.join(placed, "bin_id").agg(*[f(F.when(F.col("split") == split, F.col(c))).alias(f"{split}_{n}") for split, *_ in LIMITS for n, f, c in (("samples", F.count, "sample_id"), ("tracks", F.count_distinct, "track_id"))])
+        total = own.agg(F.count(F.lit(1)).alias("all_samples"), F.countDistinct("track_id").alias("all_tracks"))
+        state = total.crossJoin(before)  # a row each
+        left = lambda n, split, share, least: F.greatest(F.col(f"all_{n}") * share, F.lit(float(least))) - F.col(f"{split}_{n}")
+        limits = state.select(*[left(n, split, share, least).alias(f"{split}_{n}") for split, share, *both in LIMITS for n, least in zip(("samples", "tracks"), both, strict=True)])
+        bins = own.join(placed, "bin_id", "left_anti").groupBy("label", "bin_id").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("track_id").alias("tracks"))
+        wide = bins.crossJoin(F.broadcast(limits))
+        # a split that has enough of either takes no bin
+        need = lambda split: [F.when((F.col(f"{split}_samples") > 0) & (F.col(f"{split}_tracks") > 0), F.col(f"{split}_{n}")).otherwise(0) for n in ("samples", "tracks")]
+        path = f"{folder}/{len(done)}"  # written, as each label reads all before it several times
+        s.fill_splits(wide, [(split, *need(split)) for split, *_ in LIMITS], "p09").select("bin_id", "split").write.parquet(path)
+        done.append(path)
+        placed = v.sparkSession.read.schema("bin_id string, split string").parquet(*done)
+    return rows.join(placed, "bin_id").select("sample_id", "split")
+
+
+def split_sql(source, labels=5):
+    """The same label by label, for as many labels as the table has."""
+    parts = [f"""n0 as (select label, count(*) as n, count(distinct station_id) as bins, count(distinct track_id) as tracks from {source} group by label),
+lo as (select label, row_number() over (order by case label when '2-HIGH' then 0 when '1-URGENT' then 2 else 1 end, n, label) as place from n0),
+sb as materialized (select sample_id, track_id, place, case when label='5-LOW' or bins<4 or tracks<2970 then 'c'||clip_id else 's'||station_id end as bin_id from {source} join n0 using (label) join lo using (label)),
+pl0 as (select 'x' as bin_id, 'x' as split where false)"""]
+    for i in range(1, labels + 1):
+        parts.append(f"""o{i} as materialized (select s.*, split from sb s left join pl{i - 1} using (bin_id) where place={i}),
+l{i} as materialized (select greatest(count(*)*15e-2, 100)-count(*) filter (where split='validation') as vs, greatest(count(distinct track_id)*15e-2, 50)-count(distinct track_id) filter (where split='validation') as vt, greatest(count(*)*5e-2, 40)-count(*) filter (where split='test') as ts, greatest(count(distinct track_id)*5e-2, 20)-count(distinct track_id) filter (where split='test') as tt from o{i}),
+b{i} as (select bin_id, count(*) as n, count(distinct track_id) as t from o{i} where split is null group by 1),
+v{i} as (select *, vs>0 and vt>0 and (coalesce(sum(n) over w, 0)<vs or coalesce(sum(t) over w, 0)<vt) as val from b{i}, l{i} window w as (order by md5(concat_ws('|','p09',bin_id)), bin_id rows between unbounded preceding and 1 preceding)),
+t{i} as (select *, ts>0 and tt>0 and (coalesce(sum(n) over w, 0)<ts or coalesce(sum(t) over w, 0)<tt) as tes from v{i} where not val window w as (order by md5(concat_ws('|','p09',bin_id)), bin_id rows between unbounded preceding and 1 preceding)),
+pl{i} as materialized (select bin_id, split from pl{i - 1} union all select bin_id, 'validation' from v{i} where val union all select bin_id, case when tes then 'test' else 'train' end from t{i})""")
+    return ",\n".join(parts)
+
+
+@query("p09_group_split", "v_samples", sql=split_sql("v_samples") + " select sample_id, split from sb join pl5 using (bin_id)")
+def p09(v):
+    return group_split(v)
 
 
-@query("w18_cumulative_fill", "v_samples", sql=FILL + "select bin_id, 'validation' as split from x where val union all select bin_id, case when s2<ts or t2<tt then 'test' else 'train' end from y, lim")
-def w18(v):
-    return filled(v).select("bin_id", "split")
+PULLED = "pulled as (select *, clip_id%50=7 or rec_time>(select max(rec_time)-interval 60 day from v_samples) as test from v_samples), kept as (select * from pulled where not test),\n"
 
 
-@query("p09_group_split", "v_samples", sql=FILL + ", f as (select bin_id, 'validation' as split from x where val union all select bin_id, case when s2<ts or t2<tt then 'test' else 'train' end from y, lim) select sample_id, split from v_samples join f on bin_id=station_id where label='3-MEDIUM'")
-def p09(v):
-    return v.where("label = '3-MEDIUM'").join(F.broadcast(filled(v).select("bin_id", "split")), F.col("bin_id") == F.col("station_id")).select("sample_id", "split")
+@query("p11_full_split", "v_samples", sql=PULLED + split_sql("kept") + " select sample_id, split from sb join pl5 using (bin_id) union all select sample_id, 'test' from pulled where test")
+def p11(v):
+    after = v.agg((F.max("rec_time") - F.expr("interval 60 days")).alias("after"))
+    dated = v.crossJoin(F.broadcast(after)).withColumn("pulled", (F.col("rec_time") > F.col("after")) | (F.col("clip_id") % 50 == 7))  # one row
+    return group_split(dated.where("not pulled").drop("after", "pulled")).union(dated.where("pulled").select("sample_id", F.lit("test")))
 
 
 @query("p10_bin_choice", "v_samples", sql="g as (select label, count(distinct station_id) as bins, count(distinct track_id) as tracks from v_samples group by label) select sample_id, case when label='5-LOW' or bins<4 or tracks<2970 then 'c'||clip_id else 's'||station_id end as bin_id from v_samples join g using (label)")
 def p10(v):
-    g = v.groupBy("label").agg(F.countDistinct("station_id").alias("bins"), F.countDistinct("track_id").alias("tracks"))
-    by_clip = (F.col("label") == "5-LOW") | (F.col("bins") < 4) | (F.col("tracks") < 2970)
-    return v.join(F.broadcast(g), "label").select("sample_id", F.when(by_clip, F.concat(F.lit("c"), "clip_id")).otherwise(F.concat(F.lit("s"), "station_id")).alias("bin_id"))
+    return binned(v).select("sample_id", "bin_id")
 
 
 @query("p12_equal_rates", "v_samples", sql=N + ", m as (select min(n) as m from c where label<>'1-URGENT'), r as (select sample_id, label, row_number() over (partition by label order by md5(concat_ws('|','p12',sample_id)), sample_id) as rn from v_samples) select sample_id, label from r, m where rn<=m or label='1-URGENT'")

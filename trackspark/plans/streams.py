@@ -5,8 +5,9 @@ The streaming forms are in ``trackspark.streaming``; tests hold both against eac
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackspark.functions import geometry as g
 from trackspark.operators import pixels as px
-from trackspark.operators import tracker
+from trackspark.operators import tracker, tracks
 from trackspark.streaming import cameras
 
 from .base import query, r6
@@ -22,19 +23,27 @@ def order() -> Window:
 
 
 def numbered(v):
-    """Regions as untracked detections."""
-    return v.select("clip_id", "frame_number", F.col("track_id").alias("region_id"), "x", "y", "width", "height")
+    """Regions that were seen, as untracked detections."""
+    seen = tracks.with_border(v, g.fixed(1, 1, 158, 118)).where("not blank")
+    return seen.select("clip_id", "frame_number", F.col("track_id").alias("region_id"), "x", "y", "width", "height", "mass", "pixel_variance", "along_border")
+
+
+def detections(v):
+    """Frames in which any region comes from a calibration are calibrating."""
+    ffc = v.groupBy("clip_id", "frame_number").agg(F.max("ffc").alias("calibrating"))
+    return numbered(v).join(ffc, ["clip_id", "frame_number"])
 
 
 @query("j08_greedy_assignment", "v_regions")
 def j08(v):
-    return tracker.assign(numbered(v))
+    return tracker.assign(numbered(v)).where("not blank").select("clip_id", "frame_number", "region_id", "online_track", "created")
 
 
 @query("t08_online_tracker", "v_regions")
 def t08(v):
-    steps = tracker.assign(numbered(v))
-    return steps.groupBy("clip_id", "online_track").agg(F.min("frame_number").alias("first"), F.max("frame_number").alias("last"), F.count(F.lit(1)).alias("n"))
+    steps = tracker.assign(detections(v))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return steps.groupBy("clip_id", "online_track").agg(F.min("frame_number").alias("first"), F.max("frame_number").alias("last"), n(~F.col("blank"), "n"), n(F.col("blank"), "blanks"))
 
 
 @query("j10_greedy_match", "v_expected", "v_tracks")

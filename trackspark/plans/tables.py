@@ -7,6 +7,7 @@ from trackspark.operators import predictions as p
 from trackspark.sources import documents as d
 
 from .base import query, r6
+from .predictions import SMOOTH
 from .samples import split
 
 
@@ -25,11 +26,11 @@ def s01(v):
     return d.parse_sidecars(sidecars(v)).drop("i")
 
 
-@query("s02_decode_positions", "v_regions", sql="w as (select * from v_regions where frame_number<40) select track_id, frame_number+case when track_id%2=0 then 2 else 0 end as frame_number, x, y, width, height from w")
+@query("s02_decode_positions", "v_regions", sql="select track_id, frame_number+case when track_id%2=0 then 2 else 0 end as frame_number, x, y, width, height from v_regions")
 def s02(v):
     known = F.when(F.col("track_id") % 2 == 1, F.col("frame_number"))
     b = g.box()
-    wire = v.where("frame_number < 40").groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_number", F.array(b.x, b.y, b.right, b.bottom, known).alias("p")))), lambda s: s["p"]).alias("positions"))
+    wire = v.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_number", F.array(b.x, b.y, b.right, b.bottom, known).alias("p")))), lambda s: s["p"]).alias("positions"))
     return d.decoded_positions(wire.withColumn("start_s", F.lit(0.25)))
 
 
@@ -39,15 +40,18 @@ def s03(t):
     return d.parse_taxonomy(pairs.select(F.to_json("m").alias("value")))
 
 
-@query("s04_clip_id_lists", "v_clips", sql="select distinct clip_id from v_clips where clip_id%3=0")
+@query("s04_clip_id_lists", "v_clips", sql="select distinct clip_id from v_clips")
 def s04(c):
-    lines = c.where("clip_id % 3 = 0").groupBy("station_id").agg(F.concat(F.array_join(F.collect_list("clip_id").cast("array<string>"), ", "), F.lit(",, oops")).alias("value"))
+    lines = c.groupBy("station_id").agg(F.concat(F.array_join(F.collect_list("clip_id").cast("array<string>"), ", "), F.lit(",, oops")).alias("value"))
     return d.parse_id_lists(lines)
 
 
 @query("s09_training_shards", "v_samples", sql="s as (select sample_id, case when sample_id%20<16 then 'train' when sample_id%20<19 then 'validation' else 'test' end as split, cast(('0x'||substr(md5(source_file),1,8)) as bigint)%8 as shard from v_samples) select split, cast(shard as integer) as shard, count(*) as n from s group by 1,2")
 def s09(v):
-    return split(v).groupBy("split", d.shard_of(F.col("source_file"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    """Shards are written, and counted as they lie there."""
+    path = d.shared_folder(v.sparkSession, "shards")
+    d.write_shards(split(v), path, 8)
+    return v.sparkSession.read.parquet(path).groupBy("split", F.col("shard").cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s16_bulk_ingest", "v_tracks", sql="select clip_id, track_id, greatest(0, start_frame-case when track_id%2=0 then 1 else 0 end) as start_frame, least(60, end_frame) as end_frame from v_tracks where clip_id not in (select clip_id from v_tracks where clip_id%5=2) and num_regions>0")
@@ -62,7 +66,9 @@ def s17(v):
     return v.dropDuplicates(["clip_id", "frame_number"]).select("clip_id", "frame_number")
 
 
-@query("s18_result_documents", "v_predictions", "v_tracks")
+@query("s18_result_documents", "v_predictions", "v_tracks", sql=SMOOTH.rstrip() + """,
+d as (select t.clip_id, '{"track_id":'||t.track_id||',"start_frame":'||start_frame||',"end_frame":'||end_frame||',"num_regions":'||num_regions||case when label_1 is null then '' else ',"predictions":[{"label":'||label_1||',"confidence":'||round(score_1, 6)||'}]' end||'}' as doc, t.track_id from v_tracks t left join b using (track_id))
+select clip_id, '{"id":'||clip_id||',"tracks":['||string_agg(doc, ',' order by track_id)||']}' as document from d group by clip_id""")
 def s18(v, tracks):
     best = p.best(p.track_scores(v)).select("track_id", F.col("label_1").alias("label"), r6("score_1").alias("confidence"))
     return d.result_documents(tracks, best)
@@ -76,10 +82,13 @@ def s22(c):
     return media.join(c.select(stem.alias("stem")), "stem").union(complete).distinct()
 
 
-@query("s23_track_label_export", "v_tags", "v_tracks")
-def s23(t, v):
+@query("s23_track_label_export", "v_tags", "v_tracks", "v_regions", sql="""l as (select track_id, min(what) as label from v_tags group by 1), f as (select track_id, string_agg(frame_number, ',' order by frame_number) as frames from v_regions where ffc group by 1)
+select label, '{"clip_id":'||clip_id||',"track_id":'||v.track_id||',"start_frame":'||start_frame||',"end_frame":'||end_frame||',"label":"'||label||'","ffc_frames":['||coalesce(frames, '')||']}' as value from v_tracks v join l on l.track_id=v.track_id left join f on f.track_id=v.track_id""")
+def s23(t, v, regions):
     label = t.groupBy("track_id").agg(F.min("what").alias("label"))
-    return v.join(label, "track_id").select("label", F.to_json(F.struct("clip_id", "track_id", "start_frame", "end_frame", "label")).alias("value"))
+    ffc = regions.where("ffc").groupBy("track_id").agg(F.array_sort(F.collect_list("frame_number")).alias("ffc_frames"))
+    full = v.join(label, "track_id").join(ffc, "track_id", "left").withColumn("ffc_frames", F.coalesce("ffc_frames", F.array().cast("array<long>")))
+    return full.select("label", F.to_json(F.struct("clip_id", "track_id", "start_frame", "end_frame", "label", "ffc_frames")).alias("value"))
 
 
 @query("s24_read_manifest", "v_samples", sql="select label, count(*) as n from v_samples where label<>'5-LOW' group by label")
@@ -92,17 +101,21 @@ def s24(v):
 
 @query("s25_read_shards", "v_samples", sql="m(label, idx) as (values ('1-URGENT',0),('2-HIGH',0),('3-MEDIUM',1)) select sample_id, idx, mass from v_samples join m using (label) where mass>=10")
 def s25(v):
-    m = v.sparkSession.createDataFrame([("1-URGENT", 0), ("2-HIGH", 0), ("3-MEDIUM", 1)], "label string, idx int")
-    return v.where("mass >= 10").join(F.broadcast(m), "label").select("sample_id", "idx", "mass")
+    """Shards are written, and read back with their labels renumbered."""
+    path = d.shared_folder(v.sparkSession, "shards")
+    d.write_shards(split(v), path, 8)
+    return d.read_shards(v.sparkSession, path, {"1-URGENT": 0, "2-HIGH": 0, "3-MEDIUM": 1}, 10).select("sample_id", "idx", "mass")
 
 
-@query("x16_content_key", "embeddings")
+@query("x16_content_key", "embeddings", sql="select vec_id, sha256(array_to_string(list_transform(embedding, lambda x: cast(floor(cast(x as double)*1e6+5e-1) as bigint)), ',')) as key from embeddings")
 def x16(e):
-    return e.select("vec_id", F.sha2(F.to_json("embedding"), 256).alias("key"))
+    """A key of the content, from values to six decimals: equal inputs, equal keys on any engine."""
+    fixed = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string"))
+    return e.select("vec_id", F.sha2(F.array_join(fixed, ",").cast("binary"), 256).alias("key"))
 
 
-@query("x18_json_values", "v_regions")
+@query("x18_json_values", "v_regions", sql="""select track_id, frame_number, '{"x":'||x||',"y":'||y||',"width":'||width||',"height":'||height||',"mass":'||mass||',"blank":'||blank||',"pixel_variance":'||floor(pixel_variance*1e2+5e-1)/1e2||'}' as json from v_regions""")
 def x18(v):
-    return v.select("track_id", "frame_number", F.to_json(F.struct("x", "y", "width", "height", "mass", "blank", F.round("pixel_variance", 2).alias("pixel_variance"))).alias("json"))
+    return v.select("track_id", "frame_number", F.to_json(F.struct("x", "y", "width", "height", "mass", "blank", (F.floor(F.col("pixel_variance") * 100.0 + 0.5) / 100.0).alias("pixel_variance"))).alias("json"))
 
 

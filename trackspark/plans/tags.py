@@ -176,10 +176,10 @@ def j17(c):
     return named.join(F.broadcast(own), ["model", "country"], "left").select("clip_id", F.coalesce("file", F.concat("model", F.lit(".bin"))).alias("file"))
 
 
-@query("a13_clip_primary_tag", "v_tags", "v_tracks", sql="""h as (select clip_id, list(distinct what) as w from v_tracks left join (select * from v_tags where not automatic and track_id%3=0) g using (track_id) group by clip_id)
+@query("a13_clip_primary_tag", "v_tags", "v_tracks", sql="""h as (select clip_id, list(distinct what) as w from v_tracks left join (select * from v_tags where not automatic) g using (track_id) group by clip_id)
 select clip_id, case len(list_filter(w, lambda x: x is not null)) when 0 then 'no tag' when 1 then list_filter(w, lambda x: x is not null)[1] else 'multi' end as tag from h""")
 def a13(g, v):
-    human = g.where("not automatic and track_id % 3 = 0").select("track_id", "what")
+    human = g.where("not automatic").select("track_id", "what")
     found = v.join(human, "track_id", "left").groupBy("clip_id").agg(F.collect_set("what").alias("w"))
     return found.select("clip_id", F.when(F.size("w") == 0, "no tag").when(F.size("w") == 1, F.element_at("w", 1)).otherwise("multi").alias("tag"))
 
@@ -245,10 +245,14 @@ def s20(c):
 @query("s21_retention", "v_clips", sql="""b as (select clip_id, rec_time, 100+clip_id%50 as bytes from v_clips), r as (select *, sum(bytes) over (order by rec_time desc, clip_id desc rows between unbounded preceding and current row) as used from b)
 select clip_id from r where used<=(select 7e-1*sum(bytes) from b)""")
 def s21(c):
-    sized = c.withColumn("bytes", 100 + F.col("clip_id") % 50).withColumn("disk", F.lit(1))
-    used = F.sum("bytes").over(Window.partitionBy("disk").orderBy(F.desc("rec_time"), F.desc("clip_id")).rowsBetween(Window.unboundedPreceding, 0))
-    budget = sized.groupBy("disk").agg((0.7 * F.sum("bytes")).alias("budget"))
-    return sized.withColumn("used", used).join(F.broadcast(budget), "disk").where("used <= budget").select("clip_id")
+    """Newest recordings first, until their bytes fill 0.7 of the whole.  Running totals are taken within days, on top of
+    those of all later days: a window over all rows would be one task."""
+    sized = c.select("clip_id", "rec_time", F.to_date("rec_time").alias("day"), (100 + F.col("clip_id") % 50).alias("bytes"))
+    days = sized.groupBy("day").agg(F.sum("bytes").alias("bytes"))  # as many rows as days
+    later = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))
+    total = days.select("day", F.coalesce(later, F.lit(0)).alias("later"), (0.7 * F.sum("bytes").over(Window.partitionBy(F.lit(0)))).alias("budget"))
+    within = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("rec_time"), F.desc("clip_id")).rowsBetween(Window.unboundedPreceding, 0))
+    return sized.join(total, "day").withColumn("used", F.col("later") + within).where("used <= budget").select("clip_id")
 
 
 @query("x17_score_map", "v_predictions", sql="select vec_id, round(max(score) filter (where idx=2), 6) as two, coalesce(round(max(score) filter (where idx=77), 6), 0) as absent from v_predictions group by vec_id")

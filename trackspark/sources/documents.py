@@ -4,6 +4,9 @@ Schemas are stated, never inferred, and hold every spelling that files use."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,23 @@ def write_shards(samples: DataFrame, path: str, shards: int) -> None:
     dealt.sortWithinPartitions("split", "shard", F.md5(F.col("sample_id").cast("string").cast("binary"))).write.mode("overwrite").partitionBy("split", "shard").option("compression", "gzip").parquet(path)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder where all machines see it (``spark.checkpoint.dir``); only where that is unset, as in tests, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/trackspark/{what}-{uuid.uuid4().hex}"
+
+
+def read_shards(spark: SparkSession, path: str, remap: dict[str, int] | None = None, least_mass: int = 0) -> DataFrame:
+    """Records of written shards that have a mass of ``least_mass``, with idx: the label's number where it is remapped.
+
+    Labels outside ``remap``, which is small, are left out."""
+    rows = spark.read.parquet(path).where(F.col("mass") >= least_mass)
+    if remap is None:
+        return rows
+    numbers = spark.createDataFrame(list(remap.items()), "label string, idx int")
+    return rows.join(F.broadcast(numbers), "label")
+
+
 def result_documents(tracks: DataFrame, predictions: DataFrame) -> DataFrame:
     """clip_id, document: nested JSON of a clip's tracks with their predictions."""
     preds = predictions.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("label", "confidence"))).alias("predictions"))

@@ -6,7 +6,7 @@ Event time is ``ts``; state is kept by camera; rows of a micro-batch are sorted
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,40 +37,49 @@ def segments(frames: DataFrame, length: str, watermark: str) -> DataFrame:
     return rows.groupBy("camera", F.window("ts", length)).agg(F.count(F.lit(1)).alias("frames")).select("camera", F.col("window.start").cast("timestamp_ntz").alias("start"), "frames")
 
 
-def _seconds(ts: pd.Series) -> list[float]:
-    return (ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+def stepped(frames: DataFrame, kind: str, watermark: str = "1 hour", keep_hours: int = 6) -> DataFrame:
+    """event_id and what the step of a kind (tracker.STEPS) gives, frame by frame.
+
+    The step's state is kept by camera, and goes when the watermark has passed its last frame by ``keep_hours``."""
+    names = [c.split()[0] for c in tracker.gives(kind).split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        step = pickle.loads(bytes(state.get[0])) if state.exists else tracker.STEPS[kind]()
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        found = tracker.stepped(step, rows)
+        state.update((pickle.dumps(step),))
+        last = int(tracker.seconds(rows["ts"])[-1] * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000)
+        yield pd.DataFrame(found, columns=names)
+
+    keyed = timed(frames).withWatermark("ts", watermark).select(*tracker.needs(kind)).groupBy("camera")
+    return keyed.applyInPandasWithState(run, tracker.gives(kind), "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(frames: DataFrame) -> DataFrame:
     """event_id, flag: whether a frame is recorded, by a token bucket per camera."""
+    return stepped(frames, "throttle")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bucket = tracker.Bucket()
-        if state.exists:
-            bucket.tokens, bucket.throttled_at, bucket.last_motion = json.loads(state.get[0])
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        flags = [bucket.step(t, bool(m)) for t, m in zip(_seconds(rows["ts"]), rows["motion"], strict=True)]
-        state.update((json.dumps([bucket.tokens, bucket.throttled_at, bucket.last_motion]),))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "flag": flags})
-
-    keyed = timed(frames).select("camera", "ts", "event_id", "motion").groupBy("camera")
-    return keyed.applyInPandasWithState(step, "event_id long, flag boolean", "state string", "append", GroupStateTimeout.NoTimeout)
 
+def online_tracks(regions: DataFrame, idle_minutes: int = 10) -> DataFrame:
+    """Rows of tracker.ASSIGNED: the tracker's step over a stream of regions; a clip's state goes when it has been idle.
 
-def online_tracks(regions: DataFrame) -> DataFrame:
-    """clip_id, frame_number, region_id, online_track, created: the tracker's step over a stream of regions."""
+    Frames must come in order, and all regions of a frame in one micro-batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"next": 1, "active": {}}
-        now = {"next": kept["next"], "active": {int(k): [tuple(v[0]), v[1], v[2]] for k, v in kept["active"].items()}}
-        rows, out = pd.concat(list(batches)).sort_values(["frame_number", "region_id"]), []
-        for frame, part in rows.groupby("frame_number", sort=True):
-            listed = [tuple(int(x) for x in r) for r in part[["region_id", "x", "y", "width", "height"]].itertuples(index=False, name=None)]
-            out += [(int(key[0]), int(frame), r, t, c) for r, t, c in tracker.track_step(now, int(frame), listed)]
-        state.update((json.dumps(now),))
-        yield pd.DataFrame(out, columns=["clip_id", "frame_number", "region_id", "online_track", "created"])
-
-    return regions.groupBy("clip_id").applyInPandasWithState(step, tracker.ASSIGNED, "state string", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = pickle.loads(bytes(state.get[0])) if state.exists else tracker.fresh_state()
+        found = tracker.assigned(key[0], pd.concat(list(batches)), now)
+        state.update((pickle.dumps(now),))
+        state.setTimeoutDuration(idle_minutes * 60_000)
+        yield found
+
+    return regions.groupBy("clip_id").applyInPandasWithState(step, tracker.ASSIGNED, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def recordings(media: DataFrame, sidecars: DataFrame, within: str = "1 hour") -> DataFrame:
