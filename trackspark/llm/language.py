@@ -7,7 +7,7 @@ its score is the mean over those.  A document's score is the mean over its words
 
 Fitting takes a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by a hash of
 the id, with their whole texts; the model keeps the ``VOCABULARY`` most frequent words and
-``NGRAMS`` most frequent n-grams of each order and language.  These parameters bound what is broadcast
+``NGRAMS`` most frequent n-grams of each order and language, of ``MAX_LANGUAGES`` languages at most.  These parameters bound what is broadcast
 (a few MB for a handful of languages), whatever the size of the corpus.  Prediction covers every
 document, whole.
 
@@ -37,6 +37,8 @@ VOCABULARY = 30_000
 NGRAMS = 8_000
 #: Minus log10 of the frequency that a language is given for what it lacks.
 PENALTY = 7.0
+#: Languages that are learnt: those with the most labelled documents.
+MAX_LANGUAGES = 500
 MEMO = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -135,7 +137,7 @@ class Model:
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, ngrams: int = NGRAMS) -> Model:
     """A model from text and lang of a bounded sample of ``labelled``; rows without lang are left out."""
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_op_n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_op_n")).orderBy(F.desc("_op_n"), "lang").limit(MAX_LANGUAGES)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("_op_n") < sample_docs).select("text", "lang")
     tally = sample.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))

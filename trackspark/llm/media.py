@@ -1,7 +1,8 @@
 """Operator 9: media columns in ISO media containers.
 
 ``parse`` walks the nested boxes of a file, decodes its sample tables, and gives codec, duration and
-the byte ranges of keyframes, without decoding any payload.  ``wrap`` makes such a file around a
+the byte ranges of keyframes, of every track and of the video first of all, without decoding any payload; the
+sample runs of movie fragments count as well.  ``wrap`` makes such a file around a
 payload: one track of uncompressed 8 x 8 RGB frames (192 bytes of 8-bit samples each), 25 a second,
 every ``GOP``-th marked as a sync sample.  ``payload_of`` reads the samples back through the tables.
 
@@ -124,6 +125,10 @@ class Track:
     runs: list[tuple[int, int, int]] = field(default_factory=list)
     chunks: list[int] = field(default_factory=list)
     sync: list[int] | None = None
+    number: int = 0
+    #: (offset, size, ticks, whether it is a keyframe) of samples in fragments, and what those are by default.
+    fragments: list[tuple[int, int, int, bool]] = field(default_factory=list)
+    defaults: tuple[int, int, int] = (0, 0, 0)
 
     def samples(self) -> list[tuple[int, int]]:
         """(offset, size) of every sample, from the chunk tables."""
@@ -140,15 +145,22 @@ class Track:
                 i += per
         if len(out) != len(self.sizes):
             raise Damaged("chunks and samples differ in number")
-        return out
+        return out + [f[:2] for f in self.fragments]
+
+    def seconds(self) -> float | None:
+        ticks = self.duration or sum(n * d for n, d in self.deltas)
+        # a movie that goes on in fragments states no duration, or that of its beginning
+        ticks = max(ticks, sum(n * d for n, d in self.deltas) + sum(f[2] for f in self.fragments))
+        return ticks / self.timescale if self.timescale else None
 
     def keyframes(self) -> list[tuple[int, int]]:
         every = self.samples()
+        whole, late = every[: len(self.sizes)], [f[:2] for f in self.fragments if f[3]]
         if self.sync is None:
-            return every
-        if any(not 0 < s <= len(every) for s in self.sync):
+            return whole + late
+        if any(not 0 < s <= len(whole) for s in self.sync):
             raise Damaged("a sync sample is missing")
-        return [every[s - 1] for s in self.sync]
+        return [whole[s - 1] for s in self.sync] + late
 
 
 def _table(data, at: int, end: int, form: str, count: int) -> list:
@@ -159,18 +171,81 @@ def _table(data, at: int, end: int, form: str, count: int) -> list:
     return [r[0] for r in rows] if len(form) == 1 else rows
 
 
+#: Flags of fragment boxes: which fields are there; and that a sample is no keyframe.
+BASE, DESCRIPTION, TICKS, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_OFFSET, RUN_FIRST, RUN_TICKS, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEY = 0x10000
+
+
+class Fragment:
+    """Where the samples of a track fragment are, and what they are unless a run says otherwise."""
+
+    def __init__(self, tracks: list[Track], data, at: int, moof: int) -> None:
+        flags, number = struct.unpack_from(">II", data, at)
+        self.track = next((t for t in tracks if t.number == number), None)
+        if self.track is None:
+            raise Damaged(f"a fragment of track {number}, which is not there")
+        at += 8
+        self.base, self.next = moof, moof
+        ticks, size, kind = self.track.defaults
+        if flags & BASE:
+            (self.base,), at = struct.unpack_from(">Q", data, at), at + 8
+            self.next = self.base
+        at += 4 if flags & DESCRIPTION else 0
+        values = []
+        for bit, value in ((TICKS, ticks), (SIZE, size), (FLAGS, kind)):
+            if flags & bit:
+                (value,), at = struct.unpack_from(">I", data, at), at + 4
+            values.append(value)
+        self.values = values
+
+    def run(self, data, at: int, end: int) -> None:
+        flags, n = struct.unpack_from(">II", data, at)
+        at += 8
+        if flags & RUN_OFFSET:
+            (shift,), at = struct.unpack_from(">i", data, at), at + 4
+            self.next = self.base + shift
+        first = None
+        if flags & RUN_FIRST:
+            (first,), at = struct.unpack_from(">I", data, at), at + 4
+        given = [bit for bit in (RUN_TICKS, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if flags & bit]
+        rows = _table(data, at, end, "I" * len(given), n) if given else [()] * n
+        for i, row in enumerate(rows):
+            own = dict(zip(given, row if isinstance(row, tuple) else (row,), strict=True))
+            ticks, size, kind = own.get(RUN_TICKS, self.values[0]), own.get(RUN_SIZE, self.values[1]), own.get(RUN_FLAGS, self.values[2])
+            if i == 0 and first is not None:
+                kind = first
+            self.track.fragments.append((self.next, size, ticks, not kind & NO_KEY))
+            self.next += size
+
+
 def read_tracks(data: bytes | memoryview) -> list[Track]:
     """The tracks of a file."""
     tracks: list[Track] = []
+    moof, fragment = 0, None
     try:
         for path, at, end in walk(data):
             kind = path[-4:]
+            if path == "/moof":
+                moof = at - 8
+            elif path == "/moof/traf/tfhd":
+                fragment = Fragment(tracks, data, at, moof)
+            elif path == "/moof/traf/trun":
+                if fragment is None:
+                    raise Damaged("a run without its track")
+                fragment.run(data, at, end)
+            elif path == "/moov/mvex/trex":
+                number, _, *defaults = struct.unpack_from(">5I", data, at + 4)
+                for t in tracks:
+                    if t.number == number:
+                        t.defaults = tuple(defaults)
             if path == "/moov/trak":
                 tracks.append(Track())
             elif not path.startswith("/moov/trak/"):
                 continue
             t = tracks[-1]
             if kind == "tkhd":
+                (t.number,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
                 t.width, t.height = (x >> 16 for x in struct.unpack_from(">II", data, end - 8))
             elif kind == "mdhd":
                 t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
@@ -197,23 +272,28 @@ def payload_of(data: bytes | memoryview, track: Track) -> bytes:
     return b"".join(bytes(data[at : at + size]) for at, size in track.samples())
 
 
-PARSED = "codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,size:long>>, error string"
+PARSED = (
+    "codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,size:long>>, "
+    "tracks array<struct<kind:string,codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,size:long>>>>, error string"
+)
 
 
 def describe(data: bytes | memoryview | None) -> tuple:
-    """One row of PARSED, for the first track."""
+    """One row of PARSED: the first video track, or the first of all where there is none, and each track."""
     if data is None:
-        return None, None, None, None, None
+        return None, None, None, None, None, None
     try:
         tracks = read_tracks(data)
         if not tracks:
             raise Damaged("no track")
-        t = tracks[0]
-        keys = [{"offset": at, "size": size} for at, size in t.keyframes()]
-        ticks = t.duration or sum(n * d for n, d in t.deltas)
-        return t.codec, ticks / t.timescale if t.timescale else None, len(t.sizes), keys, None
+        rows = [
+            {"kind": t.kind, "codec": t.codec, "duration_s": t.seconds(), "n_samples": len(t.sizes) + len(t.fragments), "keyframes": [{"offset": at, "size": size} for at, size in t.keyframes()]}
+            for t in tracks
+        ]
+        first = next((r for r in rows if r["kind"] == "vide"), rows[0])
+        return first["codec"], first["duration_s"], first["n_samples"], first["keyframes"], rows, None
     except Damaged as e:
-        return None, None, None, None, str(e)
+        return None, None, None, None, None, str(e)
 
 
 def _added(batch: pa.RecordBatch, fields, rows: list[tuple], keep: list[str]) -> pa.RecordBatch:
@@ -223,7 +303,8 @@ def _added(batch: pa.RecordBatch, fields, rows: list[tuple], keep: list[str]) ->
 
 
 _RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
-_PARSED = [("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES), ("error", pa.string())]
+_TRACKS = pa.list_(pa.struct([("kind", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)]))
+_PARSED = [("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES), ("tracks", _TRACKS), ("error", pa.string())]
 
 
 def parse(files: DataFrame, column: str = "media") -> DataFrame:
