@@ -44,6 +44,47 @@ def test_split_of_hot_groups(docs, monkeypatch):
     check(docs, [text(s, 300) + p[s * 7 :] + text(s + 50, 200) for s in range(12)] + [p[: 500 + 9 * s] + text(s + 90, 400) for s in range(8)])
 
 
+def brute_passages(texts, length, least):
+    """Runs of over ``least`` words in windows that occur more than once, by counting every window."""
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = 1
+        gone[len(t)] = 0
+        edge = np.diff(np.concatenate([[0], gone]))
+        words = [len(t[a:b].split()) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+        words = [w for w in words if w > least]
+        out.append((len(words), sum(words)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_passages_of_over_fifty_words(docs, monkeypatch, hot):
+    """Passages shorter than the strings that are removed are reported, not removed."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    words = lambda seed, n: " ".join("abcdefgh"[i] * 4 for i in np.random.default_rng(seed).integers(0, 8, n))
+    p, q, short = words(1, 60), words(2, 90), words(3, 51)
+    texts = [words(10, 40) + " " + p + " " + words(11, 30), p, words(12, 20) + " " + q, q + " " + words(13, 9) + " " + p, words(14, 200), short + " x", None, short[:-6]]
+    got = rows_of(suffix.report(docs(*enumerate(texts))), "doc_id", "n_removed", "n_passages", "passage_words")
+    plain = [(t or "").encode() for t in texts]
+    want = [(i, d["n_removed"], *w) for i, (d, w) in enumerate(zip(suffix.brute(plain), brute_passages(plain, suffix.PASSAGE, suffix.PASSAGE_WORDS), strict=True))]
+    assert got == want and got[1][1] == 0 and got[1][2] == 1 and got[2][1] > 0
+
+
+def test_nothing_is_left_behind(docs, spark):
+    """The setting of the session is as it was, and no table stays."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    suffix.report(docs((1, text(1, 900)), (2, text(1, 900)))).collect()
+    assert spark.conf.get(name) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_")]
+
+
 def test_very_long_text(docs, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 3000)
     p = text(31, 900)

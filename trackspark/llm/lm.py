@@ -3,8 +3,8 @@
 Every word that comes before another is a context with a restaurant of its own, and so is the beginning of a
 text.  All share the parent restaurant of single words, which falls back to a uniform base over the known
 words and one unknown.
-Customers are tokens; who sits at which table is sampled by Gibbs: in each sweep every (context, word)
-seats its customers anew by the Chinese restaurant process, given the tables of all others, and the
+Customers are tokens; who sits at which table is sampled by Gibbs: in each sweep the customers of every (context, word)
+leave and are seated anew by the Chinese restaurant process, given the tables of all others, and the
 parent's customers are the tables of its children.  Predictive probabilities are averaged over the
 samples after burn-in; a text's score is the sum of their log10, and gives its perplexity.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,8 @@ SWEEPS = 4
 BURN_IN = 2
 STRENGTH = 10.0
 ROOT_STRENGTH = 50.0
-#: Customers of a dish that are seated one by one.
-SINGLY = 32
+#: Customers of a dish whose tables are drawn exactly.
+EXACT = 16
 #: Tokens of a batch, and pairs of a part (about).
 BATCH_TOKENS = 2_000_000
 PART_PAIRS = 1_500_000
@@ -288,11 +288,15 @@ class Part:
         """What ``Totals`` takes when this is the only part."""
         return np.concatenate([*self.per_context(), self.overall()])
 
-    def root(self, model: "Totals") -> np.ndarray:
-        """The parent's probability of each word."""
+    def parent(self, model: "Totals") -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each word in the parent."""
         sat, tables = self.sat(), self.root_tables.copy()
         sat[self.shared], tables[self.shared] = model.hot_sat[self.hot], model.hot_tables[self.hot]
-        return model.root(sat, tables)
+        return sat, tables
+
+    def root(self, model: "Totals") -> np.ndarray:
+        """The parent's probability of each word."""
+        return model.root(*self.parent(model))
 
     def counts(self, model: "Totals") -> np.ndarray:
         """Tokens of each pair's word in all parts."""
@@ -301,9 +305,17 @@ class Part:
         return count[self.of]
 
     def sweep(self, model: "Totals", seed: int) -> None:
-        """Seat the customers of every pair anew, then those of the parent."""
+        """Seat the customers of every pair anew, then those of the parent.
+
+        A pair meets the tables of all others: its own leave the context and the parent first, and come back one by one."""
         rng = np.random.default_rng([seed, self.part])
-        fresh = (STRENGTH + model.discount * model.tables[self.context]) * self.root(model)[self.of]
+        sat, tables = self.parent(model)
+        others = STRENGTH + model.discount * (model.tables[self.context] - self.tables)
+        above, held, gone = sat[self.of] - self.tables, tables[self.of], self.tables.copy()
+
+        def fresh(at: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return (others[at] + model.discount * t) * model.root(above[at] + t, held[at], t - gone[at])
+
         self.tables = seat(self.n, fresh, model.discount, rng)
         self.root_tables = np.where(self.own, model.seat_root(self.sat(), rng), 0)
 
@@ -324,25 +336,54 @@ class Totals:
         self.discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
         self.root_discount = min(0.95, max(0.05, r1 / (r1 + 2 * r2))) if r1 + r2 else 0.5
 
-    def root(self, sat: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def root(self, sat: np.ndarray, tables: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+        """The parent's probability of words with these customers and tables, with ``more`` customers in all."""
         base = 1 / (self.known + 1)
-        return (np.maximum(0, sat - self.root_discount * tables) + (ROOT_STRENGTH + self.root_discount * self.root_tables) * base) / (ROOT_STRENGTH + self.root_customers)
+        return (np.maximum(0, sat - self.root_discount * tables) + (ROOT_STRENGTH + self.root_discount * self.root_tables) * base) / (ROOT_STRENGTH + self.root_customers + more)
 
     def seat_root(self, sat: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         base = (ROOT_STRENGTH + self.root_discount * self.root_tables) / (self.known + 1)
-        return seat(sat, np.full(len(sat), base), self.root_discount, rng)
+        return seat(sat, lambda at, t: np.full(len(at), base), self.root_discount, rng)
+
+
+def ways(discount: float, most: int) -> np.ndarray:
+    """Logarithms of the weight of all ways to seat n customers at t tables, for n and t up to ``most``."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, most + 1)
+    for n in range(most):
+        old = np.log(np.maximum(n - discount * t, 1e-300)) + out[n, 1:]
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.where(t <= n, old, -np.inf))
+    return out
+
 
+def seat(customers: np.ndarray, fresh: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables that all customers of a dish take, drawn given the tables of all others.
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that customers of the same dish take, coming one after another: a new one with weight
-    ``fresh`` + discount per table of the dish held by the base, an old one with customers minus discount per
-    table.  The first ``SINGLY`` come singly, later ones in groups of that part of those seated."""
+    ``fresh`` gives the weight of one more table (for dishes by number, and their tables so far).  Up to ``EXACT``
+    customers are drawn at once, by the weight of t tables over all ways to fill them; further ones come one after another, in
+    groups of a 32nd of those seated."""
     tables = (customers > 0).astype(np.int64)
-    active = np.flatnonzero(customers > 1)
-    seated = 1
+    table = ways(discount, EXACT)
+    some = np.flatnonzero(customers > 1)
+    some = some[np.argsort(-np.minimum(customers[some], EXACT), kind="stable")]
+    for first in range(0, len(some), 1 << 16):
+        rows = some[first : first + (1 << 16)]
+        n = np.minimum(customers[rows], EXACT)
+        most = int(n[0])
+        weight = table[n, 1 : most + 1]
+        total = np.zeros(len(rows))
+        for j in range(most):
+            upto = int((n > j).sum())
+            total[:upto] += np.log(fresh(rows[:upto], np.full(upto, j)))
+            weight[:upto, j] += total[:upto]
+        chance = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
+        tables[rows] = 1 + (chance < rng.random(len(rows))[:, None] * chance[:, -1:]).sum(1)
+    active, seated = np.flatnonzero(customers > EXACT), EXACT
     while len(active):
-        step = max(1, seated // SINGLY)
-        t, f = tables[active], fresh[active]
+        step = max(1, seated // 32)
+        t = tables[active]
+        f = fresh(active, t)
         come = np.minimum(step, customers[active] - seated)
         tables[active] = t + rng.binomial(come, f / (f + np.maximum(1e-9, seated - discount * t)))
         seated += step
