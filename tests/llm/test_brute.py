@@ -49,17 +49,19 @@ class PlainLanguage:
                     for i in range(len(p) - n + 1):
                         self.count[lang, n][p[i : i + n]] += 1
         self.langs = sorted({lang for lang, _ in self.count})
+        self.total = {k: sum(c.values()) for k, c in self.count.items()}
+        self.seen = {}
 
     def cost(self, lang, n, gram):
         c = self.count[lang, n]
-        return min(7.0, -math.log10(c[gram] / sum(c.values()))) if c[gram] else 7.0
+        return min(7.0, -math.log10(c[gram] / self.total[lang, n])) if gram in c else 7.0
 
     def word(self, w):
-        if any(self.count[x, 0][w] for x in self.langs):
+        if any(w in self.count[x, 0] for x in self.langs):
             return [self.cost(x, 0, w) for x in self.langs]
         p = f" {w} "
         for n in (4, 3, 2, 1):
-            known = [g for i in range(len(p) - n + 1) if any(self.count[x, n][g := p[i : i + n]] for x in self.langs)]
+            known = [g for i in range(len(p) - n + 1) if any((g := p[i : i + n]) in self.count[x, n] for x in self.langs)]
             if known:
                 return [sum(self.cost(x, n, g) for g in known) / len(known) for x in self.langs]
         return [7.0] * len(self.langs)
@@ -71,7 +73,9 @@ class PlainLanguage:
         n = sum(words.values())
         sums = [0.0] * len(self.langs)
         for w, k in words.items():
-            sums = [s + k * x for s, x in zip(sums, self.word(w), strict=True)]
+            if w not in self.seen:
+                self.seen[w] = self.word(w)
+            sums = [s + k * x for s, x in zip(sums, self.seen[w], strict=True)]
         mean = [s / n for s in sums]
         best = mean.index(min(mean))
         return self.langs[best], 1 / sum(math.exp(-(m - mean[best]) * math.log(10) * min(n, 100)) for m in mean)

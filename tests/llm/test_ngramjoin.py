@@ -12,12 +12,10 @@ from .conftest import rows_of
 def brute(rows, words=3, percent=90):
     sets = [set(j.token_set(t, words).tolist()) for _, t in rows]
     at = list(range(len(rows)))
+    links = [(x, y) for x in range(len(rows)) for y in range(x) if (both := len(sets[x] & sets[y])) and 100 * both >= percent * len(sets[x] | sets[y])]
     for _ in rows:
-        for x in range(len(rows)):
-            for y in range(len(rows)):
-                both = len(sets[x] & sets[y])
-                if both and 100 * both >= percent * len(sets[x] | sets[y]):
-                    at[x] = at[y] = min(at[x], at[y])
+        for x, y in links:
+            at[x] = at[y] = min(at[x], at[y])
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [rows[k][0] for k in range(len(rows)) if at[k] == at[i] and rows[k][0] is not None]
