@@ -8,11 +8,14 @@ take part (operators that pass columns through use ``_op_`` names inside).
 from __future__ import annotations
 
 import gc
+import itertools
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,6 +166,22 @@ def as_bytes(value) -> np.ndarray:
     return np.frombuffer(value, np.uint8) if value is not None and len(value) else np.zeros(0, np.uint8)
 
 
+# --- rows of Arrow batches ------------------------------------------------------------------------
+
+
+def rows_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a task, one after another; only the batch at hand is in memory."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def batches_out(rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of ``size`` rows."""
+    rows, schema = iter(rows), pa.schema(fields)
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
 # --- models on the executors ----------------------------------------------------------------------
 
 _LOADED: dict[str, object] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, html, language, lm, media, mixing, ngramjoin, sharding, suffix, toxicity
+from . import common, decontamination, dialogue, html, language, lm, media, mixing, ngramjoin, sharding, suffix, toxicity, warc
 
 REGISTRY = Registry()
 
@@ -57,3 +57,13 @@ def op9(spark, sf_dir):
 @REGISTRY.add("op10_ngram_jaccard_join", ngramjoin.SQL)
 def op10(spark, sf_dir):
     return ngramjoin.join(common.table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op12_warc", warc.SQL)
+def op12(spark, sf_dir):
+    return warc.report(common.table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add("op13_dialogue")
+def op13(spark, sf_dir):
+    return dialogue.report(common.table(spark, sf_dir, "conversations"))
