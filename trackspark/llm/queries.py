@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trackspark.registry import Registry
 
-from . import common, decontamination, dialogue, html, language, lm, media, mixing, ngramjoin, sharding, suffix, toxicity, warc
+from . import common, decontamination, dialogue, html, language, lm, media, mixing, ngramjoin, sharding, spelling, suffix, toxicity, warc
 
 REGISTRY = Registry()
 
@@ -59,6 +59,11 @@ def op10(spark, sf_dir):
     return ngramjoin.join(common.table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.add("op11_spelling", spelling.SQL)
+def op11(spark, sf_dir):
+    return spelling.report(common.table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op12_warc", warc.SQL)
 def op12(spark, sf_dir):
     return warc.report(common.table(spark, sf_dir, "pages"))
