@@ -1,5 +1,6 @@
 import base64
 import collections
+import gzip
 import hashlib
 
 import pytest
@@ -69,6 +70,16 @@ def test_report_against_brute_force(spark):
     assert warc.report(table(spark, [])).count() == 0
 
 
+def test_gzip_files(spark):
+    path = folder(spark)
+    warc.write(table(spark, ROWS), path)
+    files = [bytes(f.content) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert all(f[:2] == warc.GZIP for f in files) and sum(1 for f in files for _ in warc.records_of(f)) >= len(ROWS)
+    assert "error" in next(warc.records_of(files[0][:-20]))[0]
+    members = b"".join(gzip.compress(warc.record([("A", str(k))], b"x")) for k in range(3))
+    assert [f["a"] for f, _ in warc.records_of(members)] == ["0", "1", "2"]
+
+
 def test_string_ids(spark):
     rows = [("a:b\r\nc", "u", "x"), ("z", "u", "x"), ("100%", "u", "y")]
     out = warc.report(spark.createDataFrame(rows, "page_id string, url string, html string"))
@@ -83,7 +94,7 @@ def folder(spark):
 def archives(spark):
     """Archives of short segments and many files."""
     path = folder(spark)
-    warc.write(table(spark, ROWS).repartition(3), path, segment_bytes=1000, archive_bytes=20_000)
+    warc.write(table(spark, ROWS).repartition(3), path, segment_bytes=1000, archive_bytes=20_000, codec="none")
     return path
 
 

@@ -3,8 +3,8 @@
 Writing.  Each page becomes a ``response`` record: an HTTP message whose payload, the page in UTF-8, goes in
 chunked transfer framing.  A block of over ``SEGMENT_BYTES`` is cut into a first record and ``continuation``
 records, which may lie in other archives.  Of pages with equal payloads (SHA-256) one is the response, that
-with the largest page_id; the others are ``revisit`` records that refer to it.  Archives are plain files of
-about ``ARCHIVE_BYTES`` that Spark's text writer puts on shared storage: its line separator is the end of a record.
+with the largest page_id (of those, the largest url); the others are ``revisit`` records that refer to it.  Archives are gzip files of
+about ``ARCHIVE_BYTES`` of records, one gzip member each, that Spark's text writer puts on shared storage: its line separator is the end of a record.
 
 Reading.  Archives are parsed by their Content-Length fields, one at a time.  Records that are whole are
 decoded where they are; segments are grouped by the identifier of their origin, put in the order of their
@@ -20,9 +20,11 @@ total, lengths that differ, framing or digests that are wrong, archives that bre
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -37,6 +39,7 @@ ARCHIVE_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 13
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
+GZIP = b"\x1f\x8b"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + END
 #: What a header may hold as it is; everything else goes percent-encoded.
@@ -91,7 +94,11 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 def records_of(archive: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields with lower-case names, block) of each record; ``{"error": text}`` and an end where an archive is damaged."""
-    view, at = bytes(archive), 0
+    try:
+        view, at = gzip.decompress(archive) if bytes(archive[:2]) == GZIP else bytes(archive), 0
+    except (OSError, EOFError, zlib.error):
+        yield {"error": "damaged gzip file"}, b""
+        return
     while at < len(view):
         head = view.find(END, at)
         if head < 0 or not view.startswith(b"WARC/", at):
@@ -134,42 +141,47 @@ def joined(segments: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 def page_records(batch: str, date: str, segment_bytes: int, row: tuple) -> Iterator[bytes]:
-    """The records of a page: (rid, page_id as text, url, payload, rid of the response that it repeats)."""
-    name = lambda *x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, '/'.join(map(str, (batch, *x))))}>"
-    rid, page, url, payload, refers = row
+    """The records of a page: (page_id as text, url, SHA-256, SHA-1, place among equal rows, payload; none for revisits)."""
+    name = lambda *x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, repr((batch, *x)))}>"
+    page, url, digest, sha1, place, payload = row
     shared = [("WARC-Date", date), *([("WARC-Target-URI", quote(url, safe=URI_SAFE))] if url else [])]
     if page is not None:
         shared.append(("X-Page-Id", quote(page, safe="")))
-    http = ("Content-Type", "application/http; msgtype=response")
-    own = [("WARC-Record-ID", name(rid)), *shared, ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), http]
-    if refers is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Profile", REVISIT), ("WARC-Refers-To", name(refers)), *own], HTTP)
+    shared += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}"), ("Content-Type", "application/http; msgtype=response")]
+    if payload is None:
+        own = name(digest, page, url, place)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", REVISIT), ("WARC-Refers-To", name(digest)), *shared], HTTP)
         return
-    block = HTTP + chunked(payload)
+    own, block = name(digest), HTTP + chunked(payload)
     if len(block) <= segment_bytes:
-        yield record([("WARC-Type", "response"), *own], block)
+        yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), *shared], block)
         return
-    yield record([("WARC-Type", "response"), ("WARC-Segment-Number", "1"), *own], block[:segment_bytes])
+    yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Segment-Number", "1"), *shared], block[:segment_bytes])
     for k, at in enumerate(range(segment_bytes, len(block), segment_bytes), 2):
         total = [("WARC-Segment-Total-Length", str(len(block)))] if at + segment_bytes >= len(block) else []
-        number = [("WARC-Segment-Origin-ID", name(rid)), ("WARC-Segment-Number", str(k)), *total]
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(rid, k)), *shared[:1], *number], block[at : at + segment_bytes])
+        number = [("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *total]
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(digest, k)), shared[0], *number], block[at : at + segment_bytes])
+
 
+def marked(pages: DataFrame) -> DataFrame:
+    """page, url, digest, sha1, place, payload of the records to write; revisits have no payload.
 
-def marked(pages: DataFrame, work: common.Workspace) -> DataFrame:
-    """rid, page, url, payload, refers: every page, with the rid of the response that it repeats (null: it is one)."""
+    A payload moves once, after equal ones of a task have become one; rows that repeat it move without it."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = work.write(rows.withColumn("digest", F.sha2("payload", 256)), "pages")
-    # one small row per payload that repeats; Spark splits partitions in which many rows repeat the same one
-    lead = rows.groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("lead.rid").alias("first"))
-    refers = F.when(F.col("first") != F.col("rid"), F.col("first"))
-    return rows.join(lead, "digest", "left").select("rid", F.col("page_id").cast("string").alias("page"), "url", "payload", refers.alias("refers"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    own = F.struct("page_id", "url")
+    responses = rows.groupBy("digest").agg(F.max(own).alias("lead"), F.first("payload").alias("payload"))
+    responses = responses.select(F.col("lead.page_id").cast("string").alias("page"), "lead.url", "digest", F.sha1("payload").alias("sha1"), F.lit(1).alias("place"), "payload")
+    equal = rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first(F.sha1("payload")).alias("sha1"))
+    leads = equal.groupBy("digest").agg(F.max(own).alias("lead"), F.sum("n").alias("rows")).where("rows > 1").select("digest", "lead")
+    more = F.col("n") - F.when(own.eqNullSafe(F.col("lead")), 1).otherwise(0)
+    again = equal.join(leads, "digest").withColumn("more", more).where("more > 0").withColumn("place", F.explode(F.sequence(F.lit(1), F.col("more").cast("int"))))
+    return responses.unionByName(again.select(F.col("page_id").cast("string").alias("page"), "url", "digest", "sha1", "place", F.lit(None).cast("binary").alias("payload")))
 
 
-def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write the archives of ``pages`` (page_id, url, html) into a new folder."""
-    spark, batch = pages.sparkSession, uuid.uuid4().hex
+def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z", codec: str = "gzip") -> None:
+    """Write the archives of ``pages`` (page_id, url, html) into a new folder, each a gzip file (``codec``: none, a plain one)."""
+    batch = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def archives() -> Iterator[tuple[bytes]]:
@@ -186,9 +198,8 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archi
 
         yield from common.batches_out(archives(), [("archive", pa.binary())], 1)
 
-    with common.Workspace(spark, "warc-write") as work:
-        files = marked(pages, work).mapInArrow(run, "archive binary").select(F.col("archive").cast("string"))
-        files.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
+    files = marked(pages).mapInArrow(run, "archive binary").select(F.col("archive").cast("string"))
+    files.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", codec).text(path)
 
 
 # --- reading --------------------------------------------------------------------------------------
