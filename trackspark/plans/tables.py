@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trackspark.functions import geometry as g
 from trackspark.operators import predictions as p
 from trackspark.sources import documents as d
+from trackspark.sources.store import TrackStore
 
 from .base import query, r6
 from .predictions import SMOOTH
@@ -61,9 +62,13 @@ def s16(v):
     return v.where("num_regions > 0").join(loaded, "clip_id", "left_anti").select("clip_id", "track_id", F.greatest(F.lit(0), F.col("start_frame") - shift).alias("start_frame"), F.least(F.lit(60), F.col("end_frame")).alias("end_frame"))
 
 
-@query("s17_compact_frames", "v_regions", sql="select distinct clip_id, frame_number from v_regions")
+@query("s17_compact_frames", "v_regions", sql="select clip_id, frame_number, min(mass) as mass from v_regions group by 1,2")
 def s17(v):
-    return v.dropDuplicates(["clip_id", "frame_number"]).select("clip_id", "frame_number")
+    """A store to which every track of a clip brought its own copy of the frames, after compaction."""
+    frames = v.select("clip_id", "frame_number", "mass")
+    store = TrackStore(v.sparkSession, d.shared_folder(v.sparkSession, "store"), 16).create(v, frames)
+    store.compact_frames()
+    return store.table("frames").select("clip_id", "frame_number", "mass")
 
 
 @query("s18_result_documents", "v_predictions", "v_tracks", sql=SMOOTH.rstrip() + """,

@@ -4,6 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import tags as t
+from trackspark.sources import documents as d
+from trackspark.sources.store import BOX, TrackStore
 
 from .base import query, r6
 
@@ -209,19 +211,62 @@ def s12(v):
     return v.where((F.col("track_id") % 10 == 1) & (((F.col("frame_number") >= 5) & (F.col("frame_number") < 15)) | F.col("frame_number").isin(20, 22))).select("track_id", "frame_number", "mass")
 
 
+def stored(v):
+    """A track store of a table of regions, in a new folder."""
+    return TrackStore(v.sparkSession, d.shared_folder(v.sparkSession, "store"), 16).create(v)
+
+
+def gone_tracks(v):
+    """Tracks 3 and 7, one that is not in its clip, and one of a clip that is not in the store."""
+    own = v.where("track_id in (3, 7)").select("clip_id", "track_id")
+    return own.unionByName(v.where("clip_id = 1").select("clip_id", F.lit(-1).cast("long").alias("track_id"))).unionByName(own.select(F.lit(-5).cast("long").alias("clip_id"), "track_id")).distinct()
+
+
 @query("s13_delete_track", "v_regions", sql="select clip_id, track_id, frame_number from v_regions where not (track_id in (3, 7)) and clip_id<>5")
 def s13(v):
-    gone = v.sparkSession.createDataFrame([(3,), (7,)], "track_id long")
-    return v.join(F.broadcast(gone), "track_id", "left_anti").where("clip_id <> 5").select("clip_id", "track_id", "frame_number")
+    """What a store holds when tracks, and a clip, are gone; only their partitions are rewritten."""
+    store = stored(v)
+    store.remove_tracks(gone_tracks(v))
+    store.remove_clips(v.sparkSession.createDataFrame([(5,)], "clip_id long"))
+    return store.table("regions").select("clip_id", "track_id", "frame_number")
+
+
+@query("s13_delete_found", "v_regions", sql="""k as (select distinct clip_id, track_id from v_regions where track_id in (3, 7) union select distinct clip_id, -1 from v_regions where clip_id=1 union select distinct -5, track_id from v_regions where track_id in (3, 7))
+select clip_id, track_id, clip_id in (select clip_id from v_regions) as found, (clip_id, track_id) in (select (clip_id, track_id) from v_regions) as removed from k""")
+def s13_found(v):
+    """What the deletion tells of each key: whether the clip was found, and whether there was such a track."""
+    return stored(v).remove_tracks(gone_tracks(v))
+
+
+def tag_updates(v, every, seq):
+    """Tags of every so many frames of all tracks; a third of the tracks gets no tag of its own."""
+    picked = v.where(f"frame_number % {every} = 0")
+    tag = F.when(F.col("clip_id") % 2 == 0, "possum").otherwise("rat")
+    track_tag = F.when(F.col("track_id") % 3 == 0, F.lit(None).cast("string")).when(F.col("track_id") % 3 == 1, "rat").otherwise("possum")
+    return picked.select(F.lit(seq).cast("long").alias("seq"), "clip_id", "track_id", tag.alias("clip_tag"), track_tag.alias("track_tag"), "frame_number", *(F.col(c).cast("boolean" if c == "blank" else "long").alias(c) for c in BOX))
 
 
-@query("s14_upsert_tag_frames", "v_regions", sql="""a as (select track_id, frame_number from v_regions where frame_number%3=0 and not blank union select track_id, frame_number from v_regions where frame_number%4=0 and not blank)
-select track_id, array_to_string(list_sort(list(frame_number)), ',') as frames from a group by track_id""")
+@query("s14_upsert_tag_frames", "v_regions", sql="""a as (select *, case when clip_id%2=0 then 'possum' else 'rat' end as tag, case track_id%3 when 1 then 'rat' when 2 then 'possum' end as own from v_regions where frame_number%3=0 or frame_number%4=0),
+f as (select clip_id, tag, array_to_string(list_sort(list(distinct frame_number)), ',') as frames from a group by 1,2),
+r as (select clip_id, tag, count(*) as regions, sum(mass) as mass from (select distinct clip_id, tag, frame_number, x, y, width, height, mass, blank from a where tag=own and not blank) group by 1,2)
+select clip_id, tag, frames, coalesce(regions, 0) as regions, coalesce(mass, 0) as mass from f left join r using (clip_id, tag)""")
 def s14(v):
-    old, new = (v.where(f"frame_number % {n} = 0 and not blank").groupBy("track_id").agg(F.collect_list("frame_number").alias(c)) for n, c in ((3, "old"), (4, "new")))
-    none = F.array().cast("array<bigint>")
-    merged = F.array_sort(F.array_distinct(F.concat(F.coalesce("old", none), F.coalesce("new", none))))
-    return old.join(new, "track_id", "full_outer").select("track_id", F.array_join(merged.cast("array<string>"), ",").alias("frames"))
+    """Two rounds of human tags put into a store; the second finds some of its frames and regions there."""
+    store = stored(v)
+    store.update_tags(tag_updates(v, 3, 1))
+    store.update_tags(tag_updates(v, 4, 2))
+    frames = store.table("tag_frames").groupBy("clip_id", "tag").agg(F.array_join(F.array_sort(F.collect_list("frame_number")).cast("array<string>"), ",").alias("frames"))
+    regions = store.table("tag_regions").groupBy("clip_id", "tag").agg(F.count(F.lit(1)).alias("regions"), F.sum("mass").alias("mass"))
+    return frames.join(regions, ["clip_id", "tag"], "left").select("clip_id", "tag", "frames", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("mass", F.lit(0)).alias("mass"))
+
+
+@query("s14_tagged_tracks", "v_regions", sql="""t as (select distinct clip_id, track_id, max(case when frame_number%4=0 or frame_number%3=0 then 1 end) over (partition by clip_id, track_id) as hit from v_regions)
+select track_id, case when hit=1 then case track_id%3 when 1 then 'rat' when 2 then 'possum' end end as tag, coalesce(hit=1 and track_id%3<>0, false) as tag_confirmed from t""")
+def s14_tracks(v):
+    """The tracks of the same store: their own tags, and whether they are confirmed."""
+    store = stored(v)
+    store.update_tags(tag_updates(v, 3, 1).unionByName(tag_updates(v, 4, 2)))
+    return store.table("tracks").select("track_id", "tag", "tag_confirmed")
 
 
 @query("s15_next_clip_id", "v_clips", sql="select coalesce(max(clip_id)+1, 1) as next_id, max(rec_time) as latest from v_clips")
