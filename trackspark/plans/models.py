@@ -5,13 +5,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import models as m
-from trackspark.operators import pixels as px
 from trackspark.operators import predictions as p
 from trackspark.operators import samples as s
-from trackspark.operators import tracker
+from trackspark.operators import recorder, tracker
 
 from .base import query, r6
-from .pixels import WEIGHTED
 from .samples import usable
 from .streams import detections, order
 
@@ -72,9 +70,21 @@ def m07(e):
     return m.grid_search(features(e), [5, 10], [3, 5])
 
 
-@query("t03_camera_background", "v_pixels", sql=WEIGHTED.format(step="5e0") + " select clip_id, round(avg(bg), 6) as background, count(*) as pixels from r where i=len(f) group by clip_id")
+def pictures(v):
+    """Frames as arrays, row by row; a clip is a camera, and a second a frame."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", F.floor("v").cast("double").alias("v"))))
+    one = v.groupBy(F.col("clip_id").alias("camera"), "frame_number").agg(cells["v"].alias("pixels"))
+    return one.withColumn("ts", F.timestamp_seconds("frame_number"))
+
+
+@query("t03_camera_background", "v_pixels", sql="""w as (select clip_id, y, x, list(floor(v) order by frame_number) as f from v_pixels where y between 1 and 6 and x between 1 and 6 group by 1,2,3),
+r(clip_id, y, x, f, i, bg, w) as (select clip_id, y, x, f, 1::bigint, f[1], 0e0 from w union all select clip_id, y, x, f, i+1, case when bg<f[i+1]-w then bg else f[i+1] end, case when bg<f[i+1]-w then w+5e0 else 0e0 end from r where i<len(f))
+select a.clip_id as camera, py as y, px as x, r.bg as background from (select distinct clip_id from v_pixels) a, range(0, 8) u(py), range(0, 8) t(px) join r on r.clip_id=a.clip_id and r.y=least(6, greatest(1, py)) and r.x=least(6, greatest(1, px)) and r.i=len(r.f)""")
 def t03(v):
-    return px.weighted_background(v, 5.0).groupBy("clip_id").agg(r6(F.avg("background")).alias("background"), F.count(F.lit(1)).alias("pixels"))
+    """Each camera's background after its last frame, pixel by pixel; the edges are copies."""
+    last = recorder.backgrounds(pictures(v), 8, 1, 5.0, last_only=True)
+    cells = last.select("camera", F.posexplode("background").alias("at", "background"))
+    return cells.select("camera", F.floor(F.col("at") / 8).alias("y"), (F.col("at") % 8).cast("long").alias("x"), "background")
 
 
 @query("t09_motion_prediction", "v_regions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import geometry as g
 from trackspark.operators import pixels as px
-from trackspark.operators import tracker, tracks
+from trackspark.operators import recorder, tracker, tracks
 from trackspark.streaming import cameras
 
 from .base import query, r6
@@ -15,6 +15,8 @@ from .evaluation import j10
 from .samples import usable, w09
 
 CAM = "(partition by camera order by ts, event_id"
+#: The cameras of the fixture send a frame every few minutes.
+RECORDING = recorder.Recording(fps=1, preview_secs=5, min_secs=4, max_secs=40, idle_secs=7200)
 
 
 def order() -> Window:
@@ -103,6 +105,45 @@ def t05(s):
     return wanted.join(frames, (wanted["camera"] == frames["camera"]) & (wanted["bin"] == frames["bin"]) & near, "left").groupBy(wanted["camera"], "first").agg(F.count("event_id").alias("preview"))
 
 
+#: Frame by frame through each camera: what a recorder does with a frame follows from what it did with the one before.  Frames are
+#: numbered; ``pv`` is how many of the last frames are still there for a pre-roll.
+RECORDER = f"""g as (select *, row_number() over {CAM}) as n, coalesce(epoch_us(ts)-lag(epoch_us(ts)) over {CAM})>{RECORDING.idle_secs}*1000000::bigint, false) as gap from v_stream),
+b as (select *, max(case when gap or n=1 then n end) over (partition by camera order by n) as since, lead(n) over (partition by camera order by n) is null as final from g),
+k as (select *, least({RECORDING.preview}, n-since) as pv from b),
+r(camera, n, start_n, frames, until, forced_start, forced_frames, stop, stop_start, stop_frames) as (
+ select distinct camera, 0::bigint, null::bigint, 0::bigint, 0::bigint, null::bigint, 0::bigint, null::varchar, null::bigint, 0::bigint from k
+ union all select camera, n, case when stop is null then s end, case when stop is null then f else 0 end, u, fs, ff, stop, s, f from (
+  select *, case when s is null then null when not motion and f>=u then 'quiet' when f={RECORDING.most} then 'full' end as stop from (
+   select *, case when s is not null and motion then f+{RECORDING.least} when s=n then {RECORDING.least} else until end as u from (
+    select k.camera, k.n, k.motion, case when k.gap then r.start_n end as fs, case when k.gap then r.frames else 0 end as ff,
+     case when r.start_n is not null and not k.gap then r.start_n when k.motion and not k.ffc then k.n end as s,
+     case when r.start_n is not null and not k.gap then r.frames+1 when k.motion and not k.ffc then 1 else 0 end as f, case when k.gap then 0 else r.until end as until
+    from r join k on k.camera=r.camera and k.n=r.n+1)))),
+e as (select camera, stop_start as s, n as e, stop_frames as frames, stop as reason from r where stop is not null union all select camera, forced_start, n-1, forced_frames, 'idle' from r where forced_start is not null
+ union all select r.camera, start_n, r.n, frames, 'idle' from r join k on k.camera=r.camera and k.n=r.n where final and start_n is not null),
+rec as (select e.camera, a.event_id as start_event, z.event_id as end_event, e.s, e.frames, a.pv as preview, e.reason, e.reason<>'idle' or e.frames>{RECORDING.preview + RECORDING.least} as kept from e join k a on a.camera=e.camera and a.n=e.s join k z on z.camera=e.camera and z.n=e.e)
+"""
+
+
+@query("t04_recorder", "v_stream", sql=RECORDER + "select camera, start_event, end_event, frames, preview, reason, kept from rec")
+def t04_recorder(s):
+    """The recordings of each camera, with extension, greatest length and forced stop."""
+    return recorder.recordings(s, RECORDING).withColumn("preview", F.size("preview").cast("long"))
+
+
+@query("t05_recorder_preroll", "v_stream", sql=RECORDER + "select rec.camera, start_event, k.event_id from rec join k on k.camera=rec.camera and k.n>=rec.s-rec.preview and k.n<rec.s")
+def t05_recorder(s):
+    """The frames before each recording that go with it."""
+    return recorder.recordings(s, RECORDING).select("camera", "start_event", F.explode("preview").alias("event_id"))
+
+
+@query("t17_recorder_discarded", "v_stream", sql=RECORDER + "select camera, count(*) as recordings, count(*) filter (where not kept) as discarded, sum(frames) filter (where kept) as frames from rec group by camera")
+def t17_recorder(s):
+    """Recordings that were stopped by force before they had pre-roll and minimum, by camera."""
+    kept = F.col("kept")
+    return recorder.recordings(s, RECORDING).groupBy("camera").agg(F.count(F.lit(1)).alias("recordings"), F.count(F.when(~kept, 1)).alias("discarded"), F.sum(F.when(kept, F.col("frames"))).alias("frames"))
+
+
 @query("t06_throttle", "v_stream")
 def t06(s):
     return tracker.per_camera(s, "throttle")
