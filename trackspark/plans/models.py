@@ -8,6 +8,8 @@ from trackspark.operators import models as m
 from trackspark.operators import predictions as p
 from trackspark.operators import samples as s
 from trackspark.operators import recorder, tracker
+from trackspark.sources import documents as d
+from trackspark.streaming import finished
 
 from .base import query, r6
 from .samples import usable
@@ -23,6 +25,27 @@ def m01(e):
     return m.scored(vectors(e), m.fit_centroids(vectors(e).where("vec_id % 4 <> 0")), ["vec_id"])
 
 
+def framed(v):
+    """The frames of a clip as those of a track; the box leaves a border of one pixel out."""
+    return v.select(F.col("clip_id").alias("track_id"), "frame_number", "y", "x", "v", F.expr("x between 1 and 6 and y between 1 and 6").alias("inside"))
+
+
+def clip_model(v):
+    """A model of the clips' looks, from every fourth frame, stored in a folder and loaded from it."""
+    path = d.shared_folder(v.sparkSession, "model")
+    found = m.patches(framed(v)).where("frame_number % 4 = 0")
+    mean = m.fit_centroids(found.select(F.col("track_id").alias("label"), F.flatten(F.array_repeat("patch", 4)).alias("embedding")))
+    model = m.Model([f"clip-{x}" for x in mean.labels], "centroid", {"means": mean.means}, {f"clip-{x}": 0.105 for x in mean.labels}, {"square_width": 2, "seed": 3})
+    m.save_model(v.sparkSession, path, model)
+    return m.load_model(v.sparkSession, path)
+
+
+@query("m03_classify_tracks", "v_pixels")
+def m03_tracks(v):
+    """Tracks scored end to end: patches, samples, a stored model, samples combined by mass."""
+    return m.classify_tracks(m.patches(framed(v)).where("frame_number % 4 <> 0"), clip_model(v)).select("track_id", "label", r6("score").alias("score"), r6("clarity").alias("clarity"), "tag", "samples", "version")
+
+
 @query("m02_samples_for_scoring", "v_regions", sql="""u as (select track_id, frame_number from v_regions where not blank and not ffc and mass>0), l as (select * from (select *, row_number() over (partition by track_id order by frame_number desc) as back from u) where back<=30),
 r as (select *, row_number() over (partition by track_id order by md5(concat_ws('|','m02',track_id,frame_number)), track_id, frame_number) as rn from l) select track_id, frame_number from r where rn<=8""")
 def m02(v):
@@ -118,6 +141,15 @@ def t11(v):
     return steps.select("clip_id", "online_track", "frame_number", kind.alias("event"), "blank", "x", "y", "width", "height", "mass")
 
 
-@query("t16_reprocessed_tracks", "embeddings")
-def t16(e):
-    return track_labels(e).select("track_id", F.col("label_1").alias("label"), F.lit(True).alias("final"))
+@query("t16_reprocessed_tracks", "v_pixels")
+def t16(v):
+    """Recordings and sidecars as files in a folder, paired by a stream, scored again with all frames, told as final."""
+    spark, path = v.sparkSession, d.shared_folder(v.sparkSession, "finished")
+    lines = v.groupBy("clip_id", "frame_number").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v")))["v"].alias("pixels"))
+    line = F.to_json(F.struct(F.col("clip_id").alias("track_id"), "frame_number", F.lit(8).alias("width"), "pixels", F.lit(1).alias("border")))
+    stem = F.concat(F.lit("r"), "clip_id")
+    lines.select(stem.alias("stem"), line.alias("value")).repartition("stem").write.partitionBy("stem").text(f"{path}/media")
+    v.select(stem.alias("stem"), F.to_json(F.struct(F.col("clip_id").alias("id"))).alias("value")).distinct().repartition("stem").write.partitionBy("stem").text(f"{path}/sidecars")
+    whole = finished.complete(finished.arrivals(spark, f"{path}/media", "part-*"), finished.arrivals(spark, f"{path}/sidecars", "part-*"))
+    finished.reprocess(whole, clip_model(v), f"{path}/events", f"{path}/checkpoint").awaitTermination()
+    return finished.events(spark, f"{path}/events").select("stem", "track_id", "label", r6("score").alias("score"), "final")

@@ -6,6 +6,7 @@ from trackspark.functions import geometry as g
 from trackspark.operators import predictions as p
 from trackspark.sources import documents as d
 from trackspark.sources.store import TrackStore
+from trackspark.streaming import finished
 
 from .base import query, r6
 from .predictions import SMOOTH
@@ -79,12 +80,17 @@ def s18(v, tracks):
     return d.result_documents(tracks, best)
 
 
-@query("s22_finished_recordings", "v_clips", sql="select 'r'||clip_id as stem from v_clips where clip_id%4<>1 or clip_id%9=0")
+@query("s22_finished_recordings", "v_clips", sql="select 'r'||clip_id as stem from v_clips where clip_id%4<>1 and clip_id%3<>2 union all select 'r'||clip_id||'-track' from v_clips where clip_id%9=0")
 def s22(c):
-    stem = F.concat(F.lit("r"), "clip_id")
-    media = c.where("clip_id % 4 <> 1").select(stem.alias("stem"))
-    complete = c.where("clip_id % 9 = 0").select(stem.alias("stem"))
-    return media.join(c.select(stem.alias("stem")), "stem").union(complete).distinct()
+    """Media files and sidecars in folders, watched by two streams: of some recordings only one of the two is there, and some need no sidecar."""
+    spark, path = c.sparkSession, d.shared_folder(c.sparkSession, "arrivals")
+    stem, body = F.concat(F.lit("r"), "clip_id"), F.to_json(F.struct("clip_id")).alias("value")
+    media = c.where("clip_id % 4 <> 1").select(stem.alias("stem"), body).union(c.where("clip_id % 9 = 0").select(F.concat(stem, F.lit("-track")).alias("stem"), body))
+    for rows, name in ((media, "media"), (c.where("clip_id % 3 <> 2").select(stem.alias("stem"), body), "sidecars")):
+        rows.repartition("stem").write.partitionBy("stem").text(f"{path}/{name}")
+    found = finished.complete(finished.arrivals(spark, f"{path}/media", "part-*"), finished.arrivals(spark, f"{path}/sidecars", "part-*"))
+    found.select("stem").writeStream.format("parquet").option("path", f"{path}/complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("stem string").parquet(f"{path}/complete")
 
 
 @query("s23_track_label_export", "v_tags", "v_tracks", "v_regions", sql="""l as (select track_id, min(what) as label from v_tags group by 1), f as (select track_id, string_agg(frame_number, ',' order by frame_number) as frames from v_regions where ffc group by 1)
