@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackspark.operators import models as m
 from trackspark.operators import predictions as p
 from trackspark.operators import samples as s
-from trackspark.operators import recorder, tracker
+from trackspark.operators import follower, recorder, tracker
 from trackspark.sources import documents as d
 from trackspark.streaming import finished
 
@@ -131,14 +131,29 @@ def t10(st):
     return n.where("n % 25 = 0 or n % 10 = 0").select("event_id", F.when(F.col("n") % 25 == 0, "full").otherwise("cheap").alias("model"))
 
 
+#: The last label stands for nothing.
+CADENCE = follower.Cadence(false_positive=2)
+
+
+def offered(v):
+    """Regions as rows of a clip, and what the models would say of each: false-positive in so many hundredths, else one of two animals."""
+    share = (F.col("mass") % 100) / 100.0
+    other = F.when(F.col("track_id") % 2 == 0, F.array(1 - share, F.lit(0.0), share)).otherwise(F.array(F.lit(0.0), 1 - share, share))
+    return follower.regions_as_rows(v, other)
+
+
+@query("t10_track_cadence", "v_regions")
+def t10_tracks(v):
+    """Which model is asked about which track, frame by frame, when answers come at once."""
+    return follower.followed(offered(v), CADENCE).where("event = 'request'").select(F.col("camera").alias("clip_id"), "frame_number", "track_id", "model")
+
+
 @query("t11_track_events", "v_regions")
 def t11(v):
-    """What subscribers hear of each online track, frame by frame; tracks seen in under three frames end as filtered."""
-    steps = tracker.assign(detections(v))
-    w = Window.partitionBy("clip_id", "online_track")
-    first, last, seen = F.min("frame_number").over(w), F.max("frame_number").over(w), F.count("region_id").over(w)
-    kind = F.when((F.col("frame_number") == last) & (seen < 3), "filtered").when(F.col("frame_number") == first, "start").when(F.col("frame_number") == last, "end").otherwise("ongoing")
-    return steps.select("clip_id", "online_track", "frame_number", kind.alias("event"), "blank", "x", "y", "width", "height", "mass")
+    """What subscribers hear of each online track: starts, frames with scores and last prediction, ends, and tracks that are dropped."""
+    steps = tracker.assign(detections(v)).withColumnRenamed("online_track", "track_id")
+    told = follower.followed(offered(steps), CADENCE).where("event <> 'request'")
+    return told.select(F.col("camera").alias("clip_id"), "frame_number", "track_id", "event", "label", r6("confidence").alias("confidence"), "x", "y", "width", "height", "mass", "blank", "last_prediction")
 
 
 @query("t16_reprocessed_tracks", "v_pixels")

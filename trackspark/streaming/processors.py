@@ -1,6 +1,6 @@
-"""Per-camera state in streams, typed and with timers: recorders, backgrounds, late rows.
+"""Per-camera state in streams, typed and with timers: recorders, backgrounds, late rows, followed tracks.
 
-The rules are those of ``operators.recorder``.  State is kept as columns, so a query goes on
+The rules are those of ``operators.recorder`` and ``operators.follower``.  State is kept as columns, so a query goes on
 after the code has changed.  ``transformWithStateInPandas`` needs the RocksDB state store; ``state_store`` sets it for a session."""
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trackspark.operators import follower as f
 from trackspark.operators import recorder as r
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,7 +71,7 @@ class RecorderState(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         one = self._load()
-        found = [x for t, e, m, f in in_order(rows, "event_id", "motion", "ffc") for x in one.frame(t, int(e), bool(m), bool(f))]
+        found = [x for t, e, m, c in in_order(rows, "event_id", "motion", "ffc") for x in one.frame(t, int(e), bool(m), bool(c))]
         self._keep(one)
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
@@ -156,3 +157,75 @@ def count_late(frames: DataFrame, path: str, checkpoint: str, delay_seconds: flo
     """Side output: a query that writes the late rows of a stream, by camera, to Parquet at ``path``; each once."""
     late = flagged(frames, delay_seconds).where("late").select("camera", "event_id", "ts")
     return late.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+# --- tracks of a clip -----------------------------------------------------------------------------
+
+_TRACK = "seen long, told boolean, ever_told boolean, last_cheap long, last_full long, n_full long, scores array<double>, last_prediction long, box array<long>"
+
+
+class FollowerState(StatefulProcessor):
+    """Tracks by id in a map, and the open frame.  A clip that is silent for ``idle_seconds`` is over."""
+
+    def __init__(self, cadence: f.Cadence, idle_seconds: float) -> None:
+        self.cadence, self.idle = cadence, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("turns", "next_cheap long, next_full long, open long, closed long")
+        self.active = handle.getListState("active", "track_id long, box array<long>, offer array<double>")
+        self.answers = handle.getListState("answers", "track_id long, model string, scores array<double>")
+        self.tracks = handle.getMapState("tracks", "track_id long", _TRACK)
+
+    def _load(self) -> f.Follower:
+        one = f.Follower(self.cadence)
+        if self.own.exists():
+            one.next_cheap, one.next_full, one.open, one.closed = self.own.get()
+            box = lambda b: [*b[:-1], None if b[-1] is None else bool(b[-1])]
+            if self.active.exists():
+                one.active = {k: (box(b), None if o is None else list(o)) for k, b, o in self.active.get()}
+            if self.answers.exists():
+                one.answers = [(k, m, list(s)) for k, m, s in self.answers.get()]
+            for (k,), (seen, told, ever, cheap, full, n, scores, last, b) in self.tracks.iterator():
+                one.tracks[k] = f.Track(seen, told, ever, cheap, full, n, None if scores is None else list(scores), last, box(b))
+        return one
+
+    def _keep(self, one: f.Follower, before: set[int]) -> None:
+        whole = lambda b: [None if v is None else int(v) for v in b]
+        self.own.update((one.next_cheap, one.next_full, one.open, one.closed))
+        for state, rows in ((self.active, [(k, whole(b), o) for k, (b, o) in one.active.items()]), (self.answers, one.answers)):
+            state.put(rows) if rows else state.clear()
+        for k in before - set(one.tracks):
+            self.tracks.removeKey((k,))
+        for k, t in one.tracks.items():
+            self.tracks.updateValue((k,), (t.seen, t.told, t.ever_told, t.last_cheap, t.last_full, t.n_full, t.scores, t.last_prediction, whole(t.box)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        one, found, last = self._load(), [], None
+        before = set(one.tracks)
+        for t, *values in in_order(rows, *f.ROWS):
+            last = t
+            found += [(key[0], *x) for x in one.row(*f.plain_row(*values))]
+        self._keep(one, before)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
+        yield _followed(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        found = [(key[0], *x) for x in self._load().gone()]
+        for s in (self.own, self.active, self.answers, self.tracks):
+            s.clear()
+        yield _followed(found)
+
+
+def _followed(found: list[tuple]) -> pd.DataFrame:
+    whole = {c: "Int64" for c in ("track_id", "x", "y", "width", "height", "mass", "last_prediction")}
+    return pd.DataFrame(found, columns=names(f.GIVES)).astype(whole | {"label": "Int32", "blank": "boolean"})
+
+
+def followed(rows: DataFrame, cadence: f.Cadence = f.Cadence(), idle_seconds: float = 60.0, watermark: str = "10 seconds") -> DataFrame:
+    """GIVES for a stream of rows (camera, ts and the follower's ROWS): requests for models, whose answers come back as rows, and events of tracks."""
+    state_store(rows.sparkSession)
+    timed = rows.select("camera", F.col("ts").cast("timestamp").alias("ts"), *f.ROWS).withWatermark("ts", watermark)
+    return timed.groupBy("camera").transformWithStateInPandas(FollowerState(cadence, idle_seconds), f.GIVES, "append", "EventTime")
