@@ -6,7 +6,6 @@ machines computes without talking to each other.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,15 +62,18 @@ def fill_splits(bins: DataFrame, limits: list[tuple[str, int, int]], seed: str,
 
     bins: bin_id, samples, tracks.  A bin goes whole into one split; ``limits``: (split, samples, tracks)
     in the order of filling; what is left goes to ``rest``."""
-    order = Window.partitionBy("label").orderBy(shuffled(seed, "bin_id"), "bin_id")
-    left, out = bins, []
+    label = Window.partitionBy("label")
+    before = label.orderBy(shuffled(seed, "bin_id"), "bin_id").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    out = bins.withColumn("_s", F.coalesce(F.sum("samples").over(before), zero)).withColumn("_t", F.coalesce(F.sum("tracks").over(before), zero)).withColumn("split", F.lit(None).cast("string"))
+    taken = (zero, zero)  # what the splits before this one have: each takes a stretch of the order, so sums go on from there
     for split, samples, tracks in limits:
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        state = left.withColumn("_s", F.coalesce(F.sum("samples").over(before), F.lit(0))).withColumn("_t", F.coalesce(F.sum("tracks").over(before), F.lit(0)))
-        open_ = (F.col("_s") < samples) | (F.col("_t") < tracks)
-        out.append(state.where(open_).drop("_s", "_t").withColumn("split", F.lit(split)))
-        left = state.where(~open_).drop("_s", "_t")
-    return reduce(DataFrame.unionByName, [*out, left.withColumn("split", F.lit(rest))])
+        open_ = F.col("split").isNull() & ((F.col("_s") - taken[0] < samples) | (F.col("_t") - taken[1] < tracks))
+        out = out.withColumn("split", F.when(open_, split).otherwise(F.col("split")))
+        held = [F.coalesce(F.sum(F.when(F.col("split") == split, F.col(c))).over(label), zero) for c in ("samples", "tracks")]
+        out = out.withColumn(f"_s_{split}", taken[0] + held[0]).withColumn(f"_t_{split}", taken[1] + held[1])
+        taken = (F.col(f"_s_{split}"), F.col(f"_t_{split}"))
+    return out.select(*bins.columns, F.coalesce("split", F.lit(rest)).alias("split"))
 
 
 def clamped_weights(counts: DataFrame, low: float = 0.25, high: float = 4.0) -> DataFrame:

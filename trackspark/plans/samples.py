@@ -225,37 +225,50 @@ def w18(v):
     return s.fill_splits(wide, [(split, F.col(f"{split}_samples"), F.col(f"{split}_tracks")) for split, *_ in LIMITS], "w18").select("label", "bin_id", "split")
 
 
-def binned(v):
+#: Labels with fewer tracks, or fewer stations than LEAST_BINS, are split by clip; the label that is always, too.
+LEAST_TRACKS, LEAST_BINS, BY_CLIP = 100, 4, ("5-LOW",)
+#: Labels are a dimension: more take no turns.
+MOST_LABELS = 10_000
+
+
+def binned(v, least_tracks=LEAST_TRACKS):
     """Samples with the bin that is never divided: the station, or the clip for labels with few bins or tracks."""
     g = v.groupBy("label").agg(F.countDistinct("station_id").alias("_bins"), F.countDistinct("track_id").alias("_tracks"))
-    by_clip = (F.col("label") == "5-LOW") | (F.col("_bins") < 4) | (F.col("_tracks") < 2970)
+    by_clip = F.col("label").isin(*BY_CLIP) | (F.col("_bins") < LEAST_BINS) | (F.col("_tracks") < least_tracks)
     bin_id = F.when(by_clip, F.concat(F.lit("c"), "clip_id")).otherwise(F.concat(F.lit("s"), "station_id"))
-    return v.join(F.broadcast(g), "label").withColumn("bin_id", bin_id).drop("_bins", "_tracks")  # one row per label
+    # whether the rows of labels are few enough to be sent around is left to Spark, which measures them
+    return v.join(g, "label").withColumn("bin_id", bin_id).drop("_bins", "_tracks")
+
+
+def label_order(sizes):
+    """label, place of labels with their n: those that are forced to the front or the end, else the smallest first."""
+    forced = F.when(F.col("label") == "2-HIGH", 0).when(F.col("label") == "1-URGENT", 2).otherwise(1)
+    return sizes.select("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(forced, "n", "label")).cast("long").alias("place"))
 
 
-def group_split(v):
+def group_split(v, least_tracks=LEAST_TRACKS):
     """sample_id, split: label by label in their order, bins fill validation, then test, then train.
 
-    A bin that an earlier label has placed stays there, and its samples count towards the limits."""
-    rows = binned(v)
-    labels = [r["label"] for r in k12(v).orderBy("place").collect()]  # as many rows as labels
-    placed = v.sparkSession.createDataFrame([], "bin_id string, split string")
-    folder, done = shared_folder(v.sparkSession, "bins"), []
+    A bin that an earlier label has placed stays there, and its samples count towards the limits.  Samples are reduced once, to
+    a row per label and bin; a track lies in one bin.  The labels, which are few, then take their turns on that table."""
+    rows, spark, folder = binned(v, least_tracks), v.sparkSession, shared_folder(v.sparkSession, "bins")
+    rows.groupBy("label", "bin_id").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("track_id").alias("tracks")).write.parquet(f"{folder}/all")
+    bins = spark.read.parquet(f"{folder}/all")
+    labels = [r["label"] for r in label_order(bins.groupBy("label").agg(F.sum("samples").alias("n"))).orderBy("place").limit(MOST_LABELS + 1).collect()]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels take turns one after another")
+    placed, done = spark.createDataFrame([], "bin_id string, split string"), []
     for label in labels:
-        own = rows.where(F.col("label") == label)
-        before = own.join(placed, "bin_id").agg(*[f(F.when(F.col("split") == split, F.col(c))).alias(f"{split}_{n}") for split, *_ in LIMITS for n, f, c in (("samples", F.count, "sample_id"), ("tracks", F.count_distinct, "track_id"))])
-        total = own.agg(F.count(F.lit(1)).alias("all_samples"), F.countDistinct("track_id").alias("all_tracks"))
-        state = total.crossJoin(before)  # a row each
-        left = lambda n, split, share, least: F.greatest(F.col(f"all_{n}") * share, F.lit(float(least))) - F.col(f"{split}_{n}")
-        limits = state.select(*[left(n, split, share, least).alias(f"{split}_{n}") for split, share, *both in LIMITS for n, least in zip(("samples", "tracks"), both, strict=True)])
-        bins = own.join(placed, "bin_id", "left_anti").groupBy("label", "bin_id").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("track_id").alias("tracks"))
-        wide = bins.crossJoin(F.broadcast(limits))
+        own = bins.where(F.col("label") == label).join(placed, "bin_id", "left")
+        by = Window.partitionBy("label")
+        left = lambda n, split, share, least: F.greatest(F.sum(n).over(by) * share, F.lit(float(least))) - F.coalesce(F.sum(F.when(F.col("split") == split, F.col(n))).over(by), F.lit(0))
+        wide = own.select("*", *[left(n, split, share, least).alias(f"{split}_{n}") for split, share, *both in LIMITS for n, least in zip(("samples", "tracks"), both, strict=True)])
         # a split that has enough of either takes no bin
         need = lambda split: [F.when((F.col(f"{split}_samples") > 0) & (F.col(f"{split}_tracks") > 0), F.col(f"{split}_{n}")).otherwise(0) for n in ("samples", "tracks")]
-        path = f"{folder}/{len(done)}"  # written, as each label reads all before it several times
-        s.fill_splits(wide, [(split, *need(split)) for split, *_ in LIMITS], "p09").select("bin_id", "split").write.parquet(path)
+        path = f"{folder}/{len(done)}"
+        s.fill_splits(wide.where("split is null").drop("split"), [(split, *need(split)) for split, *_ in LIMITS], "p09").select("bin_id", "split").write.parquet(path)
         done.append(path)
-        placed = v.sparkSession.read.schema("bin_id string, split string").parquet(*done)
+        placed = spark.read.schema("bin_id string, split string").parquet(*done)
     return rows.join(placed, "bin_id").select("sample_id", "split")
 
 
@@ -263,7 +276,7 @@ def split_sql(source, labels=5):
     """The same label by label, for as many labels as the table has."""
     parts = [f"""n0 as (select label, count(*) as n, count(distinct station_id) as bins, count(distinct track_id) as tracks from {source} group by label),
 lo as (select label, row_number() over (order by case label when '2-HIGH' then 0 when '1-URGENT' then 2 else 1 end, n, label) as place from n0),
-sb as materialized (select sample_id, track_id, place, case when label='5-LOW' or bins<4 or tracks<2970 then 'c'||clip_id else 's'||station_id end as bin_id from {source} join n0 using (label) join lo using (label)),
+sb as materialized (select sample_id, track_id, place, case when label='5-LOW' or bins<4 or tracks<100 then 'c'||clip_id else 's'||station_id end as bin_id from {source} join n0 using (label) join lo using (label)),
 pl0 as (select 'x' as bin_id, 'x' as split where false)"""]
     for i in range(1, labels + 1):
         parts.append(f"""o{i} as materialized (select s.*, split from sb s left join pl{i - 1} using (bin_id) where place={i}),
@@ -290,7 +303,7 @@ def p11(v):
     return group_split(dated.where("not pulled").drop("after", "pulled")).union(dated.where("pulled").select("sample_id", F.lit("test")))
 
 
-@query("p10_bin_choice", "v_samples", sql="g as (select label, count(distinct station_id) as bins, count(distinct track_id) as tracks from v_samples group by label) select sample_id, case when label='5-LOW' or bins<4 or tracks<2970 then 'c'||clip_id else 's'||station_id end as bin_id from v_samples join g using (label)")
+@query("p10_bin_choice", "v_samples", sql="g as (select label, count(distinct station_id) as bins, count(distinct track_id) as tracks from v_samples group by label) select sample_id, case when label='5-LOW' or bins<4 or tracks<100 then 'c'||clip_id else 's'||station_id end as bin_id from v_samples join g using (label)")
 def p10(v):
     return binned(v).select("sample_id", "bin_id")
 
@@ -359,8 +372,7 @@ def u05(v):
 
 @query("k12_label_order", "v_samples", sql=N + " select label, row_number() over (order by case label when '2-HIGH' then 0 when '1-URGENT' then 2 else 1 end, n, label) as place from c")
 def k12(v):
-    forced = F.when(F.col("label") == "2-HIGH", 0).when(F.col("label") == "1-URGENT", 2).otherwise(1)
-    return counts(v).select("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(forced, "n", "label")).cast("long").alias("place"))
+    return label_order(counts(v))
 
 
 @query("s07_split_file", "v_samples", sql="f as (select distinct source_file, case when clip_id%10<7 then 'train' when clip_id%10<9 then 'validation' else 'test' end as split from v_samples where clip_id%11<>0) select sample_id, f.split from v_samples left join f using (source_file)")
