@@ -100,3 +100,32 @@ def test_components(spark, edges):
             at[a] = at[b] = min(at[a], at[b])
     with common.Workspace(spark, "test") as work:
         assert {r[0]: r[1] for r in j.components(links, work).collect()} == at
+
+
+def structured(k):
+    """Words on which polynomial hashes modulo a power of two collide: Thue-Morse and its complement, and periodic ones."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+    return [morse, morse.translate(str.maketrans("ab", "ba")), "ab" * (1 << k - 1), "ba" * (1 << k - 1), "a" * (1 << k), "aabb" * (1 << k - 2), "b" + "a" * ((1 << k) - 1)]
+
+
+@pytest.mark.parametrize("k", [5, 9, 10, 12])
+def test_structured_words_do_not_collide(k):
+    words = structured(k)
+    assert len({int(common.hash_words(w.encode() and np.frombuffer(w.encode(), np.uint8))[0]) for w in words}) == len(words)
+    text = np.frombuffer((" ".join(words) + " " + " ".join(words)).encode(), np.uint8)
+    hashes = common.hash_words(text)
+    assert len(hashes) == 2 * len(words) and (hashes[: len(words)] == hashes[len(words) :]).all()
+
+
+def test_structured_words_do_not_link(docs):
+    a, b, *_ = structured(10)
+    check(docs, [(1, f"{a} x y"), (2, f"{b} x y"), (3, f"{a.upper()} x y"), (4, a), (5, b)])
+    got = {r.doc_id: r.component_id for r in j.join(docs((1, f"{a} x y"), (2, f"{b} x y"), (3, f"{a.upper()} x y"))).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=130), min_size=1, max_size=30))
+def test_word_hashes_tell_words_apart(words):
+    hashes = common.hash_words(np.frombuffer(" ".join(words).encode(), np.uint8)).tolist()
+    assert len(set(hashes)) == len(set(words)) and len(set(zip(words, hashes, strict=True))) == len(set(words))

@@ -149,10 +149,40 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def scatter64(x: np.ndarray) -> np.ndarray:
+    """64 random-looking bits for each number: two multiplications with shifts between, so that nothing of its structure is left."""
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: The values of bytes in the first places of a word; further places are computed.
+_NEAR = 64
+_PLACED = scatter64(np.arange(_NEAR * 256, dtype=np.uint64))
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], which do not overlap and are not empty.
+
+    Every byte at every place of a word has a random-looking value of its own, and a word the sum of them: unlike a
+    polynomial, whose powers are alike modulo 2**64, this has no structured words that collide."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    code = place * 256 + data[np.repeat(start, size) + place]
+    value = _PLACED[np.minimum(code, len(_PLACED) - 1)]
+    if len(far := np.flatnonzero(place >= _NEAR)):
+        value[far] = scatter64(code[far].astype(np.uint64))
+    return scatter64(np.add.reduceat(value, at) + size.astype(np.uint64))
+
+
 def hash_words(data: np.ndarray) -> np.ndarray:
     """Hashes of the lower-cased (A-Z) words of a text, in order."""
     start, end = word_spans(data)
-    return span_hash(prefix_hash(LOWER[data]), start, end)
+    return word_hash(LOWER[data], start, end)
 
 
 def as_bytes(value) -> np.ndarray:
