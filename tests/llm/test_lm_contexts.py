@@ -39,3 +39,20 @@ def test_hot_words_dealt_over_parts_are_a_distribution():
         before = t
         for p, t in zip(parts, totals, strict=True):
             p.sweep(t, s)
+
+
+def test_counts_beyond_32_bits_come_through():
+    """Customers of a context and tables, sent from parts to buckets and back."""
+    for x in ([], [0, 5], [5_000_000_000], [2**32 - 1, 2**32, 1]):
+        assert lm._read_counts(lm._counts(np.array(x, np.int64))).tolist() == x
+    word, context, n = np.array([1, 2, 3], np.uint64), np.array([7, 7, 9], np.uint64), np.array([5_000_000_000, 4, 3])
+    part = lm.Part(word, context, n, 0, np.zeros(0, np.uint64))
+    rows = lm._send(part, 2, True).to_pandas()
+    sent = rows[rows["context"].notna()]
+    shapes = [lm._shape(sent[sent["bucket"] == b]) for b in sorted(set(sent["bucket"]))]
+    found = {}
+    for shape in shapes:
+        for _, r in next(lm._customers(iter([shape]))).iterrows():
+            ids = np.frombuffer(sent[sent["bucket"] == r["bucket"]]["context"].iloc[0], "<u8")
+            found |= dict(zip(ids.tolist(), np.frombuffer(r["x"], "<i8").tolist(), strict=True))
+    assert sorted(found.values()) == [3, 5_000_000_004]

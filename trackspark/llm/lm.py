@@ -71,7 +71,7 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = common.word_spans(data)
     low = common.LOWER[data]
     # hashed text by text would be slow for short ones; spans never cross the space between texts
-    hashes = common.span_hash(common.prefix_hash(low), start, end)
+    hashes = common.word_hash(low, start, end)
     hashes[hashes == END] = END + np.uint64(2)
     hashes[hashes == START] = START + np.uint64(2)
     last = low[end - 1] if len(end) else np.zeros(0, np.uint8)
@@ -402,6 +402,17 @@ BACK = "part int, bucket int, sweep int, words binary, x binary"
 SHAPE = "bucket int, parts array<int>, sizes array<int>, at binary, customers binary"
 
 
+def _counts(x: np.ndarray) -> bytes:
+    """Counts in 32 bits where they fit, else in 64; the first byte tells."""
+    wide = len(x) > 0 and int(np.max(x)) >= 1 << 32
+    return bytes([8 if wide else 4]) + np.asarray(x).astype("<i8" if wide else "<u4").tobytes()
+
+
+def _read_counts(data: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    data = memoryview(data).cast("B")
+    return np.frombuffer(data[1:], "<i8" if data[0] == 8 else "<u4").astype(np.int64)
+
+
 def _load(table: pa.Table | pa.RecordBatch, i: int, hot: np.ndarray) -> Part:
     return Part(*_unpack_pairs(table.column("pairs")[i].as_buffer(), "<i8"), table.column("part")[i].as_py(), hot)
 
@@ -416,8 +427,8 @@ def _send(part: Part, buckets: int, once: bool = False) -> pa.RecordBatch:
     order, size = _by_bucket(part.contexts, buckets)
     customers, tables = (x[order] for x in part.per_context())
     contexts, end = part.contexts[order], np.cumsum(size)
-    rows = [(part.part, b, _blob(contexts[e - k : e], "<u8") if once else None, _blob(customers[e - k : e], "<u4") if once else None, _blob(tables[e - k : e], "<u4"), None) for b, (e, k) in enumerate(zip(end, size, strict=True)) if k]
-    rows.append((part.part, SEATING, None, _blob(part.root_tables, "<u4"), _blob(part.tables, "<u4"), None))
+    rows = [(part.part, b, _blob(contexts[e - k : e], "<u8") if once else None, _counts(customers[e - k : e]) if once else None, _counts(tables[e - k : e]), None) for b, (e, k) in enumerate(zip(end, size, strict=True)) if k]
+    rows.append((part.part, SEATING, None, _counts(part.root_tables), _counts(part.tables), None))
     rows.append((part.part, OVERALL, None, None, None, np.concatenate([part.overall(), part.of_hot(), [part.n.sum()]]).tolist()))
     types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "bucket", "context", "customers", "tables", "v"])
@@ -428,7 +439,7 @@ def _shape(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("part")
     contexts = np.concatenate([np.frombuffer(b, "<u8") for b in rows["context"]])
     known, at = np.unique(contexts, return_inverse=True)
-    customers = np.bincount(at, weights=np.concatenate([np.frombuffer(b, "<u4") for b in rows["customers"]]), minlength=len(known))
+    customers = np.bincount(at, weights=np.concatenate([_read_counts(b) for b in rows["customers"]]), minlength=len(known))
     return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "parts": [rows["part"].tolist()], "sizes": [[len(b) // 8 for b in rows["context"]]], "at": [_blob(at, "<u4")], "customers": [_blob(customers, "<i8")]})
 
 
@@ -448,7 +459,7 @@ def _customers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _summed(sweep: int):
     def run(shapes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         shape = shapes.iloc[0]
-        tables = np.concatenate([np.frombuffer(b, "<u4") for b in rows.sort_values("part")["tables"]])
+        tables = np.concatenate([_read_counts(b) for b in rows.sort_values("part")["tables"]])
         return _dealt(shape, np.bincount(np.frombuffer(shape["at"], "<u4"), weights=tables), sweep)
 
     return run
@@ -463,7 +474,7 @@ def _restored(part: Part, back: pa.Table, sweep: int, buckets: int, overall: tup
         get = lambda c, i, t, rows=rows: np.frombuffer(rows.column(c)[i].as_buffer(), t)
         first = int(kind != CUSTOMERS)  # SEATING comes first
         v[k, order] = np.concatenate([get("x", i, "<i8") for i in range(first, rows.num_rows)])
-    part.root_tables, part.tables = get("words", 0, "<u4").astype(np.int64), get("x", 0, "<u4").astype(np.int64)
+    part.root_tables, part.tables = (_read_counts(rows.column(c)[0].as_buffer()) for c in ("words", "x"))
     return Totals(np.concatenate([*v, overall[0]]), overall[1])
 
 
