@@ -272,6 +272,22 @@ def test_copies_follow_the_poisson_law(docs):
         assert sum((a - e) ** 2 / e for a, e in groups) < 25, (s, seen)  # one in some thousands for six degrees of freedom
 
 
+def test_copies_follow_the_poisson_law_at_high_rates(docs):
+    """Means of several draws: mean, variance and chi-square against the law at 40 and 100."""
+    source = docs(*[(i, f"text {i}", "en", "ab"[i % 2]) for i in range(6000)])
+    out = mixing.mix(source, {"a": 40.0, "b": 100.0}, rows=3000 * 140)
+    n = {(r.source, r.doc_id): r["count"] for r in out.groupBy("source", "doc_id").count().collect()}
+    for k, (s, rate) in enumerate((("a", 40), ("b", 100))):
+        seen = [n.get((s, i), 0) for i in range(k, 6000, 2)]
+        mean = sum(seen) / 3000
+        assert abs(mean - rate) < 5 * math.sqrt(rate / 3000) and abs(sum((x - mean) ** 2 for x in seen) / 3000 / rate - 1) < 5 * math.sqrt(2 / 3000)
+        edges = [rate + round(z * math.sqrt(rate)) for z in (-1.5, -1, -0.5, 0, 0.5, 1, 1.5)]
+        below = [sum(math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) for j in range(e)) for e in edges]
+        law = [b - a for a, b in zip([0, *below], [*below, 1], strict=True)]
+        counts = collections.Counter(sum(x >= e for e in edges) for x in seen)
+        assert sum((counts[j] - 3000 * p) ** 2 / (3000 * p) for j, p in enumerate(law)) < 29, s  # one in some ten thousands
+
+
 def test_copies_by_hand(docs):
     """The count of a document follows from a hash of the seed, the id and the text, looked up in the law."""
     rows = [(i, f"text {i}", "en", "a") for i in range(200)]

@@ -19,15 +19,17 @@ def plain_copies(rows):
     weight = {s: k**mixing.ALPHA for s, k in n.items()}
     for r in rows:
         rate = weight[r.source] / sum(weight.values()) * len(rows) / n[r.source]
-        whole = max(0, math.floor(rate) - mixing.WHOLE)
+        draws = max(1, math.ceil(rate / mixing.LARGEST_MEAN))
         ident = f"{mixing.SEED}|{r.doc_id}|{hashlib.md5((r.text or '').encode()).hexdigest()}"
-        u, k, term = int(hashlib.md5(ident.encode()).hexdigest()[:8], 16) / 2**32, 0, math.exp(whole - rate)
-        total = term
-        while total <= u:
-            k += 1
-            term *= (rate - whole) / k
-            total += term
-        yield from [r.doc_id] * (whole + k)
+        for d in range(draws):
+            u = int(hashlib.md5((ident + (f"|{d + 1}" if d else "")).encode()).hexdigest()[:8], 16) / 2**32
+            k, term = 0, math.exp(-rate / draws)
+            total = term
+            while total <= u:
+                k += 1
+                term *= rate / draws / k
+                total += term
+            yield from [r.doc_id] * k
 
 
 def check_shards(before, rows):

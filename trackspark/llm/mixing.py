@@ -11,8 +11,8 @@ salted, so one source with a third of all rows is still spread.
 
 Cases: a null source is a source of its own; null and empty texts are documents like others; repeated
 rows draw the same count; sources without a stated weight get weight 0 when weights are stated; an
-empty table gives an empty table.  Rates over ``WHOLE`` repeat the whole part above it and draw the
-rest, which keeps the mean.  Input columns named like the added ones are replaced by them.
+empty table gives an empty table.  A Poisson count of a mean over ``LARGEST_MEAN`` is the sum of several
+independent ones, each from a hash of its own, so that the table of the distribution stays short.  Input columns named like the added ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import common
 SEED = "mix-1"
 #: Target shares are proportional to rows ** ALPHA where no weights are stated.
 ALPHA = 0.7
-#: Above this mean the whole part is repeated as it is; the table below it is of fixed length.
-WHOLE = 32
+#: A draw has this mean at most; its table goes so far that what lies beyond has a chance of less than 2**-32.
+LARGEST_MEAN = 32
 TABLE = 120
 BROADCAST_SOURCES = 20_000
 SALTS = 64
@@ -34,7 +34,7 @@ ADDED = ("mix_rate", "mix_copy", "mix_key")
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, rows: int | None = None) -> DataFrame:
-    """One row per source: _op_source, mix_rate, _op_whole, _op_cdf."""
+    """One row per source: _op_source, mix_rate, _op_draws (independent draws whose counts add up), _op_cdf (of each)."""
     counts = docs.groupBy(F.col("source").alias("_op_source")).agg(F.count(F.lit(1)).alias("_op_n"))
     if weights is None:
         counts = counts.withColumn("_op_w", F.pow(F.col("_op_n").cast("double"), F.lit(alpha)))
@@ -44,7 +44,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     total = counts.agg(F.sum("_op_w").alias("_op_tw"), F.sum("_op_n").alias("_op_tn"))
     wanted = F.col("_op_tn") if rows is None else F.lit(rows)
     rate = F.when(F.col("_op_tw") > 0, F.col("_op_w") / F.col("_op_tw") * wanted / F.col("_op_n")).otherwise(F.lit(0.0))
-    whole = F.greatest(F.lit(0), F.floor(F.col("mix_rate")) - WHOLE)
+    draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / LARGEST_MEAN))
     # P(X <= k) for k = 0..TABLE, each term from the one before
     cdf = F.aggregate(
         F.sequence(F.lit(1), F.lit(TABLE)),
@@ -58,10 +58,10 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     return (
         counts.crossJoin(F.broadcast(total))  # one row
         .withColumn("mix_rate", rate)
-        .withColumn("_op_whole", whole.cast("int"))
-        .withColumn("_op_mean", F.col("mix_rate") - F.col("_op_whole"))
+        .withColumn("_op_draws", draws.cast("int"))
+        .withColumn("_op_mean", F.col("mix_rate") / F.col("_op_draws"))
         .withColumn("_op_cdf", cdf)
-        .select("_op_source", "mix_rate", "_op_whole", "_op_cdf")
+        .select("_op_source", "mix_rate", "_op_draws", "_op_cdf")
     )
 
 
@@ -79,11 +79,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
         salted = plan.withColumn("_op_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         left = left.withColumn("_op_salt", F.pmod(F.xxhash64("_op_ident"), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, left["source"].eqNullSafe(salted["_op_source"]) & (left["_op_salt"] == salted["_op_salt"])).drop("_op_salt")
-    drawn = F.size(F.filter("_op_cdf", lambda c: c <= common.uniform(F.col("_op_ident"))))
+    below = lambda u: F.size(F.filter("_op_cdf", lambda c: c <= u))
+    more = F.sequence(F.lit(2), F.col("_op_draws"))  # the first draw takes the plain identity
+    rest = F.aggregate(more, F.lit(0), lambda n, k: n + below(common.uniform(F.col("_op_ident"), k.cast("string"))))
+    drawn = below(common.uniform(F.col("_op_ident"))) + F.when(F.col("_op_draws") > 1, rest).otherwise(0)
     return (
-        joined.withColumn("_op_count", F.col("_op_whole") + drawn)
+        joined.withColumn("_op_count", drawn)
         .where(F.col("_op_count") > 0)
-        .drop("_op_cdf", "_op_source", "_op_whole")
+        .drop("_op_cdf", "_op_source", "_op_draws")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_op_count") - 1)))
         .withColumn("mix_key", F.md5(F.concat_ws("|", F.col("_op_ident"), F.col("mix_copy").cast("string")).cast("binary")))
         .drop("_op_ident", "_op_count")
@@ -97,12 +100,12 @@ SQL = """
 with recursive _docs as (select *, concat_ws('|', '{seed}', coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, ''))) as ident from {docs}),
 _counts as (select source, count(*) as n from _docs group by source),
 _rates as (select source, pow(cast(n as double), {alpha}) / sum(pow(cast(n as double), {alpha})) over () * sum(n) over () / n as rate from _counts),
-_means as (select source, rate, cast(greatest(0, floor(rate) - {whole}) as integer) as whole, rate - greatest(0, floor(rate) - {whole}) as mean from _rates),
+_means as (select source, rate, cast(greatest(1, ceil(rate / {largest})) as integer) as draws, rate / cast(greatest(1, ceil(rate / {largest})) as integer) as mean from _rates),
 _cdf(source, mean, k, p, c) as (
   select source, mean, 0, exp(-mean), exp(-mean) from _means
   union all select source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) from _cdf where k < {table}),
 _steps as (select source, list(c) as cs from _cdf group by source),
-_drawn as (select d.*, m.rate as mix_rate, m.whole + len(list_filter(s.cs, lambda c: c <= cast(('0x' || substr(md5(d.ident), 1, 8)) as bigint) / 4294967296.0)) as n_copies
+_drawn as (select d.*, m.rate as mix_rate, list_sum(list_transform(range(1, m.draws + 1), lambda k: len(list_filter(s.cs, lambda c: c <= cast(('0x' || substr(md5(d.ident || case when k > 1 then '|' || k else '' end), 1, 8)) as bigint) / 4294967296.0))))::bigint as n_copies
   from _docs d join _means m on d.source is not distinct from m.source join _steps s on d.source is not distinct from s.source)
 select * exclude (ident, n_copies, i), cast(i as integer) as mix_copy, md5(concat_ws('|', ident, cast(i as varchar))) as mix_key
 from (select *, unnest(range(n_copies)) as i from _drawn)
@@ -110,4 +113,4 @@ from (select *, unnest(range(n_copies)) as i from _drawn)
 
 
 def sql(docs: str = "documents") -> str:
-    return SQL.format(docs=docs, seed=SEED, alpha=ALPHA, whole=WHOLE, table=TABLE)
+    return SQL.format(docs=docs, seed=SEED, alpha=ALPHA, largest=LARGEST_MEAN, table=TABLE)
