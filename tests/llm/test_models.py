@@ -41,6 +41,33 @@ def test_language_cases(docs):
     assert rows_of(nothing, "lang_pred", "score") == [("und", 0.0)]
 
 
+def test_language_sample_is_bounded_by_rows(docs):
+    """One id, or null ids, on all rows: the bound is on different rows, and every language is learnt."""
+    spelt = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    for i in (7, None):
+        rows = [(i, f"das wort{spelt(k)} haus", "de") for k in range(3000)] + [(i, f"the word{spelt(k)} house", "en") for k in range(20)] + [(i, "le mot", "fr")] * 3000
+        model = language.fit(docs(*rows), 300)
+        assert model.langs == ["de", "en", "fr"] and 200 < len(model.index[0]) < 450
+        assert model.predict("das haus")[0] == "de" and model.predict("le mot")[0] == "fr"
+    many = [(k, f"w{k}x{j}", f"l{k:04}") for k in range(600) for j in range(2)]
+    assert len(language.fit(docs(*many)).langs) == 600
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, docs):
+    """One labelled id with many rows: equal texts count once, and of others no more than the bound are learnt from."""
+    rows = [(1, f"you are vile{k % 9} {k}") for k in range(800)] + [(1, "you are vile") for _ in range(400)] + [(10 + k, f"a calm day {k}") for k in range(60)]
+    labels = spark.createDataFrame([(1, 1), *((10 + k, 0) for k in range(60))], "doc_id long, toxic int")
+    seen = []
+    original = toxicity.learn_lexicon
+    toxicity.learn_lexicon = lambda sample: seen.append(sample.count()) or original(sample)
+    try:
+        model = toxicity.fit(docs(*rows), labels, 200)
+    finally:
+        toxicity.learn_lexicon = original
+    assert all(n <= 300 for n in seen)
+    assert model.score(docs((5, "you are vile1"))).count() == 1
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
     rows = [("en", 0, "house", 5), ("fr", 0, "maison", 5), ("en", 3, "hou", 5), ("fr", 2, "ma", 5), ("fr", 1, "m", 5), ("en", 1, "h", 4), ("en", 1, "m", 1)]
     totals = {(lang, k): 10 for lang, k, _, _ in rows}

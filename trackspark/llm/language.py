@@ -5,9 +5,10 @@ any language knows is scored by its log frequency in each language (a penalty wh
 word that none knows falls back to the n-grams of the longest order of which at least one is known:
 its score is the mean over those.  A document's score is the mean over its words; the lowest wins.
 
-Fitting takes a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by a hash of
-the id, with their whole texts; the model keeps the ``VOCABULARY`` most frequent words and
-``NGRAMS`` most frequent n-grams of each order and language, of ``MAX_LANGUAGES`` languages at most.  These parameters bound what is broadcast
+Fitting takes a bounded sample: about ``SAMPLE_DOCS`` different documents of each language (fewer, if
+there are so many languages that they pass ``SAMPLE_ALL``), chosen by a hash of id and text, with their whole texts; equal rows count once.
+The model keeps the ``VOCABULARY`` most frequent words and ``NGRAMS`` most frequent n-grams of each order and language, or
+fewer of each where all languages together pass ``MODEL_CELLS`` numbers; no language is left out.  These parameters bound what is broadcast
 (a few MB for a handful of languages), whatever the size of the corpus.  Prediction covers every
 document, whole.
 
@@ -37,8 +38,9 @@ VOCABULARY = 30_000
 NGRAMS = 8_000
 #: Minus log10 of the frequency that a language is given for what it lacks.
 PENALTY = 7.0
-#: Languages that are learnt: those with the most labelled documents.
-MAX_LANGUAGES = 500
+#: Documents and numbers of a model over all languages.
+SAMPLE_ALL = 1_500_000
+MODEL_CELLS = 100_000_000
 MEMO = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -136,10 +138,17 @@ class Model:
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, ngrams: int = NGRAMS) -> Model:
     """A model from text and lang of a bounded sample of ``labelled``; rows without lang are left out."""
-    rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_op_n")).orderBy(F.desc("_op_n"), "lang").limit(MAX_LANGUAGES)
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(F.broadcast(sizes), "lang").where(chance * F.col("_op_n") < sample_docs).select("text", "lang")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    rows = labelled.where(F.col("lang").isNotNull()).select("text", "lang", key.alias("_op_key"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_op_key", 0.02).alias("_op_n"))
+    langs = sizes.count()
+    per_lang = max(1, min(sample_docs, SAMPLE_ALL // max(1, langs)))
+    grams_each = max(1, MODEL_CELLS // max(1, langs * langs))
+    share = min(1.0, grams_each / (vocabulary + len(ORDERS) * ngrams))
+    vocabulary, ngrams = max(1, int(vocabulary * share)), max(1, int(ngrams * share))
+    chance = F.pmod(F.col("_op_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # how many languages there are decides whether Spark sends their sizes around
+    sample = rows.join(sizes, "lang").where(chance * F.col("_op_n") < per_lang).groupBy("lang", "_op_key").agg(F.first("text").alias("text")).select("text", "lang")
     tally = sample.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "kind")
     kept = (

@@ -99,15 +99,23 @@ def featurise(docs: DataFrame, learnt: frozenset[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, common.extended(docs.select(*keep), "features array<double>"))
 
 
-def learn_lexicon(rows: list[tuple[str | None, int]]) -> frozenset[str]:
-    """Words that are in many more toxic documents of the sample than in others."""
-    toxic, other, n = Counter(), Counter(), [0, 0]
-    for text, label in rows:
-        n[label] += 1
-        (toxic if label else other).update(set(tokens(text or "")))
-    odds = {w: np.log((c + 0.5) / (n[1] + 1)) - np.log((other[w] + 0.5) / (n[0] + 1)) for w, c in toxic.items() if c >= SUPPORT and w not in INSULTS}
-    best = sorted((-x, w) for w, x in odds.items() if x >= LOG_ODDS)[:LEARNT]
-    return frozenset(w for _, w in best)
+def learn_lexicon(sample: DataFrame) -> frozenset[str]:
+    """Words that are in many more toxic documents of the sample (text, _op_label) than in others; counted in Spark, only those that are kept come here."""
+    n = {r[0]: r[1] for r in sample.groupBy("_op_label").count().collect()}  # two rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen.update((w, label) for w in set(tokens(text.as_py() or "")))
+            words = [w for w, _ in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "label", "n"])
+
+    seen = sample.select("text", F.col("_op_label").cast("int")).mapInArrow(run, "word string, label int, n long")
+    by = seen.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("o"))
+    odds = F.log((F.col("c") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("o") + 0.5) / (n.get(0, 0) + 1))
+    kept = by.where(F.col("c") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).where(~F.col("word").isin(*sorted(INSULTS)))
+    return frozenset(r.word for r in kept.orderBy(F.desc("odds"), "word").limit(LEARNT).collect())
 
 
 class Fitted:
@@ -133,15 +141,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
     total = known.count()
     picked = known.where(chance * total < sample_rows).withColumn("_op_part", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(10)))
     # at most about sample_rows small rows: safe to broadcast
-    sample = common.materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxicity-sample")
+    own = common.materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxicity-own")
+    # an id may have many rows: equal ones count once, and of all that are there about sample_rows are taken
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
+    rows = own.count()
+    some = own.where(F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30)) * rows < sample_rows) if rows > sample_rows else own
+    sample = common.materialise(some.withColumn("_op_key", key).dropDuplicates(["doc_id", "_op_key"]).drop("_op_key"), "toxicity-sample")
     trees_part = F.col("_op_part") >= CALIBRATION
-    rows = [(r[0], r[1]) for r in sample.where(trees_part).select("text", "_op_label").toLocalIterator()]
     counts = {r[0]: r[1] for r in sample.groupBy("_op_label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    if len(counts) < 2 or len({y for _, y in rows}) < 2:
+    if len(counts) < 2 or sample.where(trees_part).select("_op_label").distinct().count() < 2:
         return Fitted(frozenset(), None, None, share)
-    learnt = learn_lexicon(rows)
-    del rows
+    learnt = learn_lexicon(sample.where(trees_part).select("text", "_op_label"))
     ready = common.materialise(featurise(sample, learnt), "toxicity-features").withColumn("_op_v", array_to_vector("features")).withColumn("_op_y", F.col("_op_label").cast("double")).repartition(4)
     trees = GBTClassifier(featuresCol="_op_v", labelCol="_op_y", maxIter=TREES, maxDepth=DEPTH, seed=7)
     trees = trees.setRawPredictionCol("_op_raw").setProbabilityCol("_op_prob").setPredictionCol("_op_class").fit(ready.where(trees_part))
