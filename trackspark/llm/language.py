@@ -41,6 +41,8 @@ PENALTY = 7.0
 #: Documents and numbers of a model over all languages.
 SAMPLE_ALL = 1_500_000
 MODEL_CELLS = 100_000_000
+#: Languages whose sizes, of 16 bytes each, are broadcast.
+BROADCAST_LANGUAGES = 100_000
 MEMO = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,16 +141,16 @@ class Model:
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, ngrams: int = NGRAMS) -> Model:
     """A model from text and lang of a bounded sample of ``labelled``; rows without lang are left out."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    rows = labelled.where(F.col("lang").isNotNull()).select("text", "lang", key.alias("_op_key"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_op_key", 0.02).alias("_op_n"))
+    rows = labelled.where(F.col("lang").isNotNull()).select("text", "lang", key.alias("_op_key"), F.xxhash64("lang").alias("_op_lang"))
+    sizes = rows.groupBy("_op_lang").agg(F.approx_count_distinct("_op_key", 0.02).alias("_op_n"))
     langs = sizes.count()
     per_lang = max(1, min(sample_docs, SAMPLE_ALL // max(1, langs)))
     grams_each = max(1, MODEL_CELLS // max(1, langs * langs))
     share = min(1.0, grams_each / (vocabulary + len(ORDERS) * ngrams))
     vocabulary, ngrams = max(1, int(vocabulary * share)), max(1, int(ngrams * share))
     chance = F.pmod(F.col("_op_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # how many languages there are decides whether Spark sends their sizes around
-    sample = rows.join(sizes, "lang").where(chance * F.col("_op_n") < per_lang).groupBy("lang", "_op_key").agg(F.first("text").alias("text")).select("text", "lang")
+    # two numbers a language: texts stay where they are, unless there are too many languages, when Spark splits what is skewed
+    sample = rows.join(F.broadcast(sizes) if langs <= BROADCAST_LANGUAGES else sizes, "_op_lang").where(chance * F.col("_op_n") < per_lang).groupBy("lang", "_op_key").agg(F.first("text").alias("text")).select("text", "lang")
     tally = sample.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "kind")
     kept = (
