@@ -31,6 +31,12 @@ CASES = {
     "words within names": ("<body class='has-sidebar'><article class='no-ad'><p>real story</p></article><div class='ad-box'>Buy</div>", "real story"),
     "names of headings and lists": ("<body class='single-post'><h1 class='post-title'>T</h1><div class='content'>body</div><ul><li class='post'>teaser</ul>", "T\nbody\nteaser"),
     "broken": (page("<article><p>a <i>b</p><p>c</i> d</article"), "a b\nc d"),
+    "names for and against, alone": (page(NAV + "<div class='post share'><p>article body</p></div>" + AFTER), "article body"),
+    "names for and against, in one word": (page("<div class='content-widget-list'><p>the article</p></div>"), "the article"),
+    "names for and against, in an article": (page("<article><div class='post share'><p>body</p></div></article>"), "body"),
+    "names for and against, beside an article": (page(ARTICLE + "<div class='content-sidebar'>links</div>"), TEXT),
+    "names only against": (page("<div class='cookie-notice'>x</div><div class='widget-list'>y</div>"), ""),
+    "hidden": (page("<div hidden=''><p>x</p></div><div hidden><p>y</p></div><div hidden='until-found'>z</div><div class='not hidden'><p>seen</p></div>"), "seen"),
     "empty": ("", ""), "null": (None, ""), "text only": ("just text", "just text"), "long": (page("<article>" + "<p>w</p>" * 5000 + "</article>"), "\n".join(["w"] * 5000)),
 }
 
@@ -67,6 +73,21 @@ def test_tree_decides_beside_and_inside_articles(spark):
     assert rows_of(html.report(pages), "page_id", "text") == sorted(want, key=repr)
 
 
+def test_tree_decides_branches_of_doubtful_names(spark):
+    """Names for and against a branch: beside other text what differs from page to page stays, what repeats goes."""
+    one = lambda i: f"<div><p>story {i}</p></div><div class='content-widget'><p>part {i}</p></div><div class='post share'>Same line</div>"
+    pages = spark.createDataFrame([(i, "http://a.example/x", page(one(i))) for i in range(40)], "page_id long, url string, html string")
+    assert rows_of(html.report(pages), "page_id", "text") == sorted(((i, f"story {i}\npart {i}") for i in range(40)), key=repr)
+    assert {html.text_of(html.Page(one(i))) for i in range(3)} == {f"story {i}" for i in range(3)}, "without the tree both go"
+
+
+def test_texts_of_the_given_pages_with_and_without_the_tree(spark):
+    """On the pages at hand tags tell the article, so the tree may remove only what lies outside of it: texts are the articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert len(got) > 200 and got == {r.page_id: html.text_of(html.Page(r.html)) for r in pages.collect()}
+
+
 def plain_tree(rows):
     """Importance of every branch, straight from its definition."""
     hosts = {}

@@ -11,6 +11,8 @@ of the style itself, with which every branch is decided by one sum: 0 for tags a
 footers, adverts, forms and the like, 1 for articles, ``INSIDE`` for what lies in them, ``BESIDE`` for unmarked
 blocks on pages that have an article, ``NEUTRAL`` for anything else.  So an unmarked block beside an article
 stays if its texts differ from page to page, and one inside an article goes if they are the same on many pages.
+Names that speak both for and against a branch (``post share``, ``content-widget-list``) prove nothing: such a branch
+goes beside an article, counts as ``BESIDE`` next to other text, and as ``NEUTRAL`` where a page has nothing else.
 A page whose article would lose all its text keeps the article.
 
 Trees are sums over (host, path, feature) rows, added up within tasks first, so that a host with a third
@@ -37,7 +39,7 @@ from . import common
 #: Weight of the prior against the style tree's importance, and the least sum that is kept.
 PRIOR_WEIGHT = 0.6
 LEAST = 0.49
-BOILER, BESIDE, NEUTRAL, INSIDE, MAIN = 0.0, 0.25, 0.5, 0.7, 1.0
+BOILER, DOUBTFUL, BESIDE, NEUTRAL, INSIDE, MAIN = 0.0, 0.1, 0.25, 0.5, 0.7, 1.0
 #: What a node one level further down counts against one above.
 DECAY = 0.9
 BROADCAST_PATHS = 50_000
@@ -57,6 +59,8 @@ FILLER_WORDS = frozenset("area bar block bottom box button container content for
 MAIN_WORDS = frozenset("article articlebody entry post story".split())
 MAIN_FILLER = frozenset("body container content inner main text wrap wrapper".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: In the name of a class or id, these speak for content too, though not as loud as those above.
+CONTENT_WORDS = frozenset("content main text".split())
 CONTAINERS = frozenset("article div main section td".split())
 #: Elements that class names say nothing about.
 WHOLE = frozenset("html body main article".split())
@@ -74,15 +78,18 @@ def _prior(tag: str, attrs: str, outer: float) -> tuple[str, float]:
     classes, own_id, role = sorted(found.get("class", "").lower().split()), found.get("id", "").lower().strip(), found.get("role", "").lower()
     names = [*classes, own_id] if own_id else classes
     boiler = tag not in WHOLE and any(_named(x, BOILER_WORDS, FILLER_WORDS) for x in names)
-    hidden = "hidden" in attrs.lower().split()
+    hidden = "hidden" in found or "hidden" in _ATTR.sub(" ", attrs).lower().split()
     header = tag == "header" or "header" in names
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     main = main or tag in CONTAINERS and any(_named(x, MAIN_WORDS, MAIN_FILLER) for x in names)
     # what speaks for or against a branch is a part of its style
     marks = [x for x, is_so in ((f"#{own_id}", boiler or main or header), (f"@{role}", role), ("?hidden", hidden)) if is_so and len(x) > 1]
     label = ".".join([tag, *classes]) + "".join(marks)
-    if outer == BOILER or tag in BOILER_TAGS or role in BOILER_ROLES or hidden or boiler:
+    if outer == BOILER or tag in BOILER_TAGS or role in BOILER_ROLES or hidden:
         return label, BOILER
+    if boiler:
+        own_words = {w for x in names for w in _WORDS.findall(x)}
+        return label, DOUBTFUL if tag in CONTAINERS and (main or not own_words.isdisjoint(CONTENT_WORDS)) else BOILER
     if outer in (MAIN, INSIDE):
         return label, INSIDE
     if header:
@@ -158,8 +165,12 @@ class Page:
         if at < len(source):
             self._say(entities.unescape(source[at:]))
         self._flush()
-        if any(p >= INSIDE for _, p, _ in self.blocks):
-            self.blocks = [(path, BESIDE if p == NEUTRAL else p, text) for path, p, text in self.blocks]
+        found = {p for _, p, _ in self.blocks}
+        if any(p >= INSIDE for p in found):
+            means = {NEUTRAL: BESIDE, DOUBTFUL: BOILER}
+        else:
+            means = {DOUBTFUL: BESIDE if NEUTRAL in found else NEUTRAL}
+        self.blocks = [(path, means.get(p, p), text) for path, p, text in self.blocks]
 
 
 def host_of(url: str | None) -> str:
