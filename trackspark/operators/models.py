@@ -13,7 +13,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import predictions as p
@@ -218,3 +218,37 @@ def grid_search(features: DataFrame, trees: list[int], depths: list[int]) -> Dat
     found = TrainValidationSplit(estimator=rf, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), trainRatio=0.75, seed=3).fit(ready)
     rows = [(int(g[rf.numTrees]), int(g[rf.maxDepth]), float(m)) for g, m in zip(grid, found.validationMetrics, strict=True)]
     return features.sparkSession.createDataFrame(rows, "trees int, depth int, accuracy double")
+
+
+#: Settings of the reference job; an axis changes one of them at a time.
+REFERENCE = {"trees": 10, "depth": 5}
+JOBS = "trees int, depth int, accuracy double, job string"
+
+
+def held_out(features: DataFrame) -> Column:
+    """A quarter of the rows, by their values: the same one in every job and after a restart."""
+    return F.pmod(F.xxhash64("features", "label"), F.lit(4)) == 0
+
+
+def axis_search(features: DataFrame, axes: dict[str, list[int]], path: str, reference: dict[str, int] | None = None) -> DataFrame:
+    """job, trees, depth, accuracy: the reference job, then each value of each axis with all else as in the reference.
+
+    ``path`` is the job log, one folder for one search (data and reference).  A finished job is a partition of it, so a
+    search that was interrupted goes on behind the last finished job, and none is ever there twice.  Accuracy is null
+    where no row is held out; without rows to learn from no job runs."""
+    spark, base = features.sparkSession, REFERENCE | (reference or {})
+    jobs = {"reference": base} | {f"{axis}={value}": base | {axis: value} for axis, values in axes.items() for value in values}
+    spark.createDataFrame([], JOBS).write.mode("append").partitionBy("job").parquet(path)
+    log = lambda: spark.read.schema(JOBS).parquet(path)
+    done = {r.job for r in log().where(F.col("job").isin(*jobs)).select("job").collect()}
+    learnt, tested = features.where(~held_out(features)), features.where(held_out(features))
+    if learnt.isEmpty():
+        return log()
+    for job, setting in jobs.items():
+        if job in done:
+            continue
+        scores = forest_scores(forest(learnt, setting["trees"], setting["depth"]), tested, "label")
+        accuracy = scores.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
+        row = accuracy.select(F.lit(setting["trees"]).alias("trees"), F.lit(setting["depth"]).alias("depth"), "accuracy", F.lit(job).alias("job"))
+        row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").parquet(path)
+    return log()

@@ -93,6 +93,11 @@ def m07(e):
     return m.grid_search(features(e), [5, 10], [3, 5])
 
 
+@query("m07_axis_search", "embeddings")
+def m07_axis(e):
+    return m.axis_search(features(e), {"trees": [5, 20], "depth": [3, 7]}, d.shared_folder(e.sparkSession, "search"))
+
+
 def pictures(v):
     """Frames as arrays, row by row; a clip is a camera, and a second a frame."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", F.floor("v").cast("double").alias("v"))))

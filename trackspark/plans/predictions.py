@@ -109,10 +109,14 @@ def j14(v, tracks):
     return tracks.join(b, "track_id", "left").select("clip_id", "track_id", F.col("idx").alias("fp_label"), F.col("idx").isNotNull().alias("scored"))
 
 
-@query("k06_best_thumbnail", "v_regions", sql="""s as (select *, 1+(frame_number*7)%30 as contours, (frame_number*13)%40-5 as diff, (frame_number%5)/2e0 as off, x<=1 or y<=1 or y+height>=119 or x+width>=159 as border from v_regions where not blank and mass>0),
+THUMBNAILS = """s as (select *, 1+(frame_number*7)%30 as contours, (frame_number*13)%40-5 as diff, (frame_number%5)/2e0 as off, x<=1 or y<=1 or y+height>=119 or x+width>=159 as border from v_regions where not blank and mass>0),
 m as (select *, max(mass) over w as mm, max(contours) over w as mc, max(diff) over w as md from s window w as (partition by track_id)),
-z as (select track_id, frame_number, mass/cast(mm as double)*40+contours/cast(mc as double)*50+case when md=0 then 0 else diff/cast(md as double)*40 end-2*off-case when border then 1000 else 0 end as score from m)
-select track_id, frame_number, round(score, 6) as score from (select *, row_number() over (partition by track_id order by round(score, 6) desc, frame_number) as r from z) where r=1""")
+z as (select track_id, frame_number, mass/cast(mm as double)*40+contours/cast(mc as double)*50+case when md=0 then 0 else diff/cast(md as double)*40 end-2*off-case when border then 1000 else 0 end as score from m),
+thumb as (select track_id, frame_number, round(score, 6) as score from (select *, row_number() over (partition by track_id order by round(score, 6) desc, frame_number) as r from z) where r=1)
+"""
+
+
+@query("k06_best_thumbnail", "v_regions", sql=THUMBNAILS + "select * from thumb")
 def k06(v):
     f = F.col("frame_number")
     border = (F.col("x") <= 1) | (F.col("y") <= 1) | (F.col("y") + F.col("height") >= 119) | (F.col("x") + F.col("width") >= 159)

@@ -9,7 +9,7 @@ from trackspark.sources.store import TrackStore
 from trackspark.streaming import finished
 
 from .base import query, r6
-from .predictions import SMOOTH
+from .predictions import SMOOTH, THUMBNAILS, k06
 from .samples import split
 
 
@@ -80,6 +80,32 @@ def s18(v, tracks):
     return d.result_documents(tracks, best)
 
 
+@query("s18_merged_documents", "v_predictions", "v_tracks", "v_regions", sql=THUMBNAILS.rstrip() + """,
+c as (select clip_id, count(*) as n, count(thumb.track_id) as with_thumb, sum(thumb.frame_number) as thumb_frames, sum(round(thumb.score)) as thumb_scores from v_tracks left join thumb using (track_id) group by clip_id)
+select clip_id, case when clip_id%4=0 then 'Tracks,camera,id,note,source,tracks' when clip_id%3=0 then 'id,source,tracks' else 'camera,id,note,source,tracks' end as keys,
+ case when clip_id%4=0 or clip_id%3<>0 then 'cam "'||clip_id%7||'"' end as camera, case when clip_id%4=0 then 'first' else 'second' end as source, case when clip_id%4=0 then 1 else n end as n_tracks,
+ case when clip_id%4=0 then 0 else with_thumb end as n_thumbnails, case when clip_id%4<>0 then cast(thumb_frames as bigint) end as thumbnail_frames, case when clip_id%4<>0 then cast(thumb_scores as bigint) end as thumbnail_scores
+from c where clip_id%4<>0 or clip_id%3<>0""")
+def s18_merged(v, tracks, regions):
+    """First versions of two clips in three, tracked anew for three in four; what the merged documents say is read back from their text."""
+    clip, empty = F.col("clip_id"), F.array(F.lit(0))
+    camera = F.concat(F.lit('cam "'), clip % 7, F.lit('"')).alias("camera")
+    first = F.struct(clip.alias("id"), camera, F.lit("first").alias("source"), F.struct(clip.alias("by")).alias("note"), empty.alias("tracks"), empty.alias("Tracks"))
+    old = tracks.select("clip_id").distinct().where("clip_id % 3 <> 0").select("clip_id", F.to_json(first).alias("document"))
+    best = p.best(p.track_scores(v)).select("track_id", F.col("label_1").alias("label"), r6("score_1").alias("confidence"))
+    found = d.result_documents(tracks.where("clip_id % 4 <> 0"), best, k06(regions))
+    new = found.select("clip_id", F.regexp_replace("document", "^[{]", '{"source":"second",').alias("document"))
+    text = F.col("document")
+    thumbs = F.from_json(F.get_json_object(text, "$.tracks"), "array<struct<thumbnail: struct<frame_number: bigint, score: bigint>>>")
+    shown = F.filter(F.col("thumbs.thumbnail"), lambda t: t.isNotNull())
+    total = lambda name: F.when(F.size("shown") > 0, F.aggregate(F.col(f"shown.{name}"), F.lit(0).cast("long"), lambda a, x: a + x))
+    read = d.merged_documents(old, new).withColumn("thumbs", F.when(F.get_json_object(text, "$.source") == "second", thumbs)).withColumn("shown", F.coalesce(shown, F.array().cast("array<struct<frame_number: bigint, score: bigint>>")))
+    return read.select(
+        "clip_id", F.array_join(F.array_sort(F.json_object_keys(text)), ",").alias("keys"), F.get_json_object(text, "$.camera").alias("camera"), F.get_json_object(text, "$.source").alias("source"),
+        F.json_array_length(F.get_json_object(text, "$.tracks")).cast("long").alias("n_tracks"), F.size("shown").cast("long").alias("n_thumbnails"), total("frame_number").alias("thumbnail_frames"), total("score").alias("thumbnail_scores"),
+    )
+
+
 @query("s22_finished_recordings", "v_clips", sql="select 'r'||clip_id as stem from v_clips where clip_id%4<>1 and clip_id%3<>2 union all select 'r'||clip_id||'-track' from v_clips where clip_id%9=0")
 def s22(c):
     """Media files and sidecars in folders, watched by two streams: of some recordings only one of the two is there, and some need no sidecar."""

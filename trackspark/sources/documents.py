@@ -79,8 +79,33 @@ def read_shards(spark: SparkSession, path: str, remap: dict[str, int] | None = N
     return rows.join(F.broadcast(numbers), "label")
 
 
-def result_documents(tracks: DataFrame, predictions: DataFrame) -> DataFrame:
-    """clip_id, document: nested JSON of a clip's tracks with their predictions."""
+def result_documents(tracks: DataFrame, predictions: DataFrame, thumbnails: DataFrame | None = None) -> DataFrame:
+    """clip_id, document: nested JSON of a clip's tracks with their predictions.
+
+    ``thumbnails`` (track_id, frame_number, score): every track tells its thumbnail, null if it has none."""
     preds = predictions.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("label", "confidence"))).alias("predictions"))
-    one = tracks.join(preds, "track_id", "left").select("clip_id", F.struct("track_id", "start_frame", "end_frame", "num_regions", "predictions").alias("t"))
+    told, joined = ["track_id", "start_frame", "end_frame", "num_regions", "predictions"], tracks.join(preds, "track_id", "left")
+    if thumbnails is not None:
+        region = F.struct("frame_number", F.round("score").cast("long").alias("score")).alias("thumbnail")
+        told, joined = [*told, "thumbnail"], joined.join(thumbnails.select("track_id", region), "track_id", "left")
+    one = joined.select("clip_id", F.struct(*told).alias("t"))
     return one.groupBy("clip_id").agg(F.to_json(F.struct(F.first("clip_id").alias("id"), F.array_sort(F.collect_list("t")).alias("tracks"))).alias("document"))
+
+
+#: Keys of a document that a new version replaces as a whole, even by nothing.
+REPLACED = ("tracks", "Tracks")
+
+
+def merged_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """clip_id, document: new versions over old ones, key by key; tracks are those of the new version alone.
+
+    Both have one row per clip.  A clip without a new version keeps its document as it is; an old document that
+    is not a JSON object counts as none.  Merged documents name their keys in order.  Values are variants, so
+    strings, numbers and nested objects stay what they are."""
+    keyed = lambda docs, name: docs.select("clip_id", F.col("document").alias(name), F.from_json("document", "map<string,variant>").alias(f"{name}_keys"))
+    both = keyed(old, "old").join(keyed(new, "new"), "clip_id", "full")
+    known = F.coalesce("old_keys", F.from_json(F.lit("{}"), "map<string,variant>"))
+    kept = F.map_filter(known, lambda k, _: ~k.isin(*REPLACED) & ~F.map_contains_key("new_keys", k))
+    whole = both.withColumn("keys", F.map_concat(kept, "new_keys")).withColumn("names", F.array_sort(F.map_keys("keys")))
+    text = F.to_json(F.map_from_arrays("names", F.transform("names", lambda k: F.element_at("keys", k))), {"ignoreNullFields": "false"})
+    return whole.select("clip_id", F.when(F.col("new_keys").isNull(), F.col("old")).otherwise(text).alias("document"))
