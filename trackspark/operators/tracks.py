@@ -144,8 +144,13 @@ def quality_reason(frames: Column, min_frames: int = 27, min_offset: float = 4.0
     )
 
 
+def size_limit(edge: Column, n: Column, speed: Column) -> Column:
+    """How far the size may change: more at the border, for young tracks and for fast ones."""
+    return F.when(edge, F.lit(2.0) * F.when(speed > 10, 3).otherwise(1)).otherwise(F.when(n < 5, 2.0).otherwise(1.5) * F.when(speed > 10, 2).otherwise(1))
+
+
 def match_gates(regions: DataFrame, base_velocity: float = 2, multiplier: float = 2, base_distance: float = 450, mass_percent: float = 0.55, min_mass_change: float = 20, restrict_after: float = 1.5, fps: int = 9) -> DataFrame:
-    """Adds max_distance, max_mass_change and max_size_change: how far the next region may differ.
+    """Adds max_distance, max_mass_change and max_size_change, how far the next region may differ, and n_regions so far.
 
     Regions carry vx, vy, average_mass, along_border; no motion is predicted here."""
     n = F.row_number().over(ordered())
@@ -154,6 +159,25 @@ def match_gates(regions: DataFrame, base_velocity: float = 2, multiplier: float
     speed = F.abs("vx") + F.abs("vy")
     mass = F.when(n > restrict_after * fps, F.greatest(F.lit(float(min_mass_change)), F.col("average_mass") * (mass_percent + F.when(speed > 5, 0.1).otherwise(0.0))))
     nxt = F.lead("along_border").over(ordered())
-    edge = F.col("along_border") | nxt
-    size = F.when(edge, F.lit(2.0) * F.when(speed > 10, 3).otherwise(1)).otherwise(F.when(n < 5, 2.0).otherwise(1.5) * F.when(speed > 10, 2).otherwise(1))
-    return regions.select("*", (base_distance + vx * vx + vy * vy).alias("max_distance"), mass.alias("max_mass_change"), size.alias("max_size_change"))
+    size = size_limit(F.col("along_border") | nxt, n, speed)
+    return regions.select("*", (base_distance + vx * vx + vy * vy).alias("max_distance"), mass.alias("max_mass_change"), size.alias("max_size_change"), n.alias("n_regions"))
+
+
+def match_candidates(regions: DataFrame) -> DataFrame:
+    """clip_id, track_id, region_track, frame_number, score: the regions of a frame that a track may go on with.
+
+    ``regions`` come from ``match_gates``.  A track stands where it was a frame before; against its gates go the mean
+    distance of the corners, the change against its average area and, once it is old enough, against its average mass.
+    Blank regions are no candidates; the border counts on either side.  The join is by clip and frame."""
+    kept = ("max_distance", "max_mass_change", "average_area", "average_mass", "n_regions")
+    track = regions.select(
+        "clip_id", "track_id", (F.col("frame_number") + 1).alias("frame_number"), *kept, (F.abs("vx") + F.abs("vy")).alias("speed"), F.col("along_border").alias("a_border"), *g.columns(g.box(), "a_")
+    )
+    region = regions.where("not blank").select("clip_id", F.col("track_id").alias("region_track"), "frame_number", "mass", F.col("along_border").alias("b_border"), *g.columns(g.box(), "b_"))
+    near, _, far = g.corner_distances(g.box("a_"), g.box("b_"))
+    pairs = track.join(region, ["clip_id", "frame_number"]).withColumn("score", (near + far) / 2)
+    within = lambda value, most: F.round(value, 6) <= F.round(most, 6)
+    limit = size_limit(F.col("a_border") | F.col("b_border"), F.col("n_regions"), F.col("speed"))
+    fits = within(F.col("score"), F.col("max_distance")) & within(g.size_change(g.box("b_").area, F.col("average_area")), limit)
+    heavy = F.coalesce(within(F.abs(F.col("average_mass") - F.col("mass")), F.col("max_mass_change")), F.lit(True))
+    return pairs.where(fits & heavy).select("clip_id", "track_id", "region_track", "frame_number", "score")

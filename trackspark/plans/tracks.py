@@ -222,16 +222,17 @@ def j06(v):
     return pairs.join(n, "track_id").select("clip_id", "track_id", "other_id", r6(F.col("k") / F.col("n")).alias("ratio"))
 
 
-@query("j07_candidate_scores", "v_regions", sql="""p as (select a.clip_id, a.track_id, b.track_id as region_track, b.frame_number, (power(b.x-a.x,2)+power(b.y-a.y,2)+power(b.x+b.width-a.x-a.width,2)+power(b.y+b.height-a.y-a.height,2))/2 as score,
- abs(b.width*b.height-a.width*a.height)/cast(a.width*a.height+50 as double) as size_change, abs(a.mass-b.mass) as mass_change from v_regions a join v_regions b on a.clip_id=b.clip_id and b.frame_number=a.frame_number+1)
-select clip_id, track_id, region_track, frame_number, round(score, 6) as score from p where score<=450 and size_change<=15e-1 and mass_change<=60""")
+@query("j07_candidate_scores", "v_regions", sql=MEANS.rstrip() + ",\n" + MOVES_LAG.replace("from v_regions", "from mn").rstrip() + """,
+e as (select *, abs(vx)+abs(vy) as sp, 450+power(2*case when n=1 then 2e0 else vx end, 2)+power(2*case when n=1 then 2e0 else vy end, 2) as most from l),
+p as (select e.*, r.track_id as region_track, r.frame_number as later, (power(r.x-e.x,2)+power(r.y-e.y,2)+power(r.x+r.width-e.x-e.width,2)+power(r.y+r.height-e.y-e.height,2))/2 as score,
+ abs(r.width*r.height-e.average_area)/(e.average_area+50) as size_change, abs(e.average_mass-r.mass) as mass_change, e.border or r.border as edge
+ from e join l r on r.clip_id=e.clip_id and r.frame_number=e.frame_number+1 where not r.blank)
+select clip_id, track_id, region_track, later as frame_number, round(score, 6) as score from p
+where round(score, 6)<=round(most, 6) and (n<=13.5 or round(mass_change, 6)<=round(greatest(20e0, average_mass*(55e-2+case when sp>5 then 1e-1 else 0 end)), 6))
+ and round(size_change, 6)<=case when edge then 2e0*case when sp>10 then 3 else 1 end else case when n<5 then 2e0 else 15e-1 end*case when sp>10 then 2 else 1 end end""")
 def j07(v):
-    a = v.select("clip_id", "track_id", (F.col("frame_number") + 1).alias("frame_number"), "mass", *g.columns(g.box(), "a_")).withColumnRenamed("mass", "a_mass")
-    b = v.select("clip_id", F.col("track_id").alias("region_track"), "frame_number", "mass", *g.columns(g.box(), "b_"))
-    near, _, far = g.corner_distances(g.box("a_"), g.box("b_"))
-    pairs = a.join(b, ["clip_id", "frame_number"]).withColumn("score", (near + far) / 2)
-    fits = (F.col("score") <= 450) & (g.size_change(g.box("b_").area, g.box("a_").area) <= 1.5) & (F.abs(F.col("a_mass") - F.col("mass")) <= 60)
-    return pairs.where(fits).select("clip_id", "track_id", "region_track", "frame_number", r6("score").alias("score"))
+    gates = t.match_gates(t.with_border(t.with_velocity(t.recent_means(v)), inner()))
+    return t.match_candidates(gates).withColumn("score", r6("score"))
 
 
 @query("j09_new_track_suppression", "v_regions", sql=f"""select a.clip_id, a.track_id, a.frame_number from v_regions a where not exists (select 1 from v_regions b where a.clip_id=b.clip_id and a.frame_number=b.frame_number and b.track_id<a.track_id and {OVERLAP}>25e-2*a.width*a.height)""")
