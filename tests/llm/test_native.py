@@ -1,6 +1,7 @@
 import collections
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from trackspark.llm import mixing, sharding
@@ -48,6 +49,27 @@ def test_sharding_cases(docs):
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == {(1, 8, 0): 2, (None, 10, zlib.crc32("é".encode())): 1, (2, 8, 0): 1}
 
 
+def test_sharding_splits_equal_rows(spark, docs):
+    source = docs(*[(1, "same")] * 9000, *[(None, "same")] * 30, *[(10 + i, f"text {i}") for i in range(200)])
+    records = sharding.slotted(source)
+    hot = records.where("doc_id = 1").agg(F.count("*").alias("slots"), F.sum("copies").alias("n"), F.min("copies").alias("least"), F.max("copies").alias("most")).first()
+    assert tuple(hot) == (sharding.SLOTS, 9000, 2, 3)
+    out = sharding.shard(source).cache()
+    assert out.groupBy("doc_id").count().where("doc_id = 1 or doc_id is null").orderBy("count").collect() == [(None, 30), (1, 9000)]
+    by = out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d")).collect()
+    assert len(by) == 24 and all(r.hi == r.n - 1 == r.d - 1 for r in by) and max(r.b for r in by) - min(r.b for r in by) < 60
+
+
+def test_sharding_of_equal_rows_is_that_of_the_sql(docs):
+    rows = [(1, "same")] * 5000 + [(None, "same")] * 3 + [(None, None), (7, None), (7, "")] + [(10 + i, f"text {i}") for i in range(50)]
+    with duckdb.connect() as con:
+        con.execute("create table repeated (doc_id bigint, text varchar)")
+        con.execute("insert into repeated select unnest($a), unnest($b)", {"a": [r[0] for r in rows], "b": [r[1] for r in rows]})
+        found = con.execute(sharding.sql("repeated"))
+        names = [c[0] for c in found.description]
+        assert rows_of(sharding.shard(docs(*rows)), *names) == sorted(found.fetchall(), key=repr)
+
+
 def test_stored_map_is_edited_when_rebalancing(spark, docs, tmp_path):
     path = str(tmp_path / "map")
     records = sharding.slotted(some(docs, 3000, 1000))
