@@ -30,11 +30,23 @@ def test_in_blocks(spark, docs, monkeypatch):
 
 
 def test_spans_point_into_the_original(spark, docs):
-    rows = d.decontaminate(docs(*DOCS), bench(spark), with_spans=True).where("doc_id in (1, 9)").collect()
+    rows = d.decontaminate(docs(*DOCS), bench(spark), with_text=True).where("doc_id in (1, 9)").collect()
     cut = {r.doc_id: [r.text[s.start : s.end] for s in r.decon.spans] for r in rows}
     assert cut[1] == [ITEM.replace(" ", ", ")] and cut[9] == ["naïve Ünit"]
 
 
+def test_blocks_give_the_spans_of_one_automaton(spark, docs, monkeypatch):
+    side = " ".join(f"r{i}" for i in range(13))
+    texts = [*DOCS, (11, f"Before {ITEM}, {side}; after. {side}"), (12, "é" * 9 + " " + side)]
+    items = [*ITEMS, (7, side), (8, f"q19 {side}")]
+    whole = rows_of(d.report(docs(*texts), bench(spark, items)), "doc_id", "n_hit", "n_items", "spans")
+    assert (11, 46, 4, f"7-{len(ITEM) + len(side) + 9},{len(ITEM) + len(side) + 18}-{len(ITEM) + 2 * len(side) + 18}") in whole
+    monkeypatch.setattr(d, "BLOCK_WINDOWS", 3)
+    source = docs(*texts)
+    assert rows_of(d.report(source, bench(spark, items)), "doc_id", "n_hit", "n_items", "spans") == whole
+    assert d.decontaminate(source, bench(spark, items), with_text=True).columns == [*source.columns, "decon"]
+
+
 def test_clean_keeps_columns_and_clean_documents(spark, docs):
     source = docs(*DOCS)
     kept = d.clean(source, bench(spark))
