@@ -55,11 +55,14 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.path = spark, scratch(spark, what)
+        self.tables: list[str] = []  # names in the catalog, dropped even if a step fails
 
     def __enter__(self) -> Workspace:
         return self
 
     def __exit__(self, *_: object) -> None:
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
         self.remove("")
 
     def remove(self, what: str) -> None:

@@ -61,7 +61,8 @@ LOW = 20
 HOT = 2_000
 #: Bytes of segments in one collection, about.
 COLLECTION = 12 << 20
-MAX_BUCKETS = 4096
+#: Spark makes no more buckets than this (``spark.sql.sources.bucketing.maxBuckets``); up to it there is one for each task that reads texts.
+MAX_BUCKETS = 100_000
 #: A band is cut into so many narrower ones.
 FINER = 8
 
@@ -407,6 +408,7 @@ class Texts:
         """source: any columns, then ``text``."""
         self.spark, self.length, self.work = source.sparkSession, length, work
         self.name = f"suffix_{uuid.uuid4().hex}"
+        work.tables.append(self.name)
         cut = source.mapInArrow(_cut(length), common.extended(source.drop("text"), ROWS))
         # fewer buckets than shuffle partitions would make Spark shuffle the texts after all
         self.buckets = buckets or max(1, min(MAX_BUCKETS, max(source.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -414,9 +416,6 @@ class Texts:
         cut.write.bucketBy(self.buckets, "task").option("compression", "zstd").option("path", f"{work.path}/{self.name}").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
 
-    def drop(self) -> None:
-        self.spark.sql(f"drop table {self.name}")
-
     def _with(self, wants: DataFrame, *columns: str) -> DataFrame:
         """Texts with the list of what is wanted of each.  wants: row, and columns."""
         listed = wants.groupBy(F.shiftright("row", 33).cast("int").alias("task"), "row").agg(F.collect_list(F.struct(*columns)).alias("want"))
@@ -476,7 +475,6 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         joined = texts.table.join(texts.spans(), ["task", "row"], "left").select("doc_id", "text", "spans")
         found = joined.mapInArrow(_kept, common.extended(joined.select("doc_id"), f"n_bytes long, spans {SPANS}, kept binary"))
         found = common.materialise(found, "suffix-kept")
-        texts.drop()
     return found
 
 
@@ -495,8 +493,6 @@ def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Dat
         removed = work.write(removed, "suffix-removed")
         joined = texts.table.join(removed, ["task", "row"], "left").join(passages, ["task", "row"], "left").select("doc_id", "text", "removed", "spans")
         found = common.materialise(joined.mapInArrow(_digest, common.extended(joined.select("doc_id"), DIGEST)), "suffix-report")
-        inner.drop()
-        texts.drop()
     return found
 
 
