@@ -16,6 +16,8 @@ Repeated ids are possible after ``mix`` (copies); an empty table passes through
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's result is written to shared storage and read again."""
+    """Apply the stages to ``documents``; each stage's result is written to shared storage and read again.
+
+    What a stage wrote goes when the next one has written; the result is written, too."""
     docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.materialise(docs, f"pipeline-{name}")
-    return docs
+    with ExitStack() as stack:
+        for name, stage in STAGES[:-1]:
+            with stack.pop_all():
+                work = stack.enter_context(common.Workspace(spark, f"pipeline-{name}"))
+                docs = work.write(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
