@@ -129,3 +129,15 @@ def test_structured_words_do_not_link(docs):
 def test_word_hashes_tell_words_apart(words):
     hashes = common.hash_words(np.frombuffer(" ".join(words).encode(), np.uint8)).tolist()
     assert len(set(hashes)) == len(set(words)) and len(set(zip(words, hashes, strict=True))) == len(set(words))
+
+
+def test_the_driver_lets_go_after_every_table(docs, monkeypatch):
+    """The hot input, with a cluster of near copies: each step's plans go before the next step."""
+    told = []
+    monkeypatch.setattr(j, "SMALL", 4)
+    monkeypatch.setattr(common.Workspace, "release", lambda self: told.append("release"))
+    monkeypatch.setattr(common.Workspace, "write", lambda self, df, what, f=common.Workspace.write: told.append("write") or f(self, df, what))
+    rows = [(i, near(i, 2)) for i in range(12)] + [(20, WORDS[0]), (21, None)]
+    left = j.keep_one(docs(*rows), 3, 80)
+    assert told[::2] == ["write"] * (len(told) // 2) and told[1::2] == ["release"] * (len(told) // 2) and len(told) > 20
+    assert {r.doc_id for r in left.collect()} >= {20, 21}

@@ -425,7 +425,7 @@ def classes_and_links(docs: DataFrame, work: common.Workspace, words: int = WORD
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included."""
-    with common.Workspace(docs.sparkSession, "jaccard") as work:
+    with common.Workspace(docs.sparkSession, "jaccard", releases=True) as work:
         rows, joined = classes_and_links(docs, work, words, percent)
         least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"))
         placed = least.join(joined, "cls", "left")
@@ -442,7 +442,7 @@ def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
     A row is known by its id and text, so rows that share an id may stay beside each other; rows that repeat
     both stay once; rows without words all stay."""
     spark = docs.sparkSession
-    with common.Workspace(spark, "jaccard") as work:
+    with common.Workspace(spark, "jaccard", releases=True) as work:
         rows, joined = classes_and_links(docs, work, words, percent)
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
         least = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(order).alias("least"))
