@@ -112,3 +112,22 @@ def test_construction_finds_every_repeat(strings, length):
     windows = [(i, j, b[j : j + length]) for i, b in enumerate(blobs) for j in range(len(b) - length + 1)]
     want = {(i, j) for i, j, w in windows if any(w == v and j == l and i != k for k, l, v in windows)}
     assert got == want
+
+
+@pytest.mark.parametrize("length", [40, 256, 400])
+def test_short_texts_are_cut_together_as_each_by_itself(length):
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, length - 1, length, length, length + 1, 700, 3, 5000, suffix.TOGETHER, suffix.TOGETHER + 1, *rng.integers(0, 4000, 60).tolist()]
+    texts = [rng.integers(97, 97 + (2 if i % 3 else 20), n).astype(np.uint8) for i, n in enumerate(sizes)]
+    texts += [texts[8], texts[8], np.full(900, 97, np.uint8), np.full(900, 97, np.uint8)]
+    for single, one in zip(suffix.segments_of(texts, length), texts, strict=True):
+        for x, y in zip(single, suffix.segments(one, length), strict=True):
+            assert x.tolist() == y.tolist()
+    assert suffix.segments_of([], length) == []
+
+
+def test_short_texts_share_their_calls(monkeypatch):
+    calls = []
+    monkeypatch.setattr(suffix, "_minima", lambda data, length, f=suffix._minima: calls.append(len(data)) or f(data, length))
+    suffix.segments_of([np.full(500, 97, np.uint8)] * 200)
+    assert len(calls) <= 5 and sum(calls) == 100_000

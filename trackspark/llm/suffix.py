@@ -58,6 +58,10 @@ ANCHOR = 32
 #: Window starts handled at once; positions must fit the low bits of a key.
 PIECE = 900_000
 LOW = 20
+#: Bytes of short texts that are hashed in one go.
+TOGETHER = 1 << 15
+#: Rows of a batch that are cut at a time.
+AT_ONCE = 500
 HOT = 2_000
 #: Bytes of segments in one collection, about.
 COLLECTION = 12 << 20
@@ -70,27 +74,31 @@ FINER = 8
 # --- cutting texts into segments ------------------------------------------------------------------
 
 
+def _minima(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes, hashes of the anchors, and the place of each window's anchor."""
+    k = min(ANCHOR, length)
+    span, n = length - k + 1, len(data) - length + 1  # anchors in a window, windows
+    prefix = common.prefix_hash(data)
+    first = np.arange(len(data) - k + 1)
+    h = common.span_hash(prefix, first, first + k)
+    # least of each span: high bits of the hash, then the leftmost place
+    key = (h & ~np.uint64((1 << LOW) - 1)) | first.astype(np.uint64)
+    pad = np.full(-len(key) % span, np.iinfo(np.uint64).max, np.uint64)
+    blocks = np.concatenate([key, pad]).reshape(-1, span)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()[span - 1 : span - 1 + n]
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    return prefix, h, (np.minimum(before, after) & np.uint64((1 << LOW) - 1)).astype(np.int64)
+
+
 def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(anchor hash, segment hash, start, windows, anchor's place in the segment) of a text's segments."""
-    k = min(ANCHOR, length)
-    span = length - k + 1  # anchors in a window
     windows = len(data) - length + 1
     if windows < 1:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     out = []
     for at in range(0, windows, PIECE):
         n = min(PIECE, windows - at)
-        piece = data[at : at + n + length - 1]
-        prefix = common.prefix_hash(piece)
-        first = np.arange(len(piece) - k + 1)
-        h = common.span_hash(prefix, first, first + k)
-        # least of each span: high bits of the hash, then the leftmost place
-        key = (h & ~np.uint64((1 << LOW) - 1)) | first.astype(np.uint64)
-        pad = np.full(-len(key) % span, np.iinfo(np.uint64).max, np.uint64)
-        blocks = np.concatenate([key, pad]).reshape(-1, span)
-        before = np.minimum.accumulate(blocks, axis=1).ravel()[span - 1 : span - 1 + n]
-        after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
-        place = (np.minimum(before, after) & np.uint64((1 << LOW) - 1)).astype(np.int64)
+        prefix, h, place = _minima(data[at : at + n + length - 1], length)
         start = np.flatnonzero(np.diff(place, prepend=-1))
         count = np.diff(start, append=n)
         whole = common.span_hash(prefix, start, start + count + length - 1)
@@ -98,6 +106,45 @@ def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def segments_of(texts: list[np.ndarray], length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
+    """``segments`` of each text; short ones are hashed together, as a call for each costs more than their bytes."""
+    out: list[tuple[np.ndarray, ...]] = [()] * len(texts)
+    group: list[int] = []
+    size = 0
+    for i, data in enumerate(texts):
+        if len(data) < length or len(data) > TOGETHER:
+            out[i] = segments(data, length)
+            continue
+        if size + len(data) > TOGETHER:
+            _together(texts, group, length, out)
+            group, size = [], 0
+        group.append(i)
+        size += len(data)
+    if group:
+        _together(texts, group, length, out)
+    return out
+
+
+def _together(texts: list[np.ndarray], group: list[int], length: int, out: list[tuple[np.ndarray, ...]]) -> None:
+    """Sets ``out`` of the texts of a group, none of them shorter than ``length``."""
+    size = np.fromiter((len(texts[i]) for i in group), np.int64, len(group))
+    base = np.cumsum(size) - size
+    prefix, h, place = _minima(np.concatenate([texts[i] for i in group]), length)
+    crossing = np.zeros(len(place), bool)  # windows that begin in one text and end in the next
+    for end in (base[1:]).tolist():
+        crossing[end - length + 1 : end] = True
+    # windows of two texts have no anchor in common, so a segment never goes on into the next text
+    inside = np.flatnonzero(~crossing)
+    place = place[inside]
+    new = np.flatnonzero(np.diff(place, prepend=-1))
+    start, count, place = inside[new], np.diff(new, append=len(inside)), place[new]
+    whole = common.span_hash(prefix, start, start + count + length - 1)
+    anchor, segment = h[place], common.mix64(whole + count.astype(np.uint64))
+    bounds = np.append(np.searchsorted(start, base), len(start)).tolist()
+    for i, at, a, b in zip(group, base.tolist(), bounds[:-1], bounds[1:], strict=True):
+        out[i] = (anchor[a:b], segment[a:b], start[a:b] - at, count[a:b], place[a:b] - start[a:b])
+
+
 ROWS = "task int, row long, text binary, anchor array<long>, segment array<long>, windows array<int>, inside array<int>"
 
 
@@ -109,21 +156,21 @@ def _cut(length: int):
 
         task = TaskContext.get().partitionId()
         serial = 0
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(5)]
-            for value in batch.column(batch.num_columns - 1):
-                data = common.as_bytes(value if value.is_valid else None)
-                columns[0].append(data.tobytes())
-                anchor, segment, _, windows, inside = segments(data, length)
-                for c, x in zip(columns[1:], (anchor.view(np.int64), segment.view(np.int64), windows.astype(np.int32), inside.astype(np.int32)), strict=True):
-                    c.append(x)
+        # a few rows at a time: their hashes take several times the room of the texts
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
+            texts = [common.as_bytes(value if value.is_valid else None) for value in batch.column(batch.num_columns - 1)]
+            found = segments_of(texts, length)
+            ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+            listed = [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, t), *(x[c] for x in found)]).astype(t, copy=False).view(to)))
+                for c, t, to in ((0, np.uint64, np.int64), (1, np.uint64, np.int64), (3, np.int32, np.int32), (4, np.int32, np.int32))
+            ]
             n = batch.num_rows
             rows = np.arange(serial, serial + n) + (task << 33)
             serial += n
-            types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2)
             names = [f.name for f in batch.schema][:-1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.full(n, task, np.int32)), pa.array(rows), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                [*batch.columns[:-1], pa.array(np.full(n, task, np.int32)), pa.array(rows), pa.array([x.tobytes() for x in texts], pa.binary()), *listed],
                 [*names, "task", "row", "text", "anchor", "segment", "windows", "inside"],
             )
 
