@@ -12,6 +12,8 @@ columns of ``documents``:
 5. ``shard``: every copy gets a shard and a place in it.
 
 Repeated ids are possible after ``mix`` (copies); an empty table passes through all stages.
+
+Stages with Python set Arrow batches to 1000 rows at most (``common.small_batches``); ``run`` sets them back.
 """
 
 from __future__ import annotations
@@ -30,15 +32,18 @@ SIMILARITY_PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     found = language.predict(docs.select(*DOCUMENTS), language.fit(docs))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*DOCUMENTS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return ngramjoin.keep_one(docs.select(*DOCUMENTS), SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return decontamination.clean(docs.select(*DOCUMENTS), common.table(spark, sf_dir, "benchmark"))
 
 
@@ -61,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote goes when the next one has written; the result is written, too."""
     docs = common.table(spark, sf_dir, "documents")
-    with ExitStack() as stack:
+    with ExitStack() as session, ExitStack() as stack:
+        session.callback(spark.conf.set, common.BATCH_ROWS, common.small_batches(spark))
         for name, stage in STAGES[:-1]:
             with stack.pop_all():
                 work = stack.enter_context(common.Workspace(spark, f"pipeline-{name}"))

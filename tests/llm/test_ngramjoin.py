@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +144,25 @@ def test_the_driver_lets_go_after_every_table(docs, monkeypatch):
     left = j.keep_one(docs(*rows), 3, 80)
     assert told[::2] == ["write"] * (len(told) // 2) and told[1::2] == ["release"] * (len(told) // 2) and len(told) > 20
     assert {r.doc_id for r in left.collect()} >= {20, 21}
+
+
+def test_token_counts_hold_a_chunk_once(monkeypatch):
+    monkeypatch.setattr(j, "CHUNK", 200_000)
+    texts = [" ".join(f"w{(i * 7919 + k) % 90_001}" for k in range(1000)) for i in range(450)] + [None, "", "one two three"] + ["same old words here"] * 5
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50])], ["text"]) for i in range(0, len(texts), 50)]
+    want, chunk = [], []
+    for t in texts:
+        chunk.append(j.token_set(t))
+        if sum(map(len, chunk)) >= j.CHUNK:
+            want.append(chunk)
+            chunk = []
+    want = [np.unique(np.concatenate(c), return_counts=True) for c in [*want, chunk]]
+    tracemalloc.start()
+    found = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in j._frequencies(3)(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(want) == 3
+    for (token, n), (t, c) in zip(found, want, strict=True):
+        assert token.tolist() == t[c >= j.LEAST].tolist() and n.tolist() == c[c >= j.LEAST].tolist() and len(token)
+    assert peak < 3 * 8 * j.CHUNK, peak / 8 / j.CHUNK
+    assert [b.num_rows for b in j._frequencies(3)(iter([]))] == [0]

@@ -3,8 +3,10 @@ import hashlib
 import math
 import zlib
 
+import pyarrow as pa
+
 import corpus_pipeline as p
-from trackspark.llm import decontamination, mixing, sharding
+from trackspark.llm import common, decontamination, mixing, sharding
 
 from .conftest import rows_of
 from .test_brute import PlainLanguage
@@ -84,3 +86,19 @@ def test_run_is_the_chain_of_stages_and_takes_odd_rows(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert p.run(spark, f"{tmp_path}/none").count() == 0
     assert rows_of(sharding.shard(docs.limit(0)), "doc_id") == []
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    docs, before = spark.read.parquet(f"{DATA}/documents.parquet"), spark.conf.get(common.BATCH_ROWS)
+    for _, stage in p.STAGES[:3]:
+        try:
+            out = stage(spark, docs, DATA)
+            assert {r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()} == {1000, 500} and out.count()
+        finally:
+            spark.conf.set(common.BATCH_ROWS, before)
+    p.run(spark, DATA)
+    assert spark.conf.get(common.BATCH_ROWS) == before

@@ -126,25 +126,32 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return prefix(tokens, frequent, percent)[0]
 
 
-def _frequencies(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def _often(tokens: np.ndarray) -> pa.RecordBatch:
+    """The tokens that occur LEAST times or more, with their counts.  Sorts in place: a chunk is held once."""
+    tokens.sort()
+    last = max(0, len(tokens) - LEAST + 1)
+    first = tokens[:last] == tokens[LEAST - 1 :]
+    first[1:] &= tokens[1:last] != tokens[: max(0, last - 1)]
+    start = np.flatnonzero(first)
+    found = tokens[start]
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.searchsorted(tokens, found, "right") - start, pa.int64())], ["token", "n"])
 
-        def summed() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= LEAST
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
-        size = 0
+def _frequencies(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.unload()
+        held, size = np.empty(CHUNK, np.uint64), 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(token_set(text, words))
-                size += len(held[-1])
+                tokens = token_set(text, words)
+                if size + len(tokens) > len(held):
+                    held.resize(size + len(tokens), refcheck=False)
+                held[size : size + len(tokens)] = tokens
+                size += len(tokens)
                 if size >= CHUNK:
-                    yield summed()
-                    held.clear()
+                    yield _often(held[:size])
                     size = 0
-        yield summed()
+        yield _often(held[:size])
 
     return run
 
