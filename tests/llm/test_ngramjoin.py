@@ -166,3 +166,29 @@ def test_token_counts_hold_a_chunk_once(monkeypatch):
         assert token.tolist() == t[c >= j.LEAST].tolist() and n.tolist() == c[c >= j.LEAST].tolist() and len(token)
     assert peak < 3 * 8 * j.CHUNK, peak / 8 / j.CHUNK
     assert [b.num_rows for b in j._frequencies(3)(iter([]))] == [0]
+
+
+def test_tokens_spread_thinly_over_chunks_are_frequent(docs, monkeypatch):
+    """Every token is in 32 documents, but in each chunk once: no list of a single token may grow with the number of chunks."""
+    monkeypatch.setattr(j, "CHUNK", 1)  # a document each
+    rows = [(i, " ".join(f"w{k}" for k in range(g, g + 40)) + f" own{i}") for g in range(0, 120, 40) for i in range(g * 10, g * 10 + 32)]
+    with common.Workspace(docs().sparkSession, "test") as work:
+        found = set(j.frequent_tokens(docs(*rows), 3, 90, 20, work).tolist())
+    for _, text in rows:
+        tokens = j.token_set(text)
+        early = tokens[: j.EARLY * (j.missing(len(tokens), 90) + 1)]
+        common_to = set(j.token_set(text.rsplit(" ", 1)[0]).tolist())
+        assert found >= common_to & set(early.tolist()) and not found & (set(tokens.tolist()) - common_to)
+    assert found
+
+
+def test_blocks_meet_in_rounds_and_lose_no_link(docs, monkeypatch):
+    """Classes apart from the hubs: what is sent to pairs of blocks at once stays within the sets."""
+    monkeypatch.setattr(j, "SMALL", 4)
+    monkeypatch.setattr(j, "BLOCK", 3)
+    monkeypatch.setattr(j, "ROUND_TOKENS", 1)
+    told = []
+    monkeypatch.setattr(common.Workspace, "write", lambda self, df, what, f=common.Workspace.write: told.append(what) or f(self, df, what))
+    rows = [(100 * g + i, near(g, 15) + f" x{g}_{i}") for g in range(12) for i in range(3)]
+    check(docs, rows)
+    assert told.count("jaccard-blocks") > 1

@@ -12,8 +12,9 @@ document's prefix is taken so long that a partner must share a signature of it:
   of two); documents near the top of a band are indexed in the next one, too.
 
 Which tokens are frequent (in about ``FREQUENT`` documents or more) steers cost, never results.  They
-are found by counts within chunks of all documents, summed; at most ``MAX_FREQUENT`` of them, the most
-frequent, are broadcast (8 bytes each), the others count as rare.
+are found by counts within chunks of all documents, summed; those below ``LEAST`` in a chunk are summed for the first tokens of
+each set only, from which prefixes are taken: else a token that is spread thinly over many chunks would stay rare, and its list would grow with
+the corpus.  At most ``MAX_FREQUENT`` tokens, the most frequent, are broadcast (8 bytes each), the others count as rare.
 
 Documents with equal sets form one class and go on as one row.  Two classes in a list of up to ``SMALL`` are a
 pair when the number of lists they share allows the similarity: of the two prefixes one ends first, and
@@ -24,7 +25,8 @@ Longer lists come from large groups of near copies: classes that share one are p
 into blocks of about ``BLOCK`` classes or ``BLOCK_TOKENS`` tokens.  Every class is first compared with a few hubs of
 its cluster.  Those linked to the same hub need not be compared with each other: only classes apart from the most
 linked hub of their cluster go on, in blocks, against all blocks; each pair of blocks counts all its intersections at once,
-as a product of 0/1 matrices, of which only the links that connect its classes leave the task.  Links become components
+as a product of 0/1 matrices, of which only the links that connect its classes leave the task.  Pairs of blocks take turns in
+rounds, in each of which about as many tokens are sent as all sets hold.  Links become components
 by alternating large and small stars.  All of it runs as joins and aggregates on shared storage; nothing
 that grows with the corpus comes to the driver, and the tables in between go when the components are known.
 
@@ -54,13 +56,20 @@ WORDS = 3
 PERCENT = 90
 FREQUENT = 100
 #: Tokens of a chunk within which document frequencies are counted, and the least count that is summed.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 LEAST = 3
+#: The first tokens of a set, as multiples of what it may lack, are counted however rare they are in a chunk: prefixes are
+#: taken from them, and the counts that chunks leave out grow with their number.
+EARLY = 2
+#: Rows of a batch of their counts.
+AT_ONCE = 100_000
 MAX_FREQUENT = 2_000_000
 SMALL = 128
 BLOCK = 1000
 #: Tokens of a block, about.
 BLOCK_TOKENS = 500_000
+#: Tokens that are sent to pairs of blocks in a round, at least; more if the sets of all classes hold more.
+ROUND_TOKENS = 16_000_000
 HUBS = 3
 #: Columns of a 0/1 matrix at a time.
 COLUMNS = 4096
@@ -137,10 +146,28 @@ def _often(tokens: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.searchsorted(tokens, found, "right") - start, pa.int64())], ["token", "n"])
 
 
-def _frequencies(words: int):
+def _others(early: list[np.ndarray], counted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The early tokens of a chunk that are not counted yet, with their counts."""
+    token, n = np.unique(np.concatenate(early), return_counts=True)
+    if len(counted):
+        other = counted[np.searchsorted(counted, token).clip(0, len(counted) - 1)] != token
+        token, n = token[other], n[other]
+    for i in range(0, len(token), AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(token[i : i + AT_ONCE].view(np.int64)), pa.array(n[i : i + AT_ONCE], pa.int64())], ["token", "n"])
+
+
+def _frequencies(words: int, percent: int | None = None):
+    """Counts of tokens by chunk: of those that occur LEAST times or more in it, and with ``percent`` of all that are early in a set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.unload()
-        held, size = np.empty(CHUNK, np.uint64), 0
+        held, size, early = np.empty(CHUNK, np.uint64), 0, []
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            yield (often := _often(held[:size]))
+            if early:
+                yield from _others(early, often.column(0).to_numpy().view(np.uint64))
+
         for batch in batches:
             for text in batch.column(0):
                 tokens = token_set(text, words)
@@ -148,18 +175,20 @@ def _frequencies(words: int):
                     held.resize(size + len(tokens), refcheck=False)
                 held[size : size + len(tokens)] = tokens
                 size += len(tokens)
+                if percent is not None:
+                    early.append(tokens[: EARLY * (missing(len(tokens), percent) + 1)].copy())
                 if size >= CHUNK:
-                    yield _often(held[:size])
-                    size = 0
-        yield _often(held[:size])
+                    yield from counts()
+                    size, early = 0, []
+        yield from counts()
 
     return run
 
 
-def frequent_tokens(docs: DataFrame, words: int, frequent: int, work: common.Workspace) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, words: int, percent: int, frequent: int, work: common.Workspace) -> np.ndarray:
     """Sorted hashes of the tokens that are in about ``frequent`` documents or more."""
-    counted = docs.select("text").mapInArrow(_frequencies(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    # half, as counts below LEAST within a chunk are not summed
+    counted = docs.select("text").mapInArrow(_frequencies(words, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # half, as counts below LEAST within a chunk are summed for early tokens only
     often = work.write(counted.where(F.col("n") >= max(LEAST, frequent // 2)), "frequent-tokens")
     if often.count() > MAX_FREQUENT:
         often = often.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
@@ -376,8 +405,17 @@ def cluster_links(large: DataFrame, known: DataFrame, percent: int, work: common
     rows = rows.union(spread.select("id", "comp", F.lit(0), F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     within = apart.select("id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("other"))
     rows = rows.union(within.select("id", "comp", F.lit(1), F.least("own", "other"), F.greatest("own", "other")))
-    blocks = rows.join(known.select("id", "tokens"), "id")
-    return first.union(blocks.groupBy("comp", "kind", "i", "j").applyInPandas(_block_links(percent), "x long, y long"))
+    # sets are sent to their pairs of blocks in rounds, so that what lies on disk at once follows the sets, not the pairs
+    sent = rows.join(known.select("id", "n"), "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rounds = -(-sent // max(held, ROUND_TOKENS))
+    turn = F.pmod(F.xxhash64("comp", "kind", "i", "j"), F.lit(rounds))
+    found = first
+    for k in range(rounds):
+        blocks = rows.where(turn == k).join(known.select("id", "tokens"), "id")
+        links = blocks.groupBy("comp", "kind", "i", "j").applyInPandas(_block_links(percent), "x long, y long")
+        found = found.union(work.write(links, "jaccard-blocks"))
+    return found
 
 
 def components(links: DataFrame, work: common.Workspace) -> DataFrame:
@@ -405,7 +443,7 @@ def classes_and_links(docs: DataFrame, work: common.Workspace, words: int = WORD
     """(rows: doc_id, copy, cls, n of every document; cls, comp of every class that has links), in ``work``."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    shipped = common.Shipped(spark, frequent_tokens(source, words, frequent, work))
+    shipped = common.Shipped(spark, frequent_tokens(source, words, percent, frequent, work))
     rows = work.write(source.mapInArrow(_described(shipped, words, percent), common.extended(source.select("doc_id", "copy"), DESCRIBED)), "jaccard-rows")
     full = rows.where(F.col("cls").isNotNull())
     # one row per class, numbered once it is written: numbers are shorter than hashes in what follows
