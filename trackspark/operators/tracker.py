@@ -6,11 +6,14 @@ the small state of the step is kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,29 +269,51 @@ def masked_segments(frames: DataFrame, width: int, seed: int) -> DataFrame:
     return frames.groupBy("track_id").applyInPandas(one, "track_id long, segment long, frame_number long")
 
 
-def merge_boxes(boxes: pd.DataFrame, max_gap: float) -> pd.DataFrame:
-    """Boxes of one frame that overlap or lie within a gap, united until nothing changes; masses are summed."""
-    items = [list(r) for r in boxes[["x", "y", "width", "height", "mass"]].itertuples(index=False, name=None)]
-    changed = True
+BOXES = "clip_id long, frame_number long, x long, y long, width long, height long, mass long"
+
+
+def united(boxes: Iterable[tuple], max_gap: float) -> list[tuple]:
+    """Boxes (x, y, width, height, mass) that overlap or lie within a gap, united until nothing changes; masses are summed.
+
+    A box without a place or a size stays by itself; a mass that is not known adds nothing."""
+    whole, out = [], []
+    for b in boxes:
+        (out if None in b[:4] else whole).append(b)
+    changed = len(whole) > 1
     while changed:
         changed = False
-        for i in range(len(items)):
-            for j in range(len(items) - 1, i, -1):
-                a, b = items[i], items[j]
+        for i in range(len(whole)):
+            for j in range(len(whole) - 1, i, -1):
+                a, b = whole[i], whole[j]
                 dx = max(0, max(a[0], b[0]) - min(a[0] + a[2], b[0] + b[2]))
                 dy = max(0, max(a[1], b[1]) - min(a[1] + a[3], b[1] + b[3]))
                 if (dx * dx + dy * dy) ** 0.5 <= max_gap:
                     x, y = min(a[0], b[0]), min(a[1], b[1])
-                    items[i] = [x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y, a[4] + b[4]]
-                    del items[j]
+                    whole[i] = (x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y, (a[4] or 0) + (b[4] or 0))
+                    del whole[j]
                     changed = True
+    return whole + out
+
+
+def merge_boxes(boxes: pd.DataFrame, max_gap: float) -> pd.DataFrame:
+    """The united boxes of one frame."""
+    items = boxes[["x", "y", "width", "height", "mass"]].itertuples(index=False, name=None)
     key = boxes[["clip_id", "frame_number"]].iloc[0]
-    return pd.DataFrame([(int(key.iloc[0]), int(key.iloc[1]), *map(int, i)) for i in items], columns=["clip_id", "frame_number", "x", "y", "width", "height", "mass"])
+    return pd.DataFrame([(int(key.iloc[0]), int(key.iloc[1]), *map(int, i)) for i in united(items, max_gap)], columns=[c.split()[0] for c in BOXES.split(", ")])
 
 
 def merge_components(regions: DataFrame, max_gap: float = 10.0) -> DataFrame:
-    schema = "clip_id long, frame_number long, x long, y long, width long, height long, mass long"
-    return regions.select("clip_id", "frame_number", "x", "y", "width", "height", "mass").groupBy("clip_id", "frame_number").applyInPandas(lambda b: merge_boxes(b, max_gap), schema)
+    """The united boxes of every frame.  Frames hold few boxes, so they come as a sorted stream, many to a batch."""
+    names = [c.split()[0] for c in BOXES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = ((*key, *b) for key, part in groupby(rows, itemgetter(0, 1)) for b in united(map(itemgetter(2, 3, 4, 5, 6), part), max_gap))
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names)
+
+    rows = regions.select(*[F.col(c).cast("long").alias(c) for c in names])
+    return rows.repartition("clip_id", "frame_number").sortWithinPartitions("clip_id", "frame_number").mapInArrow(run, BOXES)
 
 
 class Bucket:
