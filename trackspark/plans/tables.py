@@ -108,14 +108,17 @@ def s18_merged(v, tracks, regions):
 
 @query("s22_finished_recordings", "v_clips", sql="select 'r'||clip_id as stem from v_clips where clip_id%4<>1 and clip_id%3<>2 union all select 'r'||clip_id||'-track' from v_clips where clip_id%9=0")
 def s22(c):
-    """Media files and sidecars in folders, watched by two streams: of some recordings only one of the two is there, and some need no sidecar."""
+    """Media files and sidecars in folders, watched by two streams: of some recordings only one of the two is there, and some need no sidecar.
+
+    Rows are small and files many: with a number of its own the shuffle is not drawn together into one task that writes them all."""
     spark, path = c.sparkSession, d.shared_folder(c.sparkSession, "arrivals")
     stem, body = F.concat(F.lit("r"), "clip_id"), F.to_json(F.struct("clip_id")).alias("value")
     media = c.where("clip_id % 4 <> 1").select(stem.alias("stem"), body).union(c.where("clip_id % 9 = 0").select(F.concat(stem, F.lit("-track")).alias("stem"), body))
     for rows, name in ((media, "media"), (c.where("clip_id % 3 <> 2").select(stem.alias("stem"), body), "sidecars")):
-        rows.repartition("stem").write.partitionBy("stem").text(f"{path}/{name}")
-    found = finished.complete(finished.arrivals(spark, f"{path}/media", "part-*"), finished.arrivals(spark, f"{path}/sidecars", "part-*"))
-    found.select("stem").writeStream.format("parquet").option("path", f"{path}/complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stem").write.partitionBy("stem").text(f"{path}/{name}")
+    # batches hold names only, no contents
+    media, sidecars = (finished.arrivals(spark, f"{path}/{name}", "part-*", 10_000) for name in ("media", "sidecars"))
+    finished.complete(media, sidecars).select("stem").writeStream.format("parquet").option("path", f"{path}/complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("stem string").parquet(f"{path}/complete")
 
 
